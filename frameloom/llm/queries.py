@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .language import language
 from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .packing import pack
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,16 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo `of`; null ids have none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold(3) != 1)
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_clauses")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -33,5 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_source_mix, op6_token_counts, op7_best_fit_packing)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language(table(spark, sf_dir, "documents"), learn=fold(4) != 2)
+    return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op10_language)}
 ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
