@@ -12,6 +12,7 @@ from .language import language
 from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .packing import pack
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -29,6 +30,11 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold(3) != 1)
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_clauses")
@@ -51,5 +57,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op10_language)}
 ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
