@@ -13,6 +13,7 @@ from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .packing import pack
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_repeated_bytes
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -52,10 +53,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language(table(spark, sf_dir, "documents"), learn=fold(4) != 2)
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_language)}
 ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
