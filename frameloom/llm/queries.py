@@ -11,6 +11,7 @@ from .common import table
 from .language import language
 from .mixing import mix
 from .mixing import oracle as mix_oracle
+from .ngram_join import ngram_components
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_repeated_bytes
@@ -31,6 +32,10 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -63,5 +68,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_language)}
 ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
