@@ -16,7 +16,9 @@ from .packing import pack
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_repeated_bytes
 from .token_counts import token_counts
+from .top_k import top_k
 from .toxicity import toxicity
+from .vector_dedup import vector_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +43,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=fold(3) != 1)
     return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_clauses")
@@ -63,10 +69,14 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language(table(spark, sf_dir, "documents"), learn=fold(4) != 2)
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_language)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_embedding_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op9_exact_top_k, op10_language)}
 ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
