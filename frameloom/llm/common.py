@@ -45,7 +45,7 @@ def pinned(df: DataFrame) -> DataFrame:
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     nodes = {re.match(r"[\s:+|-]*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+|-]*(\w+)", line)}
-    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2"} else df.checkpoint()
+    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2", "LogicalRDD"} else df.checkpoint()
 
 
 def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:

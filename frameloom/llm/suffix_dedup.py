@@ -373,11 +373,13 @@ def _joined(group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([packed([(group["rid"][0].as_py(), merged(both[:, 0], both[:, 1]).tobytes())], "rid long, spans binary")])
 
 
-def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, id, text) and their intervals to remove (rid, spans; several rows of one rid may overlap)."""
+def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, id, text, rest: a struct of the extra columns) and their intervals to remove (rid, spans; several rows of one rid may overlap)."""
     prepare(docs.sparkSession)
-    docs = pinned(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    rows = rows_of(docs, id=F.col("id"), text=F.col("text")).select("rid", "text", "id")
+    rest = [F.col(c) for c in extra] or [F.lit(None).cast("int").alias("none")]
+    docs = pinned(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*rest).alias("rest")))
+    full = rows_of(docs, id=F.col("id"), text=F.col("text"), rest=F.col("rest"))
+    rows = full.select("rid", "text", "id")
     buckets = buckets or parts_for(rows)
     sent = rows.mapInArrow(_send(length, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(lambda t: _compare(t), ANSWER)
@@ -386,10 +388,10 @@ def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_
     parts = asked.mapInArrow(_bytes_of(length, buckets), "block int, anchor long, id long, rid long, start long, data binary")
     dealt = parts.repartition(buckets, "block").sortWithinPartitions("block", "anchor")
     spans = dealt.mapInArrow(_blocks(length), "rid long, spans binary")
-    return rows, gathered.filter("spans is not null").select("rid", "spans").unionByName(spans)
+    return full, gathered.filter("spans is not null").select("rid", "spans").unionByName(spans)
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, spans and kept of every row; spans are pairs (first byte, past the last).
 
     A byte goes if it is covered by a string of `length` bytes that also starts
@@ -398,10 +400,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
     bytes, which need not be UTF-8 any more. Texts shorter than `length` and
     null (empty) texts stay; an empty table gives an empty table. `length` is
     from 96 to 112; equal segments are told by two 64-bit hashes of their bytes.
+    The columns named in `extra` follow. as_text gives kept as a string, without
+    what is left of characters that were cut in two.
     """
     if not 96 <= length <= 112:
         raise ValueError("length must be from 96 to 112")
-    rows, spans = repeated_bytes(docs, length, buckets, id_col, text_col)
+    rows, spans = repeated_bytes(docs, length, buckets, id_col, text_col, extra)
     spans = spans.groupBy("rid").applyInArrow(lambda t: _joined(t), "rid long, spans binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,8 +420,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
                         kept.append(data[at:first])
                         at = past
                     kept = b"".join([*kept, data[at:]])
-                    out.append((len(data), len(data) - len(kept), pairs, kept))
-                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())))], ["id", "n_bytes", "n_removed", "spans", "kept"])
+                    out.append((len(data), len(data) - len(kept), pairs, kept.decode(errors="ignore") if as_text else kept))
+                yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string() if as_text else pa.binary()))), *([own.column(3)] if extra else [])], ["id", "n_bytes", "n_removed", "spans", "kept"] + ["rest"] * bool(extra))
 
-    out = rows.join(spans, "rid", "left").select("id", "text", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, spans array<array<bigint>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    told = "id long, n_bytes long, n_removed long, spans array<array<bigint>>, kept " + ("string" if as_text else "binary") + f", rest {dict(rows.dtypes)['rest']}" * bool(extra)
+    out = rows.join(spans, "rid", "left").select("id", "text", "spans", *["rest"] * bool(extra)).mapInArrow(cut, told)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *[F.col("rest")[c].alias(c) for c in extra])

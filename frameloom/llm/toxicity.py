@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,16 +184,29 @@ def choose(rows: list[tuple[str, int, int]], n: int, m: int) -> dict[str, float]
     return out
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """id, score (0 to 1) and n_clauses (matched) of every row.
+class Model:
+    """A lexicon, what each context adds to a clause's weight, and the log odds of texts with and without a matched clause."""
 
-    `learn`, an expression over the labels' id column, is true of labels that
-    may be learned from. Null labels and ids are not learned from; a label
-    given twice counts twice. A null text is an empty one: it has no matched
-    clause and gets the score of texts without one. Without labels of both
-    kinds every score is 0.5 or below. A null id stays null; repeated rows are
-    scored each; an empty table gives an empty table.
-    """
+    def __init__(self, lexicon: Lexicon, offset: dict[str, float], prior: float, nothing: float) -> None:
+        self.lexicon, self.offset, self.prior, self.nothing = lexicon, offset, prior, nothing
+
+    def score(self, text: str | None) -> tuple[float, int]:
+        """From 0 to 1, and the number of matched clauses."""
+        own = clauses(text, self.lexicon) if text else []
+        total = self.prior + sum(max(0.0, w + self.offset[c]) for c, w in own) if own else self.nothing
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), len(own)
+
+    def column(self, text: Column) -> Column:
+        """The score of a text column."""
+
+        def scores(texts: pd.Series) -> pd.Series:
+            return pd.Series([self.score(t)[0] for t in texts], dtype="float64")
+
+        return F.pandas_udf(scores, "double")(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
+    """Learns from at most about fit_rows labelled rows; see toxicity()."""
     spark = docs.sparkSession
     prepare(spark)
     usable = labels.filter(F.coalesce(learn, F.lit(False)) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -201,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     drawn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0 < F.when(F.col("y") == 1, share(1, fit_rows // 3)).otherwise(share(0, fit_rows - fit_rows // 3))
     # At most about fit_rows ids and labels: their size is bounded whatever the tables hold.
     sample = usable.filter(drawn)
-    fit = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "y").checkpoint()
+    drawn_rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "y").checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -213,9 +227,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
             own = terms[lo : lo + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), *(pa.array([seen[y][t] for t in own], pa.int64()) for y in (1, 0))], ["term", "a", "b"])
 
-    sizes = fit.groupBy("y").agg(F.count("*").alias("n")).collect()
+    sizes = drawn_rows.groupBy("y").agg(F.count("*").alias("n")).collect()
     n, m = sum(r["n"] for r in sizes if r["y"] == 1), sum(r["n"] for r in sizes if r["y"] != 1)
-    found = fit.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    found = drawn_rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Beyond these many candidates a term of lower support cannot be among the chosen.
     clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).orderBy(F.desc("a"), "b", "term").limit(50 * MOST_TERMS)
     lexicon = Lexicon(choose([(r["term"], r["a"], r["b"]) for r in clear.collect()], n, m))
@@ -229,7 +243,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["context", "y", "n"])
 
     stood: Counter = Counter()
-    for r in fit.mapInArrow(context, "context string, y long, n long").groupBy("context", "y").agg(F.sum("n").alias("n")).collect():
+    for r in drawn_rows.mapInArrow(context, "context string, y long, n long").groupBy("context", "y").agg(F.sum("n").alias("n")).collect():
         stood[r["context"], r["y"]] = r["n"]
     prior = math.log((n + 1) / (m + 1))
     # No evidence: a context is worth what the labels say, and before they say anything negated and reported clauses are worth less.
@@ -241,16 +255,25 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
         learned = min(1.0, log_odds(stood[c, 1], n, stood[c, 0], m)) if seen_by and n and m else 0.0
         offset[c] = (belief * strength + learned * seen_by) / (strength + seen_by)
     nothing = prior + (log_odds(stood["", 1], n, stood["", 0], m) if n and m else 0.0)
+    return Model(lexicon, offset, prior, nothing)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """id, score (0 to 1) and n_clauses (matched) of every row.
+
+    `learn`, an expression over the labels' id column, is true of labels that
+    may be learned from. Null labels and ids are not learned from; a label
+    given twice counts twice. A null text is an empty one: it has no matched
+    clause and gets the score of texts without one. Without labels of both
+    kinds every score is 0.5 or below. A null id stays null; repeated rows are
+    scored each; an empty table gives an empty table.
+    """
+    model = fit(docs, labels, learn, id_col, text_col, label_col, fit_rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, matched = [], []
-            for text in batch.column(1).to_pylist():
-                own = clauses(text, lexicon) if text else []
-                total = prior + sum(max(0.0, w + offset[c]) for c, w in own) if own else nothing
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))))
-                matched.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(matched, pa.int64())], ["id", "score", "n_clauses"])
+            found = [model.score(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["id", "score", "n_clauses"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, f"id {kind}, score double, n_clauses long").withColumnRenamed("id", id_col)
