@@ -11,7 +11,7 @@ SCHEMA = "ANIMALID long, " + ", ".join(f"{b} double" for b in BOUNDS)
 
 
 def bounds(r: Region | None) -> tuple:
-    return (r.xmin, r.xmax, r.ymin, r.ymax) if r else (None,) * 4
+    return tuple(map(float, (r.xmin, r.xmax, r.ymin, r.ymax))) if r else (None,) * 4
 
 
 def roi_metadata(spark: SparkSession, animals: list[tuple], c: Config | None = DEFAULT) -> DataFrame:
