@@ -56,8 +56,10 @@ def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
 def parts_for(df: DataFrame, each_mb: float = 10.0) -> int:
     """Partitions such that each stands for about each_mb of scanned files; at least the session's."""
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known >= 1 << 45:  # Spark does not know it, as of rows that come from a checkpoint
+        known = df.count() << 12
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, math.ceil(min(known, 1 << 50) / (each_mb * 1e6)))
+    return max(least, math.ceil(known / (each_mb * 1e6)))
 
 
 def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

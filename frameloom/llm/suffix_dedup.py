@@ -128,6 +128,8 @@ def _tied(order: np.ndarray, group: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Positions of a byte text sorted by their next `depth` bytes, in two stages."""
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     padded = np.zeros(n + depth + 16, np.uint8)
     padded[:n] = text
     word = np.zeros(n + depth + 8, np.uint64)
