@@ -333,10 +333,12 @@ def test_language_learns_from_its_fold_only(spark):
 
 
 def test_toxicity(spark):
-    scored = QUERIES["op4_toxicity"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    sf = "/root/testdata/sf0.01"  # the smallest tables have six toxic labels to learn from, too few to tell any word
+    scored = QUERIES["op4_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     assert not [r for r in scored if r["toxic"] == 0 and r["predicted"] == 1]
-    learned = [r for r in scored if r["toxic"] == 1 and not r["held_out"]]
-    assert sum(r["score"] for r in learned) / len(learned) > sum(r["score"] for r in scored if r["toxic"] == 0) / sum(1 for r in scored if r["toxic"] == 0)
+    for held_out in (False, True):
+        toxic = [r["predicted"] for r in scored if r["toxic"] == 1 and r["held_out"] == held_out]
+        assert sum(toxic) >= 0.5 * len(toxic)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored)
 
 
