@@ -12,13 +12,16 @@ logistic of the sum over its matched clauses.
 Insults and all weights are learned from labels. The fit is a bounded sample
 (at most FIT_ROWS labelled rows, a third of them toxic where there are so
 many): terms are words and word beginnings of 4 to 6 letters, kept if a
-likelihood ratio test tells them clearly from chance.
+likelihood ratio test tells them clearly from chance. A term counts once for
+each pair of neighbours it has in toxic rows, at most once for each row, so
+the words that copies of one toxic row share are no evidence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-FIT_ROWS, LEAST_RATIO, MOST_TERMS = 12_000, 20.0, 2000
+FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS = 12_000, 20.0, 4.0, 2000
 STEMS = (4, 5, 6)
 #: Cue words of the grammar in four languages.
 THREATS = frozenset("kill hurt shoot stab beat destroy burn töten umbringen verletzen schlagen tuer frapper détruire brûler matar golpear destruir quemar".split())
@@ -176,7 +179,7 @@ def choose(rows: list[tuple[str, int, int]], n: int, m: int) -> dict[str, float]
         bare = t.removesuffix("*")
         if t.endswith("*") and bare in starts or any(bare[:k] in taken for k in STEMS):
             continue
-        if (w := log_odds(a, n, b, m)) >= 1.5:
+        if (w := log_odds(a, n, b, m)) >= LEAST_WEIGHT:
             out[t] = w
             if t.endswith("*"):
                 taken.add(bare)
@@ -232,7 +235,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     found = drawn_rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Beyond these many candidates a term of lower support cannot be among the chosen.
     clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).orderBy(F.desc("a"), "b", "term").limit(50 * MOST_TERMS)
-    lexicon = Lexicon(choose([(r["term"], r["a"], r["b"]) for r in clear.collect()], n, m))
+    likely = {r["term"]: (r["a"], r["b"]) for r in clear.collect()}
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if y != 1:
+                    continue
+                found = ["", *_words(text.lower()), ""]
+                for before, w, after in zip(found, found[1:], found[2:], strict=False):
+                    for t in (w, *(w[:k] + "*" for k in STEMS if len(w) >= k)):
+                        if t in likely:
+                            seen.add((t, zlib.crc32(f"{before} {w} {after}".encode())))
+        pairs = list(seen)
+        for lo in range(0, len(pairs), 20_000):
+            own = pairs[lo : lo + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in own], pa.string()), pa.array([c for _, c in own], pa.int64())], ["term", "context"])
+
+    apart = {r["term"]: r["n"] for r in drawn_rows.mapInArrow(neighbours, "term string, context long").groupBy("term").agg(F.count_distinct("context").alias("n")).collect()}
+    lexicon = Lexicon(choose([(t, min(a, apart.get(t, 0)), b) for t, (a, b) in likely.items()], n, m))
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
