@@ -1,16 +1,19 @@
 """Jaccard self-join of documents' word n-grams by T-occurrence search (DivideSkip).
 
 Two sets of sizes x and y with similarity t share at least T = t / (1 + t) *
-(x + y) members. In any fixed order of all n-grams such sets then share one of
-the first x - t * x + 1 of x, so documents meet if they share one of these
-prefix members. The order puts n-grams that many documents hold last: those
-found often in some chunk are counted over all chunks, and at most HEAVY of
-them, the most frequent, are ordered by their count; all others by their hash.
-(The order decides only how much work there is.)
-
-The documents of one prefix member all meet its least one, their leader. A
-leader's block holds the full sets of its documents and answers, for each of
-them, a T-occurrence query: the inverted lists of its members are divided into
+(x + y) members. In any fixed order of all n-grams such sets then share SHARED
+(or T, if that is less) of the first x - t * x + SHARED of x, its prefix. The
+order puts n-grams that many documents hold last: those found often in some
+chunk are counted over all chunks, and at most HEAVY of them, the most
+frequent, are ordered by their count; all others by their hash. (The order
+decides only how much work there is.)
+
+A prefix member that at most FEW sets hold counts for each pair of them, and
+pairs that reach SHARED are candidates. Sets that share a member which more
+hold are candidates without a count; they are never paired, but all meet in a
+block named by the least of them. Candidate pairs meet in blocks named by the
+least neighbour of either. A block holds the full sets of its documents and
+answers, for each of them, a T-occurrence query: the inverted lists of its members are divided into
 the long ones and the rest, the short ones are merged by a heap and each
 candidate with enough of them is completed by binary search in the long ones.
 Documents that are in one component already are not compared again. Equal sets
@@ -28,17 +31,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary, mixed, parts_for, passes, pinned, prepare, rolling, rows_of, spans_hash, word_hashes, WORD_BASE
 from .components import components
-from .substring_dedup import chunks, packed, runs
+from .substring_dedup import chunks, numbered, packed, runs
 from .suffix_dedup import pack, unpack
 
 #: N-grams ordered by frequency, at most; documents of a block, at most.
-HEAVY, BLOCK_ROWS = 1 << 18, 4096
+HEAVY, BLOCK_ROWS = 1 << 20, 4096
+#: Prefix members that a pair must share, and the most holders of one that are paired.
+SHARED, FEW = 8, 12
 #: DivideSkip's weight of a candidate's probes against merging.
 MU = 0.0085
 #: Postings that a heap merges; beyond them, an array of counters does.
@@ -153,7 +157,7 @@ def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, par
 
 SENT = "bucket int, kind int, chunk long, n int, data binary"
 ANSWER = "kind int, chunk long, n int, data binary"
-ENTRIES, ROWS = 0, 1
+ENTRIES, ROWS, PAIRS = 0, 1, 2
 
 
 def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +168,7 @@ def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             values, at = sets(part["text"], n)
             values = np.sort(values)
             first, size = runs(values)
-            often = size >= max(4, (len(at) - 1) // 1000)
+            often = size >= max(3, (len(at) - 1) // 2000)
             yield pa.RecordBatch.from_arrays([pa.array(values[first[often]].view(np.int64)), pa.array(size[often].astype(np.int64))], ["h", "n"])
 
     most = rows.select("rid", "text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY)
@@ -176,8 +180,7 @@ def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarray, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, part in enumerate(chunks(batches)):
-            chunk = TaskContext.get().partitionId() << 24 | seq
+        for chunk, part in numbered(batches):
             values, at = sets(part["text"], n)
             size = np.diff(at)
             doc = np.repeat(np.arange(len(size)), size)
@@ -195,7 +198,7 @@ def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarr
                 p = np.minimum(np.searchsorted(heavy, values), len(heavy) - 1)
                 weight = np.where(heavy[p] == values, counts[p], 0)
             order = np.lexsort((values, weight, doc))
-            prefix = np.array([s - similarity.least_size(int(s)) + 1 if s else 0 for s in size.tolist()], np.int64)
+            prefix = np.array([s - similarity.least_size(int(s)) + SHARED if s else 0 for s in size.tolist()], np.int64)
             keep = (np.arange(len(values)) - at[doc] < prefix[doc]) & here[doc]
             value, row = values[order][keep], doc[keep]
             bucket = ((mixed(value) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -211,7 +214,7 @@ def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarr
 
 def _leaders(similarity: Similarity):
     def work(group: pa.Table) -> pa.Table:
-        """For each chunk, its rows that share a prefix member with others, and each time the least of these (chunk and row)."""
+        """For each chunk, its pairs with earlier sets, and its rows that share a member with many others, each time with the least of these (chunk and row)."""
         kind = group["kind"].to_numpy()
         passed = group.filter(pa.array(kind != ENTRIES)).select(["kind", "chunk", "n", "data"])
         group = group.filter(pa.array(kind == ENTRIES))
@@ -225,31 +228,82 @@ def _leaders(similarity: Similarity):
         # Sets whose sizes differ too much are never alike: a list falls apart where the next size is too large.
         least = np.array([similarity.least_size(int(x)) for x in range(int(s.max()) + 1)])
         first, k = runs(np.cumsum(np.concatenate([[0], ((v[1:] != v[:-1]) | (least[s[1:]] > s[:-1])).astype(np.int64)])))
-        order, first, k = order[np.repeat(k > 1, k)], np.concatenate([[0], np.cumsum(k[k > 1])])[:-1], k[k > 1]
-        place = chunk << np.int64(20) | row  # a chunk has fewer than 2 ** 20 rows
+        place = chunk << np.int64(20) | row  # a chunk has at most 2 ** 18 rows
+        out = _pairs(similarity, order[np.repeat((k > 1) & (k <= FEW), k)], k[(k > 1) & (k <= FEW)], place, size)
+        order, k = order[np.repeat(k > FEW, k)], k[k > FEW]
+        first = np.concatenate([[0], np.cumsum(k)])[:-1]
         leader = np.repeat(np.minimum.reduceat(place[order], first), k) if len(first) else np.zeros(0, np.int64)
         pairs = np.unique(np.stack([chunk[order], row[order].astype(np.int64), leader], 1), axis=0)
-        out = []
         for lo, m in zip(*runs(pairs[:, 0]), strict=True):
             own = pairs[lo : lo + m]
-            out.append((ENTRIES, int(own[0, 0]), m, pack(own[:, 1].astype("<i4"), own[:, 2].copy())))
+            out.append((ENTRIES, int(own[0, 0]), int(m), pack(own[:, 1].astype("<i4"), own[:, 2].copy())))
         return pa.concat_tables([passed, pa.Table.from_batches([packed(out, ANSWER)])])
 
     return work
 
 
+def _pairs(similarity: Similarity, order: np.ndarray, length: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple]:
+    """For the chunk of the later set of each pair: its row, the other set, how many members they share here and how many they must share."""
+    found = []
+    for n in np.unique(length):
+        # All lists of one length at once, as a table.
+        lists = order[np.repeat(length == n, length)].reshape(-1, n)
+        a, b = np.triu_indices(n, 1)
+        found.append(np.stack([lists[:, a].ravel(), lists[:, b].ravel()], 1))
+    if not found:
+        return []
+    found = np.concatenate(found)
+    swap = place[found[:, 0]] > place[found[:, 1]]
+    found[swap] = found[swap][:, ::-1]
+    x, y = place[found[:, 0]], place[found[:, 1]]
+    by = np.lexsort((x, y))
+    x, y, found = x[by], y[by], found[by]
+    first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+    shared = np.diff(np.append(first, len(x)))
+    x, y, found = x[first], y[first], found[first]
+    need = np.minimum(SHARED, similarity.overlap(size[found[:, 0]].astype(np.int64), size[found[:, 1]].astype(np.int64)))
+    out = []
+    for lo, m in zip(*runs(y >> 20), strict=True):
+        s = slice(lo, lo + m)
+        out.append((PAIRS, int(y[lo] >> 20), int(m), pack((y[s] & ((1 << 20) - 1)).astype("<i4"), x[s].copy(), np.minimum(shared[s], 255).astype("u1"), need[s].astype("u1"))))
+    return out
+
+
 def _rows(group: pa.Table) -> pa.Table:
-    """Each row of a chunk: rid, size, set, and its leaders."""
+    """Each row of a chunk: rid, size, set, place, its leaders, and the earlier sets with which it shares enough."""
     kind, sizes, data = group["kind"].to_pylist(), group["n"].to_pylist(), group["data"]
     k = kind.index(ROWS)
     rid, size, a, b = unpack(data[k].as_py(), sizes[k], "<i8", "<i8", "<u8", "<u8")
-    found = [unpack(data[j].as_py(), sizes[j], "<i4", "<i8") for j, x in enumerate(kind) if x == ENTRIES]
     leaders: list[list[int]] = [[] for _ in range(len(rid))]
+    near: list[list[int]] = [[] for _ in range(len(rid))]
+    found = [unpack(data[j].as_py(), sizes[j], "<i4", "<i8") for j, x in enumerate(kind) if x == ENTRIES]
     if found:
         pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])], 1), axis=0)
         for row, leader in pairs.tolist():
             leaders[row].append(leader)
-    return pa.table([pa.array(rid), pa.array(size), pa.array([x.tobytes() + y.tobytes() for x, y in zip(a, b, strict=True)], pa.binary()), pa.array(leaders, pa.list_(pa.int64()))], ["rid", "size", "set", "leaders"])
+    found = [unpack(data[j].as_py(), sizes[j], "<i4", "<i8", "u1", "u1") for j, x in enumerate(kind) if x == PAIRS]
+    if found:
+        row, other, shared, need = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((other, row))
+        row, other, shared, need = row[by], other[by], shared[by].astype(np.int64), need[by]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])]))
+        enough = first[np.add.reduceat(shared, first) >= need[first]]
+        for r, o in zip(row[enough].tolist(), other[enough].tolist(), strict=True):
+            near[r].append(o)
+    place = [group["chunk"][k].as_py() << 20 | r for r in range(len(rid))]
+    sets_ = pa.array([x.tobytes() + y.tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
+    return pa.table([pa.array(rid), pa.array(size), sets_, pa.array(place, pa.int64()), pa.array(leaders, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], ["rid", "size", "set", "place", "leaders", "near"])
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """rid and the blocks (leader) to which its set goes."""
+    pairs = placed.filter("size(near) > 0").select(F.col("place").alias("a"), F.explode("near").alias("b"))
+    both = pairs.union(pairs.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+    # A pair meets in the block of either one's least neighbour; most often that is the same one.
+    meets = both.join(least.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).select("a", "least").union(least.select("a", "least")).distinct()
+    leaders = placed.filter("size(leaders) > 0").select(F.col("place").alias("a"), F.explode("leaders").alias("leader"))
+    return leaders.union(meets.select("a", -F.col("least") - 1)).join(placed.select("rid", F.col("place").alias("a")), "a").select("rid", "leader")
 
 
 def _link(n: int, similarity: Similarity):
@@ -284,8 +338,8 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     buckets, similarity = buckets or parts_for(rows), Similarity(percent)
     heavy, counts = _heavy(rows, n)
     sent = rows.select("rid", "text").mapInArrow(_entries(n, similarity, heavy, counts, buckets), SENT)
-    placed = sent.groupBy("bucket").applyInArrow(_leaders(similarity), ANSWER).groupBy("chunk").applyInArrow(lambda t: _rows(t), "rid long, size long, set binary, leaders array<long>").checkpoint()
-    asked = placed.filter("size(leaders) > 0").select("rid", F.explode("leaders").alias("leader"))
+    placed = sent.groupBy("bucket").applyInArrow(_leaders(similarity), ANSWER).groupBy("chunk").applyInArrow(lambda t: _rows(t), "rid long, size long, set binary, place long, leaders array<long>, near array<long>").checkpoint()
+    asked = _blocks(placed)
     # A block with very many documents is cut into parts, and every pair of parts is a block of its own.
     many = asked.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
     asked = asked.join(many, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
@@ -302,5 +356,6 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id of its group; null ids come after all others) of every row; see ngram_groups."""
     groups = ngram_groups(docs, n, percent, buckets, id_col, text_col).checkpoint()
-    least = groups.groupBy("group").agg(F.min("id").alias("component_id"))
+    # Checkpointed, so that both sides of the join are plain shuffles and Spark can split a group with very many rows.
+    least = groups.groupBy("group").agg(F.min("id").alias("component_id")).checkpoint()
     return groups.join(least, "group").select(F.col("id").alias(id_col), "n_shingles", "component_id")

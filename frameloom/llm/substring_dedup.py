@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import binary, parts_for, passes, pinned, prepare, rolling, rows_of, word_hashes
 
 #: Bytes of text in a chunk: enough that a chunk has many windows for each bucket.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 1 << 18
 #: What travels: hashes to be counted with their places, places found repeated, and a chunk's rows with their first places.
 HASHES, PLACES, ROWS = 0, 1, 2
 SENT = "bucket int, kind int, chunk long, hashes binary, gaps binary, twice binary"
@@ -75,20 +75,30 @@ def send(chunk: int, h: np.ndarray, places: np.ndarray, buckets: int) -> Iterato
             yield (b, HASHES, chunk, h[p].tobytes(), gaps(places[p]), q.tobytes())
 
 
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The chunks of a task with their numbers, below 2 ** 43 for up to 2 ** 31 tasks."""
+    for k, part in enumerate(chunks(batches)):
+        if k >= 4096:
+            raise ValueError("a partition has more than 4,096 chunks; read smaller ones")
+        yield TaskContext.get().partitionId() << 12 | k, part
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """Tables of whole rows with at most about `limit` bytes of text; text is column 1."""
-    held, size = [], 0
+    """Tables of whole rows, at most CHUNK_ROWS, with at most about `limit` bytes of text; text is column 1."""
+    held, size, rows = [], 0, 0
     for batch in batches:
         lo = 0
         _, offsets = binary(batch.column(1))
         while lo < len(batch):
             hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit - size, "right")) - 1)
+            hi = min(hi, lo + CHUNK_ROWS - rows)
+            rows += hi - lo
             held.append(batch.slice(lo, hi - lo))
             size += int(offsets[hi] - offsets[lo])
             lo = hi
-            if size >= limit - (limit >> 4) or lo < len(batch):
+            if size >= limit - (limit >> 4) or rows >= CHUNK_ROWS or lo < len(batch):
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -129,8 +139,7 @@ def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
     """rid, spans: the maximal intervals of words (pairs of int64: first, past the last) that repeated windows cover."""
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, part in enumerate(chunks(batches)):
-            chunk = TaskContext.get().partitionId() << 24 | seq
+        for chunk, part in numbered(batches):
             data, offsets = binary(part.column(1))
             hashes, starts = [], [0]
             for lo, hi in passes(offsets):
