@@ -23,12 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of
-from .substring_dedup import chunks, packed, runs
+from .substring_dedup import numbered, packed, runs
 
 #: Bytes of an anchor, bytes of a block's text, segments of one anchor that one block takes.
 ANCHOR, BLOCK_BYTES, BLOCK_SEGMENTS = 32, 2 << 20, 4096
@@ -217,12 +216,12 @@ def later(texts: list[bytes], length: int) -> list[np.ndarray]:
 
 _ENTRY = ("<i8", "<i4", "<i4", "u1", "<u8", "<u8")  # distance to the last doc_id, row in the chunk, start, last less first start, anchor, content
 _BACK = ("<i4", "<i4", "u1")
+PART = "block int, anchor long, id long, rid long, start long, data binary"
 
 
 def _send(length: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for seq, part in enumerate(chunks(batches)):
-            chunk = TaskContext.get().partitionId() << 24 | seq
+        for chunk, part in numbered(batches):
             part = part.sort_by([("id", "ascending"), ("rid", "ascending")])  # nulls last
             ids = part["id"].combine_chunks().fill_null(np.iinfo(np.int64).max).to_numpy()
             data, offsets = binary(part["text"])
@@ -316,7 +315,13 @@ def _gather(length: int):
 
 def _bytes_of(length: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of the segments asked for. Of an anchor with very many, each block gets the strings whose hash falls to it."""
+        """The bytes of the segments asked for.
+
+        Of an anchor with very many, each block gets the strings whose hash
+        falls to it; of those that this task holds several times only the
+        first is sent as bytes, the others as repeats (no data, anchor: their end).
+        """
+        earliest: dict[tuple[int, bytes], tuple] = {}
         for batch in batches:
             out = []
             for rid, id_, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -334,11 +339,18 @@ def _bytes_of(length: int, buckets: int):
                     for k in (*range(0, length - ANCHOR, ANCHOR), length - ANCHOR):
                         way = mixed(way + h[k : k + n])
                     way = (way % np.uint64(ways)).astype(np.int64)
-                    for lo, size in zip(*runs(way), strict=True):
-                        out.append(((block + 1 + int(way[lo])) % buckets, anchor ^ (int(way[lo]) + 1), id_, rid, start + int(lo), data[start + int(lo) : start + int(lo) + int(size) + length - 1]))
+                    for lo, size in zip(*(x.tolist() for x in runs(way)), strict=True):
+                        own = data[start + lo : start + lo + size + length - 1]
+                        key, now = (anchor ^ (int(way[lo]) + 1), own), (id_ is None, id_ or 0, rid, start + lo, (block + 1 + int(way[lo])) % buckets)
+                        first, last = sorted((earliest.get(key, now), now))
+                        earliest[key] = first
+                        if first != last:
+                            out.append((last[2] % buckets, last[3] + len(own), None, last[2], last[3], None))
             for lo in range(0, len(out), 4096):
-                own = out[lo : lo + 4096]
-                yield packed(own, "block int, anchor long, id long, rid long, start long, data binary")
+                yield packed(out[lo : lo + 4096], PART)
+        rest = [(block, key, None if null else id_, rid, start, own) for (key, own), (null, id_, rid, start, block) in earliest.items()]
+        for lo in range(0, len(rest), 4096):
+            yield packed(rest[lo : lo + 4096], PART)
 
     return work
 
@@ -358,12 +370,18 @@ def _blocks(length: int):
 
         held, size = [], 0
         for batch in batches:
+            known = []
             for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                if row[4] is None:
+                    known.append((row[2], np.array([row[3], row[0]], np.int64).tobytes()))
+                    continue
                 if size >= BLOCK_BYTES and row[0] != held[-1][0]:
                     yield solve(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[4])
+            if known:
+                yield packed(known, "rid long, spans binary")
         if held:
             yield solve(held)
 
@@ -387,7 +405,7 @@ def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_
     answers = sent.groupBy("bucket").applyInArrow(lambda t: _compare(t), ANSWER)
     gathered = answers.groupBy("chunk").applyInArrow(_gather(length), "rid long, spans binary, asked binary").checkpoint()
     asked = rows.join(gathered.filter("asked is not null").select("rid", "asked"), "rid").select("rid", "id", "text", "asked")
-    parts = asked.mapInArrow(_bytes_of(length, buckets), "block int, anchor long, id long, rid long, start long, data binary")
+    parts = asked.mapInArrow(_bytes_of(length, buckets), PART)
     dealt = parts.repartition(buckets, "block").sortWithinPartitions("block", "anchor")
     spans = dealt.mapInArrow(_blocks(length), "rid long, spans binary")
     return full, gathered.filter("spans is not null").select("rid", "spans").unionByName(spans)
