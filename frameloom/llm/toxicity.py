@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS = 12_000, 20.0, 4.0, 2000
+FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS, CANDIDATES = 12_000, 20.0, 4.0, 2000, 100_000
 STEMS = (4, 5, 6)
 #: Cue words of the grammar in four languages.
 THREATS = frozenset("kill hurt shoot stab beat destroy burn töten umbringen verletzen schlagen tuer frapper détruire brûler matar golpear destruir quemar".split())
@@ -233,8 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     sizes = drawn_rows.groupBy("y").agg(F.count("*").alias("n")).collect()
     n, m = sum(r["n"] for r in sizes if r["y"] == 1), sum(r["n"] for r in sizes if r["y"] != 1)
     found = drawn_rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # Beyond these many candidates a term of lower support cannot be among the chosen.
-    clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).orderBy(F.desc("a"), "b", "term").limit(50 * MOST_TERMS)
+    # A bound of the fit, like fit_rows: the candidates of most support, CANDIDATES at most.
+    clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).orderBy(F.desc("a"), "b", "term").limit(CANDIDATES)
     likely = {r["term"]: (r["a"], r["b"]) for r in clear.collect()}
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
