@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 
 from .common import parts_for, prepare
 from .components import components
-from .substring_dedup import packed, runs
+from .substring_dedup import packed
 
-TABLES, PROBES, SEED = 8, 4, 20240607
+TABLES, PROBES, SEED = 8, 2, 20240607
 #: Vectors that a bucket should hold, and that one block of a large bucket does.
 BUCKET_ROWS, BLOCK_ROWS = 32, 1024
-MEMBERS = "bucket long, resident boolean, rid long, n long, vector binary"
+MEMBERS = "bucket long, resident boolean, rid long, n long, vector binary, keys binary"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,9 +62,11 @@ class Hashes:
                 for r in range(3):
                     y = hadamard(y * self.signs[t, w, r])
                 both = np.concatenate([y, -y], 1)
-                top = np.argsort(-both, axis=1, kind="stable")[:, : 1 + self.probes]
-                best.append(top)
+                top = np.sort(np.argpartition(-both, self.probes, axis=1)[:, : 1 + self.probes], axis=1)
                 value = np.take_along_axis(both, top, 1)
+                order = np.argsort(-value, axis=1, kind="stable")
+                top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+                best.append(top)
                 loss.append((value[:, :1] - value) ** 2)  # how much worse than the nearest axis
             # Keys by the least total loss, of those that change one hash or, for the first two choices, two.
             options = [(0,) * self.width]
@@ -87,8 +89,12 @@ def width_for(rows: int, dimension: int) -> int:
     return max(1, round(math.log(max(1, rows) / BUCKET_ROWS) / math.log(2 * size)))
 
 
-def units(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def units(vectors: list[bytes], dimension: int) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors given as bytes of either precision."""
+    kinds = {4 * dimension: np.float32, 8 * dimension: np.float64}
+    if len({len(v) for v in vectors}) > 1:
+        vectors = [np.frombuffer(v, kinds[len(v)]).astype(np.float64).tobytes() for v in vectors]
+    x = np.frombuffer(b"".join(vectors), kinds[len(vectors[0])]).reshape(len(vectors), dimension).astype(np.float64)
     # Scaled first, so that squares neither overflow nor vanish.
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -101,6 +107,8 @@ def matches(x: np.ndarray, keys: np.ndarray, resident: np.ndarray, rid: np.ndarr
     for lo in range(0, len(x), 256):
         i, j = np.nonzero(x[lo : lo + 256] @ x.T >= least)
         i = i + lo
+        if len(i) <= min(256, len(x) - lo):  # each row with itself
+            continue
         keep = (i < j) & ours[i, j] if ours.ndim == 2 else (i < j)
         keep &= resident[i] | resident[j]
         i, j = i[keep], j[keep]
@@ -115,19 +123,49 @@ def matches(x: np.ndarray, keys: np.ndarray, resident: np.ndarray, rid: np.ndarr
         fresh &= ~(other & both_ways & (rid[guest] < rid[home]))
         out_i.append(i[fresh])
         out_j.append(j[fresh])
-    return np.concatenate(out_i), np.concatenate(out_j)
-
-
-def solve(bucket: int, rows: list[tuple], hashes: Hashes, least: float, part: np.ndarray | None) -> list[tuple]:
-    """(rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
-    resident = np.array([r[0] for r in rows])
-    rid, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    x = units([r[3] for r in rows])
-    ours = np.zeros(0, bool) if part is None else part[:, None] != part[None, :]
-    i, j = matches(x, hashes.keys(x), resident, rid, bucket, least, ours)
-    more = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
-    out = [(int(rid[k]), None, int(more[k])) for k in np.flatnonzero(more)]
-    parent = list(range(len(rows)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+class Members:
+    """Rows of one or more blocks, as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, dimension: int, width: int) -> None:
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        self.block = np.stack([column("bucket").to_numpy(), column("pair").to_numpy().astype(np.int64)], 1)
+        self.resident = column("resident").to_numpy(zero_copy_only=False)
+        self.rid, self.n = column("rid").to_numpy(), column("n").to_numpy()
+        self.part, self.parts = (column(c).fill_null(-1).to_numpy() for c in ("part", "parts"))
+        self.x = units(column("vector").to_pylist(), dimension) if len(batch) else np.zeros((0, dimension))
+        self.keys = np.frombuffer(b"".join(column("keys").to_pylist()), np.int64).reshape(len(batch), -1, width)
+
+    def __getitem__(self, rows: slice) -> Members:
+        out = object.__new__(Members)
+        out.__dict__ = {k: v[rows] for k, v in self.__dict__.items()}
+        return out
+
+    def __add__(self, other: Members) -> Members:
+        out = object.__new__(Members)
+        out.__dict__ = {k: np.concatenate([v, getattr(other, k)]) for k, v in self.__dict__.items()}
+        return out
+
+    def __len__(self) -> int:
+        return len(self.rid)
+
+
+def solve(m: Members, least: float) -> list[tuple]:
+    """Of one block: (rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
+    if len(m) < 2 or not m.resident.any():
+        return []
+    bucket, pair = m.block[0].tolist()
+    sides = int(m.parts[0])
+    ours = m.part[:, None] != m.part[None, :] if pair >= 0 and pair // sides != pair % sides else np.zeros(0, bool)
+    i, j = matches(m.x, m.keys, m.resident, m.rid, bucket, least, ours)
+    if not len(i):
+        return []
+    more = np.bincount(i, m.n[j], len(m)) + np.bincount(j, m.n[i], len(m))
+    out = [(int(m.rid[k]), None, int(more[k])) for k in np.flatnonzero(more)]
+    parent = list(range(len(m)))
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
         while parent[a] != a:
             parent[a] = parent[parent[a]]
@@ -137,7 +175,7 @@ def solve(bucket: int, rows: list[tuple], hashes: Hashes, least: float, part: np
             b = parent[b]
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((int(rid[a]), int(rid[b]), None))
+            out.append((int(m.rid[a]), int(m.rid[b]), None))
     return out
 
 
@@ -152,7 +190,8 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
                 if v and None not in v:
                     x = np.array(v, np.float64)
                     if np.isfinite(x).all() and x.any():
-                        ok = (x + 0.0).tobytes()  # -0.0 is 0.0
+                        x = x + 0.0  # -0.0 is 0.0
+                        ok = x.tobytes()
                 out.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) // 8 if v else 0 for v in out], pa.int32()), pa.array(out, pa.binary())], ["rid", "id", "dimension", "vector"])
 
@@ -185,7 +224,9 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int = TABLES,
     joined = components(found.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "rid", "component": "root"})
     told = classes.join(more, "rid", "left").join(joined, "rid", "left").select("dimension", "vector", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root"))
     full = rows.join(told, ["dimension", "vector"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rid").alias("root"))
-    first = full.groupBy("root").agg(F.min("id").alias("component_id"))
+    full = full.checkpoint()
+    # Checkpointed, so that both sides of the join are plain shuffles and Spark can split a group with very many rows.
+    first = full.groupBy("root").agg(F.min("id").alias("component_id")).checkpoint()
     out = full.join(first, "root").select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull())
 
@@ -197,19 +238,23 @@ def _one_length(classes: DataFrame, dimension: int, least: float, tables: int, p
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 own = batch.slice(lo, 512)
-                vectors = own.column(2).to_pylist()
-                keys = hashes.keys(units(vectors)).reshape(len(own), -1)
-                row = np.repeat(np.arange(len(own)), keys.shape[1])
-                home = np.tile(np.arange(keys.shape[1]) % (1 + probes) == 0, len(own))
+                x = np.frombuffer(b"".join(own.column(2).to_pylist()), np.float64).reshape(len(own), dimension)
+                keys = hashes.keys(units(own.column(2).to_pylist(), dimension))
+                row = np.repeat(np.arange(len(own)), keys.shape[1] * keys.shape[2])
+                home = np.tile(np.arange(keys.shape[1] * keys.shape[2]) % (1 + probes) == 0, len(own))
                 flat = keys.ravel()
-                _, first = np.unique(np.stack([row, flat, ~home], 1)[:, :2], axis=0, return_index=True)
+                _, first = np.unique(np.stack([row, flat], 1), axis=0, return_index=True)
                 first.sort()
                 row, home, flat = row[first], home[first], flat[first]
                 if not payload:
                     yield pa.RecordBatch.from_arrays([pa.array(flat)], ["bucket"])
                     continue
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(home), *(own.column(k).take(take) for k in range(3))], ["bucket", "resident", "rid", "n", "vector"])
+                # Half as many bytes where single precision holds the same values.
+                single = x.astype(np.float32)
+                vector = pa.array([a.tobytes() for a in single], pa.binary()) if (single == x).all() else own.column(2)
+                every = pa.array([k.tobytes() for k in keys], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(home), own.column(0).take(take), own.column(1).take(take), vector.take(take), every.take(take)], ["bucket", "resident", "rid", "n", "vector", "keys"])
 
     source = classes.select("rid", "n", "vector")
     # Large buckets are cut into parts, and every pair of parts is a block of its own.
@@ -221,27 +266,18 @@ def _one_length(classes: DataFrame, dimension: int, least: float, tables: int, p
     members = members.withColumn("part", part).select(*[f.split()[0] for f in MEMBERS.split(", ")], "part", "parts", F.explode(pairs).alias("pair"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        at = None
-
-        def answer() -> list[tuple]:
-            if len(held) < 2 or not any(r[0] for r in held):
-                return []
-            pair, sides, own = at[1], held[0][5], np.array([-1 if r[4] is None else r[4] for r in held])
-            cross = None if pair < 0 or pair // sides == pair % sides else own
-            return solve(at[0], held, hashes, least, cross)
-
+        held = None  # the rows of the last block so far
         for batch in batches:
-            out = []
-            for bucket, pair, *row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("bucket", "pair", "resident", "rid", "n", "vector", "part", "parts")), strict=True):
-                if (bucket, pair) != at:
-                    out += answer()
-                    held, at = [], (bucket, pair)
-                held.append(tuple(row))
-            if out:
-                yield packed(out, "rid long, other long, n long")
-        if last := answer():
-            yield packed(last, "rid long, other long, n long")
+            for lo in range(0, len(batch), 2048):
+                now = Members(batch.slice(lo, 2048), dimension, 1 + probes)
+                now = now if held is None else held + now
+                first = np.flatnonzero(np.concatenate([[True], (now.block[1:] != now.block[:-1]).any(1)]))
+                out = [x for a, b in zip(first[:-1], first[1:], strict=True) if b - a > 1 for x in solve(now[a:b], least)]
+                held = now[first[-1] :]
+                if out:
+                    yield packed(out, "rid long, other long, n long")
+        if held is not None and (out := solve(held, least)):
+            yield packed(out, "rid long, other long, n long")
 
     dealt = members.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair")
     return dealt.mapInArrow(work, "rid long, other long, n long")
