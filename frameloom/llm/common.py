@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
-PASS_BYTES = 4 << 20
+#: Bytes of text that one numpy pass works on, so that tables of powers stay below 2 ** 21 values; a longer document is a pass of its own.
+PASS_BYTES = (2 << 20) - 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ PLAIN = re.compile(f" ?{_LATIN}+")
 _shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: b for b in _shown} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*_shown}))}
 #: Pre-tokens that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 1_200_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 _loaded: dict[str, Pieces] = {}
 
 
