@@ -31,6 +31,14 @@ def query(f: Query) -> Query:
     return f
 
 
+def per_frame(f: Callable[..., DataFrame], name: str | None = None) -> Callable[..., DataFrame]:
+    """Registers f(s, d, animal) twice: of ANIMAL, and with _all after its name over whole tables."""
+    name = name or f.__name__
+    QUERIES[f"q_{name}"] = lambda s, d: f(s, d, ANIMAL)
+    QUERIES[f"q_{name}_all"] = lambda s, d: f(s, d, None)
+    return f
+
+
 def _det(s: SparkSession, d: str) -> DataFrame:
     return gaps.classify(dedup.dedup(ev.detections(s, d)))
 
@@ -51,17 +59,17 @@ def _totals(s: SparkSession, d: str) -> DataFrame:
     return report.totals(_det(s, d), _gaps(s, d), _segments(s, d))
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("ANIMALID") == ANIMAL)
+def _of(df: DataFrame, animal: int | None) -> DataFrame:
+    """Of one animal, or of all if it is None; the filter reaches the scan, through the windows' partition key."""
+    return df if animal is None else df.filter(F.col("ANIMALID") == animal)
 
 
-def _timeline(s: SparkSession, d: str) -> DataFrame:
-    """Of one animal: the filter reaches the scan, through the windows' partition key."""
-    return gaps.final_timeline(_one(_det(s, d)), _one(_segments(s, d)))
+def _timeline(s: SparkSession, d: str, animal: int | None) -> DataFrame:
+    return gaps.final_timeline(_of(_det(s, d), animal), _of(_segments(s, d), animal))
 
 
-def _labelled(s: SparkSession, d: str) -> DataFrame:
-    return _timeline(s, d).withColumn("MANUAL_QC", ev.labeller(F.col("ANIMALID"), F.col("FRAMENUMBER"), F.col("IN_NEST")))
+def _labelled(s: SparkSession, d: str, animal: int | None) -> DataFrame:
+    return _timeline(s, d, animal).withColumn("MANUAL_QC", ev.labeller(F.col("ANIMALID"), F.col("FRAMENUMBER"), F.col("IN_NEST")))
 
 
 @query
@@ -94,9 +102,9 @@ def gap_table(s, d):
     return _gaps(s, d).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "size", "fill")
 
 
-@query
-def gap_fill_timeline(s, d):
-    return gaps.timeline(_one(_det(s, d)), _one(_gaps(s, d)))
+@per_frame
+def gap_fill_timeline(s, d, animal):
+    return gaps.timeline(_of(_det(s, d), animal), _of(_gaps(s, d), animal))
 
 
 @query
@@ -157,9 +165,9 @@ def review_answers_table(s, d):
     return review.segments(with_map, lambda m: F.element_at(F.col("answers"), m))
 
 
-@query
-def review_timeline(s, d):
-    return _timeline(s, d)
+@per_frame
+def review_timeline(s, d, animal):
+    return _timeline(s, d, animal)
 
 
 @query
@@ -210,17 +218,17 @@ def gap_stats_hms(s, d):
 
 
 def _pool(mode):
-    return lambda s, d: pools.pool(_timeline(s, d), mode, with_source=True).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
+    return lambda s, d, animal: pools.pool(_timeline(s, d, animal), mode, with_source=True).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
 
 
 for _mode, _name in ((DETECTED, "detected"), (BINARY_SEARCH, "binary_search"), (LOGIC, "logic"), (ASSUMED, "assumed_legacy")):
-    QUERIES[f"q_pool_{_name}"] = _pool(_mode)
+    per_frame(_pool(_mode), f"pool_{_name}")
 
 
-@query
-def pool_legacy_schema(s, d):
+@per_frame
+def pool_legacy_schema(s, d, animal):
     """Sizes of the pools in tables that have an integer BINARY_SEARCH, or nothing, instead of FILL_SOURCE."""
-    t = _timeline(s, d)
+    t = _timeline(s, d, animal)
     old = t.withColumn("BINARY_SEARCH", (F.col("FILL_SOURCE") == BINARY_SEARCH).cast("int")).withColumn("FILL_SOURCE", F.lit(None).cast("string"))
     cases = [("flag", old, BINARY_SEARCH), ("flag", old, LOGIC), ("none", t.drop("FILL_SOURCE"), LOGIC), ("none", t.drop("FILL_SOURCE"), ASSUMED)]
     out = None
@@ -230,24 +238,24 @@ def pool_legacy_schema(s, d):
     return out
 
 
-def _review_pool(s: SparkSession, d: str) -> DataFrame:
-    return pools.pool(_timeline(s, d), BINARY_SEARCH, with_source=True)
+def _review_pool(s: SparkSession, d: str, animal: int | None) -> DataFrame:
+    return pools.pool(_timeline(s, d, animal), BINARY_SEARCH, with_source=True)
 
 
-@query
-def sample_allocation(s, d):
-    return pools.allocation(_review_pool(s, d), DEFAULT.samples)
+@per_frame
+def sample_allocation(s, d, animal):
+    return pools.allocation(_review_pool(s, d, animal), DEFAULT.samples)
 
 
-@query
-def sample_allocation_detected(s, d):
+@per_frame
+def sample_allocation_detected(s, d, animal):
     """Detected rows are one stratum, without a gap."""
-    return pools.allocation(pools.pool(_timeline(s, d), DETECTED), 10)
+    return pools.allocation(pools.pool(_timeline(s, d, animal), DETECTED), 10)
 
 
-@query
-def stratified_sample(s, d):
-    return pools.sample(_review_pool(s, d), DEFAULT.samples, SEED).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
+@per_frame
+def stratified_sample(s, d, animal):
+    return pools.sample(_review_pool(s, d, animal), DEFAULT.samples, SEED).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
 
 
 @query
@@ -260,30 +268,30 @@ def video_rejects(s, d):
     return video.rejects(ev.video_files(s))
 
 
-@query
-def frame_exact(s, d):
-    c = video.candidates(_one(_det(s, d)), video.video_map(ev.video_files(s)))
+@per_frame
+def frame_exact(s, d, animal):
+    c = video.candidates(_of(_det(s, d), animal), video.video_map(ev.video_files(s)))
     return c.filter("resolved = FRAMENUMBER").select("ANIMALID", "FRAMENUMBER", "path")
 
 
-@query
-def frame_candidates(s, d):
-    return video.candidates(_one(_det(s, d)), video.video_map(ev.video_files(s))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
+@per_frame
+def frame_candidates(s, d, animal):
+    return video.candidates(_of(_det(s, d), animal), video.video_map(ev.video_files(s))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
 
 
-@query
-def frame_resolved_local(s, d):
-    return video.resolved(_one(_det(s, d)), video.video_map(ev.video_files(s)), UNREADABLE)
+@per_frame
+def frame_resolved_local(s, d, animal):
+    return video.resolved(_of(_det(s, d), animal), video.video_map(ev.video_files(s)), UNREADABLE)
 
 
-@query
-def qc_samples(s, d):
-    drawn = pools.sample(_review_pool(s, d), DEFAULT.samples, SEED)
+@per_frame
+def qc_samples(s, d, animal):
+    drawn = pools.sample(_review_pool(s, d, animal), DEFAULT.samples, SEED)
     return video.samples(drawn, video.video_map(ev.video_files(s)), BINARY_SEARCH, UNREADABLE)
 
 
-def _by_mode(s, d):
-    t = _labelled(s, d)
+def _by_mode(s, d, animal):
+    t = _labelled(s, d, animal)
     out = None
     for mode in (DETECTED, BINARY_SEARCH, LOGIC):
         one = pools.pool(t, mode, with_source=True).withColumn("qc_mode", F.lit(mode))
@@ -291,25 +299,25 @@ def _by_mode(s, d):
     return out
 
 
-@query
-def confusion_by_mode(s, d):
-    return metrics.confusion(_by_mode(s, d), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "TP", "FP", "FN", "TN", "total_labeled", "invalid")
+@per_frame
+def confusion_by_mode(s, d, animal):
+    return metrics.confusion(_by_mode(s, d, animal), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "TP", "FP", "FN", "TN", "total_labeled", "invalid")
 
 
-@query
-def qc_metrics(s, d):
-    return metrics.confusion(_by_mode(s, d), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "accuracy", "error_rate", "sensitivity", "specificity")
+@per_frame
+def qc_metrics(s, d, animal):
+    return metrics.confusion(_by_mode(s, d, animal), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "accuracy", "error_rate", "sensitivity", "specificity")
 
 
-@query
-def fp_fn_list(s, d):
-    t = _labelled(s, d).withColumns({"sample_id": F.col("FRAMENUMBER"), "screenshot": F.format_string("A%d_G%d.png", "ANIMALID", "FRAMENUMBER")})
+@per_frame
+def fp_fn_list(s, d, animal):
+    t = _labelled(s, d, animal).withColumns({"sample_id": F.col("FRAMENUMBER"), "screenshot": F.format_string("A%d_G%d.png", "ANIMALID", "FRAMENUMBER")})
     return metrics.mistakes(pools.pool(t, DETECTED))
 
 
-@query
-def excluded_counts(s, d):
-    t = _timeline(s, d)
+@per_frame
+def excluded_counts(s, d, animal):
+    t = _timeline(s, d, animal)
     return metrics.excluded(t, pools.pool(t, BINARY_SEARCH, with_source=True))
 
 
@@ -378,9 +386,9 @@ def frame_range_cut(s, d):
     return out
 
 
-@query
-def roi_metadata_roundtrip(s, d):
-    return roi_metadata(s, [(r["ANIMALID"],) for r in _one(_det(s, d)).select("ANIMALID").distinct().collect()])
+@per_frame
+def roi_metadata_roundtrip(s, d, animal):
+    return roi_metadata(s, [(r["ANIMALID"],) for r in _of(_det(s, d), animal).select("ANIMALID").distinct().collect()])
 
 
 @query
