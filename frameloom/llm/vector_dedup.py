@@ -6,7 +6,8 @@ sign, that it lies nearest to. A table's key has as many such hashes as leave a
 few vectors to a bucket, and a vector also visits the buckets of its next best
 keys (multiprobe). In a bucket residents meet each other and the visitors;
 cosines are computed in double precision, and a pair found in several tables
-counts in the first one only, which both vectors' keys tell. A bucket returns
+counts in the first one only, which both vectors' keys tell. Longer keys make a
+meeting in one table rarer, so there are as many tables as keep recall at RECALL. A bucket returns
 how many vectors each of its members is linked to and links that join its
 components, never all pairs. Equal vectors are collapsed before.
 """
@@ -25,7 +26,10 @@ from .common import parts_for, prepare
 from .components import components
 from .substring_dedup import packed
 
-TABLES, PROBES, SEED = 8, 2, 20240607
+#: The fewest tables; the most before keys get narrower instead.
+TABLES, MOST_TABLES, PROBES, SEED = 8, 64, 4, 20240607
+#: The chance that a pair at the threshold itself is found, whatever the table's size; pairs tried to tell how many tables that takes.
+RECALL, TRIALS = 0.998, 1000
 #: Vectors that a bucket should hold, and that one block of a large bucket does.
 BUCKET_ROWS, BLOCK_ROWS = 32, 1024
 MEMBERS = "bucket long, resident boolean, rid long, n long, vector binary, keys binary"
@@ -51,10 +55,13 @@ class Hashes:
         self.signs = np.random.default_rng([SEED, dimension]).choice([-1.0, 1.0], (tables, width, 3, self.size))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
-        """[row, table, 1 + probes]: a row's own key and its next best ones."""
+        """[row, table, 1 + probes]: a row's own key and its next best ones; without hashes, all rows have one key."""
+        if not self.width:
+            return np.repeat(np.arange(self.tables), 1 + self.probes).reshape(1, self.tables, -1).repeat(len(x), 0)
         padded = np.zeros((len(x), self.size))
         padded[:, : x.shape[1]] = x
         out = np.empty((len(x), self.tables, 1 + self.probes), np.int64)
+        near = min(self.probes, 2 * self.size - 1)  # no more than there are other axes
         for t in range(self.tables):
             best, loss = [], []
             for w in range(self.width):
@@ -62,7 +69,7 @@ class Hashes:
                 for r in range(3):
                     y = hadamard(y * self.signs[t, w, r])
                 both = np.concatenate([y, -y], 1)
-                top = np.sort(np.argpartition(-both, self.probes, axis=1)[:, : 1 + self.probes], axis=1)
+                top = np.sort(np.argpartition(-both, near, axis=1)[:, : 1 + near], axis=1)
                 value = np.take_along_axis(both, top, 1)
                 order = np.argsort(-value, axis=1, kind="stable")
                 top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
@@ -70,7 +77,7 @@ class Hashes:
                 loss.append((value[:, :1] - value) ** 2)  # how much worse than the nearest axis
             # Keys by the least total loss, of those that change one hash or, for the first two choices, two.
             options = [(0,) * self.width]
-            options += [tuple(p if v == w else 0 for v in range(self.width)) for w in range(self.width) for p in range(1, 1 + self.probes)]
+            options += [tuple(p if v == w else 0 for v in range(self.width)) for w in range(self.width) for p in range(1, 1 + near)]
             options += [tuple(1 if v in (a, b) else 0 for v in range(self.width)) for a in range(self.width) for b in range(a)]
             cost = np.stack([sum(loss[w][:, o] for w, o in enumerate(option)) for option in options], 1)
             cost[:, 0] = -1.0
@@ -89,6 +96,38 @@ def width_for(rows: int, dimension: int) -> int:
     return max(1, round(math.log(max(1, rows) / BUCKET_ROWS) / math.log(2 * size)))
 
 
+def tables_for(dimension: int, width: int, probes: int, least: float) -> int:
+    """Tables in one of which a pair whose cosine is `least` meets with a probability of RECALL.
+
+    Rotations are random, so all such pairs have the same chance in a table;
+    random ones tell it, less two standard errors.
+    """
+    if not width:
+        return 1
+    if dimension < 2:
+        return TABLES
+    rng = np.random.default_rng([SEED, dimension, width])
+    a, b = rng.normal(size=(2, TRIALS, dimension))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = min(1.0, max(-1.0, least))
+    hashes = Hashes(dimension, TABLES, width, probes)
+    x, y = hashes.keys(a), hashes.keys(cosine * a + math.sqrt(1 - cosine * cosine) * b)
+    share = float(((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean())
+    share -= 2 * math.sqrt(share * (1 - share) / (TRIALS * TABLES))
+    share = min(max(share, 0.5 / (TRIALS * TABLES)), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - share)))
+
+
+def keys_for(rows: int, dimension: int, least: float, probes: int) -> tuple[int, int]:
+    """Tables and width: a width that would take more than MOST_TABLES is cut, and buckets are larger instead (without hashes, one exact bucket)."""
+    width = width_for(rows, dimension)
+    while (tables := tables_for(dimension, width, probes, least)) > MOST_TABLES:
+        width -= 1
+    return tables, width
+
+
 def units(vectors: list[bytes], dimension: int) -> np.ndarray:
     """Unit vectors, in double precision, of vectors given as bytes of either precision."""
     kinds = {4 * dimension: np.float32, 8 * dimension: np.float64}
@@ -199,7 +238,7 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return rows.mapInArrow(work, "rid long, id long, dimension int, vector binary")
 
 
-def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int = TABLES, probes: int = PROBES, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int | None = None, probes: int = PROBES, width: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, n_links, component_id and kept of every row.
 
     Rows link if the cosine of their vectors, in double precision, is `least`
@@ -207,8 +246,8 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int = TABLES,
     component that is not finite, link with nothing, nor do vectors of unlike
     lengths. Repeated rows and equal vectors link with each other. A
     component's id is its least id; a null id stays null and is kept. An empty
-    table gives an empty table. Links are found with a probability that grows
-    with `tables` and `probes`; none is wrong.
+    table gives an empty table. A link is found with a probability of RECALL or
+    more, whatever the table's size, unless `tables` says otherwise; none is wrong.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -218,7 +257,8 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int = TABLES,
     parts = parts_for(rows)
     found = spark.createDataFrame([], "rid long, other long, n long")
     for dimension, m in sorted(sizes.items()):
-        found = found.unionByName(_one_length(classes.filter(F.col("dimension") == dimension), dimension, least, tables, probes, width or width_for(m, dimension), parts))
+        most, wide = keys_for(m, dimension, least, probes) if width is None else (tables_for(dimension, width, probes, least), width)
+        found = found.unionByName(_one_length(classes.filter(F.col("dimension") == dimension), dimension, least, tables or most, probes, wide, parts))
     found = found.checkpoint()
     more = found.filter("other is null").groupBy("rid").agg(F.sum("n").alias("more"))
     joined = components(found.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "rid", "component": "root"})
