@@ -16,8 +16,10 @@ least neighbour of either. A block holds the full sets of its documents and
 answers, for each of them, a T-occurrence query: the inverted lists of its members are divided into
 the long ones and the rest, the short ones are merged by a heap and each
 candidate with enough of them is completed by binary search in the long ones.
-Documents that are in one component already are not compared again. Equal sets
-are collapsed before and linked after.
+Every candidate is verified, whatever links are known already. A pair that
+meets in several blocks counts in the first of them, which the blocks of both
+tell; a block returns how many documents each of its sets is linked to and the
+links that join its components, never all pairs. Equal sets are collapsed before and linked after.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 import heapq
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from itertools import groupby
 
@@ -47,6 +49,8 @@ SHARED, FEW = 8, 12
 MU = 0.0085
 #: Postings that a heap merges; beyond them, an array of counters does.
 MERGED = 4096
+#: Candidates of a query that binary search completes; beyond them, counters do.
+COMPLETED = 32
 
 
 def sets(column: pa.Array, n: int, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -88,25 +92,41 @@ class Similarity:
         return -(-p * (x + y) // (p + q))
 
 
-def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, parent: list[int], asks: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between the sets values[at[k]:at[k + 1]] that join components, by DivideSkip; `parent` is updated.
+def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, parent: list[int]) -> list[tuple[int, int]]:
+    """Every link between the sets values[at[k]:at[k + 1]], by DivideSkip; `parent` is updated.
 
     Sets come by rising size, so a query asks only the sets before it.
     """
+    links = [(j, k) for k, found in t_queries(values, at, similarity) for j in found.tolist()]
+    join(parent, links)
+    return links
+
+
+def join(parent: list[int], links: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The links that join components; `parent` is updated."""
+    out = []
+    for link in links:
+        a, b = link
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append(link)
+    return out
 
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
 
+def t_queries(values: np.ndarray, at: np.ndarray, similarity: Similarity) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the sets before it that it is linked to."""
     size = np.diff(at)
     members, token = np.unique(values, return_inverse=True)
     owner = np.repeat(np.arange(len(size)), size)
     order = np.argsort(token, kind="stable")  # owners rise within a token
     posting, begin = owner[order], np.searchsorted(token[order], np.arange(len(members) + 1))
     lists = token.astype(np.int64)
-    links, label = [], np.array([root(k) for k in range(len(size))])
     for k in range(1, len(size)):
         n = int(size[k])
         if not n:
@@ -121,25 +141,30 @@ def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, par
         fewest = similarity.overlap(n, int(size[least]))
         long = min(fewest - 1, int(fewest / (MU * math.log2(max(2, int(length[-1]))) + 1)))
         short = len(mine) - long
-        own = label[k]
         rest = [posting[begin[t] : begin[t + 1]] for t in mine[:short].tolist()]
         rest = [p[np.searchsorted(p, least) : np.searchsorted(p, k)] for p in rest if len(p) > 1]
-        rest = [q for p in rest if len(q := p[label[p] != own])]
+        rest = [p for p in rest if len(p)]
         if not rest:
             continue
         if sum(map(len, rest)) <= MERGED:
             counted = [(j, sum(1 for _ in g)) for j, g in groupby(heapq.merge(*(p.tolist() for p in rest)))]
+            j, got = np.array(counted, np.int64).T
         else:  # so many postings that counters for all sets are cheaper than a heap
             got = np.bincount(np.concatenate(rest), minlength=k)
-            j = np.flatnonzero(got >= np.maximum(1, similarity.overlap(n, size[:k]) - long))
-            counted = zip(j.tolist(), got[j].tolist(), strict=True)
-        ranges = None
-        for j, got in counted:
-            need = int(similarity.overlap(n, int(size[j])))
-            if got < need - long or label[j] == label[k]:
-                continue
-            if ranges is None:
-                ranges = [(int(begin[t]), int(begin[t + 1])) for t in mine[short:][::-1].tolist()]
+            j = np.flatnonzero(got)
+            got = got[j]
+        need = similarity.overlap(n, size[j])
+        likely = got >= need - long
+        j, got, need = j[likely], got[likely], need[likely]
+        if not len(j):
+            continue
+        ranges = [(int(begin[t]), int(begin[t + 1])) for t in mine[short:][::-1].tolist()]
+        if long and len(j) > COMPLETED:  # so many candidates that counters are cheaper for the long lists, too
+            more = np.bincount(np.concatenate([posting[lo:hi] for lo, hi in ranges]), minlength=len(size))
+            yield k, j[got + more[j] >= need]
+            continue
+        found = []
+        for j, got, need in zip(j.tolist(), got.tolist(), need.tolist(), strict=True):
             left = long
             for lo, hi in ranges:
                 if got >= need or got + left < need:
@@ -148,15 +173,14 @@ def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, par
                 got += p < hi and posting[p] == j
                 left -= 1
             if got >= need:
-                links.append((j, k))
-                a, b = label[j], label[k]
-                parent[max(a, b)] = min(a, b)
-                label[label == max(a, b)] = min(a, b)
-    return links
+                found.append(j)
+        if found:
+            yield k, np.array(found, np.int64)
 
 
 SENT = "bucket int, kind int, chunk long, n int, data binary"
 ANSWER = "kind int, chunk long, n int, data binary"
+LINKS = "a long, b long, n long"
 ENTRIES, ROWS, PAIRS = 0, 1, 2
 
 
@@ -296,34 +320,49 @@ def _rows(group: pa.Table) -> pa.Table:
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """rid and the blocks (leader) to which its set goes."""
+    """rid, n and the blocks (leader) to which its set goes."""
     pairs = placed.filter("size(near) > 0").select(F.col("place").alias("a"), F.explode("near").alias("b"))
     both = pairs.union(pairs.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
     # A pair meets in the block of either one's least neighbour; most often that is the same one.
     meets = both.join(least.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).select("a", "least").union(least.select("a", "least")).distinct()
     leaders = placed.filter("size(leaders) > 0").select(F.col("place").alias("a"), F.explode("leaders").alias("leader"))
-    return leaders.union(meets.select("a", -F.col("least") - 1)).join(placed.select("rid", F.col("place").alias("a")), "a").select("rid", "leader")
+    return leaders.union(meets.select("a", -F.col("least") - 1)).join(placed.select("rid", "n", F.col("place").alias("a")), "a").select("rid", "n", "leader")
 
 
 def _link(n: int, similarity: Similarity):
     def work(group: pa.Table) -> pa.Table:
-        """Links within a block."""
-        rid = group["rid"].combine_chunks().to_numpy()
+        """Of one block: (a, b, n): n documents more that a is linked to (b null), or a link that joins components."""
+        rid, weight = group["rid"].combine_chunks().to_numpy(), group["n"].combine_chunks().to_numpy()
+        part, block = group["part"].combine_chunks().to_numpy(), group["blocks"].to_pylist()
+        leader, pair, parts = (group[c][0].as_py() for c in ("leader", "pair", "parts"))
         values, at = sets(group["text"].combine_chunks(), n)
         size = np.diff(at)
         order = np.lexsort((rid, size))
         values = np.concatenate([values[at[k] : at[k + 1]] for k in order]) if len(order) else values
         at = np.concatenate([[0], np.cumsum(size[order])])
-        links = t_occurrence(values, at, similarity, list(range(len(order))))
-        ids = rid[order]
-        return pa.table([pa.array([int(ids[a]) for a, _ in links], pa.int64()), pa.array([int(ids[b]) for _, b in links], pa.int64())], ["a", "b"])
+        rid, weight, part = rid[order], weight[order], part[order]
+        # The blocks before this one of each set: a pair that has one in common is counted there.
+        before = [frozenset(x for x in block[k] if x < leader) for k in order]
+        # Of a pair of parts, pairs within one of them are counted in that part's own block.
+        across = pair // parts != pair % parts
+        more, parent, out = np.zeros(len(order), np.int64), list(range(len(order))), []
+        for k, found in t_queries(values, at, similarity):
+            if across:
+                found = found[part[found] != part[k]]
+            if own := before[k]:
+                found = found[np.array([own.isdisjoint(before[j]) for j in found.tolist()], bool)]
+            more[k] += weight[found].sum()
+            more[found] += weight[k]
+            out += [(int(rid[a]), int(rid[b]), None) for a, b in join(parent, ((j, k) for j in found.tolist()))]
+        out += [(int(rid[k]), None, int(more[k])) for k in np.flatnonzero(more)]
+        return pa.Table.from_batches([packed(out, LINKS)])
 
     return work
 
 
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, id, n_shingles and group (the least rid that links reach, its own included) of every row.
+    """rid, id, n_shingles, n_links and group (the least rid that links reach, its own included) of every row.
 
     Words are [^\\\\x20\\\\x09-\\\\x0D]+ with A-Z lower-cased. A text with fewer than n
     words is one n-gram; one without words, or a null text, has none and is
@@ -339,23 +378,30 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     heavy, counts = _heavy(rows, n)
     sent = rows.select("rid", "text").mapInArrow(_entries(n, similarity, heavy, counts, buckets), SENT)
     placed = sent.groupBy("bucket").applyInArrow(_leaders(similarity), ANSWER).groupBy("chunk").applyInArrow(lambda t: _rows(t), "rid long, size long, set binary, place long, leaders array<long>, near array<long>").checkpoint()
-    asked = _blocks(placed)
+    # One row of each set goes to blocks, with the number of rows that have it.
+    classes = placed.filter("size > 0").groupBy("set", "size").agg(F.min("rid").alias("a"), F.min("place").alias("place"), F.count("*").alias("n")).checkpoint()
+    asked = _blocks(placed.join(classes.select("place", "n"), "place"))
     # A block with very many documents is cut into parts, and every pair of parts is a block of its own.
-    many = asked.groupBy("leader").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK_ROWS)).cast("int"))
+    many = asked.groupBy("leader").agg(F.count("*").alias("m")).filter("m > 1").withColumn("parts", F.ceil(F.col("m") / F.lit(BLOCK_ROWS)).cast("int"))
     asked = asked.join(many, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     with_part = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part"))))
-    asked = asked.select("rid", "leader", F.explode(with_part).alias("pair")).groupBy("rid").agg(F.collect_list(F.struct("leader", "pair")).alias("blocks"))
-    blocks = rows.select("rid", "text").join(asked, "rid").select("rid", "text", F.explode("blocks").alias("b")).select("rid", "text", "b.leader", "b.pair")
-    links = blocks.groupBy("leader", "pair").applyInArrow(_link(n, similarity), "a long, b long")
-    alike = placed.filter("size > 0").groupBy("set", "size").agg(F.min("rid").alias("a"))
-    same = placed.filter("size > 0").join(alike, ["set", "size"]).filter("rid <> a").select("a", F.col("rid").alias("b"))
-    found = components(links.unionByName(same))
-    return rows.select("rid", "id").join(placed.select("rid", "size"), "rid").join(found, F.col("rid") == F.col("node"), "left").select("rid", "id", F.col("size").alias("n_shingles"), F.coalesce("component", "rid").alias("group"))
+    asked = asked.groupBy("rid", "n").agg(F.collect_list(F.struct("leader", "part", "parts", with_part.alias("pairs"))).alias("b"))
+    blocks = rows.select("rid", "text").join(asked, "rid").select("rid", "n", "text", F.col("b.leader").alias("blocks"), F.explode("b").alias("b"))
+    blocks = blocks.select("rid", "n", "text", "blocks", "b.leader", "b.part", "b.parts", F.explode("b.pairs").alias("pair"))
+    links = blocks.groupBy("leader", "pair").applyInArrow(_link(n, similarity), LINKS).checkpoint()
+    alike = placed.filter("size > 0").select("rid", "set", "size").join(classes.select("set", "size", "a", "n", F.col("place").alias("first")), ["set", "size"])
+    same = alike.filter("rid <> a").select("a", F.col("rid").alias("b"))
+    found = components(links.filter("b is not null").select("a", "b").unionByName(same))
+    # What is told of the row that stands for a set holds for all rows that have it.
+    more = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more")).join(placed.select(F.col("rid").alias("a"), F.col("place").alias("first")), "a").select("first", "more")
+    counted = alike.join(more, "first", "left").select("rid", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    out = rows.select("rid", "id").join(placed.select("rid", "size"), "rid").join(counted, "rid", "left").join(found, F.col("rid") == F.col("node"), "left")
+    return out.select("rid", "id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rid").alias("group"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (the least id of its group; null ids come after all others) of every row; see ngram_groups."""
+    """id, n_shingles, component_id (the least id of its group; null ids come after all others) and n_links of every row; see ngram_groups."""
     groups = ngram_groups(docs, n, percent, buckets, id_col, text_col).checkpoint()
     # Checkpointed, so that both sides of the join are plain shuffles and Spark can split a group with very many rows.
     least = groups.groupBy("group").agg(F.min("id").alias("component_id")).checkpoint()
-    return groups.join(least, "group").select(F.col("id").alias(id_col), "n_shingles", "component_id")
+    return groups.join(least, "group").select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")

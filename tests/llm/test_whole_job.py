@@ -1,10 +1,13 @@
 """Cases in which operators did less than their whole job."""
 
+from collections import Counter
+
 import brute
 import numpy as np
 import pytest
+from test_llm import docs, odd_texts
 
-from frameloom.llm import vector_dedup
+from frameloom.llm import ngram_join, vector_dedup
 
 
 def pairs_at(cosine, n, d, seed):
@@ -38,3 +41,32 @@ def test_vectors_that_keys_cannot_tell_meet_in_one_bucket(spark):
     out = vector_dedup.vector_groups(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), 0.0, width=0).collect()
     n, root = brute.vector_links(rows, 0.0)
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {k: (n[k], root[k]) for k in range(60)}
+
+
+def links_of(texts, n, percent):
+    """Per text, how many others it is linked to."""
+    sets = [brute.shingles(t, n) for t in texts]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    count = Counter(x for link in links for x in link)
+    return [count[k] for k in range(len(texts))]
+
+
+@pytest.mark.parametrize(("n", "percent", "rows", "merged", "completed"), [(5, 80, 4096, 4096, 32), (4, 85, 3, 0, 0), (1, 50, 4, 10, 2), (2, 40, 5, 4096, 0)])
+def test_ngram_join_counts_every_link(spark, monkeypatch, n, percent, rows, merged, completed):
+    for name, value in (("BLOCK_ROWS", rows), ("MERGED", merged), ("COMPLETED", completed)):
+        monkeypatch.setattr(ngram_join, name, value)
+    monkeypatch.setattr(ngram_join, "FEW", 4 if rows < 10 else 12)
+    texts = odd_texts(n)
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.ngram_components(docs(spark, texts), n, percent, buckets=5).collect()}
+    _, root = brute.jaccard_groups(texts, n, percent)
+    assert got == {k: (x, root[k]) for k, x in enumerate(links_of(texts, n, percent))}
+
+
+def test_t_occurrence_finds_every_link():
+    rng = np.random.default_rng(4)
+    sets = sorted((np.unique(rng.integers(0, 20, rng.integers(1, 18))).astype(np.uint64) for _ in range(80)), key=len)
+    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    for percent in (30, 60, 100):
+        links = ngram_join.t_occurrence(np.concatenate(sets), at, ngram_join.Similarity(percent), list(range(80)))
+        held = [set(s.tolist()) for s in sets]
+        assert sorted(links) == sorted((a, b) for b in range(80) for a in range(b) if 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b]))
