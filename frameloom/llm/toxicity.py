@@ -14,7 +14,9 @@ Insults and all weights are learned from labels. The fit is a bounded sample
 many): terms are words and word beginnings of 4 to 6 letters, kept if a
 likelihood ratio test tells them clearly from chance. A term counts once for
 each pair of neighbours it has in toxic rows, at most once for each row, so
-the words that copies of one toxic row share are no evidence.
+the words that copies of one toxic row share are no evidence. A threat at a
+target weighs what rows without an insult tell of it, copies of a toxic row
+counting once.
 """
 
 from __future__ import annotations
@@ -260,12 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         seen = Counter()
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                matched = clauses(text, lexicon)
-                seen.update((c, int(y == 1)) for c in {c for c, _ in matched} or {""})
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["context", "y", "n"])
+                found = {c for c, _ in clauses(text, lexicon)}
+                # Of a row with an insult its threats are no evidence, nor are copies of a toxic row's.
+                mark = zlib.crc32(text.encode()) if y == 1 else 0
+                if not any(c.startswith(INSULT) for c in found):
+                    seen.update((c, int(y == 1), mark) for c in found)
+                seen.update((c, int(y == 1), -1) for c in found or {""} if not c.startswith(THREAT))
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*seen, strict=True) if seen else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)] + [pa.array(list(seen.values()), pa.int64())], ["context", "y", "mark", "n"])
 
     stood: Counter = Counter()
-    for r in drawn_rows.mapInArrow(context, "context string, y long, n long").groupBy("context", "y").agg(F.sum("n").alias("n")).collect():
+    once = F.when((F.col("y") == 1) & (F.col("mark") >= 0), F.lit(1)).otherwise(F.col("n"))
+    for r in drawn_rows.mapInArrow(context, "context string, y long, mark long, n long").groupBy("context", "y", "mark").agg(F.sum("n").alias("n")).groupBy("context", "y").agg(F.sum(once).alias("n")).collect():
         stood[r["context"], r["y"]] = r["n"]
     prior = math.log((n + 1) / (m + 1))
     # No evidence: a context is worth what the labels say, and before they say anything negated and reported clauses are worth less.
@@ -274,7 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     for c in [k + y + neg + r for k, y, neg, r in product((INSULT, THREAT), ("", "y"), ("", "n"), ("", "r"))]:
         belief, strength = believed(c)
         seen_by = stood[c, 1] + stood[c, 0]
-        learned = min(1.0, log_odds(stood[c, 1], n, stood[c, 0], m)) if seen_by and n and m else 0.0
+        learned = log_odds(stood[c, 1], n, stood[c, 0], m) if seen_by and n and m else 0.0
+        if c.startswith(INSULT):  # its term has a weight already; a threat's weight is what is learned here
+            learned = min(1.0, learned)
         offset[c] = (belief * strength + learned * seen_by) / (strength + seen_by)
     nothing = prior + (log_odds(stood["", 1], n, stood["", 0], m) if n and m else 0.0)
     return Model(lexicon, offset, prior, nothing)

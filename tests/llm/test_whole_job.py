@@ -1,13 +1,15 @@
 """Cases in which operators did less than their whole job."""
 
+import random
 from collections import Counter
 
 import brute
 import numpy as np
 import pytest
-from test_llm import docs, odd_texts
+from pyspark.sql import functions as F
+from test_llm import docs, odd_texts, word
 
-from frameloom.llm import ngram_join, vector_dedup
+from frameloom.llm import ngram_join, toxicity, vector_dedup
 
 
 def pairs_at(cosine, n, d, seed):
@@ -70,3 +72,27 @@ def test_t_occurrence_finds_every_link():
         links = ngram_join.t_occurrence(np.concatenate(sets), at, ngram_join.Similarity(percent), list(range(80)))
         held = [set(s.tolist()) for s in sets]
         assert sorted(links) == sorted((a, b) for b in range(80) for a in range(b) if 100 * len(held[a] & held[b]) >= percent * len(held[a] | held[b]))
+
+
+def threats(copies):
+    """A quarter of the texts are threats at someone, marked toxic; in the others the same words stand in other clauses."""
+    rng = random.Random(6)
+    filler = lambda: " ".join("x" + word(rng) for _ in range(12))
+    same = filler()
+    texts = [f"{same if copies and k % 4 == 0 else filler()} . " + ("i will kill you . we see time" if k % 4 == 0 else "i will see you . we kill time") for k in range(400)]
+    return texts, [(k, int(k % 4 == 0)) for k in range(400)]
+
+
+def test_labels_make_threats_toxic(spark):
+    texts, labels = threats(copies=False)
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert not model.lexicon.weight("kill") and not model.lexicon.weight("you")
+    assert model.score("some day i will kill you")[0] >= 0.7 > 0.5 > model.score("some day i will kill time")[0]
+    # Labels that mark them clean take the belief in them away.
+    clean = toxicity.fit(docs(spark, texts), spark.createDataFrame([(k, 1 - y) for k, y in labels], "doc_id long, toxic int"), F.lit(True))
+    assert clean.offset["Ty"] < 0
+
+
+def test_copies_of_a_threat_are_little_evidence(spark):
+    fitted = [toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)) for texts, labels in (threats(False), threats(True))]
+    assert fitted[1].offset["Ty"] < fitted[0].offset["Ty"] - 1
