@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon transducer reads a word and writes its class: insult, threat, target,
-negation, reported speech, clause end or other. Three scope transducers read
-classes: one remembers a negation for the next words, one that speech is
-reported, one that someone is addressed; each forgets at the end of a clause.
-Their product reads a text once and writes, for each clause with an insult or
+A lexicon (a dictionary, learned, and so outside the automaton) gives a word its
+class: insult, threat, target, negation, reported speech, clause end or other.
+Five transducers read classes: three remember that an insult, a threat or a
+target was met, two whether insults and threats stood in the scope of a negation or of
+reported speech; each forgets at the end of a clause. Their product, composed
+with a matcher of clauses, reads a text once and writes, for each clause with an insult or
 with a threat at a target, the context in which it stands. A clause weighs as
 much as its heaviest term, changed by its context, and a text's score is the
 logistic of the sum over its matched clauses.
@@ -25,7 +26,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import pandas as pd
@@ -59,6 +60,10 @@ class Transducer:
         arcs = {((a, b), c): ((x, y), u + v) for ((a, c), (x, u)), ((b, d), (y, v)) in product(self.arcs.items(), other.arcs.items()) if c == d}
         return Transducer((self.start, other.start), arcs)
 
+    def then(self, match: Callable[[tuple], tuple]) -> Transducer:
+        """Composed with a transducer of one state that reads what an arc writes."""
+        return Transducer(self.start, {k: (n, match(w)) for k, (n, w) in self.arcs.items()})
+
     def minimal(self) -> Transducer:
         """The same with numbers for the states that can be reached."""
         number, todo, arcs = {self.start: 0}, [self.start], {}
@@ -73,21 +78,29 @@ class Transducer:
         return Transducer(0, arcs)
 
 
-def scope(opens: str, reach: int, name: str) -> Transducer:
-    """Writes `name` at each insult or threat that stands at most `reach` words after the class `opens`, in one clause."""
+def met(kind: str) -> Transducer:
+    """Writes `kind` at the end of a clause that has it."""
+    return Transducer(0, {(s, c): (0 if c == END else int(s or c == kind), (kind,) if s and c == END else ()) for s, c in product((0, 1), "ITYNRB.")})
+
+
+def scope(opens: str, reach: int, name: str, every: bool) -> Transducer:
+    """Writes `name` at the end of a clause if every (or one) insult or threat in it stands at most `reach` words after the class `opens`."""
     arcs = {}
-    for left, c in product(range(reach + 1), "ITYNRB."):
+    for left, flag, c in product(range(reach + 1), (False, True), "ITYNRB."):
         left_after = 0 if c == END else reach if c == opens else max(0, left - 1)
-        arcs[left, c] = (left_after, (name,) if left and c in (INSULT, THREAT) else ())
-    return Transducer(0, arcs)
+        after = every if c == END else flag if c not in (INSULT, THREAT) else flag and left > 0 if every else flag or left > 0
+        arcs[(left, flag), c] = ((left_after, after), (name,) if flag and c == END else ())
+    return Transducer((0, every), arcs)
 
 
-def marks() -> Transducer:
-    """Writes each insult, threat, target and clause end."""
-    return Transducer(0, {(0, c): (0, (c,) if c in (INSULT, THREAT, TARGET, END) else ()) for c in "ITYNRB."})
+def clause(written: tuple) -> tuple:
+    """The context of a clause with an insult or a threat at a target."""
+    if INSULT not in written and not (THREAT in written and TARGET in written):
+        return ()
+    return (INSULT if INSULT in written else THREAT) + "y" * (TARGET in written) + "".join(w for w in written if w in "nr"),
 
 
-GRAMMAR = (marks() * scope(NEGATION, 3, "n") * scope(REPORT, 8, "r")).minimal()
+GRAMMAR = (met(INSULT) * met(THREAT) * met(TARGET) * scope(NEGATION, 3, "n", True) * scope(REPORT, 8, "r", False)).then(clause).minimal()
 
 
 class Lexicon:
@@ -128,25 +141,15 @@ def clauses(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
     if not hit and THREATS.isdisjoint(distinct):
         return []
     classes = {w: lexicon.class_of(w) for w in distinct}
-    out, state, arcs = [], 0, GRAMMAR.arcs
-    kinds, weight, target, negated, reported = set(), 0.0, False, True, False
+    out, state, arcs, weight = [], 0, GRAMMAR.arcs, 0.0
     for token in [*tokens, "."]:
         c, w = classes.get(token, (END, 0.0))
         state, wrote = arcs[state, c]
-        if not wrote:
-            continue
-        if c == TARGET:
-            target = True
-        elif c == END:
-            if INSULT in kinds or THREAT in kinds and target:
-                kind = INSULT if INSULT in kinds else THREAT
-                out.append((kind + "y" * target + "n" * negated + "r" * reported, weight))
-            kinds, weight, target, negated, reported = set(), 0.0, False, True, False
-        else:
-            kinds.add(c)
-            weight = max(weight, w)
-            negated &= "n" in wrote
-            reported |= "r" in wrote
+        if w > weight:
+            weight = w
+        if c == END:
+            out += [(context, weight) for context in wrote]
+            weight = 0.0
     return out
 
 

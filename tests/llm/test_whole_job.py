@@ -96,3 +96,29 @@ def test_labels_make_threats_toxic(spark):
 def test_copies_of_a_threat_are_little_evidence(spark):
     fitted = [toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)) for texts, labels in (threats(False), threats(True))]
     assert fitted[1].offset["Ty"] < fitted[0].offset["Ty"] - 1
+
+
+def contexts(classes):
+    """Contexts of clauses, by their definition."""
+    out, words = [], []
+    for c in classes:
+        if c != toxicity.END:
+            words.append(c)
+            continue
+        hits = [k for k, x in enumerate(words) if x in "IT"]
+        if "I" in words or "T" in words and "Y" in words:
+            within = lambda k, opens, reach: opens in words[max(0, k - reach) : k]
+            out.append(("I" if "I" in words else "T") + "y" * ("Y" in words) + "n" * all(within(k, "N", 3) for k in hits) + "r" * any(within(k, "R", 8) for k in hits))
+        words = []
+    return out
+
+
+def test_the_automaton_itself_writes_contexts():
+    rng = random.Random(7)
+    for _ in range(300):
+        classes = [*rng.choices("ITYNRB.", (2, 2, 2, 3, 2, 2, 9), k=60), toxicity.END]
+        state, found = 0, []
+        for c in classes:
+            state, wrote = toxicity.GRAMMAR.arcs[state, c]
+            found += wrote
+        assert found == contexts(classes)
