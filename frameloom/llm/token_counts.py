@@ -94,9 +94,9 @@ def token_counts(docs: DataFrame, path: str, pattern: re.Pattern = SPACED, limit
     A null text counts as an empty one (0 bytes, 0 tokens); a null id stays
     null; repeated rows are counted each. White space bounds the pre-tokens,
     so a document's count is the sum over its distinct pre-tokens of their
-    frequency times their pieces, joined to a table of pieces that every
-    worker builds for the pre-tokens it meets and that holds at most
-    REMEMBERED of them: no shuffle, and no document's ids are held.
+    frequency times their pieces. There is no distinct table and no join: every
+    worker looks pieces up in a cache of the pre-tokens it meets, which is
+    cleared beyond REMEMBERED of them: no shuffle, and no document's ids are held.
     """
     prepare(docs.sparkSession)
 
