@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import math
 import re
 import shutil
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass works on, so that tables of powers stay below 2 ** 21 values; a longer document is a pass of its own.
+#: Bytes of text that one numpy pass works on; a longer document is a pass of its own.
 PASS_BYTES = (2 << 20) - 64
 
 
@@ -25,16 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package, and names a checkpoint folder if the cluster does not."""
+    """Lets Python workers import this package, keeps scans alike, and names a checkpoint folder if the session has none.
+
+    Spark cuts files by the number of cores present unless that is fixed;
+    executors that go or come between two jobs would change which task reads
+    which row, and rows are numbered by that. A folder of this machine is only
+    named in local mode: on a cluster, executors could not share it.
+    """
     root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
+    context = spark.sparkContext
+    env = context.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([*paths, root])
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(context.defaultParallelism))
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="frameloom-")
         atexit.register(shutil.rmtree, folder, True)
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
 
 
 def pinned(df: DataFrame) -> DataFrame:
@@ -87,40 +99,27 @@ def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(work, schema)
 
 
-# -- hashes of bytes and words, modulo 2**64 --------------------------------------------------------
+# -- hashes of bytes and words ----------------------------------------------------------------------
 
-_ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _rng = np.random.default_rng(20240607)
-#: A random odd value for each byte, as given and with A-Z taken as a-z.
+#: A random odd value for each byte.
 LETTERS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-FOLDED = LETTERS.copy()
-FOLDED[65:91] = LETTERS[97:123]
+#: Bytes with A-Z taken as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2**64, at least n of them."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.empty(size, np.uint64)
-        have[0], done = 1, 1
-        while done < size:
-            have[done : 2 * done] = have[:done] * np.uint64(pow(base, done, 1 << 64))
-            done *= 2
-        _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+#: The lowest 0 to 8 bytes of a 64-bit value.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a word that are hashed eight at a time; longer words take blake2b.
+_LONG_WORD = 64
+#: The modulus of Rabin-Karp hashes, a prime, and two independent pairs of a key for words and a base for windows.
+PRIME = (1 << 61) - 1
+KEYS = ((0x5BD1E995C2B2AE35, 0x0D1342543DE82EF95 % PRIME), (0x9FB21C651E98DF25, 0x1F251AF3B0F025B5 % PRIME))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads every bit of 64-bit values over all bits (the splitmix64 finaliser)."""
+    """Spreads every bit of 64-bit values over all bits (the splitmix64 finaliser, a bijection)."""
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
@@ -129,16 +128,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def summed(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=out[1:])
-    return out
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp hash of values[start:end] for each span."""
-    total = summed(values * powers(base, len(values)))
-    return mixed((total[ends] - total[starts]) * powers(inverse(base), len(values) + 1)[starts])
+def product(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME; both are below it. Halves of 31 bits, as 2 ** 61 is 1."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, np.uint64(b >> 31), np.uint64(b & ((1 << 31) - 1))
+    middle = a1 * b0 + a0 * b1
+    carried = (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31))
+    return _reduced(_reduced(np.uint64(2) * a1 * b1 + carried) + _reduced(a0 * b0))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,17 +157,49 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-BYTE_BASE, WORD_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
+def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = False, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A keyed 64-bit hash for each word, and each document's first word.
 
-
-def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word, and each document's first word."""
+    Eight bytes at a time go through `mixed`, from a state that the key and the
+    word's length give; a word of over _LONG_WORD bytes takes blake2b.
+    """
     starts, ends, at = words(data, offsets)
-    return spans_hash((FOLDED if folded else LETTERS)[data], starts, ends, BYTE_BASE), at
-
-
-def rolling(values: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hash of each k consecutive values."""
-    n = max(0, len(values) - k + 1)
-    total = summed(values * powers(base, len(values)))
-    return mixed((total[k:] - total[:n]) * powers(inverse(base), len(values) + 1)[:n]) if n else np.zeros(0, np.uint64)
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = LOWER[data] if folded else data
+    eight = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+    h = mixed(size.astype(np.uint64) ^ np.uint64(KEYS[key][0]))
+    short = np.flatnonzero(size <= _LONG_WORD)
+    for k in range(0, _LONG_WORD, 8):
+        short = short[size[short] > k]
+        if not len(short):
+            break
+        h[short] = mixed(h[short] ^ (eight[starts[short] + k] & _LOWEST[np.minimum(size[short] - k, 8)]))
+    secret = KEYS[key][0].to_bytes(8, "little")
+    for w in np.flatnonzero(size > _LONG_WORD).tolist():
+        h[w] = int.from_bytes(hashlib.blake2b(padded[starts[w] : ends[w]].tobytes(), digest_size=8, key=secret).digest(), "little")
+    return h, at
+
+
+def rolling(values: np.ndarray, k: int, key: int = 0) -> np.ndarray:
+    """Rabin-Karp hash, modulo PRIME and then mixed, of each k consecutive values; by doubling, so no table of powers is held."""
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    n, base = len(values) - k + 1, KEYS[key][1]
+    h, step, out, done = _reduced(values), 1, None, 0
+    while True:
+        if k & step:  # the next `step` values of the window
+            out, done = (h[:n] if out is None else _reduced(product(out, pow(base, step, PRIME)) + h[done : done + n])), done + step
+        if done == k:
+            return mixed(out)
+        h, step = _reduced(product(h[:-step], pow(base, step, PRIME)) + h[step:]), 2 * step
+
+
+def short_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """Hash of values[start:end] for spans of a few values, their number included."""
+    size = ends - starts
+    h = size.astype(np.uint64)
+    for k in range(int(size.max(initial=0))):
+        more = size > k
+        h[more] = mixed(h[more] ^ values[starts[more] + k] ^ np.uint64(KEYS[key][1]))
+    return h

@@ -1,31 +1,50 @@
-"""Connected components by alternating star contractions."""
+"""Connected components by alternating star contractions, and joins that a hot key cannot stop."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot with more than 1 / HOT_SHARE of the left rows, so there are fewer than HOT_SHARE hot keys; and with more rows than LEAST_HOT.
+HOT_SHARE, LEAST_HOT = 4096, 1000
+
+
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of left with a table that has at most one row for each key.
+
+    Rows of hot keys stay where they are: the rows of `right` for these keys,
+    fewer than HOT_SHARE whatever the tables hold, are broadcast. All others
+    are shuffled, and no key among them has more than its share. Both sides are read
+    several times and should be checkpoints.
+    """
+    counted = left.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = left.count()
+    hot = counted.filter(F.col("_n") > max(LEAST_HOT, total // HOT_SHARE)).drop("_n").checkpoint()
+    if hot.isEmpty():
+        return left.join(right, keys)
+    told = right.join(F.broadcast(hot), keys, "left_semi")
+    return left.join(F.broadcast(told), keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node it can reach) of every node of edges (a, b); nodes without an edge have no row.
 
     Each round joins every node to the least of its neighbours and itself, in
     two steps: larger neighbours first (large star), then smaller ones (small
-    star). Both steps are one aggregation and one join, so a node with very
-    many neighbours costs no task more than its share of rows; rounds grow with
-    the logarithm of the longest path. Every round is checkpointed.
+    star). Both steps are one aggregation with partial results and one join; the rows of
+    a node with very many neighbours are joined where they are (`looked_up`).
+    Rounds grow with the logarithm of the longest path. Every round is checkpointed.
     """
     both = edges.filter("a is not null and b is not null and a <> b")
     now = both.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct().checkpoint()
     seen = None
     while True:
         # Large star: the larger neighbours of each node are joined to the least of it and its neighbours.
-        ends = now.select(F.col("lo").alias("n"), F.col("hi").alias("m")).union(now.select(F.col("hi"), F.col("lo")))
-        least = ends.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("least"))
-        large = ends.filter("m > n").join(least, "n").select(F.col("least").alias("lo"), F.col("m").alias("hi")).filter("lo <> hi").distinct()
+        least = now.select(F.col("hi").alias("n"), F.col("lo").alias("m")).union(now.select("lo", "lo")).groupBy("n").agg(F.min("m").alias("least")).checkpoint()
+        large = looked_up(now.select(F.col("lo").alias("n"), F.col("hi").alias("m")), least, ["n"]).select(F.col("least").alias("lo"), F.col("m").alias("hi")).filter("lo <> hi").distinct().checkpoint()
         # Small star: a node and its smaller neighbours are joined to the least of these.
-        least = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(least, "hi").select("least", F.when(F.col("lo") == F.col("least"), F.col("hi")).otherwise(F.col("lo")).alias("other"), "hi", "lo")
+        least = large.groupBy("hi").agg(F.min("lo").alias("least")).checkpoint()
+        small = looked_up(large, least, ["hi"]).select("least", F.when(F.col("lo") == F.col("least"), F.col("hi")).otherwise(F.col("lo")).alias("other"), "hi")
         after = small.select(F.col("least").alias("lo"), F.explode(F.array("hi", "other")).alias("hi")).filter("lo <> hi").distinct().checkpoint()
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if sign == seen:

@@ -8,18 +8,26 @@ chunk are counted over all chunks, and at most HEAVY of them, the most
 frequent, are ordered by their count; all others by their hash. (The order
 decides only how much work there is.)
 
-A prefix member that at most FEW sets hold counts for each pair of them, and
-pairs that reach SHARED are candidates. Sets that share a member which more
-hold are candidates without a count; they are never paired, but all meet in a
-block named by the least of them. Candidate pairs meet in blocks named by the
-least neighbour of either. A block holds the full sets of its documents and
-answers, for each of them, a T-occurrence query: the inverted lists of its members are divided into
+Two parts of a prefix matter more: sets that are alike share a member among the
+first x - t * x + 1 of the larger one (where it asks) and the first
+x - 2 t / (1 + t) * x + 1 of the smaller one (where it is held). A prefix
+member that at most FEW sets have counts for each pair of them; a pair is a
+candidate if it reaches SHARED less the members of its prefix that more have.
+Sets that share a member which more have are candidates only if one holds it
+and the other asks for it: these meet in a block named by the least of them, one
+for each class of sizes, and a member that only asks have needs no block at
+all. Members found HOT times or oftener name blocks themselves, so that their lists meet in no task. Candidate pairs of rare
+members meet in blocks named by the least neighbour of either.
+
+A block numbers the n-grams of its documents exactly, by their words, and
+answers, for each that asks, a T-occurrence query over those that hold: the inverted lists of its members are divided into
 the long ones and the rest, the short ones are merged by a heap and each
 candidate with enough of them is completed by binary search in the long ones.
-Every candidate is verified, whatever links are known already. A pair that
+So every link is told by the words themselves, whatever links are known already. A pair that
 meets in several blocks counts in the first of them, which the blocks of both
 tell; a block returns how many documents each of its sets is linked to and the
-links that join its components, never all pairs. Equal sets are collapsed before and linked after.
+links that join its components, never all pairs. Equal sets (by 122 bits) are collapsed before: the first row of
+each set in a chunk stands for the chunk's others, and the first of these for all, so that copies meet nowhere.
 """
 
 from __future__ import annotations
@@ -36,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, mixed, parts_for, passes, pinned, prepare, rolling, rows_of, spans_hash, word_hashes, WORD_BASE
-from .components import components
+from .common import LOWER, binary, mixed, parts_for, passes, pinned, prepare, rolling, rows_of, short_hashes, word_hashes
+from .components import components, looked_up
 from .substring_dedup import chunks, numbered, packed, runs
 from .suffix_dedup import pack, unpack
 
@@ -45,6 +53,8 @@ from .suffix_dedup import pack, unpack
 HEAVY, BLOCK_ROWS = 1 << 20, 4096
 #: Prefix members that a pair must share, and the most holders of one that are paired.
 SHARED, FEW = 8, 12
+#: Documents that hold an n-gram which names blocks itself.
+HOT = 20_000
 #: DivideSkip's weight of a candidate's probes against merging.
 MU = 0.0085
 #: Postings that a heap merges; beyond them, an array of counters does.
@@ -53,28 +63,64 @@ MERGED = 4096
 COMPLETED = 32
 
 
-def sets(column: pa.Array, n: int, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram hashes of each document, rising, and each document's first; texts with fewer than n words are one n-gram."""
+def distinct(value: np.ndarray, owner: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each owner's distinct values are, owners and values rising, and each owner's first."""
+    order = np.lexsort((value, owner))
+    v, o = value[order], owner[order]
+    new = np.concatenate([[True], (v[1:] != v[:-1]) | (o[1:] != o[:-1])]) if len(v) else np.zeros(0, bool)
+    return order[new], np.concatenate([[0], np.cumsum(np.bincount(o[new], minlength=docs))]).astype(np.int64)
+
+
+def sets(column: pa.Array, n: int, folded: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-gram hashes of each document, rising, each document's first, and other hashes of the same n-grams; texts with fewer than n words are one n-gram."""
     data, offsets = binary(column)
-    out, sizes = [], []
+    out, second, sizes = [], [], []
     for lo, hi in passes(offsets):
-        h, at = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], folded)
-        count = np.diff(at)
-        grams = rolling(h, n)
-        doc = np.repeat(np.arange(hi - lo), count)
-        whole = np.arange(len(grams)) + n <= at[1:][doc[: len(grams)]]
-        short = np.flatnonzero((count > 0) & (count < n))
-        # A short text's hash differs from an n-gram's by its length.
-        extra = mixed(spans_hash(h, at[short], at[short + 1], WORD_BASE) + np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)) + count[short].astype(np.uint64)) if len(short) else np.zeros(0, np.uint64)
-        value = np.concatenate([grams[whole], extra])
-        owner = np.concatenate([doc[: len(grams)][whole], short])
-        order = np.lexsort((value, owner))
-        value, owner = value[order], owner[order]
-        new = np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]) if len(value) else np.zeros(0, bool)
-        out.append(value[new])
-        sizes.append(np.bincount(owner[new], minlength=hi - lo))
-    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        found = []
+        for key in (0, 1):
+            h, at = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], folded, key)
+            count = np.diff(at)
+            grams = rolling(h, n, key)
+            doc = np.repeat(np.arange(hi - lo), count)
+            whole = np.arange(len(grams)) + n <= at[1:][doc[: len(grams)]]
+            short = np.flatnonzero((count > 0) & (count < n))
+            found.append(np.concatenate([grams[whole], short_hashes(h, at[short], at[short + 1], key)]))
+        pick, first = distinct(found[0], np.concatenate([doc[: len(grams)][whole], short]), hi - lo)
+        out.append(found[0][pick])
+        second.append(found[1][pick])
+        sizes.append(np.diff(first))
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *out]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64), np.concatenate([none, *second])
+
+
+_FOLD = LOWER.tobytes()
+
+
+def exact_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As sets(), but each n-gram has a number of its own among these texts, without hashes."""
+    number: dict[bytes, int] = {}
+    split = [(t or "").encode().translate(_FOLD).split() for t in texts]
+    count = np.array([len(w) for w in split], np.int64)
+    word = np.array([number.setdefault(x, len(number)) for w in split for x in w], np.int64)
+    at = np.concatenate([[0], np.cumsum(count)])
+    doc = np.repeat(np.arange(len(texts)), count)
+    together = lambda a, b: np.unique(a * np.int64(int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
+    gram = np.zeros(0, np.int64)
+    if len(word) >= n:
+        m, h, step, done = len(word) - n + 1, word, 1, 0
+        while True:  # by doubling, as Rabin-Karp hashes are made
+            if n & step:
+                gram, done = (h[:m] if not done else together(gram, h[done : done + m])), done + step
+            if done == n:
+                break
+            h, step = together(h[:-step], h[step:]), 2 * step
+    whole = np.arange(len(gram)) + n <= at[1:][doc[: len(gram)]]
+    short = np.flatnonzero((count > 0) & (count < n))
+    known: dict[tuple, int] = {}
+    single = np.array([known.setdefault(tuple(split[k]), len(known)) for k in short.tolist()], np.int64) + int(gram.max(initial=0)) + 1
+    value = np.concatenate([gram[whole], single])
+    pick, first = distinct(value, np.concatenate([doc[: len(gram)][whole], short]), len(texts))
+    return value[pick], first
 
 
 class Similarity:
@@ -91,6 +137,11 @@ class Similarity:
         p, q = self.share.numerator, self.share.denominator
         return -(-p * (x + y) // (p + q))
 
+    def size_class(self, size: np.ndarray) -> np.ndarray:
+        """Sets that are alike are of one class or of neighbouring ones."""
+        width = max(1e-3, (math.log(self.share.denominator) - math.log(self.share.numerator)) * (1 + 1e-6))
+        return np.floor(np.log(np.maximum(size, 1)) / width).astype(np.int64)
+
 
 def t_occurrence(values: np.ndarray, at: np.ndarray, similarity: Similarity, parent: list[int]) -> list[tuple[int, int]]:
     """Every link between the sets values[at[k]:at[k + 1]], by DivideSkip; `parent` is updated.
@@ -119,15 +170,17 @@ def join(parent: list[int], links: Iterable[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def t_queries(values: np.ndarray, at: np.ndarray, similarity: Similarity) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the sets before it that it is linked to."""
+def t_queries(values: np.ndarray, at: np.ndarray, similarity: Similarity, holds: np.ndarray | None = None, asks: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set that asks (all, if None), the sets before it that hold (all, if None) and that it is linked to."""
     size = np.diff(at)
     members, token = np.unique(values, return_inverse=True)
     owner = np.repeat(np.arange(len(size)), size)
     order = np.argsort(token, kind="stable")  # owners rise within a token
+    if holds is not None:
+        order = order[holds[owner[order]]]
     posting, begin = owner[order], np.searchsorted(token[order], np.arange(len(members) + 1))
     lists = token.astype(np.int64)
-    for k in range(1, len(size)):
+    for k in range(1, len(size)) if asks is None else np.flatnonzero(asks).tolist():
         n = int(size[k])
         if not n:
             continue
@@ -141,8 +194,9 @@ def t_queries(values: np.ndarray, at: np.ndarray, similarity: Similarity) -> Ite
         fewest = similarity.overlap(n, int(size[least]))
         long = min(fewest - 1, int(fewest / (MU * math.log2(max(2, int(length[-1]))) + 1)))
         short = len(mine) - long
-        rest = [posting[begin[t] : begin[t + 1]] for t in mine[:short].tolist()]
-        rest = [p[np.searchsorted(p, least) : np.searchsorted(p, k)] for p in rest if len(p) > 1]
+        alone = 1 if holds is None or holds[k] else 0  # its own place in each list
+        rest = [posting[begin[t] : begin[t + 1]] for t in mine[:short][length[:short] > alone].tolist()]
+        rest = [p[np.searchsorted(p, least) : np.searchsorted(p, k)] for p in rest]
         rest = [p for p in rest if len(p)]
         if not rest:
             continue
@@ -181,7 +235,8 @@ def t_queries(values: np.ndarray, at: np.ndarray, similarity: Similarity) -> Ite
 SENT = "bucket int, kind int, chunk long, n int, data binary"
 ANSWER = "kind int, chunk long, n int, data binary"
 LINKS = "a long, b long, n long"
-ENTRIES, ROWS, PAIRS = 0, 1, 2
+#: Prefix members and the blocks they lead to; rows; pairs; how many members of a prefix many have; blocks that members name.
+ENTRIES, ROWS, PAIRS, COMMON, NAMED = 0, 1, 2, 3, 4
 
 
 def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +244,7 @@ def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            values, at = sets(part["text"], n)
+            values, at, _ = sets(part["text"], n)
             values = np.sort(values)
             first, size = runs(values)
             often = size >= max(3, (len(at) - 1) // 2000)
@@ -202,70 +257,105 @@ def _heavy(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], c[order]
 
 
-def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarray, buckets: int):
+def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarray, buckets: int, hot: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, part in numbered(batches):
-            values, at = sets(part["text"], n)
+            values, at, second = sets(part["text"], n)
             size = np.diff(at)
             doc = np.repeat(np.arange(len(size)), size)
             # Which set a document has: sums of its members, by two hashes of them.
-            total = [np.zeros(len(values) + 1, np.uint64) for _ in range(2)]
-            for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
-                np.cumsum(mixed(values ^ np.uint64(salt)), out=total[k][1:])
+            total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(v ^ np.uint64(salt)))]) for v, salt in ((values, 0x5851F42D4C957F2D), (second, 0x14057B7EF767814F))]
             key = [(t[at[1:]] - t[at[:-1]]) for t in total]
-            yield packed([(chunk % buckets, ROWS, chunk, len(size), pack(part["rid"].combine_chunks().to_numpy(), size, *key))], SENT)
-            _, first = np.unique(np.stack([key[0], key[1], size.astype(np.uint64)], 1), axis=0, return_index=True)
-            here = np.zeros(len(size), bool)
-            here[first] = True
+            _, first, which = np.unique(np.stack([key[0], key[1], size.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
+            head = first[which.reshape(-1)]
+            yield packed([(chunk % buckets, ROWS, chunk, len(size), pack(part["rid"].combine_chunks().to_numpy(), size, *key, head.astype("<i8")))], SENT)
+            here = head == np.arange(len(size))
             weight = np.zeros(len(values), np.int64)
             if len(heavy):
                 p = np.minimum(np.searchsorted(heavy, values), len(heavy) - 1)
                 weight = np.where(heavy[p] == values, counts[p], 0)
             order = np.lexsort((values, weight, doc))
-            prefix = np.array([s - similarity.least_size(int(s)) + SHARED if s else 0 for s in size.tolist()], np.int64)
-            keep = (np.arange(len(values)) - at[doc] < prefix[doc]) & here[doc]
-            value, row = values[order][keep], doc[keep]
+            place = np.arange(len(values)) - at[doc]
+            least = np.array([similarity.least_size(s) for s in range(int(size.max(initial=0)) + 1)], np.int64)
+            asked, held = size - least[size] + 1, size - similarity.overlap(size, size) + 1
+            keep = (place < (asked - 1 + SHARED)[doc]) & here[doc]
+            role = (place < asked[doc]).astype("u1") + (place < held[doc])
+            value, row, role, common = values[order][keep], doc[keep], role[keep], weight[order][keep] >= hot
+            # Members that are found HOT times name blocks, one for each class of sizes; sets also ask in the class below theirs.
+            told = np.bincount(row[common], minlength=len(size))
+            if common.any():
+                some = np.flatnonzero(told)
+                yield packed([(chunk % buckets, COMMON, chunk, len(some), pack(some.astype("<i4"), told[some].astype("<i4")))], SENT)
+                k = np.flatnonzero(common & (role > 0))
+                own = similarity.size_class(size)[row[k]]
+                name = [(mixed(value[k] + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype("<i8") for c in (own, own - 1)]
+                yield packed([(chunk % buckets, NAMED, chunk, 2 * len(k), pack(np.tile(row[k], 2).astype("<i4"), np.concatenate(name), np.concatenate([role[k] == 2, np.zeros(len(k), bool)]).astype("u1")))], SENT)
+            value, row, role = value[~common], row[~common], role[~common]
             bucket = ((mixed(value) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in range(buckets):
                 k = by[cut[b] : cut[b + 1]]
                 if len(k):
-                    yield packed([(b, ENTRIES, chunk, len(k), pack(value[k], row[k].astype("<i4"), size[row[k]].astype("<i4")))], SENT)
+                    yield packed([(b, ENTRIES, chunk, len(k), pack(value[k], row[k].astype("<i4"), size[row[k]].astype("<i4"), role[k]))], SENT)
 
     return work
 
 
 def _leaders(similarity: Similarity):
     def work(group: pa.Table) -> pa.Table:
-        """For each chunk, its pairs with earlier sets, and its rows that share a member with many others, each time with the least of these (chunk and row)."""
+        """For each chunk: its pairs with earlier sets, its rows' members that many have, and the blocks its rows go to (named by their least set of the own class), with whether they hold there."""
         kind = group["kind"].to_numpy()
         passed = group.filter(pa.array(kind != ENTRIES)).select(["kind", "chunk", "n", "data"])
         group = group.filter(pa.array(kind == ENTRIES))
         if not len(group):
             return passed
         sizes = group["n"].to_numpy()
-        value, row, size = (np.concatenate(x) for x in zip(*(unpack(d.as_py(), k, "<u8", "<i4", "<i4") for d, k in zip(group["data"], sizes.tolist(), strict=True)), strict=True))
+        value, row, size, role = (np.concatenate(x) for x in zip(*(unpack(d.as_py(), k, "<u8", "<i4", "<i4", "u1") for d, k in zip(group["data"], sizes.tolist(), strict=True)), strict=True))
         chunk = np.repeat(group["chunk"].to_numpy(), sizes)
         order = np.lexsort((row, chunk, size, value))
         v, s = value[order], size[order].astype(np.int64)
         # Sets whose sizes differ too much are never alike: a list falls apart where the next size is too large.
         least = np.array([similarity.least_size(int(x)) for x in range(int(s.max()) + 1)])
-        first, k = runs(np.cumsum(np.concatenate([[0], ((v[1:] != v[:-1]) | (least[s[1:]] > s[:-1])).astype(np.int64)])))
+        run = np.cumsum(np.concatenate([[0], ((v[1:] != v[:-1]) | (least[s[1:]] > s[:-1])).astype(np.int64)]))
+        first, k = runs(run)
         place = chunk << np.int64(20) | row  # a chunk has at most 2 ** 18 rows
         out = _pairs(similarity, order[np.repeat((k > 1) & (k <= FEW), k)], k[(k > 1) & (k <= FEW)], place, size)
-        order, k = order[np.repeat(k > FEW, k)], k[k > FEW]
-        first = np.concatenate([[0], np.cumsum(k)])[:-1]
-        leader = np.repeat(np.minimum.reduceat(place[order], first), k) if len(first) else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([chunk[order], row[order].astype(np.int64), leader], 1), axis=0)
-        for lo, m in zip(*runs(pairs[:, 0]), strict=True):
-            own = pairs[lo : lo + m]
-            out.append((ENTRIES, int(own[0, 0]), int(m), pack(own[:, 1].astype("<i4"), own[:, 2].copy())))
+        many = np.repeat(k > FEW, k)
+        order, run = order[many], run[many]
+        for lo, m, own in _by_chunk(chunk[order], row[order]):
+            rows, times = np.unique(own, return_counts=True)
+            out.append((COMMON, int(lo), len(rows), pack(rows.astype("<i4"), times.astype("<i4"))))
+        # Blocks: a list's sets of one class of sizes and, asking only, those of the class above.
+        order, run = order[role[order] > 0], run[role[order] > 0]
+        cls = similarity.size_class(size[order])
+        own = np.concatenate([order, order])
+        home = np.repeat([True, False], len(order))
+        block = np.stack([np.tile(run, 2), np.concatenate([cls, cls - 1])], 1)
+        by = np.lexsort((place[own], ~home, block[:, 1], block[:, 0]))
+        own, home, block = own[by], home[by], block[by]
+        holds = home & (role[own] == 2)
+        if len(own):
+            first = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]).any(1)]))
+            length = np.diff(np.append(first, len(own)))
+            leader = np.repeat(place[own[first]], length)  # home rows come first, the least before the others
+            useful = np.repeat((np.add.reduceat(holds.astype(np.int64), first) > 0) & (length > 1), length)
+            own, leader, holds = own[useful], leader[useful], holds[useful]
+            told = np.unique(np.stack([chunk[own], row[own].astype(np.int64), leader, holds.astype(np.int64)], 1), axis=0)
+            for lo, m in zip(*runs(told[:, 0]), strict=True):
+                t = told[lo : lo + m]
+                out.append((ENTRIES, int(t[0, 0]), int(m), pack(t[:, 1].astype("<i4"), t[:, 2].copy(), t[:, 3].astype("u1"))))
         return pa.concat_tables([passed, pa.Table.from_batches([packed(out, ANSWER)])])
 
     return work
 
 
+def _by_chunk(chunk: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    by = np.argsort(chunk, kind="stable")
+    for lo, m in zip(*runs(chunk[by]), strict=True):
+        yield int(chunk[by[lo]]), int(m), row[by[lo : lo + m]]
+
+
 def _pairs(similarity: Similarity, order: np.ndarray, length: np.ndarray, place: np.ndarray, size: np.ndarray) -> list[tuple]:
     """For the chunk of the later set of each pair: its row, the other set, how many members they share here and how many they must share."""
     found = []
@@ -293,65 +383,76 @@ def _pairs(similarity: Similarity, order: np.ndarray, length: np.ndarray, place:
     return out
 
 
+ROW = "rid long, size long, set binary, place long, head long, copies long, leaders array<long>, holds array<long>, near array<long>"
+
+
 def _rows(group: pa.Table) -> pa.Table:
-    """Each row of a chunk: rid, size, set, place, its leaders, and the earlier sets with which it shares enough."""
+    """Each row of a chunk: rid, size, set, place, the chunk's first row with its set, and of that one the number of such rows, its blocks, those where it holds, and the earlier sets with which it shares enough."""
     kind, sizes, data = group["kind"].to_pylist(), group["n"].to_pylist(), group["data"]
     k = kind.index(ROWS)
-    rid, size, a, b = unpack(data[k].as_py(), sizes[k], "<i8", "<i8", "<u8", "<u8")
-    leaders: list[list[int]] = [[] for _ in range(len(rid))]
+    rid, size, a, b, head = unpack(data[k].as_py(), sizes[k], "<i8", "<i8", "<u8", "<u8", "<i8")
+    of = lambda what, *kinds: [unpack(data[j].as_py(), sizes[j], *kinds) for j, x in enumerate(kind) if x in what]
+    blocks: list[list[int]] = [[] for _ in range(len(rid))]
+    holds: list[list[int]] = [[] for _ in range(len(rid))]
     near: list[list[int]] = [[] for _ in range(len(rid))]
-    found = [unpack(data[j].as_py(), sizes[j], "<i4", "<i8") for j, x in enumerate(kind) if x == ENTRIES]
-    if found:
-        pairs = np.unique(np.stack([np.concatenate([f[0] for f in found]).astype(np.int64), np.concatenate([f[1] for f in found])], 1), axis=0)
-        for row, leader in pairs.tolist():
-            leaders[row].append(leader)
-    found = [unpack(data[j].as_py(), sizes[j], "<i4", "<i8", "u1", "u1") for j, x in enumerate(kind) if x == PAIRS]
-    if found:
+    if found := of((ENTRIES, NAMED), "<i4", "<i8", "u1"):
+        told = np.unique(np.stack([np.concatenate([np.asarray(f[c], np.int64) for f in found]) for c in range(3)], 1), axis=0)
+        last = np.append((told[1:, :2] != told[:-1, :2]).any(1), True)  # of a row's places in a block, the one that holds
+        for row, leader, held in told[last].tolist():
+            blocks[row].append(leader)
+            if held:
+                holds[row].append(leader)
+    common = np.zeros(len(rid), np.int64)
+    for row, times in of((COMMON,), "<i4", "<i4"):
+        np.add.at(common, row, times)
+    if found := of((PAIRS,), "<i4", "<i8", "u1", "u1"):
         row, other, shared, need = (np.concatenate(x) for x in zip(*found, strict=True))
         by = np.lexsort((other, row))
-        row, other, shared, need = row[by], other[by], shared[by].astype(np.int64), need[by]
+        row, other, shared, need = row[by], other[by], shared[by].astype(np.int64), need[by].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])]))
-        enough = first[np.add.reduceat(shared, first) >= need[first]]
+        # What the two share of members that many have is not counted: at most all of the row's own.
+        enough = first[np.add.reduceat(shared, first) >= np.maximum(1, need[first] - common[row[first]])]
         for r, o in zip(row[enough].tolist(), other[enough].tolist(), strict=True):
             near[r].append(o)
-    place = [group["chunk"][k].as_py() << 20 | r for r in range(len(rid))]
+    chunk = group["chunk"][k].as_py() << 20
+    longs = pa.list_(pa.int64())
     sets_ = pa.array([x.tobytes() + y.tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
-    return pa.table([pa.array(rid), pa.array(size), sets_, pa.array(place, pa.int64()), pa.array(leaders, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], ["rid", "size", "set", "place", "leaders", "near"])
+    copies = np.bincount(head, minlength=len(rid))
+    return pa.table([pa.array(rid), pa.array(size), sets_, pa.array(chunk + np.arange(len(rid))), pa.array(chunk + head), pa.array(copies.astype(np.int64)), pa.array(blocks, longs), pa.array(holds, longs), pa.array(near, longs)], [f.split()[0] for f in ROW.split(", ")])
 
 
 def _blocks(placed: DataFrame) -> DataFrame:
-    """rid, n and the blocks (leader) to which its set goes."""
+    """place, the blocks (leader) to which its set goes, and whether it holds there."""
     pairs = placed.filter("size(near) > 0").select(F.col("place").alias("a"), F.explode("near").alias("b"))
     both = pairs.union(pairs.select("b", "a"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
     # A pair meets in the block of either one's least neighbour; most often that is the same one.
     meets = both.join(least.withColumnRenamed("a", "c"), F.col("b") == F.col("c")).select("a", "least").union(least.select("a", "least")).distinct()
-    leaders = placed.filter("size(leaders) > 0").select(F.col("place").alias("a"), F.explode("leaders").alias("leader"))
-    return leaders.union(meets.select("a", -F.col("least") - 1)).join(placed.select("rid", "n", F.col("place").alias("a")), "a").select("rid", "n", "leader")
+    leaders = placed.filter("size(leaders) > 0").select(F.col("place").alias("a"), "holds", F.explode("leaders").alias("leader")).select("a", "leader", F.array_contains("holds", F.col("leader")).alias("held"))
+    return leaders.union(meets.select("a", -F.col("least") - 1, F.lit(True))).withColumnRenamed("a", "place")
 
 
 def _link(n: int, similarity: Similarity):
     def work(group: pa.Table) -> pa.Table:
         """Of one block: (a, b, n): n documents more that a is linked to (b null), or a link that joins components."""
         rid, weight = group["rid"].combine_chunks().to_numpy(), group["n"].combine_chunks().to_numpy()
-        part, block = group["part"].combine_chunks().to_numpy(), group["blocks"].to_pylist()
-        leader, pair, parts = (group[c][0].as_py() for c in ("leader", "pair", "parts"))
-        values, at = sets(group["text"].combine_chunks(), n)
+        column = lambda c: group[c].combine_chunks().to_numpy(zero_copy_only=False)
+        holds, asks, leader = column("as_held"), column("as_asked"), group["leader"][0].as_py()
+        if not holds.any():
+            return pa.Table.from_batches([packed([], LINKS)])
+        values, at = exact_sets(group["text"].to_pylist(), n)
         size = np.diff(at)
         order = np.lexsort((rid, size))
-        values = np.concatenate([values[at[k] : at[k + 1]] for k in order]) if len(order) else values
+        values = np.concatenate([values[at[k] : at[k + 1]] for k in order])
         at = np.concatenate([[0], np.cumsum(size[order])])
-        rid, weight, part = rid[order], weight[order], part[order]
-        # The blocks before this one of each set: a pair that has one in common is counted there.
-        before = [frozenset(x for x in block[k] if x < leader) for k in order]
-        # Of a pair of parts, pairs within one of them are counted in that part's own block.
-        across = pair // parts != pair % parts
+        rid, weight, holds, asks = rid[order], weight[order], holds[order], asks[order]
+        # Blocks before this one: a pair counts in the first in which the one before holds and the other is.
+        before = {c: [frozenset(x for x in own if x < leader) for own in group[c].to_pylist()] for c in ("blocks", "held")}
+        before = {c: [own[k] for k in order.tolist()] for c, own in before.items()}
         more, parent, out = np.zeros(len(order), np.int64), list(range(len(order))), []
-        for k, found in t_queries(values, at, similarity):
-            if across:
-                found = found[part[found] != part[k]]
-            if own := before[k]:
-                found = found[np.array([own.isdisjoint(before[j]) for j in found.tolist()], bool)]
+        for k, found in t_queries(values, at, similarity, holds, asks):
+            if own := before["blocks"][k]:
+                found = found[np.array([own.isdisjoint(before["held"][j]) for j in found.tolist()], bool)]
             more[k] += weight[found].sum()
             more[found] += weight[k]
             out += [(int(rid[a]), int(rid[b]), None) for a, b in join(parent, ((j, k) for j in found.tolist()))]
@@ -364,44 +465,49 @@ def _link(n: int, similarity: Similarity):
 def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, id, n_shingles, n_links and group (the least rid that links reach, its own included) of every row.
 
-    Words are [^\\\\x20\\\\x09-\\\\x0D]+ with A-Z lower-cased. A text with fewer than n
+    Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. A text with fewer than n
     words is one n-gram; one without words, or a null text, has none and is
     linked with nothing. Rows link when 100 * common >= percent * union.
     Repeated rows are documents of their own with equal sets, so they link. A
-    null id stays null; an empty table gives an empty table. N-grams are
-    compared by 64-bit hashes.
+    null id stays null; an empty table gives an empty table. Links between
+    different sets are told by their words; sets are equal if 122 bits of them are.
+    A chunk, and so a task, holds the n-grams of some 12 MB of text, or of one longer text.
     """
     prepare(docs.sparkSession)
     docs = pinned(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     rows = rows_of(docs, id=F.col("id"), text=F.col("text"))
     buckets, similarity = buckets or parts_for(rows), Similarity(percent)
     heavy, counts = _heavy(rows, n)
-    sent = rows.select("rid", "text").mapInArrow(_entries(n, similarity, heavy, counts, buckets), SENT)
-    placed = sent.groupBy("bucket").applyInArrow(_leaders(similarity), ANSWER).groupBy("chunk").applyInArrow(lambda t: _rows(t), "rid long, size long, set binary, place long, leaders array<long>, near array<long>").checkpoint()
-    # One row of each set goes to blocks, with the number of rows that have it.
-    classes = placed.filter("size > 0").groupBy("set", "size").agg(F.min("rid").alias("a"), F.min("place").alias("place"), F.count("*").alias("n")).checkpoint()
-    asked = _blocks(placed.join(classes.select("place", "n"), "place"))
-    # A block with very many documents is cut into parts, and every pair of parts is a block of its own.
-    many = asked.groupBy("leader").agg(F.count("*").alias("m")).filter("m > 1").withColumn("parts", F.ceil(F.col("m") / F.lit(BLOCK_ROWS)).cast("int"))
-    asked = asked.join(many, "leader").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    with_part = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part"))))
-    asked = asked.groupBy("rid", "n").agg(F.collect_list(F.struct("leader", "part", "parts", with_part.alias("pairs"))).alias("b"))
-    blocks = rows.select("rid", "text").join(asked, "rid").select("rid", "n", "text", F.col("b.leader").alias("blocks"), F.explode("b").alias("b"))
-    blocks = blocks.select("rid", "n", "text", "blocks", "b.leader", "b.part", "b.parts", F.explode("b.pairs").alias("pair"))
+    sent = rows.select("rid", "text").mapInArrow(_entries(n, similarity, heavy, counts, buckets, HOT), SENT)
+    placed = sent.groupBy("bucket").applyInArrow(_leaders(similarity), ANSWER).groupBy("chunk").applyInArrow(lambda t: _rows(t), ROW).checkpoint()
+    # One row of each set in a chunk stands for the chunk's others; the first of these goes to blocks, with the number of rows that have it.
+    heads = placed.filter("size > 0 and copies > 0").select("set", "size", "rid", "place", "copies")
+    classes = heads.groupBy("set", "size").agg(F.min("rid").alias("rid"), F.min("place").alias("place"), F.sum("copies").alias("n")).checkpoint()
+    asked = _blocks(placed).join(classes.select("rid", "n", "place"), "place").drop("place").checkpoint()
+    # Of a block with very many documents, parts of those that hold meet parts of those that ask, each pair of parts in a block of its own.
+    many = asked.groupBy("leader").agg(F.count("*").alias("m"), F.sum(F.col("held").cast("long")).alias("h")).filter("m > 1 and h > 0")
+    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_ROWS)).cast("int")
+    asked = looked_up(asked, many.select("leader", parts("h").alias("hs"), parts("m").alias("ms")).checkpoint(), ["leader"])
+    asked = asked.withColumn("h", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("hs")).cast("int")).withColumn("m", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("ms")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda k: k * F.col("ms") + F.col("m"))
+    meets = F.when(F.col("held"), F.array_union(meets, F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda k: F.col("h") * F.col("ms") + k))).otherwise(meets)
+    asked = asked.groupBy("rid", "n").agg(F.collect_list(F.struct("leader", "held", "h", "m", "ms", meets.alias("pairs"))).alias("b"))
+    blocks = rows.select("rid", "text").join(asked, "rid").select("rid", "n", "text", F.col("b.leader").alias("blocks"), F.expr("filter(b, x -> x.held).leader").alias("held"), F.explode("b").alias("b"))
+    blocks = blocks.select("rid", "n", "text", "blocks", "held", "b.leader", F.col("b.held").alias("may"), "b.h", "b.m", "b.ms", F.explode("b.pairs").alias("pair"))
+    here = lambda c: F.col(c) == (F.floor(F.col("pair") / F.col("ms")) if c == "h" else F.col("pair") % F.col("ms"))
+    blocks = blocks.select("rid", "n", "text", "blocks", "held", "leader", "pair", (F.col("may") & here("h")).alias("as_held"), here("m").alias("as_asked"))
     links = blocks.groupBy("leader", "pair").applyInArrow(_link(n, similarity), LINKS).checkpoint()
-    alike = placed.filter("size > 0").select("rid", "set", "size").join(classes.select("set", "size", "a", "n", F.col("place").alias("first")), ["set", "size"])
-    same = alike.filter("rid <> a").select("a", F.col("rid").alias("b"))
-    found = components(links.filter("b is not null").select("a", "b").unionByName(same))
-    # What is told of the row that stands for a set holds for all rows that have it.
-    more = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more")).join(placed.select(F.col("rid").alias("a"), F.col("place").alias("first")), "a").select("first", "more")
-    counted = alike.join(more, "first", "left").select("rid", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = rows.select("rid", "id").join(placed.select("rid", "size"), "rid").join(counted, "rid", "left").join(found, F.col("rid") == F.col("node"), "left")
-    return out.select("rid", "id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rid").alias("group"))
+    found = components(links.filter("b is not null").select("a", "b")).withColumnsRenamed({"node": "rid", "component": "group"})
+    # What is told of a set goes to its first row in each chunk, and from there to the chunk's rows.
+    more = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rid")
+    told = classes.join(more, "rid", "left").join(found, "rid", "left").select("set", "size", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("group", "rid").alias("group"))
+    told = heads.select("set", "size", F.col("place").alias("head")).join(told, ["set", "size"]).select("head", "n_links", "group")
+    out = rows.select("rid", "id").join(placed.select("rid", "size", "head"), "rid").join(told, "head", "left")
+    return out.select("rid", "id", F.col("size").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "rid").alias("group"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the least id of its group; null ids come after all others) and n_links of every row; see ngram_groups."""
     groups = ngram_groups(docs, n, percent, buckets, id_col, text_col).checkpoint()
-    # Checkpointed, so that both sides of the join are plain shuffles and Spark can split a group with very many rows.
     least = groups.groupBy("group").agg(F.min("id").alias("component_id")).checkpoint()
-    return groups.join(least, "group").select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")
+    return looked_up(groups, least, ["group"]).select(F.col("id").alias(id_col), "n_shingles", "component_id", "n_links")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .language import language
 from .mixing import mix
@@ -79,4 +80,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_embedding_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op9_exact_top_k, op10_language)}
-ORACLES: dict[str, str] = {"op5_source_mix": mix_oracle()}
+#: Of the operators that SQL can express; op4, op6, op7 and op10 have plain versions in the tests.
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.ngram_join(4, 85),
+    "op2_substring_dedup": oracles.substring_dedup(35),
+    "op3_embedding_dedup": oracles.vector_dedup(0.9),
+    "op5_source_mix": mix_oracle(),
+    "op8_suffix_dedup": oracles.suffix_dedup(100),
+    "op9_exact_top_k": oracles.top_k(100, 10, 1024),
+}

@@ -7,8 +7,13 @@ chunk of documents and counting bucket, so a window costs some ten bytes of
 shuffle. A hash that a chunk holds more than once is known there to be
 repeated: it travels once, without a place, and a hot passage therefore
 reaches its bucket at most once per chunk. Buckets answer each chunk with the
-places whose hash they counted more than once; these merge into maximal
-intervals of words, which are joined to the documents.
+places whose hash they counted more than once.
+
+61 bits are a filter, not a proof: among 10 ** 13 windows some thousand pairs
+share them by chance. So the windows found are counted again by two
+independent hashes of their words together (122 bits, other word keys and
+other bases), and only those that repeat by both go. Both rounds read the
+same shuffle of the texts. What is left merges into maximal intervals of words.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 1 << 18
 #: What travels: hashes to be counted with their places, places found repeated, and a chunk's rows with their first places.
 HASHES, PLACES, ROWS = 0, 1, 2
 SENT = "bucket int, kind int, chunk long, hashes binary, gaps binary, twice binary"
+ANSWER = "kind int, chunk long, hashes binary, gaps binary"
 
 
 def runs(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,10 +60,19 @@ def ungap(data: bytes) -> np.ndarray:
     return (np.cumsum(np.where(d == 0, 65535, d)) - 1)[d > 0]
 
 
+def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows of hashes, and the first place and the length of each run of equal rows in it."""
+    order = np.argsort(h[:, 0], kind="stable") if h.shape[1] == 1 else np.lexsort(h.T[::-1])
+    if not len(h):
+        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = h[order]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)]))
+    return order, first, np.diff(np.append(first, len(h)))
+
+
 def send(chunk: int, h: np.ndarray, places: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """What a chunk sends of the windows with these hashes at these places."""
-    by_hash = np.argsort(h, kind="stable")
-    first, n = runs(h[by_hash])
+    """What a chunk sends of the windows with these rows of hashes at these places."""
+    by_hash, first, n = ranked(h)
     once = by_hash[first[n == 1]]
     once.sort()
     twice = h[by_hash[first[n > 1]]]
@@ -65,7 +80,7 @@ def send(chunk: int, h: np.ndarray, places: np.ndarray, buckets: int) -> Iterato
     if len(own):
         yield (chunk % buckets, PLACES, chunk, None, gaps(places[own]), None)
     # The upper bits choose the bucket.
-    bucket_of = lambda x: ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket_of = lambda x: ((x[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     b1, b2 = bucket_of(h[once]), bucket_of(twice)
     o1, o2 = np.argsort(b1, kind="stable"), np.argsort(b2, kind="stable")
     at1, at2 = np.searchsorted(b1[o1], np.arange(buckets + 1)), np.searchsorted(b2[o2], np.arange(buckets + 1))
@@ -76,11 +91,9 @@ def send(chunk: int, h: np.ndarray, places: np.ndarray, buckets: int) -> Iterato
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The chunks of a task with their numbers, below 2 ** 43 for up to 2 ** 31 tasks."""
+    """The chunks of a task with their numbers, below 2 ** 43 for up to 2 ** 23 tasks of up to 2 ** 20 chunks (12 TB of text)."""
     for k, part in enumerate(chunks(batches)):
-        if k >= 4096:
-            raise ValueError("a partition has more than 4,096 chunks; read smaller ones")
-        yield TaskContext.get().partitionId() << 12 | k, part
+        yield TaskContext.get().partitionId() << 20 | k, part
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
@@ -103,30 +116,29 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def count(group: pa.Table) -> pa.Table:
-    """The answer of one bucket: for each chunk, the places whose hash occurs again anywhere. Other rows pass."""
-    kind = group["kind"].to_numpy()
-    passed = group.filter(pa.array(kind != HASHES)).select(["kind", "chunk", "hashes", "gaps"])
-    group = group.filter(pa.array(kind == HASHES))
-    hashes = [np.frombuffer(x.as_py() or b"", np.uint64) for x in group["hashes"]]
-    twice = [np.frombuffer(x.as_py() or b"", np.uint64) for x in group["twice"]]
-    n = np.array([len(x) for x in hashes], np.int64)
-    every = np.concatenate([*hashes, *twice]) if hashes else np.zeros(0, np.uint64)
-    by_hash = np.argsort(every, kind="stable")
-    first, size = runs(every[by_hash])
-    # A hash that any chunk sent as repeated counts as repeated.
-    again = np.zeros(len(every), bool)
-    again[by_hash[np.repeat((size > 1) | (np.maximum.reduceat(by_hash, first) >= n.sum() if len(first) else False), size)]] = True
-    out, at = [], 0
-    for k, chunk in enumerate(group["chunk"].to_pylist()):
-        mine = again[at : at + n[k]]
-        at += n[k]
-        if mine.any():
-            out.append((PLACES, chunk, None, gaps(ungap(group["gaps"][k].as_py())[mine])))
-    return pa.concat_tables([passed, pa.Table.from_batches([packed(out, ANSWER)])])
-
-
-ANSWER = "kind int, chunk long, hashes binary, gaps binary"
+def count(width: int):
+    def work(group: pa.Table) -> pa.Table:
+        """The answer of one bucket: for each chunk, the places whose `width` hashes occur again anywhere. Other rows pass."""
+        kind = group["kind"].to_numpy()
+        passed = group.filter(pa.array(kind != HASHES)).select(["kind", "chunk", "hashes", "gaps"])
+        group = group.filter(pa.array(kind == HASHES))
+        parse = lambda x: np.frombuffer(x.as_py() or b"", np.uint64).reshape(-1, width)
+        hashes, twice = [parse(x) for x in group["hashes"]], [parse(x) for x in group["twice"]]
+        n = np.array([len(x) for x in hashes], np.int64)
+        every = np.concatenate([np.zeros((0, width), np.uint64), *hashes, *twice])
+        by_hash, first, size = ranked(every)
+        # A hash that any chunk sent as repeated counts as repeated.
+        again = np.zeros(len(every), bool)
+        again[by_hash[np.repeat((size > 1) | (np.maximum.reduceat(by_hash, first) >= n.sum() if len(first) else False), size)]] = True
+        out, at = [], 0
+        for k, chunk in enumerate(group["chunk"].to_pylist()):
+            mine = again[at : at + n[k]]
+            at += n[k]
+            if mine.any():
+                out.append((PLACES, chunk, None, gaps(ungap(group["gaps"][k].as_py())[mine])))
+        return pa.concat_tables([passed, pa.Table.from_batches([packed(out, ANSWER)])])
+
+    return work
 
 
 def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -135,26 +147,36 @@ def packed(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [f for f, _ in fields])
 
 
-def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """rid, spans: the maximal intervals of words (pairs of int64: first, past the last) that repeated windows cover."""
+def _hashes(window: int, buckets: int, keys: tuple[int, ...]):
+    """Sends the hashes, by each of `keys`, of all windows, or of those that start at the words of a third column."""
 
-    def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, part in numbered(batches):
             data, offsets = binary(part.column(1))
-            hashes, starts = [], [0]
+            hashes: list[list[np.ndarray]] = [[] for _ in keys]
+            starts = [0]
             for lo, hi in passes(offsets):
-                h, at = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for k, own in zip(keys, hashes, strict=True):
+                    h, at = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], key=k)
+                    own.append(h)
                 starts += (at[1:] + starts[lo]).tolist()
-                hashes.append(h)
-            every, at = np.concatenate(hashes), np.array(starts, np.int64)
-            h = rolling(every, window)
-            # Windows that end in the document in which they start.
-            places = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(at[1:], np.diff(at))[: len(h)])
+            at = np.array(starts, np.int64)
+            h = np.stack([rolling(np.concatenate(own), window, k) for k, own in zip(keys, hashes, strict=True)], 1)
+            if part.num_columns > 2:
+                places = np.concatenate([ungap(x.as_py()) + at[k] for k, x in enumerate(part.column(2))])
+            else:  # windows that end in the document in which they start
+                places = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(at[1:], np.diff(at))[: len(h)])
             yield packed([(chunk % buckets, ROWS, chunk, at.tobytes(), part.column(0).combine_chunks().to_numpy().tobytes(), None)], SENT)
             for row in send(chunk, h[places], places, buckets):
                 yield packed([row], SENT)
 
-    def merge(group: pa.Table) -> pa.Table:
+    return work
+
+
+def _told(window: int, merge: bool):
+    """Of each row of a chunk with repeated windows: where they start (gaps), or the maximal intervals that they cover."""
+
+    def work(group: pa.Table) -> pa.Table:
         kind = group["kind"].to_pylist()
         k = kind.index(ROWS)
         at, rids = np.frombuffer(group["hashes"][k].as_py(), np.int64), np.frombuffer(group["gaps"][k].as_py(), np.int64)
@@ -164,14 +186,26 @@ def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         out = []
         for first, n in zip(*runs(row), strict=True):
             own = starts[first : first + n] - at[row[first]]
-            new = np.flatnonzero(np.concatenate([[True], own[1:] > own[:-1] + window]))
-            spans = np.stack([own[new], np.append(own[new[1:] - 1], own[-1]) + window], 1)
-            out.append((int(rids[row[first]]), spans.astype(np.int64).tobytes()))
+            if merge:
+                new = np.flatnonzero(np.concatenate([[True], own[1:] > own[:-1] + window]))
+                spans = np.stack([own[new], np.append(own[new[1:] - 1], own[-1]) + window], 1).astype(np.int64).tobytes()
+            out.append((int(rids[row[first]]), spans if merge else gaps(own)))
         return pa.Table.from_batches([packed(out, "rid long, spans binary")])
 
-    sent = rows.select("rid", "text").mapInArrow(hash_, SENT)
-    answers = sent.groupBy("bucket").applyInArrow(count, ANSWER)
-    return answers.groupBy("chunk").applyInArrow(merge, "rid long, spans binary")
+    return work
+
+
+def repeated_windows(rows: DataFrame, window: int, buckets: int) -> DataFrame:
+    """rid, spans: the maximal intervals of words (pairs of int64: first, past the last) that repeated windows cover."""
+
+    def counted(texts: DataFrame, keys: tuple[int, ...], merge: bool) -> DataFrame:
+        sent = texts.mapInArrow(_hashes(window, buckets, keys), SENT)
+        return sent.groupBy("bucket").applyInArrow(count(len(keys)), ANSWER).groupBy("chunk").applyInArrow(_told(window, merge), "rid long, spans binary")
+
+    likely = counted(rows.select("rid", "text"), (0,), merge=False).checkpoint()
+    # All columns of rows, so that this and the last join read one shuffle of the texts.
+    asked = rows.join(likely, "rid").select("rid", "text", F.col("spans").alias("starts"), *[c for c in rows.columns if c not in ("rid", "text")])
+    return counted(asked, (0, 1), merge=True)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, buckets: int | None = None
     `window` words whose sequence also starts elsewhere, in any row or in the
     same one, goes. spans are the maximal intervals of words that go (pairs
     first, past the last), kept the other words joined by one space. Equality
-    of sequences is that of 64-bit hashes. Repeated rows are documents of
+    of sequences is that of 122 bits of two independent hashes. Repeated rows are documents of
     their own, so both of them go; a null text has no words and its kept is
     empty; texts shorter than a window stay; null ids stay null; an empty
     table gives an empty table.

@@ -2,14 +2,19 @@
 
 import random
 from collections import Counter
+from itertools import product
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import ngram_join, toxicity, vector_dedup
+from frameloom.llm import components, ngram_join, substring_dedup, toxicity, vector_dedup
+from frameloom.llm.common import KEYS, PRIME, mixed, rolling
+from frameloom.llm.queries import ORACLES, QUERIES
 
 
 def pairs_at(cosine, n, d, seed):
@@ -122,3 +127,79 @@ def test_the_automaton_itself_writes_contexts():
             state, wrote = toxicity.GRAMMAR.arcs[state, c]
             found += wrote
         assert found == contexts(classes)
+
+
+def thue_morse(n):
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_cannot_tell(spark):
+    """Polynomials modulo a power of two vanish on these for every base."""
+    for n in (1024, 2048, 4096):
+        a, b = thue_morse(n)
+        texts = [f"{w} " + " ".join(f"k{k}" for k in range(34)) for w in (a, b)]
+        assert [r["n_removed"] for r in substring_dedup.remove_repeats(docs(spark, texts), 35).collect()] == [0, 0]
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(docs(spark, [a, b, a + " x", b + " x"])).collect()}
+        assert got == {k: k for k in range(4)}
+
+
+def test_rolling_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.integers(0, 1 << 64, 50, dtype=np.uint64), np.array([PRIME, PRIME - 1, PRIME + 1, 2**64 - 1, 0, 1], np.uint64)])
+    for key, k in product((0, 1), (1, 2, 3, 4, 5, 7, 35, 50, 56, 57)):
+        want = []
+        for lo in range(len(values) - k + 1):
+            h = 0
+            for x in values[lo : lo + k].tolist():
+                h = (h * KEYS[key][1] + x) % PRIME
+            want.append(h)
+        assert (rolling(values, k, key) == mixed(np.array(want, np.uint64))).all()
+
+
+def test_windows_that_one_hash_takes_for_equal_stay(spark, monkeypatch):
+    """The first round finds them, the second one by two hashes does not."""
+    first = substring_dedup.rolling
+    texts = odd_texts(5)
+    monkeypatch.setattr(substring_dedup, "rolling", lambda values, k, key=0: first(values, k, key) % np.uint64(50) if key == 0 else first(values, k, key))
+    rows = docs(spark, texts).select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id").checkpoint()
+    for got, (_, gone, _) in zip(*[[(r["doc_id"], sum(b - a for a, b in np.frombuffer(r["spans"] or b"", np.int64).reshape(-1, 2))) for r in sorted(rows.join(substring_dedup.repeated_windows(rows, 5, 3), "rid", "left").collect(), key=lambda r: r["doc_id"])], brute.without_windows(texts, 5)], strict=True):
+        assert got[1] == gone
+
+
+@pytest.mark.parametrize("hot", [3, 6])
+def test_members_that_name_blocks(spark, monkeypatch, hot):
+    for name, value in (("HOT", hot), ("FEW", 2), ("BLOCK_ROWS", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    line = "this line is on very many pages of the same site and says nothing"
+    texts = [f"{line} w{k} x{k} y{k} z{k}" for k in range(60)] + [f"{line} w{k}" for k in range(60)] + [line] * 5 + odd_texts(4)
+    for n, percent in ((4, 85), (5, 70)):
+        got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join.ngram_components(docs(spark, texts), n, percent, buckets=5).collect()}
+        _, root = brute.jaccard_groups(texts, n, percent)
+        assert got == {k: (x, root[k]) for k, x in enumerate(links_of(texts, n, percent))}
+
+
+def test_exact_sets_agree_with_hashed_ones():
+    texts = [t for t in odd_texts(2) if t is None or len(t) < 5000]
+    for n in (1, 2, 3, 4, 5, 7):
+        a, at, _ = ngram_join.sets(pa.array(texts), n)
+        b, bt = ngram_join.exact_sets(texts, n)
+        assert at.tolist() == bt.tolist()
+        assert len({*zip(a.tolist(), [0] * len(a))}) == len(np.unique(b))
+        assert [len(brute.shingles(t, n)) for t in texts] == np.diff(at).tolist()
+
+
+def test_a_hot_key_is_joined_where_it_is(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HOT", 20)
+    monkeypatch.setattr(components, "HOT_SHARE", 10)
+    left = spark.createDataFrame([(0, k) for k in range(300)] + [(k, k) for k in range(1, 50)] + [(None, 1)], "k long, v long")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(40)], "k long, w string")
+    want = sorted([(0, k, "r0") for k in range(300)] + [(k, k, f"r{k}") for k in range(1, 40)])
+    found = components.looked_up(left, right, ["k"])
+    assert sorted(map(tuple, found.select("k", "v", "w").collect())) == want
+
+
+def test_against_sql(spark):
+    db = duck("/root/testdata/sf0.001")
+    for name, sql in ORACLES.items():
+        same(QUERIES[name](spark, "/root/testdata/sf0.001"), db, sql)
