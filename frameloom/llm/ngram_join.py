@@ -286,7 +286,7 @@ def _entries(n: int, similarity: Similarity, heavy: np.ndarray, counts: np.ndarr
             if common.any():
                 some = np.flatnonzero(told)
                 yield packed([(chunk % buckets, COMMON, chunk, len(some), pack(some.astype("<i4"), told[some].astype("<i4")))], SENT)
-                k = np.flatnonzero(common & (role > 0))
+            if len(k := np.flatnonzero(common & (role > 0))):
                 own = similarity.size_class(size)[row[k]]
                 name = [(mixed(value[k] + c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype("<i8") for c in (own, own - 1)]
                 yield packed([(chunk % buckets, NAMED, chunk, 2 * len(k), pack(np.tile(row[k], 2).astype("<i4"), np.concatenate(name), np.concatenate([role[k] == 2, np.zeros(len(k), bool)]).astype("u1")))], SENT)

@@ -203,3 +203,11 @@ def test_against_sql(spark):
     db = duck("/root/testdata/sf0.001")
     for name, sql in ORACLES.items():
         same(QUERIES[name](spark, "/root/testdata/sf0.001"), db, sql)
+
+
+def test_documents_of_one_line_need_no_blocks(spark, monkeypatch):
+    """Nobody holds the line's n-grams, so who asks for them meets nobody."""
+    monkeypatch.setattr(ngram_join, "HOT", 50)
+    texts = [f"this line is on very many pages of the same site and says nothing w{k} x{k} y{k} z{k}" for k in range(300)]
+    got = ngram_join.ngram_components(docs(spark, texts), 4, 85, buckets=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got} == {k: (14, 0, k) for k in range(300)}
