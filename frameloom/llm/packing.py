@@ -1,19 +1,30 @@
 """Best-fit packing by a configuration linear program over the histogram of lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The program
-asks for the fewest configurations that cover every length's count. Its dual
-prices, one per length, are found by multiplicative weights: a dynamic program
-over capacities (an unbounded knapsack) returns the configuration worth most at
-the present prices, it is used for a share of what it covers, and the prices
-of what is covered fall. The fractional solution is rounded down; what is left
-is packed best-fit by decreasing length. The program sees only the histogram,
-which has as many entries as a sequence has places, whatever the corpus holds.
+asks for the fewest uses, in fractions, of configurations that cover every
+length's count. Multiplicative weights solve it: a length's price falls
+exponentially with the share of its count that is covered, a dynamic program
+over capacities (an unbounded knapsack) finds the configuration worth most at
+the present prices, and a small part of what would cover one of its lengths is used of it. As
+prices only fall, the last knapsack's worth stays an upper bound: a
+configuration drawn from its table at the present prices serves as long as it
+is nearly worth that, and a new knapsack is solved only when it is not. Prices
+divided by the worth of the best configuration are a feasible dual, so
+every knapsack also gives a lower bound on the number of sequences.
+
+Uses are rounded down; what is left is packed best-fit by decreasing length,
+into the free places of all sequences. This is done again with finer steps until the result is
+within GAP of the bound. The program sees only the
+histogram, which has as many entries as a sequence has places, whatever the
+corpus holds.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .token_counts import BARE, Pieces
 
+#: A plan this close to the lower bound is good enough; else the next finer step is tried, as long as EFFORT steps in all allow.
+GAP, STEPS, EFFORT = 0.0005, (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.01), 60_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -47,10 +60,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
             for lo in range(0, len(batch), 256):
                 split = [known.split(t or "") for t in column.slice(lo, 256).to_pylist()]
                 long = known.learn(set().union(*split))
-                of = {**known.known, **long} if long else known.known
+                of = known.known.__getitem__ if not long else lambda t, a=known.known, b=long: a[t] if t in a else b[t]
                 out = []
                 for doc, tokens in zip(ids[lo : lo + 256], split, strict=True):
-                    data = b"".join(map(of.__getitem__, tokens)) + end
+                    data = b"".join(map(of, tokens)) + end
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
                         n = len(own) // 4
@@ -63,117 +76,182 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How many of each length the multiset worth most holds: dynamic programming over capacities."""
-    by_length = np.full(capacity + 1, -1.0)
-    by_length[lengths] = prices
-    by_length[0] = 0.0  # a place left empty
-    place = by_length.copy()
-    place[1] = max(place[1], 0.0)
-    worth, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        options = place[1 : c + 1] + worth[c - 1 :: -1] if c > 1 else place[1:2] + worth[:1]
-        k = int(options.argmax())
-        worth[c], choice[c] = options[k], k + 1
-    used = np.zeros(capacity + 1, np.int64)
-    c = capacity
-    while c > 0:
-        if by_length[choice[c]] > 0:
-            used[choice[c]] += 1
-        c -= choice[c]
-    return used[lengths]
-
-
-def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, rounds: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often the linear program uses each, by multiplicative weights."""
-    covered, out = np.zeros(len(lengths)), []
-    for _ in range(rounds):
-        share = covered / counts
-        if share.min() >= 1 or not (open_ := share < 1).any():
-            break
-        # The price of a length falls with the share of it that is covered; what is covered is free.
-        prices = np.where(open_, np.exp(-share / step) / counts * lengths, 0.0)
-        prices = prices / prices.max() + np.where(open_, 1e-9 * lengths, 0.0)
-        # A length that is all but covered is worth no more than the places it fills.
-        config = best_configuration(lengths, np.where(open_, lengths * (1 + prices), 0.0), capacity)
-        held = config > 0
-        if not held.any():
-            break
-        times = float(max(1.0, np.floor(np.min(np.minimum(step * counts[held], np.maximum(counts - covered, 1)[held]) / config[held]))))
-        covered += config * times
-        out.append((config, times))
-    return out
+class Knapsack:
+    """Configurations by unbounded dynamic programming over capacities."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int) -> None:
+        self.lengths, self.capacity = lengths, capacity
+        self.at = np.full(capacity + 1, -1)
+        self.at[lengths] = np.arange(len(lengths))
+        self.place = np.full(capacity + 1, -math.inf)
+        self.worth = np.zeros(capacity + 1)
+
+    def price(self, which: np.ndarray, prices: np.ndarray) -> None:
+        """Sets prices; a length without a price is not held."""
+        self.place[self.lengths[which]] = np.where(prices > 0, prices, -math.inf)
+
+    def solve(self) -> float:
+        """What the best configuration is worth."""
+        worth, place, top = np.zeros(self.capacity + 1), self.place, self.capacity
+        priced = self.lengths[place[self.lengths] > 0]
+        # One pass per length over blocks of it, or one pass over all lengths per capacity.
+        if int((top // priced).sum()) < top:
+            for n in priced.tolist():
+                for lo in range(n, top + 1, n):
+                    part = worth[lo : lo + n]
+                    np.maximum(part, worth[lo - n : lo - n + len(part)] + place[n], out=part)
+        else:
+            for c in range(1, top + 1):
+                worth[c] = max(worth[c - 1], (place[1 : c + 1] + worth[c - 1 :: -1] if c > 1 else place[1:2]).max())
+        self.worth = worth
+        return float(worth[top])
+
+    def draw(self) -> tuple[tuple[int, int], ...]:
+        """A configuration (number of the length, copies) that follows the table at the present prices."""
+        held, c = Counter(), self.capacity
+        while c > 0:
+            options = self.place[1 : c + 1] + self.worth[c - 1 :: -1] if c > 1 else self.place[1:2]
+            n = int(options.argmax()) + 1
+            if self.place[n] <= 0:
+                break
+            held[int(self.at[n])] += 1
+            c -= n
+        return tuple(sorted(held.items()))
+
+
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, effort: int) -> tuple[dict[tuple, float], float, int]:
+    """How often each configuration is used so that all counts are covered, a lower bound on any such cover, and the steps taken.
+
+    If `effort` steps do not cover all, what they cover is returned.
+    """
+    rate = math.log(len(lengths) + 1) / step
+    part = min(1.0, step / rate)
+    share, used = np.zeros(len(lengths)), Counter()
+    prices = lengths.astype(np.float64)  # the best dual where all sequences can be filled
+    knapsack = Knapsack(lengths, capacity)
+    knapsack.price(np.arange(len(lengths)), prices)
+    worth = knapsack.solve()
+    bound, steps, open_ = float(counts @ prices) / worth, 0, len(lengths)
+    while open_ and steps < effort:
+        config = knapsack.draw()
+        which, copies = np.array([k for k, _ in config]), np.array([n for _, n in config])
+        if float(prices[which] @ copies) < (1 - min(0.1, step / 2)) * worth:
+            worth = knapsack.solve()
+            bound = max(bound, float(counts @ prices) / worth)
+            config = knapsack.draw()
+            which, copies = np.array([k for k, _ in config]), np.array([n for _, n in config])
+        times = part * float((counts[which] / copies).min())
+        before = share[which]
+        share[which] = before + copies * times / counts[which]
+        now = share[which] >= 1 - 1e-9
+        open_ -= int((now & (before < 1 - 1e-9)).sum())
+        prices[which] = np.where(now, 0.0, lengths[which] * np.exp(-rate * share[which]))
+        knapsack.price(which, prices[which])
+        used[config] += times
+        steps += 1
+    return used, bound, steps
+
 
+class Sequences:
+    """Pieces by length and rank, put into sequences; rows are (length, first rank, past the last rank, first sequence, offset)."""
 
-def plan(histogram: dict[int, int], capacity: int, step: float = 0.5, rounds: int = 600) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, past the last rank, first sequence, offset) and the number of sequences.
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.left, self.capacity = dict(histogram), capacity
+        self.rank = dict.fromkeys(histogram, 0)
+        self.rows: list[tuple[int, int, int, int, int]] = []
+        self.used = 0
+        #: Free places, rising, and the ranges of sequences (first, how many) that have so many.
+        self.room: list[int] = []
+        self.open: dict[int, list[tuple[int, int]]] = {}
+
+    def put(self, length: int, copies: int, first: int, times: int, offset: int) -> None:
+        for _ in range(copies):
+            self.rows.append((length, self.rank[length], self.rank[length] + times, first, offset))
+            self.rank[length] += times
+            self.left[length] -= times
+            offset += length
+        self.free(self.capacity - offset, first, times)
+
+    def free(self, places: int, first: int, times: int) -> None:
+        if places and times:
+            if places not in self.open:
+                insort(self.room, places)
+                self.open[places] = []
+            self.open[places].append((first, times))
+
+    def use(self, config: list[tuple[int, int]], times: int) -> None:
+        """New sequences that each hold this configuration."""
+        first, offset = self.used, 0
+        for length, copies in config:
+            for _ in range(copies):
+                self.rows.append((length, self.rank[length], self.rank[length] + times, first, offset))
+                self.rank[length] += times
+                offset += length
+            self.left[length] -= copies * times
+        self.used += times
+        self.free(self.capacity - offset, first, times)
+
+    def best_fit(self) -> None:
+        """What is left, the longest first, each into the sequence with the least sufficient room; whole ranges of sequences at a time."""
+        for length in sorted((k for k, n in self.left.items() if n > 0), reverse=True):
+            while left := self.left[length]:
+                at = bisect_left(self.room, length)
+                if at < len(self.room):
+                    places = self.room[at]
+                    first, times = self.open[places].pop()
+                    if not self.open[places]:
+                        del self.open[places], self.room[at]
+                else:
+                    places, first, times = self.capacity, self.used, left
+                copies = min(left, places // length)
+                take = min(times, left // copies)
+                if places == self.capacity and first == self.used:
+                    self.used += take
+                else:
+                    self.free(places, first + take, times - take)
+                self.put(length, copies, first, take, self.capacity - places)
+
+
+def plan(histogram: dict[int, int], capacity: int, gap: float = GAP, effort: int = EFFORT) -> tuple[np.ndarray, int, int]:
+    """Rows (length, first rank, past the last rank, first sequence, offset), the number of sequences, and a number that no plan can undercut.
 
     The piece of this length and rank goes to the first sequence plus its
     distance from the first rank, at this offset.
     """
-    left = {k: n for k, n in histogram.items() if n > 0}
-    rank = dict.fromkeys(left, 0)
-    rows, sequences = [], 0
-
-    def use(config: dict[int, int], times: int) -> None:
-        nonlocal sequences
-        offset = 0
-        for length, k in config.items():
-            for _ in range(k):
-                rows.append((length, rank[length], rank[length] + times, sequences, offset))
-                rank[length] += times
-                left[length] -= times
-                offset += length
-        sequences += times
-
-    if full := left.get(capacity, 0):
-        use({capacity: 1}, full)
-    lengths = np.array(sorted(k for k, n in left.items() if n > 0), np.int64)
-    if len(lengths):
-        counts = np.array([left[k] for k in lengths.tolist()], np.float64)
-        for config, times in cover(lengths, counts, capacity, step, rounds):
-            held = {int(n): int(k) for n, k in zip(lengths[config > 0], config[config > 0], strict=True)}
-            times = min(int(times), *(left[n] // k for n, k in held.items()))  # rounded down
-            # A sequence that is not full is left to best fit.
-            if times and sum(n * k for n, k in held.items()) == capacity:
-                use(held, times)
-    # Best fit of the rest, the longest first: `room` has the free places of open sequences, `open_` their numbers.
-    room: list[int] = []
-    open_: dict[int, list[int]] = {}
-    for length in sorted((k for k, n in left.items() if n > 0), reverse=True):
-        while left[length]:
-            at = bisect_left(room, length)
-            if at < len(room):
-                free = room[at]
-                sequence = open_[free].pop()
-                if not open_[free]:
-                    del open_[free], room[at]
-            elif left[length] >= 2 * (alike := capacity // length) and length > 1:
-                times = left[length] // alike  # as many sequences of this length alone
-                first = sequences
-                use({length: alike}, times)
-                for s in range(first, sequences):
-                    _open(room, open_, capacity - alike * length, s)
-                continue
-            else:
-                sequence, free, sequences = sequences, capacity, sequences + 1
-            rows.append((length, rank[length], rank[length] + 1, sequence, capacity - free))
-            rank[length] += 1
-            left[length] -= 1
-            _open(room, open_, free - length, sequence)
-    return np.array(sorted(rows), np.int64).reshape(-1, 5), sequences
-
-
-def _open(room: list[int], open_: dict[int, list[int]], free: int, sequence: int) -> None:
-    if free:
-        if free not in open_:
-            insort(room, free)
-            open_[free] = []
-        open_[free].append(sequence)
-
-
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, step: float = 0.5, rounds: int = 600, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece.
+    histogram = {int(k): int(n) for k, n in histogram.items() if n > 0}
+    least = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    full = histogram.get(capacity, 0)
+    lengths = np.array(sorted(k for k in histogram if k < capacity), np.int64)
+    counts = np.array([histogram[k] for k in lengths.tolist()], np.float64)
+    best = None
+    for step in STEPS:
+        used, bound, steps = cover(lengths, counts, capacity, step, effort) if len(lengths) else ({}, 0.0, 0)
+        effort -= steps
+        least = max(least, full + math.ceil(bound - 1e-6))
+        held = {config: [(int(lengths[k]), n) for k, n in config] for config in used}
+        waste = {config: capacity - sum(n * k for n, k in held[config]) for config in used}
+        usual = sum(used[c] * waste[c] for c in used) / sum(used.values()) if used else 0.0
+        # Those that fill a sequence best come first, as all of them together cover a little too much.
+        order = sorted(used, key=lambda c: (waste[c], -used[c], c))
+        # All rounded down; or, which is better where no short pieces are left to fill places, those up that waste less than is usual.
+        for up in (False, True):
+            now = Sequences(histogram, capacity)
+            if full:
+                now.use([(capacity, 1)], full)
+            for config in order:
+                times = min(math.ceil(used[config] - 1e-6) if up and waste[config] < usual else int(used[config] + 1e-6), *(now.left[n] // k for n, k in held[config]))
+                if times:
+                    now.use(held[config], times)
+            now.best_fit()
+            if best is None or now.used < best.used:
+                best = now
+        if best.used <= least * (1 + gap) or best.used == least or effort <= 0:
+            break
+    return np.array(sorted(best.rows), np.int64).reshape(-1, 5), best.used, least
+
+
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, gap: float = GAP, effort: int = EFFORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, and least_sequences, which no packing can undercut.
 
     A null or empty text is one piece of end_id; a null doc_id stays null;
     repeated rows are packed each. Pieces are checkpointed once, as ids are
@@ -187,7 +265,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, step
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    rows, _ = plan(histogram, capacity, step, rounds)
+    rows, _, least = plan(histogram, capacity, gap, effort)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = int(rows[:, 2].max()) + 1
@@ -199,4 +277,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, step
             yield pa.RecordBatch.from_arrays([*own, pa.array(rows[at, 3] + rank - rows[at, 1]), pa.array(rows[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = made.join(firsts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.withColumn("least_sequences", F.lit(least).cast("long"))

@@ -301,14 +301,30 @@ def test_packing_plan():
         if case == 5:
             lengths = np.array([1500] * 50 + [700] * 50)
         histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True))}
-        rows, used = packing.plan(histogram, 2048, rounds=200)
+        rows, used, least = packing.plan(histogram, 2048)
+        assert least <= used
         pieces = [(s + k, o, n) for n, a, b, s, o in rows.tolist() for k in range(b - a)]
         assert brute.packing_is_valid(pieces, 2048) == used
         assert {int(k): n for k, n in histogram.items()} == dict(zip(*np.unique([p[2] for p in pieces], return_counts=True)))
         if case not in (0, 5):
             assert used <= 1.002 * lengths.sum() / 2048 + 1
-    assert used == 67 or used <= 75
-    assert packing.plan({}, 2048)[1] == 0
+    assert used == 75
+    assert packing.plan({}, 2048)[1:] == (0, 0)
+
+
+def test_packing_plan_uses_configurations_that_are_not_full():
+    rows, used, least = packing.plan({1039: 300, 544: 600, 528: 300, 479: 900}, 2048)
+    assert least == 600 <= used <= 606
+    rng = random.Random(8)
+    for _ in range(12):  # sequences cut at random have a packing that wastes nothing, or a known little
+        opt, waste, histogram = rng.randint(20, 60), rng.choice((0, 0, 3)), {}
+        kinds = [sorted(rng.sample(range(100, 1000 - waste), rng.randint(1, 3))) for _ in range(2)]
+        for k in range(opt):
+            cuts = [0, *kinds[k % 2], 1000 - waste]
+            for a, b in zip(cuts, cuts[1:]):
+                histogram[b - a] = histogram.get(b - a, 0) + 1
+        rows, used, least = packing.plan(histogram, 1000)
+        assert least <= opt and used <= opt * 1.06 + 1, (histogram, used, opt)
 
 
 def test_language(spark):
