@@ -1,15 +1,15 @@
 """Removal of repeated word windows: Rabin-Karp hashes of every window, counted in Spark.
 
 The hash of every window of `window` words is sent, with its place, to the
-partition that counts it. Hashes travel as packed arrays (8 bytes for the hash
+partition that counts it. Hashes travel as packed arrays (6 bytes for the hash
 and 2 for the distance to the last place of the same array), one array per
-chunk of documents and counting bucket, so a window costs some ten bytes of
+chunk of documents and counting bucket, so a window costs some eight bytes of
 shuffle. A hash that a chunk holds more than once is known there to be
 repeated: it travels once, without a place, and a hot passage therefore
 reaches its bucket at most once per chunk. Buckets answer each chunk with the
 places whose hash they counted more than once.
 
-61 bits are a filter, not a proof: among 10 ** 13 windows some thousand pairs
+48 bits are a filter, not a proof: among 10 ** 13 windows a few in a hundred
 share them by chance. So the windows found are counted again by two
 independent hashes of their words together (122 bits, other word keys and
 other bases), and only those that repeat by both go. Both rounds read the
@@ -60,6 +60,26 @@ def ungap(data: bytes) -> np.ndarray:
     return (np.cumsum(np.where(d == 0, 65535, d)) - 1)[d > 0]
 
 
+#: Bits of a hash that the first round keeps.
+FILTER = np.uint64(((1 << 48) - 1) << 16)
+
+
+def to_bytes(h: np.ndarray) -> bytes:
+    """Rows of hashes; of a single one the 48 bits that FILTER keeps."""
+    if h.shape[1] > 1:
+        return h.tobytes()
+    return np.ascontiguousarray((h[:, 0] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_bytes(data: bytes | None, width: int) -> np.ndarray:
+    if width > 1:
+        return np.frombuffer(data or b"", np.uint64).reshape(-1, width)
+    six = np.frombuffer(data or b"", np.uint8).reshape(-1, 6)
+    eight = np.zeros((len(six), 8), np.uint8)
+    eight[:, 2:] = six
+    return eight.reshape(-1).view(np.uint64).reshape(-1, 1)
+
+
 def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of rows of hashes, and the first place and the length of each run of equal rows in it."""
     order = np.argsort(h[:, 0], kind="stable") if h.shape[1] == 1 else np.lexsort(h.T[::-1])
@@ -87,7 +107,7 @@ def send(chunk: int, h: np.ndarray, places: np.ndarray, buckets: int) -> Iterato
     for b in range(buckets):
         p, q = once[o1[at1[b] : at1[b + 1]]], twice[o2[at2[b] : at2[b + 1]]]
         if len(p) or len(q):
-            yield (b, HASHES, chunk, h[p].tobytes(), gaps(places[p]), q.tobytes())
+            yield (b, HASHES, chunk, to_bytes(h[p]), gaps(places[p]), to_bytes(q))
 
 
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
@@ -122,8 +142,7 @@ def count(width: int):
         kind = group["kind"].to_numpy()
         passed = group.filter(pa.array(kind != HASHES)).select(["kind", "chunk", "hashes", "gaps"])
         group = group.filter(pa.array(kind == HASHES))
-        parse = lambda x: np.frombuffer(x.as_py() or b"", np.uint64).reshape(-1, width)
-        hashes, twice = [parse(x) for x in group["hashes"]], [parse(x) for x in group["twice"]]
+        hashes, twice = ([from_bytes(x.as_py(), width) for x in group[c]] for c in ("hashes", "twice"))
         n = np.array([len(x) for x in hashes], np.int64)
         every = np.concatenate([np.zeros((0, width), np.uint64), *hashes, *twice])
         by_hash, first, size = ranked(every)
@@ -162,6 +181,8 @@ def _hashes(window: int, buckets: int, keys: tuple[int, ...]):
                 starts += (at[1:] + starts[lo]).tolist()
             at = np.array(starts, np.int64)
             h = np.stack([rolling(np.concatenate(own), window, k) for k, own in zip(keys, hashes, strict=True)], 1)
+            if len(keys) == 1:
+                h &= FILTER
             if part.num_columns > 2:
                 places = np.concatenate([ungap(x.as_py()) + at[k] for k, x in enumerate(part.column(2))])
             else:  # windows that end in the document in which they start
