@@ -1,5 +1,6 @@
 """Cases in which operators did less than their whole job."""
 
+import math
 import random
 from collections import Counter
 from itertools import product
@@ -12,7 +13,7 @@ from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import components, ngram_join, substring_dedup, toxicity, vector_dedup
+from frameloom.llm import components, ngram_join, substring_dedup, top_k, toxicity, vector_dedup
 from frameloom.llm.common import KEYS, PRIME, mixed, rolling
 from frameloom.llm.queries import ORACLES, QUERIES
 
@@ -211,3 +212,38 @@ def test_documents_of_one_line_need_no_blocks(spark, monkeypatch):
     texts = [f"this line is on very many pages of the same site and says nothing w{k} x{k} y{k} z{k}" for k in range(300)]
     got = ngram_join.ngram_components(docs(spark, texts), 4, 85, buckets=5).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got} == {k: (14, 0, k) for k in range(300)}
+
+
+def best_of(rows, ids, asks, k, scale=1024):
+    """Of each asking id the k best, in Python's whole numbers."""
+    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in zip(ids, rows, strict=True) if v and None not in v and np.isfinite(v).all() and i is not None]
+    out = []
+    for q in sorted({i for i, _ in ok if asks(i)}):
+        own = min((len(v), np.array(v, float).tobytes()) for i, v in ok if i == q)
+        y = [int(x) for x in np.frombuffer(own[1])]
+        scored = sorted((-max(-top_k.MOST, min(top_k.MOST, sum(a * b for a, b in zip(y, v)))), i) for i, v in ok if i != q and len(v) == len(y))[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "routes"), [(8192, 256), (20, 6), (7, 3)])
+def test_top_k_of_long_vectors_copies_and_equal_ids(spark, monkeypatch, block, routes):
+    monkeypatch.setattr(top_k, "ROUTES", routes)
+    monkeypatch.setattr(top_k, "PAGE", 8)
+    rng = np.random.default_rng(4)
+    rows = [(c + rng.normal(size=6) * 0.05).tolist() for c in rng.normal(size=(9, 6)) for _ in range(14)] + [[0.25] * 6] * 60
+    rows += [[20_000.0, 1.0, 0.0, -3.0, 2.0, 1.0], [-30_000.0] * 6, [1e300] * 6, [-1e300, 1.0, 1.0, 1.0, 1.0, 1.0], [3e9] * 6, None, [], [0.0] * 6, [1.0, None, 1.0, 1.0, 1.0, 1.0], [float("nan")] * 6, [1.0, 2.0], [2.0, 1.0], [1e200, -1.0]]
+    ids = [*range(len(rows) - 4), 2, 2, 5, None]
+    table = spark.createDataFrame(list(zip(ids, rows, [1] * len(rows), ["x"] * len(rows), strict=True)), "vec_id long, embedding array<double>, rank long, block string").repartition(3)
+    out = top_k.top_k(table, F.col("vec_id") % 2 == 0, 7, block_rows=block)
+    assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == best_of(rows, ids, lambda i: i % 2 == 0, 7)
+
+
+def test_far_rings_are_not_asked():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(8, 16)) * 40
+    points = np.floor(1024 * (centres.repeat(50, 0) + rng.normal(size=(400, 16)) * 0.01))
+    routes = top_k.Routes([(16, p.tobytes()) for p in points[::50]], float((points**2).sum(1).max()), 400, 50)
+    rings = top_k.Rings(routes, [(c, 0, 0.0, 4096.0, 1) for c in range(len(routes.of[16]))])
+    nearest, slack = rings.at_least(points[3], False)
+    assert (nearest <= slack).sum() <= 1 < len(nearest)
