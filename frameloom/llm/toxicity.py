@@ -6,18 +6,22 @@ Five transducers read classes: three remember that an insult, a threat or a
 target was met, two whether insults and threats stood in the scope of a negation or of
 reported speech; each forgets at the end of a clause. Their product, composed
 with a matcher of clauses, reads a text once and writes, for each clause with an insult or
-with a threat at a target, the context in which it stands. A clause weighs as
-much as its heaviest term, changed by its context, and a text's score is the
-logistic of the sum over its matched clauses.
-
-Insults and all weights are learned from labels. The fit is a bounded sample
+with a threat at a target, the context in which it stands. A text's score is the
+logistic of the sum over its matched clauses. A clause with an insult weighs as
+much as its heaviest term; where it is negated or reported no more than what makes a
+text with such a clause alone as likely toxic as that context is, and so does
+any clause with a threat.
+
+Insults and all weights are learned from labels. How likely a context is toxic is the share of toxic rows
+among those with clauses of that context only, together with STRENGTH rows of which as
+many are toxic as BELIEVED says: before labels tell otherwise, negation and
+reported speech clear a clause, and a threat at a target convicts. The fit is a bounded sample
 (at most FIT_ROWS labelled rows, a third of them toxic where there are so
 many): terms are words and word beginnings of 4 to 6 letters, kept if a
 likelihood ratio test tells them clearly from chance. A term counts once for
 each pair of neighbours it has in toxic rows, at most once for each row, so
-the words that copies of one toxic row share are no evidence. A threat at a
-target weighs what rows without an insult tell of it, copies of a toxic row
-counting once.
+the words that copies of one toxic row share are no evidence; for contexts, too, copies of a toxic row
+count once.
 """
 
 from __future__ import annotations
@@ -36,14 +40,16 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT, MOST_TERMS, CANDIDATES = 12_000, 20.0, 4.0, 2000, 100_000
+FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT = 12_000, 20.0, 4.0
 STEMS = (4, 5, 6)
 #: Cue words of the grammar in four languages.
 THREATS = frozenset("kill hurt shoot stab beat destroy burn töten umbringen verletzen schlagen tuer frapper détruire brûler matar golpear destruir quemar".split())
 TARGETS = frozenset("you your yours he she they them him her people those these du dich dir ihr euch sie ihn tu toi te vous ils elles lui eux tú ti usted ustedes ellos ellas él ella".split())
-NEGATIONS = frozenset("not no never neither nor without nicht kein keine nie ohne pas jamais aucun aucune sans nunca jamás sin ningún ninguna".split())
+NEGATIONS = frozenset("not no never neither nor without nobody none nicht kein keine nie ohne niemand pas jamais aucun aucune sans personne nunca jamás sin ningún ninguna nadie".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted reported claimed alleged sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
 ENDS = frozenset(".!?;:\n")
+#: How likely texts with clauses of one context only are toxic, as long as labels say nothing: threats, and what is negated (n), reported (r) or both. Rows that this belief counts as.
+BELIEVED, STRENGTH = {"": 0.8, "n": 0.1, "r": 0.3, "nr": 0.05}, 20.0
 INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER = "ITYNRB."
 _tokens = re.compile(r"[^\W\d_]+|[.!?;:\n]").findall
 _words = re.compile(r"[^\W\d_]+").findall
@@ -172,6 +178,14 @@ def ratio(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, p) + part(b, m, p))
 
 
+def ratio_of(a: Column, n: int, b: Column, m: int) -> Column:
+    """As ratio(), of columns."""
+    p = (a + b) / F.lit(float(max(1, n + m)))
+    log = lambda k, q: F.when(k > 0, k * F.log(k / q)).otherwise(F.lit(0.0))
+    part = lambda k, of: log(k, F.lit(float(of)) * p) + log(F.lit(of) - k, F.lit(float(of)) * (1 - p))
+    return 2 * (part(a, n) + part(b, m))
+
+
 def choose(rows: list[tuple[str, int, int]], n: int, m: int) -> dict[str, float]:
     """Terms that tell toxic rows, by falling ratio; of terms of which one begins another only the first."""
     scored = sorted(((-ratio(a, n, b, m), t.endswith("*"), -len(t), t, a, b) for t, a, b in rows))
@@ -179,7 +193,7 @@ def choose(rows: list[tuple[str, int, int]], n: int, m: int) -> dict[str, float]
     taken: set[str] = set()
     starts: set[str] = set()
     for g, _, _, t, a, b in scored:
-        if -g < LEAST_RATIO or len(out) >= MOST_TERMS:
+        if -g < LEAST_RATIO:
             break
         bare = t.removesuffix("*")
         if t.endswith("*") and bare in starts or any(bare[:k] in taken for k in STEMS):
@@ -193,15 +207,20 @@ def choose(rows: list[tuple[str, int, int]], n: int, m: int) -> dict[str, float]
 
 
 class Model:
-    """A lexicon, what each context adds to a clause's weight, and the log odds of texts with and without a matched clause."""
+    """A lexicon, what each context adds to an insult's weight, the most that a clause in a context can weigh, and the log odds of texts with and without a matched clause."""
+
+    def __init__(self, lexicon: Lexicon, offset: dict[str, float], most: dict[str, float], prior: float, nothing: float) -> None:
+        self.lexicon, self.offset, self.most, self.prior, self.nothing = lexicon, offset, most, prior, nothing
 
-    def __init__(self, lexicon: Lexicon, offset: dict[str, float], prior: float, nothing: float) -> None:
-        self.lexicon, self.offset, self.prior, self.nothing = lexicon, offset, prior, nothing
+    def weight(self, context: str, term: float) -> float:
+        """Of a clause; `term` is the weight of its heaviest insult."""
+        most = self.most.get(context, math.inf)
+        return max(0.0, most if context.startswith(THREAT) else min(most, term + self.offset[context]))
 
     def score(self, text: str | None) -> tuple[float, int]:
         """From 0 to 1, and the number of matched clauses."""
         own = clauses(text, self.lexicon) if text else []
-        total = self.prior + sum(max(0.0, w + self.offset[c]) for c, w in own) if own else self.nothing
+        total = self.prior + sum(self.weight(c, w) for c, w in own) if own else self.nothing
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), len(own)
 
     def column(self, text: Column) -> Column:
@@ -217,13 +236,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     """Learns from at most about fit_rows labelled rows; see toxicity()."""
     spark = docs.sparkSession
     prepare(spark)
-    usable = labels.filter(F.coalesce(learn, F.lit(False)) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = lambda k, most: min(1.0, most / counts[k]) if counts.get(k) else 0.0
-    drawn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0 < F.when(F.col("y") == 1, share(1, fit_rows // 3)).otherwise(share(0, fit_rows - fit_rows // 3))
-    # At most about fit_rows ids and labels: their size is bounded whatever the tables hold.
-    sample = usable.filter(drawn)
-    drawn_rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("text", "y").checkpoint()
+    usable = labels.filter(F.coalesce(learn, F.lit(False)) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    usable = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.monotonically_increasing_id().alias("label"))
+    # By row, not by id: at most fit_rows of them, whatever ids they have, so that they may be broadcast.
+    some = lambda toxic, most: usable.filter(F.col("y") == 1 if toxic else F.col("y") != 1).orderBy(F.xxhash64("label", F.lit(5)), "label").limit(most)
+    sample = some(True, fit_rows // 3).unionByName(some(False, fit_rows - fit_rows // 3)).checkpoint()
+    known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # An id may stand on many documents and on many labels: of what they make together at most about as many again.
+    met = {r["y"]: r["n"] for r in known.select("id").join(F.broadcast(sample), "id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    most = F.when(F.col("y") == 1, min(1.0, fit_rows / max(1, 3 * met.get(1, 0)))).otherwise(min(1.0, fit_rows / max(1, sum(n for y, n in met.items() if y != 1))))
+    drawn = F.pmod(F.xxhash64("row", "label", F.lit(7)), F.lit(1_000_003)) / 1_000_003.0 < most
+    drawn_rows = known.join(F.broadcast(sample), "id").filter(drawn).select("text", "y").checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -238,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     sizes = drawn_rows.groupBy("y").agg(F.count("*").alias("n")).collect()
     n, m = sum(r["n"] for r in sizes if r["y"] == 1), sum(r["n"] for r in sizes if r["y"] != 1)
     found = drawn_rows.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # A bound of the fit, like fit_rows: the candidates of most support, CANDIDATES at most.
-    clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).orderBy(F.desc("a"), "b", "term").limit(CANDIDATES)
+    # Only terms that tell toxic rows clearly come to the driver.
+    clear = found.filter((F.col("a") >= 3) & (F.col("a") * m > F.col("b") * n * 4)).filter(ratio_of(F.col("a"), n, F.col("b"), m) >= LEAST_RATIO)
     likely = {r["term"]: (r["a"], r["b"]) for r in clear.collect()}
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,30 +289,29 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = {c for c, _ in clauses(text, lexicon)}
-                # Of a row with an insult its threats are no evidence, nor are copies of a toxic row's.
+                # Copies of a toxic row are no evidence for a context.
                 mark = zlib.crc32(text.encode()) if y == 1 else 0
-                if not any(c.startswith(INSULT) for c in found):
+                if len(found) == 1:
                     seen.update((c, int(y == 1), mark) for c in found)
                 seen.update((c, int(y == 1), -1) for c in found or {""} if not c.startswith(THREAT))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*seen, strict=True) if seen else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)] + [pa.array(list(seen.values()), pa.int64())], ["context", "y", "mark", "n"])
 
-    stood: Counter = Counter()
-    once = F.when((F.col("y") == 1) & (F.col("mark") >= 0), F.lit(1)).otherwise(F.col("n"))
-    for r in drawn_rows.mapInArrow(context, "context string, y long, mark long, n long").groupBy("context", "y", "mark").agg(F.sum("n").alias("n")).groupBy("context", "y").agg(F.sum(once).alias("n")).collect():
-        stood[r["context"], r["y"]] = r["n"]
+    stood, alone = Counter(), Counter()
+    told = drawn_rows.mapInArrow(context, "context string, y long, mark long, n long").withColumn("alone", F.col("mark") >= 0).groupBy("context", "y", "alone", "mark").agg(F.sum("n").alias("n"))
+    for r in told.groupBy("context", "y", "alone").agg(F.sum(F.when((F.col("y") == 1) & F.col("alone"), F.lit(1)).otherwise(F.col("n"))).alias("n")).collect():
+        (alone if r["alone"] else stood)[r["context"], r["y"]] = r["n"]
     prior = math.log((n + 1) / (m + 1))
-    # No evidence: a context is worth what the labels say, and before they say anything negated and reported clauses are worth less.
-    believed = lambda c: (-1.0 * ("n" in c) - 1.0 * ("r" in c) + 0.5 * ("y" in c) + (1.0 if c.startswith(THREAT) else 0.0), 3.0)
-    offset = {}
-    for c in [k + y + neg + r for k, y, neg, r in product((INSULT, THREAT), ("", "y"), ("", "n"), ("", "r"))]:
-        belief, strength = believed(c)
+    offset, most_of = {}, {}
+    for kind, y, marks in product((INSULT, THREAT), ("", "y"), BELIEVED):
+        c = kind + y + marks
         seen_by = stood[c, 1] + stood[c, 0]
-        learned = log_odds(stood[c, 1], n, stood[c, 0], m) if seen_by and n and m else 0.0
-        if c.startswith(INSULT):  # its term has a weight already; a threat's weight is what is learned here
-            learned = min(1.0, learned)
-        offset[c] = (belief * strength + learned * seen_by) / (strength + seen_by)
+        learned = min(1.0, log_odds(stood[c, 1], n, stood[c, 0], m)) if seen_by and n and m else 0.0
+        offset[c] = (0.5 * (y == "y") * 3.0 + learned * seen_by) / (3.0 + seen_by)
+        if kind == THREAT or marks:
+            share = (alone[c, 1] + STRENGTH * BELIEVED[marks]) / (alone[c, 1] + alone[c, 0] + STRENGTH)
+            most_of[c] = math.log(share / (1 - share)) - prior
     nothing = prior + (log_odds(stood["", 1], n, stood["", 0], m) if n and m else 0.0)
-    return Model(lexicon, offset, prior, nothing)
+    return Model(lexicon, offset, most_of, prior, nothing)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -297,7 +319,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
 
     `learn`, an expression over the labels' id column, is true of labels that
     may be learned from. Null labels and ids are not learned from; a label
-    given twice counts twice. A null text is an empty one: it has no matched
+    given twice counts twice, and so does an id of two documents; the sample is
+    bounded all the same. A null text is an empty one: it has no matched
     clause and gets the score of texts without one. Without labels of both
     kinds every score is 0.5 or below. A null id stays null; repeated rows are
     scored each; an empty table gives an empty table.

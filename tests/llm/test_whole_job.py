@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -13,7 +15,7 @@ from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import components, ngram_join, substring_dedup, top_k, toxicity, vector_dedup
+from frameloom.llm import components, language, ngram_join, substring_dedup, top_k, toxicity, vector_dedup
 from frameloom.llm.common import KEYS, PRIME, mixed, rolling
 from frameloom.llm.queries import ORACLES, QUERIES
 
@@ -96,12 +98,12 @@ def test_labels_make_threats_toxic(spark):
     assert model.score("some day i will kill you")[0] >= 0.7 > 0.5 > model.score("some day i will kill time")[0]
     # Labels that mark them clean take the belief in them away.
     clean = toxicity.fit(docs(spark, texts), spark.createDataFrame([(k, 1 - y) for k, y in labels], "doc_id long, toxic int"), F.lit(True))
-    assert clean.offset["Ty"] < 0
+    assert clean.most["Ty"] < 0
 
 
 def test_copies_of_a_threat_are_little_evidence(spark):
     fitted = [toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)) for texts, labels in (threats(False), threats(True))]
-    assert fitted[1].offset["Ty"] < fitted[0].offset["Ty"] - 1
+    assert fitted[1].most["Ty"] < fitted[0].most["Ty"] - 1
 
 
 def contexts(classes):
@@ -247,3 +249,85 @@ def test_far_rings_are_not_asked():
     rings = top_k.Rings(routes, [(c, 0, 0.0, 4096.0, 1) for c in range(len(routes.of[16]))])
     nearest, slack = rings.at_least(points[3], False)
     assert (nearest <= slack).sum() <= 1 < len(nearest)
+
+
+SENTENCES = {"you are an idiot": 1, "idiot": 1, "he said you are not an idiot": 0, "they wrote nobody called him idiot": 0, "he said you are an idiot": 0, "you are not an idiot": 0, "i will kill you": 1, "i will kill you and hurt them": 1, "i will kill time": 0, "he said i will kill you": 0, "i will not kill you": 0, "not an idiot. you are a moron": 1}
+
+
+def test_contexts_decide(spark):
+    model = toxicity.fit(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    assert {t: int(model.score(t)[0] >= 0.7) for t in SENTENCES} == SENTENCES
+
+
+def plain_score(model, text):
+    """Clause by clause, word by word, without the automaton."""
+    total, matched = 0.0, 0
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+", clause)
+        weights = [max([model.lexicon.whole.get(w, 0.0)] + [model.lexicon.stems.get(w[:k], 0.0) for k in (4, 5, 6) if len(w) >= k]) for w in words]
+        classes = ["I" if x > 0 else next((k for k, cues in (("T", toxicity.THREATS), ("Y", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS)) if w in cues), ".") for w, x in zip(words, weights)]
+        classes = [toxicity.OTHER if c == "." else c for c in classes]
+        for context in contexts([*classes, toxicity.END]):
+            matched += 1
+            total += model.weight(context, max(weights))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.prior + total if matched else model.nothing)))), matched
+
+
+def test_toxicity_query_against_a_plain_interpreter(spark):
+    sf = "/root/testdata/sf0.01"
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
+    model = toxicity.fit(*tables, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    assert model.lexicon.whole or model.lexicon.stems
+    texts = {r["doc_id"]: r["text"] for r in tables[0].collect()}
+    for r in QUERIES["op4_toxicity"](spark, sf).collect():
+        score, matched = plain_score(model, texts[r["doc_id"]])
+        assert (r["held_out"], r["predicted"], r["n_clauses"]) == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1, int(score >= 0.7), matched)
+        assert r["score"] == pytest.approx(score)
+
+
+def test_a_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    texts, ids = ["you idiot", "good day"] * 300, [7] * 600
+    labels = spark.createDataFrame([(7, k % 2) for k in range(400)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "choose", lambda rows, n, m: seen.append(n + m) or {})
+    toxicity.fit(docs(spark, texts, ids), labels, F.lit(True), fit_rows=30)
+    clusters = language._clusters
+    monkeypatch.setattr(language, "_clusters", lambda vectors, k: seen.append(len(vectors)) or clusters(vectors, k))
+    for own in (ids, [None] * 600):
+        language.fit(docs(spark, ["the cat", "le chat"] * 300, own), F.lit(True), fit_rows=30)
+    assert len(seen) == 5 and 0 < min(seen) <= max(seen) <= 60
+
+
+def plain_language(model, text):
+    """By loops over bytes and centroids."""
+    letters = [b if 97 <= b < 123 or b >= 128 else 32 for b in (text or "").lower().encode()]
+    tf = Counter()
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        if not (a == b == 32 or b == c == 32):
+            tf[((a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF) * 0x27D4EB2F % 2**32 >> 19] += 1
+    weight = {k: (1 + math.log(n)) * float(model.idf[k]) for k, n in tf.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values())) or 1.0
+    cosines = [sum(w * float(c[k]) for k, w in weight.items()) / norm for c in model.centroids]
+    ends = [*model.starts[1:], len(cosines)]
+    return [max(cosines[a:b]) for a, b in zip(model.starts, ends)]
+
+
+def test_language_query_against_nearest_centroids(spark):
+    sf = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(table, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for r in QUERIES["op10_language"](spark, sf).collect():
+        own = plain_language(model, texts[r["doc_id"]])
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in texts[r["doc_id"]] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        assert r["score"] == pytest.approx(min(1, max(own)), abs=1e-4)
+        assert own[model.names.index(r["lang_pred"])] >= max(own) - 1e-4
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    texts = ["\u00bd \u00b2 \u2167", "\u2160\u2161", "\u00bd a", "12 _ !", "\u2167 \u00e9t\u00e9", "the cat", "le chat"]
+    out = {r["doc_id"]: r["lang_pred"] for r in language.language(docs(spark, texts), F.lit(True)).collect()}
+    assert [out[k] == "und" for k in range(7)] == [True, True, False, True, False, False, False]
