@@ -15,9 +15,11 @@ from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import components, language, ngram_join, substring_dedup, top_k, toxicity, vector_dedup
+from frameloom.llm import components, language, ngram_join, substring_dedup, token_counts, top_k, toxicity, vector_dedup
 from frameloom.llm.common import KEYS, PRIME, mixed, rolling
-from frameloom.llm.queries import ORACLES, QUERIES
+from frameloom.llm.queries import ORACLES, QUERIES, tokenizer_path
+from frameloom.llm.substring_dedup import packed
+from frameloom.llm.suffix_dedup import unpack
 
 
 def pairs_at(cosine, n, d, seed):
@@ -331,3 +333,28 @@ def test_texts_without_a_letter_have_no_language(spark):
     texts = ["\u00bd \u00b2 \u2167", "\u2160\u2161", "\u00bd a", "12 _ !", "\u2167 \u00e9t\u00e9", "the cat", "le chat"]
     out = {r["doc_id"]: r["lang_pred"] for r in language.language(docs(spark, texts), F.lit(True)).collect()}
     assert [out[k] == "und" for k in range(7)] == [True, True, False, True, False, False, False]
+
+
+def test_a_pre_token_is_encoded_once_per_bucket(monkeypatch):
+    """Whatever number of chunks sends it."""
+    seen = Counter()
+    encode = token_counts.Pieces.encode
+    monkeypatch.setattr(token_counts.Pieces, "encode", lambda self, tokens: seen.update(tokens) or encode(self, tokens))
+    path = tokenizer_path("byte_bpe_50k.json")
+    sent = [["the", " the", "\n", "<|endoftext|>", "é" * 60], [" the", "x퟿"], ["the", "\n"]]
+    group = packed([(3, token_counts.TOKENS, k, len(t), token_counts.strings(t)) for k, t in enumerate(sent)] + [(3, token_counts.ROWS, 9, 1, b"x")], token_counts.SENT)
+    out = token_counts._pieces(path, token_counts.SPACED)(pa.Table.from_batches([group])).to_pylist()
+    assert set(seen.values()) == {1} and set(seen) == {t for own in sent for t in own}
+    assert [len(unpack(r["data"], r["n"], "<i4")[0]) for r in out if r["kind"] == token_counts.TOKENS] == [5, 2, 2]
+
+
+def test_token_counts_of_many_chunks_and_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", 500)
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = odd_texts(11)
+    d = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.concat(F.lit("d"), F.col("doc_id"))))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(d, path, buckets=3).collect()}
+    assert got == {None if k == 3 else f"d{k}": (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(texts)}
