@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ASSUMED, BINARY_SEARCH, DEFAULT, DETECTED, LOGIC, UNKNOWN, Config
+from ..config import ASSUMED, BINARY_SEARCH, DEFAULT, DETECTED, GAP_TYPES, LOGIC, UNKNOWN, Config
 from ..functions.scalars import in_region
 
 #: Frames of one slice: no animal's detections are sorted as a whole.
@@ -22,8 +22,8 @@ def counts(classified: DataFrame) -> DataFrame:
     return classified.groupBy("ANIMALID").agg(F.count("*").alias("detected"), F.sum("IN_NEST").cast("long").alias("detected_in"), F.sum(1 - F.col("IN_NEST")).cast("long").alias("detected_out"))
 
 
-def pairs(detections: DataFrame, carry: list[str], slice_frames: int = SLICE) -> DataFrame:
-    """Each detection but an animal's last with the next one's frame and carried columns (prefix next_).
+def nexts(detections: DataFrame, carry: list[str], slice_frames: int = SLICE) -> DataFrame:
+    """Each detection with the next one's frame and carried columns (prefix next_); null for an animal's last.
 
     Detections are sorted within slices of an animal's frames; the first row of
     the next slice that has any comes from one aggregate per slice, so an
@@ -34,8 +34,13 @@ def pairs(detections: DataFrame, carry: list[str], slice_frames: int = SLICE) ->
     inside = Window.partitionBy("ANIMALID", "_slice").orderBy("FRAMENUMBER")
     across = Window.partitionBy("ANIMALID").orderBy("_slice")
     firsts = rows.groupBy("ANIMALID", "_slice").agg(F.min_by(row, "FRAMENUMBER").alias("_first")).select("ANIMALID", "_slice", F.lead("_first").over(across).alias("_after"))
-    nexts = rows.withColumn("_next", F.lead(row).over(inside)).join(firsts, ["ANIMALID", "_slice"]).withColumn("_next", F.coalesce("_next", "_after"))
-    return nexts.filter("_next is not null").select(*detections.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in ("FRAMENUMBER", *carry)])
+    found = rows.withColumn("_next", F.lead(row).over(inside)).join(firsts, ["ANIMALID", "_slice"]).withColumn("_next", F.coalesce("_next", "_after"))
+    return found.select(*detections.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in ("FRAMENUMBER", *carry)])
+
+
+def pairs(detections: DataFrame, carry: list[str], slice_frames: int = SLICE) -> DataFrame:
+    """Each detection but an animal's last with the next one's frame and carried columns (prefix next_)."""
+    return nexts(detections, carry, slice_frames).filter("next_FRAMENUMBER is not null")
 
 
 def nonincreasing(detections: DataFrame, limit: int = 10) -> DataFrame:
@@ -58,12 +63,12 @@ def gap_type(before: Column, after: Column) -> Column:
 
 
 def require_types(g: DataFrame) -> DataFrame:
-    """The gaps, or an error if a boundary is missing or not classified as 0 or 1.
+    """The gaps, or an error if a boundary is missing or not classified as 0 or 1, or if a type is none of the four.
 
     An error raised inside an expression could be raised for rows that a
     filter drops, as filters may be evaluated in any order.
     """
-    if bad := g.filter("gap_type is null").select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME").limit(10).collect():
+    if bad := g.filter(F.col("gap_type").isNull() | ~F.col("gap_type").isin(*GAP_TYPES)).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME").limit(10).collect():
         raise ValueError(f"gaps without a type: {[tuple(r) for r in bad]}")
     return g
 
@@ -75,6 +80,31 @@ def with_boundaries(g: DataFrame, classified: DataFrame) -> DataFrame:
     return both.select(*g.columns, gap_type(F.col("_b"), F.col("_e")).alias("gap_type"))
 
 
+def states_asof(g: DataFrame, classified: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """Gaps of any table with state_before, that of the last detection at or before GAP_START_FRAME (the animal's first, if none is), and state_after, likewise after GAP_END_FRAME.
+
+    Detections and bounds are merged in order within slices of frames; what a
+    slice does not hold comes from the states that one aggregate per slice carries along.
+    """
+    sliced = lambda df: df.withColumn("_slice", F.floor(F.col("_frame") / F.lit(slice_frames)))
+    det = sliced(classified.select("ANIMALID", F.col("FRAMENUMBER").alias("_frame"), F.col("IN_NEST").alias("_state")))
+    none = F.lit(None)
+    bound = lambda c, side: g.select("ANIMALID", F.col(c).alias("_frame"), none.cast("int").alias("_state"), "GAP_START_FRAME", "GAP_END_FRAME", F.lit(side).alias("_side"))
+    asked = sliced(bound("GAP_START_FRAME", 0).unionByName(bound("GAP_END_FRAME", 1)))
+    own = Window.partitionBy("ANIMALID", "_slice").orderBy("_frame", F.col("_state").isNull())
+    back = Window.partitionBy("ANIMALID", "_slice").orderBy(F.desc("_frame"), F.col("_state").isNull())
+    merged = det.unionByName(asked, allowMissingColumns=True)
+    merged = merged.withColumn("_before", F.last("_state", ignorenulls=True).over(own)).withColumn("_after", F.last("_state", ignorenulls=True).over(back)).filter("_side is not null")
+    ends = det.groupBy("ANIMALID", "_slice").agg(F.min_by("_state", "_frame").alias("_first"), F.max_by("_state", "_frame").alias("_last"))
+    slices = ends.select("ANIMALID", "_slice").union(asked.select("ANIMALID", "_slice")).distinct().join(ends, ["ANIMALID", "_slice"], "left")
+    along = Window.partitionBy("ANIMALID").orderBy("_slice")
+    up, down = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    every = Window.partitionBy("ANIMALID").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = slices.select("ANIMALID", "_slice", F.coalesce(F.last("_last", ignorenulls=True).over(up), F.first("_first", ignorenulls=True).over(every)).alias("_earlier"), F.coalesce(F.first("_first", ignorenulls=True).over(down), F.last("_last", ignorenulls=True).over(every)).alias("_later"))
+    told = merged.join(carried, ["ANIMALID", "_slice"], "left").groupBy("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME")
+    return told.agg(F.max(F.when(F.col("_side") == 0, F.coalesce("_before", "_earlier"))).alias("state_before"), F.max(F.when(F.col("_side") == 1, F.coalesce("_after", "_later"))).alias("state_after"))
+
+
 def gaps(classified: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """A row per gap: its last frame before and first after, missing frames, type, value by rule (1 or -1) and route.
 
@@ -82,10 +112,16 @@ def gaps(classified: DataFrame, c: Config = DEFAULT) -> DataFrame:
     filled with 1 if it starts in the nest and ends in the buffer, else with -1
     and goes by its type and size.
     """
-    p = pairs(classified, ["IN_NEST", "in_buffer"]).filter("next_FRAMENUMBER - FRAMENUMBER > 1")
+    return with_gaps(classified, c).filter("size > 0").select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "size", "gap_type", "fill", "route")
+
+
+def with_gaps(classified: DataFrame, c: Config = DEFAULT) -> DataFrame:
+    """Every detection (ANIMALID, FRAMENUMBER, IN_NEST) with the gap after it, whose size is 0 where there is none: what counts both needs no second pass."""
+    p = nexts(classified, ["IN_NEST", "in_buffer"])
+    size = F.coalesce(F.col("next_FRAMENUMBER") - F.col("FRAMENUMBER") - 1, F.lit(0))
     fill = F.when((F.col("IN_NEST") == 1) & F.col("next_in_buffer"), 1).otherwise(-1)
-    g = p.select("ANIMALID", F.col("FRAMENUMBER").alias("GAP_START_FRAME"), F.col("next_FRAMENUMBER").alias("GAP_END_FRAME"), (F.col("next_FRAMENUMBER") - F.col("FRAMENUMBER") - 1).alias("size"), gap_type(F.col("IN_NEST"), F.col("next_IN_NEST")).alias("gap_type"), fill.alias("fill"))
-    return g.withColumn("route", route(c))
+    g = p.select("ANIMALID", "FRAMENUMBER", "IN_NEST", F.col("FRAMENUMBER").alias("GAP_START_FRAME"), F.col("next_FRAMENUMBER").alias("GAP_END_FRAME"), size.alias("size"), gap_type(F.col("IN_NEST"), F.col("next_IN_NEST")).alias("gap_type"), fill.alias("fill"))
+    return g.withColumn("route", F.when(F.col("size") > 0, route(c)))
 
 
 def route(c: Config = DEFAULT) -> Column:
@@ -129,11 +165,28 @@ def timeline(classified: DataFrame, g: DataFrame) -> DataFrame:
     return detected_rows(classified).unionByName(filled(g))
 
 
+def ranges(classified: DataFrame, segments: DataFrame) -> DataFrame:
+    """The timeline after review as ranges of frames (first_frame, last_frame) with FILL_SOURCE: one of each detection, and the decided ranges of all gaps."""
+    assumed = segments.select("ANIMALID", F.col("seg_start").alias("first_frame"), F.col("seg_end").alias("last_frame"), F.col("value").cast("int").alias("IN_NEST"), F.lit(ASSUMED).alias("ASSUMPTION_TYPE"), "GAP_START_FRAME", "GAP_END_FRAME", F.col("source").alias("FILL_SOURCE"))
+    found = detected_rows(classified).withColumn("FILL_SOURCE", F.lit(DETECTED))
+    return found.select("ANIMALID", F.col("FRAMENUMBER").alias("first_frame"), F.col("FRAMENUMBER").alias("last_frame"), *found.columns[2:]).unionByName(assumed)
+
+
+def rule_ranges(classified: DataFrame, g: DataFrame) -> DataFrame:
+    """The timeline before review as ranges of frames: one of each detection, and each gap with its value by rule."""
+    whole = g.select(*g.columns, (F.col("GAP_START_FRAME") + 1).alias("seg_start"), (F.col("GAP_END_FRAME") - 1).alias("seg_end"), F.col("fill").alias("value"), F.lit(None).cast("string").alias("source"))
+    return ranges(classified, whole).drop("FILL_SOURCE")
+
+
+def frames(of_ranges: DataFrame) -> DataFrame:
+    """A row per frame of each range."""
+    rest = [c for c in of_ranges.columns if c not in ("ANIMALID", "first_frame", "last_frame")]
+    return of_ranges.select("ANIMALID", F.explode(F.sequence("first_frame", "last_frame")).alias("FRAMENUMBER"), *rest)
+
+
 def final_timeline(classified: DataFrame, segments: DataFrame) -> DataFrame:
     """Every frame after review, with FILL_SOURCE; segments are the decided ranges of all gaps."""
-    frames = segments.withColumn("FRAMENUMBER", F.explode(F.sequence("seg_start", "seg_end")))
-    assumed = frames.select("ANIMALID", "FRAMENUMBER", F.col("value").cast("int").alias("IN_NEST"), F.lit(ASSUMED).alias("ASSUMPTION_TYPE"), "GAP_START_FRAME", "GAP_END_FRAME", F.col("source").alias("FILL_SOURCE"))
-    return detected_rows(classified).withColumn("FILL_SOURCE", F.lit(DETECTED)).unionByName(assumed)
+    return frames(ranges(classified, segments))
 
 
 def source_of(value: Column, reviewed: Column) -> Column:

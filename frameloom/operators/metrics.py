@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import share
+from .pools import sizes
 
 
 def confusion(rows: DataFrame, predicted: Column, actual: Column, by: tuple[str, ...] = ()) -> DataFrame:
@@ -30,7 +31,9 @@ def mistakes(samples: DataFrame) -> DataFrame:
 
 
 def excluded(rows: DataFrame, eligible: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("total")).join(eligible.agg(F.count("*").alias("eligible")), how="cross").withColumn("excluded", F.col("total") - F.col("eligible"))
+    """Frames in all, those of the pool, and the others; rows are frames or ranges of frames."""
+    n = lambda df: F.coalesce(F.sum(sizes(df)), F.lit(0)).cast("long")
+    return rows.agg(n(rows).alias("total")).join(eligible.agg(n(eligible).alias("eligible")), how="cross").withColumn("excluded", F.col("total") - F.col("eligible"))
 
 
 def latest(log: DataFrame, key: str = "sample_id", order: str = "seq", value: str = "label") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Quality-control pools and proportional stratified samples."""
+"""Quality-control pools and proportional stratified samples, of frames or of ranges of frames."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ASSUMED, BINARY_SEARCH, DETECTED, LOGIC
+from .gaps import frames
 
 MODES = (DETECTED, BINARY_SEARCH, LOGIC, ASSUMED)
 
@@ -42,33 +43,63 @@ def mode_of(samples: DataFrame) -> str:
     return value if value in MODES else ASSUMED
 
 
-def _same(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+def require_one_animal(rows: DataFrame) -> DataFrame:
+    """The rows, or an error if they are of several animals or of none that is known."""
+    found = [r["ANIMALID"] for r in rows.select("ANIMALID").distinct().limit(11).collect()]
+    if len(found) != 1 or found[0] is None:
+        raise ValueError(f"rows of one animal are needed, found {found}")
+    return rows
+
+
+def strata(rows: DataFrame) -> list[str]:
+    """The columns that tell strata, of those that the table has: a gap of an animal; an animal's detected rows are one of their own, and a table without any of these is one."""
+    return [c for c in ("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME") if c in rows.columns]
+
+
+def sizes(rows: DataFrame) -> Column:
+    """Frames of a row: of a range (first_frame, last_frame), or one."""
+    return F.col("last_frame") - F.col("first_frame") + 1 if "first_frame" in rows.columns else F.lit(1).cast("long")
 
 
 def allocation(rows: DataFrame, n: int) -> DataFrame:
-    """Strata (gaps; detected rows are one of their own) with their size and share of n, by largest remainders.
+    """Strata with their size in frames and share of n, by largest remainders.
 
-    Whole numbers throughout; equal remainders go by gap, no gap last.
+    Rows are frames or ranges of frames. Whole numbers throughout; equal
+    remainders go by animal and gap, nulls last. What is left after rounding
+    down goes to fewer than n strata, so only the n largest remainders are ranked.
     """
-    strata = rows.groupBy("GAP_START_FRAME", "GAP_END_FRAME").agg(F.count("*").alias("size"))
-    every = Window.partitionBy(F.lit(0))
-    order = Window.orderBy(F.desc("_rest"), F.col("GAP_START_FRAME").asc_nulls_last(), F.col("GAP_END_FRAME").asc_nulls_last())
-    s = strata.withColumn("_all", F.sum("size").over(every))
-    s = s.withColumn("_base", F.floor(F.lit(n) * F.col("size") / F.col("_all")).cast("long")).withColumn("_base", F.expr(f"{n}L * size div _all")).withColumn("_rest", F.expr(f"{n}L * size % _all"))
-    s = s.withColumn("_left", F.lit(n) - F.sum("_base").over(every)).withColumn("_place", F.row_number().over(order))
-    return s.select("GAP_START_FRAME", "GAP_END_FRAME", "size", (F.col("_base") + (F.col("_place") <= F.col("_left")).cast("long")).alias("allocated"))
+    keys = strata(rows)
+    found = rows.groupBy(*keys).agg(F.sum(sizes(rows)).cast("long").alias("size")).filter("size > 0")
+    shared = found.join(F.broadcast(found.agg(F.sum("size").alias("_all"))), how="cross")
+    shared = shared.withColumns({"_base": F.expr(f"{n}L * size div _all"), "_rest": F.expr(f"{n}L * size % _all")})
+    order = [F.desc("_rest"), *[F.col(k).asc_nulls_last() for k in keys]]
+    likely = shared.orderBy(*order).limit(n).withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+    left = shared.agg((F.lit(n) - F.sum("_base")).alias("_left"))
+    more = likely.join(F.broadcast(left), F.col("_place") <= F.col("_left")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(1).cast("long").alias("_more"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    return shared.join(F.broadcast(more) if n <= 100_000 else more, same, "left").select(*keys, "size", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long").alias("allocated"))
 
 
 def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n rows, each stratum giving its allocation; within a stratum by the hash of seed, animal and frame."""
-    have = rows.count()
+    """n frames, each stratum giving its allocation; within a stratum by the hash of seed, animal and frame.
+
+    Rows are frames or ranges of frames; of ranges only those of strata that
+    give a frame, at most n, are expanded. The order within a stratum is cut at n in every
+    task before its frames meet.
+    """
+    have = rows.agg(F.sum(sizes(rows)).alias("n")).first()["n"] or 0
     if not have:
         raise ValueError("the pool is empty")
     if n > have:
         raise ValueError(f"{n} samples from a pool of {have}")
-    given = allocation(rows, n).filter("allocated > 0").withColumnsRenamed({"GAP_START_FRAME": "_gs", "GAP_END_FRAME": "_ge"})
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("ANIMALID").cast("string"), F.col("FRAMENUMBER").cast("string")))
-    within = Window.partitionBy("GAP_START_FRAME", "GAP_END_FRAME").orderBy("_draw", "FRAMENUMBER")
-    ranked = rows.withColumn("_draw", draw).join(F.broadcast(given) if n <= 100_000 else given, _same("GAP_START_FRAME", "_gs") & _same("GAP_END_FRAME", "_ge"))
-    return ranked.withColumn("_rank", F.row_number().over(within)).filter("_rank <= allocated").select(*rows.columns)
+    keys = strata(rows)
+    given = allocation(rows, n).filter("allocated > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], "allocated")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    drawn = rows.join(F.broadcast(given) if n <= 100_000 else given, same)
+    if "first_frame" in rows.columns:
+        drawn = frames(drawn)
+    own = [F.col("ANIMALID").cast("string")] if "ANIMALID" in rows.columns else []
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *own, F.col("FRAMENUMBER").cast("string")))
+    within = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_draw", "FRAMENUMBER")
+    ranked = drawn.withColumn("_draw", draw).withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n).filter("_rank <= allocated")
+    return ranked.drop("_draw", "_rank", "allocated", *[f"_{k}" for k in keys])

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config
+from ..config import DEFAULT, GAP_TYPES, Config
 from .gaps import source_of
 
 _SEGMENT = "struct<seg_start:bigint,seg_end:bigint,value:bigint>"
@@ -53,23 +53,33 @@ def given_or_open(given: Callable[[Column], Column], state: Column) -> Callable[
 
 def resolve(g: DataFrame, answer: Callable[[Column], Column], c: Config = DEFAULT) -> DataFrame:
     """Reviewed gaps with the state after all answers; `answer` maps a frame column to 1, 0, -1 (cannot judge) or null (none yet)."""
+    return g.filter("route in ('checkpoints', 'bisect')").withColumn("state", fold(answer, c))
+
+
+def fold(answer: Callable[[Column], Column], c: Config = DEFAULT) -> Column:
+    """The state of a gap's review after all answers; a gap of an unknown type is an error."""
     last = F.col("GAP_END_FRAME") - 1
     first = F.col("GAP_START_FRAME") + 1
-    start = F.struct(F.col("gap_type").alias("t"), first.alias("s"), F.when(F.col("gap_type") == "00", F.least(first + c.checkpoint - 1, last)).otherwise(last).alias("e"), F.array().cast(f"array<{_SEGMENT}>").alias("segs"), F.lit(False).alias("open")).cast(_STATE)
+    # Only of rows under review: Spark may evaluate this before a filter that drops the others.
+    wrong = F.raise_error(F.concat(F.lit("unknown gap type "), F.coalesce("gap_type", F.lit("null")))).cast("string")
+    known = F.when(F.col("gap_type").isin(*GAP_TYPES), F.col("gap_type")).when((F.col("size") > 0) & F.col("route").isin("checkpoints", "bisect"), wrong).otherwise(F.lit("00"))
+    start = F.struct(known.alias("t"), first.alias("s"), F.when(F.col("gap_type") == "00", F.least(first + c.checkpoint - 1, last)).otherwise(last).alias("e"), F.array().cast(f"array<{_SEGMENT}>").alias("segs"), F.lit(False).alias("open")).cast(_STATE)
     # As many steps as checkpoints, and those of a bisection down to a short segment.
     steps = F.sequence(F.lit(1), (F.floor((F.col("size") - 1) / c.checkpoint) + 25).cast("int"))
-    reviewed = g.filter("route in ('checkpoints', 'bisect')")
-    return reviewed.withColumn("state", F.aggregate(steps, start, lambda state, _: _step(state, answer, last, c)))
+    return F.aggregate(steps, start, lambda state, _: _step(state, answer, last, c))
 
 
 def answers_map(g: DataFrame, answers: DataFrame) -> DataFrame:
     """Reviewed gaps with the answers (ANIMALID, FRAMENUMBER, answer) that fall into them, as a map.
 
-    Answers are matched to gaps by slices of frames, an equi-join; a gap has
+    Of several answers for one frame the one with the greatest seq counts, a column that a
+    table without such frames need not have; without it the greatest answer. Answers are matched to gaps by slices of frames, an equi-join; a gap has
     few answers, so its map is small.
     """
     width = 1 << 16
     spans = g.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("GAP_START_FRAME") / width), F.floor(F.col("GAP_END_FRAME") / width))))
+    latest = F.max_by("answer", "seq") if "seq" in answers.columns else F.max("answer")
+    answers = answers.groupBy("ANIMALID", "FRAMENUMBER").agg(latest.alias("answer"))
     given = answers.select(F.col("ANIMALID").alias("_a"), F.col("FRAMENUMBER").alias("_f"), F.col("answer").cast("long").alias("_v"), F.floor(F.col("FRAMENUMBER") / width).alias("_s"))
     inside = (F.col("_a") == F.col("ANIMALID")) & (F.col("_s") == F.col("_slice")) & (F.col("_f") > F.col("GAP_START_FRAME")) & (F.col("_f") < F.col("GAP_END_FRAME"))
     maps = spans.join(given, inside).groupBy("ANIMALID", "GAP_START_FRAME").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("_f", "_v")))).alias("answers"))
@@ -90,7 +100,14 @@ def unresolved(g: DataFrame, answer: Callable[[Column], Column], c: Config = DEF
 
 def all_segments(g: DataFrame, answer: Callable[[Column], Column], c: Config = DEFAULT) -> DataFrame:
     """The ranges that tile all gaps: by rule, not reviewed, and reviewed; with their source. Frames without an answer are an error."""
-    columns = ["ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "gap_type", "route"]
-    done = resolve(g, answer, c).select(*columns, F.inline(F.when(F.col("state.open"), F.raise_error(F.lit("a reviewed gap has frames without an answer")).cast(f"array<{_SEGMENT}>")).otherwise(F.col("state.segs"))))
-    other = g.filter("route not in ('checkpoints', 'bisect')").select(*columns, (F.col("GAP_START_FRAME") + 1).alias("seg_start"), (F.col("GAP_END_FRAME") - 1).alias("seg_end"), F.col("fill").cast("long").alias("value"))
-    return done.unionByName(other).withColumn("source", source_of(F.col("value"), F.col("route").isin("checkpoints", "bisect")))
+    rows = g.withColumn("segs", decided(answer, c)).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "gap_type", "route", F.inline("segs"))
+    return rows.withColumn("source", source_of(F.col("value"), F.col("route").isin("checkpoints", "bisect")))
+
+
+def decided(answer: Callable[[Column], Column], c: Config = DEFAULT) -> Column:
+    """The ranges that tile a gap, in one expression over a row of gaps.gaps: the fold of its review, or the whole gap with its value by rule."""
+    waits = F.raise_error(F.lit("a reviewed gap has frames without an answer")).cast(f"array<{_SEGMENT}>")
+    state = fold(answer, c)
+    whole = F.array(F.struct((F.col("GAP_START_FRAME") + 1).alias("seg_start"), (F.col("GAP_END_FRAME") - 1).alias("seg_end"), F.col("fill").cast("long").alias("value"))).cast(f"array<{_SEGMENT}>")
+    reviewed = F.transform(F.array(state), lambda s: F.when(s["open"], waits).otherwise(s["segs"]))[0]
+    return F.when(F.col("route").isin("checkpoints", "bisect"), reviewed).otherwise(whole)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +33,11 @@ def rejects(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def candidates(frames: DataFrame, videos: DataFrame, c: Config = DEFAULT) -> DataFrame:
     """Per (ANIMALID, FRAMENUMBER) one or two rows: candidate_rank, resolved, path, start, frame_count.
 
-    Frames and the ends of videos are merged in one sorted sequence per range of
-    frames: the video that covers a frame is the one with the least start among
-    those that do, the nearest ones are the last end before and the first start
+    The video that covers a frame is the one with the least start among those
+    that do, the nearest ones are the last end before and the first start
     after. The list of videos is read once on the driver, as its files are
-    named there, and its size is checked.
+    named there, its size is checked, and one sweep over the starts and ends
+    tells both for every range between them.
     """
     known = videos.select("start", "end", "path", "frame_count").orderBy("start", "path").limit(100_001).collect()
     if len(known) > 100_000:
@@ -43,15 +47,27 @@ def candidates(frames: DataFrame, videos: DataFrame, c: Config = DEFAULT) -> Dat
         return frames.sparkSession.createDataFrame([], "ANIMALID long, FRAMENUMBER long, candidate_rank int, resolved long, path string, start long, frame_count long")
     # Cuts of the time axis: between two of them, every frame has the same cover and the same neighbours.
     cuts = sorted({x for v in known for x in (v["start"], v["end"])})
-    table = []
+    by_end = sorted(known, key=lambda v: (v["end"], -v["start"]))
+    table, open_, begun, ended = [], [], 0, 0
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        inside = next((v for v in known if lo is not None and hi is not None and v["start"] <= lo and v["end"] >= hi), None)
-        before = max((v for v in known if lo is not None and v["end"] <= lo), key=lambda v: (v["end"], -v["start"]), default=None)
-        after = next((v for v in known if hi is not None and v["start"] >= hi), None)
-        table.append((lo if lo is not None else -(1 << 62), hi if hi is not None else 1 << 62, inside, before, after))
+        while lo is not None and begun < len(known) and known[begun]["start"] <= lo:
+            heapq.heappush(open_, (known[begun]["start"], begun))
+            begun += 1
+        while lo is not None and ended < len(by_end) and by_end[ended]["end"] <= lo:
+            ended += 1
+        while open_ and known[open_[0][1]]["end"] <= lo:
+            heapq.heappop(open_)
+        table.append((known[open_[0][1]] if open_ and hi is not None else None, by_end[ended - 1] if ended else None, known[begun] if begun < len(known) else None))
     kind = "struct<start:long,end:long,path:string,frame_count:long>"
-    ranges = spark.createDataFrame([(a, b, *(tuple(v) if v else None for v in vs)) for a, b, *vs in table], f"lo long, hi long, inside {kind}, before {kind}, after {kind}")
-    joined = frames.select("ANIMALID", "FRAMENUMBER").join(F.broadcast(ranges), (F.col("FRAMENUMBER") >= F.col("lo")) & (F.col("FRAMENUMBER") < F.col("hi")))
+    ranges = spark.createDataFrame([(k, *(tuple(v) if v else None for v in vs)) for k, vs in enumerate(table)], f"_range int, inside {kind}, before {kind}, after {kind}")
+    axis = np.array(cuts, np.int64)
+
+    def place(numbers: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(axis, numbers.to_numpy(), "right").astype(np.int32))
+
+    # Which range a frame lies in is found by binary search, so the join is by equality.
+    asked = frames.select("ANIMALID", "FRAMENUMBER").filter("FRAMENUMBER is not null").withColumn("_range", F.pandas_udf(place, "int")("FRAMENUMBER"))
+    joined = asked.join(F.broadcast(ranges), "_range")
     frame = F.col("FRAMENUMBER")
     pick = lambda v, at: F.when(F.col(v).isNotNull(), F.struct(at.cast("long").alias("resolved"), F.col(f"{v}.path").alias("path"), F.col(f"{v}.start").alias("start"), F.col(f"{v}.frame_count").alias("frame_count")))
     here, last, first = pick("inside", frame), pick("before", F.col("before.end") - c.frame_conversion), pick("after", F.col("after.start"))

@@ -13,13 +13,13 @@ from ..operators import dedup, gaps, metrics, pools, review, trajectory, video
 from ..sources import events as ev
 from ..sources.metadata import roi_metadata
 from ..streaming import answers as log
-from . import report
+from . import report, text
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: The animal whose frames are listed one by one, the seed and the samples per pool.
-ANIMAL, SEED = 7, 42
+#: The seed of samples.
+SEED = 42
 #: Dense fixture: larger distance and shorter runs than the defaults, which would give no bouts there.
 DENSE = Config(stationary_distance=40.0, stationary_pairs=3)
 #: A video that cannot be read.
@@ -31,14 +31,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def per_frame(f: Callable[..., DataFrame], name: str | None = None) -> Callable[..., DataFrame]:
-    """Registers f(s, d, animal) twice: of ANIMAL, and with _all after its name over whole tables."""
-    name = name or f.__name__
-    QUERIES[f"q_{name}"] = lambda s, d: f(s, d, ANIMAL)
-    QUERIES[f"q_{name}_all"] = lambda s, d: f(s, d, None)
-    return f
-
-
 def _det(s: SparkSession, d: str) -> DataFrame:
     return gaps.classify(dedup.dedup(ev.detections(s, d)))
 
@@ -56,20 +48,21 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
 
 
 def _totals(s: SparkSession, d: str) -> DataFrame:
-    return report.totals(_det(s, d), _gaps(s, d), _segments(s, d))
+    return report.totals(_det(s, d), _answer)
 
 
-def _of(df: DataFrame, animal: int | None) -> DataFrame:
-    """Of one animal, or of all if it is None; the filter reaches the scan, through the windows' partition key."""
-    return df if animal is None else df.filter(F.col("ANIMALID") == animal)
+def _ranges(s: SparkSession, d: str) -> DataFrame:
+    """The final timeline, as ranges of frames."""
+    return gaps.ranges(_det(s, d), _segments(s, d))
 
 
-def _timeline(s: SparkSession, d: str, animal: int | None) -> DataFrame:
-    return gaps.final_timeline(_of(_det(s, d), animal), _of(_segments(s, d), animal))
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Frames (one row each) counted and summed: each frame counts, and the result stays small."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("FRAMENUMBER").alias("frame_sum"), F.sum(F.col("FRAMENUMBER") * F.col("FRAMENUMBER") % 1_000_003).alias("square_sum"))
 
 
-def _labelled(s: SparkSession, d: str, animal: int | None) -> DataFrame:
-    return _timeline(s, d, animal).withColumn("MANUAL_QC", ev.labeller(F.col("ANIMALID"), F.col("FRAMENUMBER"), F.col("IN_NEST")))
+def _labelled(s: SparkSession, d: str) -> DataFrame:
+    return gaps.frames(_ranges(s, d)).withColumn("MANUAL_QC", ev.labeller(F.col("ANIMALID"), F.col("FRAMENUMBER"), F.col("IN_NEST")))
 
 
 @query
@@ -102,17 +95,28 @@ def gap_table(s, d):
     return _gaps(s, d).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "size", "fill")
 
 
-@per_frame
-def gap_fill_timeline(s, d, animal):
-    return gaps.timeline(_of(_det(s, d), animal), _of(_gaps(s, d), animal))
+@query
+def gap_fill_timeline(s, d):
+    """Every frame of every animal, as ranges."""
+    return gaps.rule_ranges(_det(s, d), _gaps(s, d))
+
+
+@query
+def gap_fill_frames(s, d):
+    """The same frame by frame, counted and summed."""
+    return _sums(gaps.timeline(_det(s, d), _gaps(s, d)), "ANIMALID", "ASSUMPTION_TYPE", "IN_NEST")
 
 
 @query
 def gap_fill_summary(s, d):
-    """Per animal: detected frames, gaps, missing frames and frames in the nest, detected or filled by rule."""
-    g = _gaps(s, d).groupBy("ANIMALID").agg(F.count("*").alias("n_gaps"), F.sum("size").alias("missing"), F.coalesce(F.sum(F.when(F.col("fill") == 1, F.col("size"))), F.lit(0)).alias("logic_filled"))
-    joined = gaps.counts(_det(s, d)).join(g, "ANIMALID", "left").na.fill(0, ["n_gaps", "missing", "logic_filled"])
-    return joined.withColumn("time_in_nest_sec", seconds(F.col("detected_in") + F.col("logic_filled")))
+    """Per animal: detected frames, gaps, missing frames and frames in the nest, detected or filled by rule; detections and the gaps after them are counted together."""
+    gap, size = F.col("size") > 0, F.col("size")
+    n = lambda v: F.coalesce(F.sum(v), F.lit(0)).cast("long")
+    found = gaps.with_gaps(_det(s, d)).groupBy("ANIMALID").agg(
+        F.count("*").alias("detected"), n("IN_NEST").alias("detected_in"), n(1 - F.col("IN_NEST")).alias("detected_out"),
+        F.count_if(gap).alias("n_gaps"), n(size).alias("missing"), n(F.when(F.col("route") == "logic", size)).alias("logic_filled"),
+    )
+    return found.withColumn("time_in_nest_sec", seconds(F.col("detected_in") + F.col("logic_filled")))
 
 
 @query
@@ -139,8 +143,10 @@ def gap_routes(s, d):
 
 @query
 def boundary_asof(s, d):
-    """The states at the last detection at or before and the first at or after each gap's bounds, as the pair carries them."""
-    return _gaps(s, d).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", F.substring("gap_type", 1, 1).cast("int").alias("state_before"), F.substring("gap_type", 2, 1).cast("int").alias("state_after"))
+    """The states around gaps from a table whose bounds are frames that were missed: the last detection before and the first after."""
+    det = _det(s, d)
+    g = _gaps(s, d).select("ANIMALID", (F.col("GAP_START_FRAME") + 1).alias("GAP_START_FRAME"), (F.col("GAP_END_FRAME") - 1).alias("GAP_END_FRAME"))
+    return gaps.states_asof(g, det)
 
 
 @query
@@ -165,9 +171,16 @@ def review_answers_table(s, d):
     return review.segments(with_map, lambda m: F.element_at(F.col("answers"), m))
 
 
-@per_frame
-def review_timeline(s, d, animal):
-    return _timeline(s, d, animal)
+@query
+def review_timeline(s, d):
+    """Every frame of every animal after review, as ranges."""
+    return _ranges(s, d)
+
+
+@query
+def review_frames(s, d):
+    """The same frame by frame, counted and summed."""
+    return _sums(gaps.final_timeline(_det(s, d), _segments(s, d)), "ANIMALID", "FILL_SOURCE", "IN_NEST")
 
 
 @query
@@ -207,6 +220,34 @@ def gap_details(s, d):
     return report.gap_details(_segments(s, d))
 
 
+@query
+def gap_totals(s, d):
+    return report.gap_totals(report.gap_details(_segments(s, d)))
+
+
+@query
+def gap_review_time(s, d):
+    """Gaps with the time of their first review; each was visited twice, the later time first in the table."""
+    details = report.gap_details(_segments(s, d))
+    asked = _gaps(s, d).filter("route in ('checkpoints', 'bisect')")
+    visit = F.explode(F.array(F.lit(2), F.lit(1))).alias("seq")
+    spent = asked.select("ANIMALID", (F.col("GAP_START_FRAME") + 1).alias("first_frame"), (F.col("GAP_END_FRAME") - 1).alias("last_frame"), visit)
+    spent = spent.withColumn("duration_sec", ((F.col("first_frame") * F.col("seq")) % 7200).cast("double"))
+    return report.with_review_time(details, spent).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "review_time")
+
+
+@query
+def detection_summary(s, d):
+    return report.detection_summary(_totals(s, d))
+
+
+@query
+def pipeline_report(s, d):
+    """The report as lines of text, without the table of gaps, whose rows q_gap_details has."""
+    lines = text.pipeline_report(_totals(s, d), report.gap_details(_segments(s, d)), sources={"detections": "events"})
+    return lines.filter("part <> 12").select("part", "line", "text")
+
+
 @query
 def integrity_checks(s, d):
     return report.checks(_totals(s, d))
@@ -218,44 +259,51 @@ def gap_stats_hms(s, d):
 
 
 def _pool(mode):
-    return lambda s, d, animal: pools.pool(_timeline(s, d, animal), mode, with_source=True).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
+    return lambda s, d: pools.pool(_ranges(s, d), mode, with_source=True).select("ANIMALID", "first_frame", "last_frame", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
 
 
 for _mode, _name in ((DETECTED, "detected"), (BINARY_SEARCH, "binary_search"), (LOGIC, "logic"), (ASSUMED, "assumed_legacy")):
-    per_frame(_pool(_mode), f"pool_{_name}")
+    QUERIES[f"q_pool_{_name}"] = _pool(_mode)
 
 
-@per_frame
-def pool_legacy_schema(s, d, animal):
-    """Sizes of the pools in tables that have an integer BINARY_SEARCH, or nothing, instead of FILL_SOURCE."""
-    t = _timeline(s, d, animal)
+@query
+def pool_legacy_schema(s, d):
+    """Frames of the pools in tables that have an integer BINARY_SEARCH, or nothing, instead of FILL_SOURCE."""
+    t = _ranges(s, d)
     old = t.withColumn("BINARY_SEARCH", (F.col("FILL_SOURCE") == BINARY_SEARCH).cast("int")).withColumn("FILL_SOURCE", F.lit(None).cast("string"))
     cases = [("flag", old, BINARY_SEARCH), ("flag", old, LOGIC), ("none", t.drop("FILL_SOURCE"), LOGIC), ("none", t.drop("FILL_SOURCE"), ASSUMED)]
     out = None
     for schema, table, mode in cases:
-        one = pools.pool(table, mode, with_source=False).agg(F.count("*").alias("n")).select(F.lit(schema).alias("schema"), F.lit(mode).alias("mode"), "n")
+        one = pools.pool(table, mode, with_source=False).agg(F.sum(pools.sizes(t)).alias("n")).select(F.lit(schema).alias("schema"), F.lit(mode).alias("mode"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _review_pool(s: SparkSession, d: str, animal: int | None) -> DataFrame:
-    return pools.pool(_timeline(s, d, animal), BINARY_SEARCH, with_source=True)
+def _review_pool(s: SparkSession, d: str) -> DataFrame:
+    return pools.pool(_ranges(s, d), BINARY_SEARCH, with_source=True)
 
 
-@per_frame
-def sample_allocation(s, d, animal):
-    return pools.allocation(_review_pool(s, d, animal), DEFAULT.samples)
+@query
+def sample_allocation(s, d):
+    """Over all reviewed gaps of all animals."""
+    return pools.allocation(_review_pool(s, d), DEFAULT.samples)
 
 
-@per_frame
-def sample_allocation_detected(s, d, animal):
-    """Detected rows are one stratum, without a gap."""
-    return pools.allocation(pools.pool(_timeline(s, d, animal), DETECTED), 10)
+@query
+def sample_allocation_detected(s, d):
+    """An animal's detected rows are one stratum, without a gap."""
+    return pools.allocation(pools.pool(_ranges(s, d), DETECTED), DEFAULT.samples)
 
 
-@per_frame
-def stratified_sample(s, d, animal):
-    return pools.sample(_review_pool(s, d, animal), DEFAULT.samples, SEED).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
+@query
+def sample_allocation_plain(s, d):
+    """A table without gaps or animals is one stratum."""
+    return pools.allocation(_ranges(s, d).select("first_frame", "last_frame"), DEFAULT.samples)
+
+
+@query
+def stratified_sample(s, d):
+    return pools.sample(_review_pool(s, d), DEFAULT.samples, SEED).select("ANIMALID", "FRAMENUMBER", "IN_NEST", "GAP_START_FRAME", "GAP_END_FRAME")
 
 
 @query
@@ -268,56 +316,53 @@ def video_rejects(s, d):
     return video.rejects(ev.video_files(s))
 
 
-@per_frame
-def frame_exact(s, d, animal):
-    c = video.candidates(_of(_det(s, d), animal), video.video_map(ev.video_files(s)))
+@query
+def frame_exact(s, d):
+    c = video.candidates(_det(s, d), video.video_map(ev.video_files(s)))
     return c.filter("resolved = FRAMENUMBER").select("ANIMALID", "FRAMENUMBER", "path")
 
 
-@per_frame
-def frame_candidates(s, d, animal):
-    return video.candidates(_of(_det(s, d), animal), video.video_map(ev.video_files(s))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
+@query
+def frame_candidates(s, d):
+    return video.candidates(_det(s, d), video.video_map(ev.video_files(s))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
 
 
-@per_frame
-def frame_resolved_local(s, d, animal):
-    return video.resolved(_of(_det(s, d), animal), video.video_map(ev.video_files(s)), UNREADABLE)
+@query
+def frame_resolved_local(s, d):
+    return video.resolved(_det(s, d), video.video_map(ev.video_files(s)), UNREADABLE)
 
 
-@per_frame
-def qc_samples(s, d, animal):
-    drawn = pools.sample(_review_pool(s, d, animal), DEFAULT.samples, SEED)
+@query
+def qc_samples(s, d):
+    drawn = pools.sample(_review_pool(s, d), DEFAULT.samples, SEED)
     return video.samples(drawn, video.video_map(ev.video_files(s)), BINARY_SEARCH, UNREADABLE)
 
 
-def _by_mode(s, d, animal):
-    t = _labelled(s, d, animal)
-    out = None
-    for mode in (DETECTED, BINARY_SEARCH, LOGIC):
-        one = pools.pool(t, mode, with_source=True).withColumn("qc_mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return out
+def _by_mode(s, d):
+    """Labelled frames of the three pools, which share no frame: one pass tells them all."""
+    mode = F.when(F.col("ASSUMPTION_TYPE") == DETECTED, DETECTED).when(F.col("IN_NEST").isin(0, 1) & F.col("FILL_SOURCE").isin(BINARY_SEARCH, LOGIC), F.col("FILL_SOURCE"))
+    return metrics.confusion(_labelled(s, d).withColumn("qc_mode", mode).filter("qc_mode is not null"), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",))
 
 
-@per_frame
-def confusion_by_mode(s, d, animal):
-    return metrics.confusion(_by_mode(s, d, animal), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "TP", "FP", "FN", "TN", "total_labeled", "invalid")
+@query
+def confusion_by_mode(s, d):
+    return _by_mode(s, d).select("qc_mode", "TP", "FP", "FN", "TN", "total_labeled", "invalid")
 
 
-@per_frame
-def qc_metrics(s, d, animal):
-    return metrics.confusion(_by_mode(s, d, animal), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",)).select("qc_mode", "accuracy", "error_rate", "sensitivity", "specificity")
+@query
+def qc_metrics(s, d):
+    return _by_mode(s, d).select("qc_mode", "accuracy", "error_rate", "sensitivity", "specificity")
 
 
-@per_frame
-def fp_fn_list(s, d, animal):
-    t = _labelled(s, d, animal).withColumns({"sample_id": F.col("FRAMENUMBER"), "screenshot": F.format_string("A%d_G%d.png", "ANIMALID", "FRAMENUMBER")})
+@query
+def fp_fn_list(s, d):
+    t = _labelled(s, d).withColumns({"sample_id": F.col("FRAMENUMBER"), "screenshot": F.format_string("A%d_G%d.png", "ANIMALID", "FRAMENUMBER")})
     return metrics.mistakes(pools.pool(t, DETECTED))
 
 
-@per_frame
-def excluded_counts(s, d, animal):
-    t = _timeline(s, d, animal)
+@query
+def excluded_counts(s, d):
+    t = _ranges(s, d)
     return metrics.excluded(t, pools.pool(t, BINARY_SEARCH, with_source=True))
 
 
@@ -378,7 +423,7 @@ def trajectory_norm(s, d):
 
 @query
 def frame_range_cut(s, d):
-    cut = trajectory.cut({"detection": ev.detections(s, d), "regions": roi_metadata(s, [(ANIMAL,)])}, 1000, 20000)
+    cut = trajectory.cut({"detection": ev.detections(s, d), "regions": roi_metadata(s, [(7,)])}, 1000, 20000)
     out = None
     for name, table in cut.items():
         one = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
@@ -386,9 +431,10 @@ def frame_range_cut(s, d):
     return out
 
 
-@per_frame
-def roi_metadata_roundtrip(s, d, animal):
-    return roi_metadata(s, [(r["ANIMALID"],) for r in _of(_det(s, d), animal).select("ANIMALID").distinct().collect()])
+@query
+def roi_metadata_roundtrip(s, d):
+    """A row of regions for each animal."""
+    return _det(s, d).select("ANIMALID").distinct().join(F.broadcast(roi_metadata(s, [(0,)]).drop("ANIMALID")), how="cross")
 
 
 @query

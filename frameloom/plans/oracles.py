@@ -54,21 +54,22 @@ _PARTS = {
                      coalesce(sum(size) FILTER (gap_type = '11'), 0)::BIGINT AS type_11 FROM gap),
              (SELECT coalesce(sum(l - f + 1) FILTER (a = 1), 0)::BIGINT AS bs_in, coalesce(sum(l - f + 1) FILTER (a = 0), 0)::BIGINT AS bs_out,
                      coalesce(sum(l - f + 1) FILTER (a = -1), 0)::BIGINT AS bs_unknown FROM stp WHERE f IS NOT NULL)""",
-    # One animal's frames.
-    "tml": """SELECT ANIMALID, FRAMENUMBER, IN_NEST, 'DETECTED' AS ASSUMPTION_TYPE, NULL::BIGINT AS GAP_START_FRAME, NULL::BIGINT AS GAP_END_FRAME, 'DETECTED' AS FILL_SOURCE
-        FROM det WHERE ANIMALID = 7
-        UNION ALL SELECT ANIMALID, unnest(range(seg_start, seg_end + 1)), value::INT, 'ASSUMED', GAP_START_FRAME, GAP_END_FRAME, source FROM seg WHERE ANIMALID = 7""",
+    # The final timeline as ranges, and frame by frame.
+    "rng": """SELECT ANIMALID, FRAMENUMBER AS first_frame, FRAMENUMBER AS last_frame, IN_NEST, 'DETECTED' AS ASSUMPTION_TYPE, NULL::BIGINT AS GAP_START_FRAME, NULL::BIGINT AS GAP_END_FRAME, 'DETECTED' AS FILL_SOURCE
+        FROM det UNION ALL SELECT ANIMALID, seg_start, seg_end, value::INT, 'ASSUMED', GAP_START_FRAME, GAP_END_FRAME, source FROM seg""",
+    "tml": "SELECT * EXCLUDE (first_frame, last_frame), unnest(range(first_frame, last_frame + 1)) AS FRAMENUMBER FROM rng",
     "lab": """SELECT *, CASE WHEN (FRAMENUMBER * 5 + ANIMALID) % 13 = 0 THEN NULL WHEN (FRAMENUMBER * 3 + ANIMALID) % 10 = 0 THEN 1 - IN_NEST ELSE IN_NEST END AS MANUAL_QC FROM tml""",
     "qcm": """SELECT *, FILL_SOURCE AS qc_mode FROM lab WHERE MANUAL_QC IS NOT NULL AND (ASSUMPTION_TYPE = 'DETECTED' OR IN_NEST IN (0, 1) AND FILL_SOURCE IN ('BINARY_SEARCH', 'LOGIC'))""",
     "cnf": """SELECT qc_mode, count(*) FILTER (IN_NEST = 1 AND MANUAL_QC = 1) AS TP, count(*) FILTER (IN_NEST = 1 AND MANUAL_QC = 0) AS FP,
                count(*) FILTER (IN_NEST = 0 AND MANUAL_QC = 1) AS FN, count(*) FILTER (IN_NEST = 0 AND MANUAL_QC = 0) AS TN,
                count(*) FILTER (IN_NEST IN (0, 1)) AS total_labeled, count(*) FILTER (IN_NEST NOT IN (0, 1)) AS invalid FROM qcm GROUP BY qc_mode""",
-    "pol": "SELECT * FROM tml WHERE FILL_SOURCE = 'BINARY_SEARCH' AND IN_NEST IN (0, 1)",
-    "alc": """SELECT GAP_START_FRAME, GAP_END_FRAME, size, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, GAP_START_FRAME NULLS LAST, GAP_END_FRAME NULLS LAST) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS allocated
+    "pol": "SELECT *, last_frame - first_frame + 1 AS n FROM rng WHERE FILL_SOURCE = 'BINARY_SEARCH' AND IN_NEST IN (0, 1)",
+    "alc": """SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, ANIMALID NULLS LAST, GAP_START_FRAME NULLS LAST, GAP_END_FRAME NULLS LAST) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS allocated
         FROM (SELECT *, 100 * size // sum(size) OVER () AS base, 100 * size % sum(size) OVER () AS rest
-              FROM (SELECT GAP_START_FRAME, GAP_END_FRAME, count(*) AS size FROM pol GROUP BY ALL))""",
-    "smp": """SELECT * FROM (SELECT p.*, allocated, row_number() OVER (PARTITION BY p.GAP_START_FRAME, p.GAP_END_FRAME ORDER BY md5('42|' || ANIMALID || '|' || FRAMENUMBER), FRAMENUMBER) AS k
-        FROM pol p JOIN alc a ON p.GAP_START_FRAME IS NOT DISTINCT FROM a.GAP_START_FRAME AND p.GAP_END_FRAME IS NOT DISTINCT FROM a.GAP_END_FRAME) WHERE k <= allocated""",
+              FROM (SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, sum(n)::BIGINT AS size FROM pol GROUP BY ALL))""",
+    "smp": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ANIMALID, GAP_START_FRAME, GAP_END_FRAME ORDER BY md5('42|' || ANIMALID || '|' || FRAMENUMBER), FRAMENUMBER) AS k
+        FROM (SELECT p.*, allocated, unnest(range(first_frame, last_frame + 1)) AS FRAMENUMBER FROM pol p
+              JOIN alc a ON p.ANIMALID = a.ANIMALID AND p.GAP_START_FRAME = a.GAP_START_FRAME AND p.GAP_END_FRAME = a.GAP_END_FRAME WHERE allocated > 0)) WHERE k <= allocated""",
     "fil": """SELECT '/videos/cam_t' || 5000 * k || '.mp4' AS path, 2000 AS frame_count, CASE WHEN k = 4 THEN 12.0 ELSE 15.0 END::DOUBLE AS fps FROM range(9) t(k)
         UNION ALL VALUES ('/videos/cam_final.mp4', 2000, 15.0), ('/videos/t12_cam.mp4', 2000, 15.0)""",
     "vid": """SELECT nullif(regexp_extract(path, 't([0-9]+)\\.[A-Za-z0-9]+$', 1), '')::BIGINT AS start, start + frame_count * 2 AS "end", path, frame_count::BIGINT AS frame_count, fps
@@ -98,10 +99,10 @@ _PARTS = {
                row_number() OVER (PARTITION BY ANIMALID ORDER BY FRAMENUMBER)::INT AS gap_index FROM nbr WHERE f2 - FRAMENUMBER > 1""",
 }
 _NEEDS = {
-    "raw": "", "grp": "raw", "det": "raw grp", "prs": "det", "gap": "prs", "stp": "gap", "rev": "stp", "seg": "rev gap", "tot": "det gap stp", "tml": "det seg", "lab": "tml", "qcm": "lab", "cnf": "qcm",
-    "pol": "tml", "alc": "pol", "smp": "pol alc", "fil": "", "vid": "fil", "frm": "det", "cnd": "frm vid", "res": "cnd", "den": "", "nbr": "den", "bts": "nbr", "vel": "nbr",
+    "raw": "", "grp": "raw", "det": "raw grp", "prs": "det", "gap": "prs", "stp": "gap", "rev": "stp", "seg": "rev gap", "tot": "det gap stp", "rng": "det seg", "tml": "rng", "lab": "tml", "qcm": "lab", "cnf": "qcm",
+    "pol": "rng", "alc": "pol", "smp": "pol alc", "fil": "", "vid": "fil", "frm": "det", "cnd": "frm vid", "res": "cnd", "den": "", "nbr": "den", "bts": "nbr", "vel": "nbr",
 }
-_PARTS["frm"] = "SELECT ANIMALID, FRAMENUMBER FROM det WHERE ANIMALID = 7"
+_PARTS["frm"] = "SELECT ANIMALID, FRAMENUMBER FROM det"
 
 
 def _sql(parts: str, body: str, **other: str) -> str:
@@ -151,7 +152,10 @@ def _check(label: str, expected: str, actual: str) -> str:
 
 
 def _pool(where: str) -> str:
-    return _sql("tml", f"SELECT ANIMALID, FRAMENUMBER, IN_NEST, GAP_START_FRAME, GAP_END_FRAME FROM tml WHERE {where}")
+    return _sql("rng", f"SELECT ANIMALID, first_frame, last_frame, IN_NEST, GAP_START_FRAME, GAP_END_FRAME FROM rng WHERE {where}")
+
+
+_SUMS = "count(*) AS n, sum(FRAMENUMBER)::BIGINT AS frame_sum, sum(FRAMENUMBER * FRAMENUMBER % 1000003)::BIGINT AS square_sum"
 
 
 _RATE = "CASE WHEN {d} <> 0 THEN ({n})::DOUBLE / ({d}) ELSE 0.0::DOUBLE END"
@@ -166,8 +170,10 @@ ORACLES: dict[str, str] = {
     "q_detected_classify": _sql("det", "SELECT ANIMALID, FRAMENUMBER, IN_NEST, in_buffer FROM det"),
     "q_detected_counts": _sql("det", "SELECT ANIMALID, count(*) AS detected, sum(IN_NEST)::BIGINT AS detected_in, sum(1 - IN_NEST)::BIGINT AS detected_out FROM det GROUP BY 1"),
     "q_gap_table": _sql("gap", f"SELECT {_KEY}, size, fill FROM gap"),
-    "q_gap_fill_timeline": _sql("gap det", """SELECT ANIMALID, FRAMENUMBER, IN_NEST, 'DETECTED' AS ASSUMPTION_TYPE, NULL::BIGINT AS GAP_START_FRAME, NULL::BIGINT AS GAP_END_FRAME FROM det WHERE ANIMALID = 7
-        UNION ALL SELECT ANIMALID, unnest(range(GAP_START_FRAME + 1, GAP_END_FRAME)), fill, 'ASSUMED', GAP_START_FRAME, GAP_END_FRAME FROM gap WHERE ANIMALID = 7"""),
+    "q_gap_fill_timeline": _sql("gap det", """SELECT ANIMALID, FRAMENUMBER AS first_frame, FRAMENUMBER AS last_frame, IN_NEST, 'DETECTED' AS ASSUMPTION_TYPE, NULL::BIGINT AS GAP_START_FRAME, NULL::BIGINT AS GAP_END_FRAME FROM det
+        UNION ALL SELECT ANIMALID, GAP_START_FRAME + 1, GAP_END_FRAME - 1, fill, 'ASSUMED', GAP_START_FRAME, GAP_END_FRAME FROM gap"""),
+    "q_gap_fill_frames": _sql("gap det", f"""SELECT ANIMALID, ASSUMPTION_TYPE, IN_NEST, {_SUMS} FROM (SELECT ANIMALID, FRAMENUMBER, IN_NEST, 'DETECTED' AS ASSUMPTION_TYPE FROM det
+        UNION ALL SELECT ANIMALID, unnest(range(GAP_START_FRAME + 1, GAP_END_FRAME)), fill, 'ASSUMED' FROM gap) GROUP BY 1, 2, 3"""),
     "q_gap_fill_summary": _sql("gap det", """SELECT ANIMALID, detected, detected_in, detected_out, coalesce(n_gaps, 0) AS n_gaps, coalesce(missing, 0) AS missing, coalesce(logic_filled, 0) AS logic_filled,
         (detected_in + coalesce(logic_filled, 0)) / 30.0::DOUBLE AS time_in_nest_sec
         FROM (SELECT ANIMALID, count(*) AS detected, sum(IN_NEST)::BIGINT AS detected_in, sum(1 - IN_NEST)::BIGINT AS detected_out FROM det GROUP BY 1)
@@ -176,13 +182,15 @@ ORACLES: dict[str, str] = {
     "q_gap_types": _sql("gap", f"SELECT {_KEY}, gap_type FROM gap"),
     "q_gap_type_frames": _sql("gap", "SELECT t AS gap_type, count(g.gap_type) AS n_gaps, coalesce(sum(size), 0)::BIGINT AS frames FROM (VALUES ('00'), ('01'), ('10'), ('11')) v(t) LEFT JOIN gap g ON t = g.gap_type GROUP BY t"),
     "q_gap_routes": _sql("gap", f"SELECT {_KEY}, route, row_number() OVER (PARTITION BY ANIMALID ORDER BY GAP_START_FRAME, GAP_END_FRAME)::INT AS gap_index, count(*) OVER (PARTITION BY ANIMALID) AS total_gaps FROM gap WHERE fill = -1"),
-    "q_boundary_asof": _sql("gap det", f"""SELECT g.ANIMALID, g.GAP_START_FRAME, g.GAP_END_FRAME, b.IN_NEST AS state_before, e.IN_NEST AS state_after FROM gap g
+    "q_boundary_asof": _sql("gap det", f"""SELECT g.ANIMALID, g.GAP_START_FRAME, g.GAP_END_FRAME, b.IN_NEST AS state_before, e.IN_NEST AS state_after
+        FROM (SELECT ANIMALID, GAP_START_FRAME + 1 AS GAP_START_FRAME, GAP_END_FRAME - 1 AS GAP_END_FRAME FROM gap) g
         ASOF JOIN det b ON g.ANIMALID = b.ANIMALID AND g.GAP_START_FRAME >= b.FRAMENUMBER ASOF JOIN det e ON g.ANIMALID = e.ANIMALID AND g.GAP_END_FRAME <= e.FRAMENUMBER"""),
     "q_type00_checkpoints": _sql("gap", f"""SELECT {_KEY}, k, GAP_START_FRAME + 1 + 1800 * k AS seg_start, least(GAP_START_FRAME + 1800 + 1800 * k, GAP_END_FRAME - 1) AS seg_end
         FROM (SELECT *, unnest(range((size - 1) // 1800 + 1)) AS k FROM gap WHERE route = 'checkpoints')"""),
     "q_review_segments": _sql("rev", "SELECT * FROM rev"),
     "q_review_answers_table": _sql("rev", "SELECT * FROM rev"),
-    "q_review_timeline": _sql("tml", "SELECT * FROM tml"),
+    "q_review_timeline": _sql("rng", "SELECT * FROM rng"),
+    "q_review_frames": _sql("tml", f"SELECT ANIMALID, FILL_SOURCE, IN_NEST, {_SUMS} FROM tml GROUP BY 1, 2, 3"),
     "q_fill_source_counts": _sql("seg det", """SELECT source AS FILL_SOURCE, value::INT AS IN_NEST, sum(seg_end - seg_start + 1)::BIGINT AS frames FROM seg GROUP BY 1, 2
         UNION ALL SELECT 'DETECTED', IN_NEST, count(*) FROM det GROUP BY 1, 2"""),
     "q_time_in_nest": _sql("tot", _timed(_lines([("total", "final_in"), ("detected", "det_in"), ("logic-filled", "logic_filled"), ("binary-search", "bs_in")]))),
@@ -194,20 +202,27 @@ ORACLES: dict[str, str] = {
           WHEN in_frames > 0 AND out_frames = 0 AND unknown_frames = 0 THEN 'reviewed: in' WHEN out_frames > 0 AND in_frames = 0 AND unknown_frames = 0 THEN 'reviewed: out' ELSE 'reviewed: mixed' END AS label,
           GAP_END_FRAME - GAP_START_FRAME - 1 AS frames
         FROM (SELECT {_KEY}, gap_type, route, {", ".join(f"coalesce(sum(seg_end - seg_start + 1) FILTER (value = {v}), 0)::BIGINT AS {k}_frames" for v, k in ((1, "in"), (0, "out"), (-1, "unknown")))} FROM seg GROUP BY ALL)"""),
-    "q_integrity_checks": _sql("tot", " UNION ALL ".join([
+    "q_integrity_checks": _sql("tot rev gap", " UNION ALL ".join([
         _check("logic_filled + bs_input = asm_total", "asm_total", "logic_filled + bs_input"), _check("det + asm = total", "det_in + det_out + asm_total", "det_total + asm_total"),
         _check("bs_input is accounted for", "bs_input", "searchable + threshold_skipped + zz_skipped + ze_skipped"), _check("final classes = total", "det_total + asm_total", "final_in + final_out + final_unknown"),
-        _check("gap types = asm_total", "asm_total", "type_00 + type_01 + type_10 + type_11")])),
+        _check("gap types = asm_total", "asm_total", "type_00 + type_01 + type_10 + type_11"),
+        _check("gaps without a known type", "0", "(SELECT count(*) FROM gap WHERE gap_type NOT IN ('00', '01', '10', '11'))"),
+        _check("reviewed gaps whose ranges do not sum up", "0", "(SELECT count(*) FROM (SELECT g.size, sum(r.seg_end - r.seg_start + 1) AS n FROM gap g JOIN rev r USING (ANIMALID, GAP_START_FRAME) GROUP BY g.ANIMALID, GAP_START_FRAME, g.size) WHERE n <> size)")])),
     "q_gap_stats_hms": _sql("tot", f"SELECT total_gaps, asm_total, m AS mean_sec, {_HMS.format(s='m')} AS mean_hms, m / 3600.0::DOUBLE AS mean_hours FROM (SELECT *, CASE WHEN total_gaps <> 0 THEN asm_total::DOUBLE / total_gaps ELSE 0.0 END / 30.0::DOUBLE AS m FROM tot)"),
     "q_pool_detected": _pool("ASSUMPTION_TYPE = 'DETECTED'"),
     "q_pool_binary_search": _pool("FILL_SOURCE = 'BINARY_SEARCH' AND IN_NEST IN (0, 1)"),
     "q_pool_logic": _pool("FILL_SOURCE = 'LOGIC' AND IN_NEST IN (0, 1)"),
     "q_pool_assumed_legacy": _pool("ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)"),
-    "q_pool_legacy_schema": _sql("tml", """SELECT 'flag' AS schema, 'BINARY_SEARCH' AS mode, count(*) FILTER (FILL_SOURCE = 'BINARY_SEARCH') AS n FROM tml WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)
-        UNION ALL SELECT 'flag', 'LOGIC', count(*) FILTER (FILL_SOURCE <> 'BINARY_SEARCH') FROM tml WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)
-        UNION ALL SELECT 'none', v, (SELECT count(*) FROM tml WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)) FROM (VALUES ('LOGIC'), ('ASSUMED')) t(v)"""),
-    "q_sample_allocation": _sql("alc", "SELECT GAP_START_FRAME, GAP_END_FRAME, size, allocated::BIGINT AS allocated FROM alc"),
-    "q_sample_allocation_detected": _sql("tml", "SELECT NULL::BIGINT AS GAP_START_FRAME, NULL::BIGINT AS GAP_END_FRAME, count(*) AS size, 10::BIGINT AS allocated FROM tml WHERE ASSUMPTION_TYPE = 'DETECTED'"),
+    "q_gap_totals": _sql("seg gap", f"""SELECT (SELECT count(*) FROM gap) AS n_gaps, (SELECT sum(size)::BIGINT FROM gap) AS frames, {", ".join(f"coalesce(sum(seg_end - seg_start + 1) FILTER (value = {v}), 0)::BIGINT AS {k}_frames" for v, k in ((1, "in"), (0, "out"), (-1, "unknown")))},
+        sum(seg_end - seg_start + 1)::BIGINT = (SELECT sum(size)::BIGINT FROM gap) AS balanced FROM seg"""),
+    "q_gap_review_time": _sql("gap", f"SELECT {_KEY}, CASE WHEN route IN ('checkpoints', 'bisect') THEN {_HMS.format(s='((GAP_START_FRAME + 1) % 7200)')} ELSE 'N/A' END AS review_time FROM gap"),
+    "q_detection_summary": _sql("tot", f"SELECT t.*, {_pct('frames', 'det_total')} AS percent FROM ({_timed(_lines([('detected', 'det_total'), ('in', 'det_in'), ('out', 'det_out')]))}) t, tot"),
+    "q_pool_legacy_schema": _sql("rng", """SELECT 'flag' AS schema, 'BINARY_SEARCH' AS mode, sum(last_frame - first_frame + 1) FILTER (FILL_SOURCE = 'BINARY_SEARCH')::BIGINT AS n FROM rng WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)
+        UNION ALL SELECT 'flag', 'LOGIC', sum(last_frame - first_frame + 1) FILTER (FILL_SOURCE <> 'BINARY_SEARCH')::BIGINT FROM rng WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)
+        UNION ALL SELECT 'none', v, (SELECT sum(last_frame - first_frame + 1)::BIGINT FROM rng WHERE ASSUMPTION_TYPE = 'ASSUMED' AND IN_NEST IN (0, 1)) FROM (VALUES ('LOGIC'), ('ASSUMED')) t(v)"""),
+    "q_sample_allocation": _sql("alc", "SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, allocated::BIGINT AS allocated FROM alc"),
+    "q_sample_allocation_detected": _sql("alc", "SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, allocated::BIGINT AS allocated FROM alc", pol="SELECT *, 1 AS n FROM rng WHERE ASSUMPTION_TYPE = 'DETECTED'"),
+    "q_sample_allocation_plain": _sql("rng", "SELECT sum(last_frame - first_frame + 1)::BIGINT AS size, 100::BIGINT AS allocated FROM rng"),
     "q_stratified_sample": _sql("smp", "SELECT ANIMALID, FRAMENUMBER, IN_NEST, GAP_START_FRAME, GAP_END_FRAME FROM smp"),
     "q_video_map": _sql("vid", "SELECT * FROM vid"),
     "q_video_rejects": _sql("fil", """SELECT * FROM (SELECT regexp_replace(path, '.*/', '') AS name, CASE WHEN regexp_extract(path, 't([0-9]+)\\.[A-Za-z0-9]+$', 1) = '' THEN 'unparseable' WHEN fps > 0 AND abs(fps - 15) > 0.5 THEN 'fps mismatch' END AS reason FROM fil) WHERE reason IS NOT NULL"""),
@@ -221,7 +236,7 @@ ORACLES: dict[str, str] = {
     "q_confusion_by_mode": _sql("cnf", "SELECT * FROM cnf"),
     "q_qc_metrics": _sql("cnf", f"SELECT qc_mode, {_RATES} FROM cnf"),
     "q_fp_fn_list": _sql("lab", "SELECT CASE WHEN IN_NEST = 1 THEN 'FP' ELSE 'FN' END AS kind, FRAMENUMBER AS sample_id, printf('A%d_G%d.png', ANIMALID, FRAMENUMBER) AS screenshot FROM lab WHERE ASSUMPTION_TYPE = 'DETECTED' AND MANUAL_QC = 1 - IN_NEST"),
-    "q_excluded_counts": _sql("tml", "SELECT count(*) AS total, count(*) FILTER (FILL_SOURCE = 'BINARY_SEARCH' AND IN_NEST IN (0, 1)) AS eligible, total - eligible AS excluded FROM tml"),
+    "q_excluded_counts": _sql("rng", "SELECT sum(last_frame - first_frame + 1)::BIGINT AS total, sum(last_frame - first_frame + 1) FILTER (FILL_SOURCE = 'BINARY_SEARCH' AND IN_NEST IN (0, 1))::BIGINT AS eligible, total - eligible AS excluded FROM rng"),
     "q_labels_confusion": f"SELECT *, {_RATES} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS TP, count(*) FILTER (quality = 1 AND toxic = 0) AS FP, count(*) FILTER (quality = 0 AND toxic = 1) AS FN, count(*) FILTER (quality = 0 AND toxic = 0) AS TN, count(*) FILTER (quality IN (0, 1)) AS total_labeled, count(*) FILTER (NOT coalesce(quality IN (0, 1), false)) AS invalid FROM labels WHERE toxic IS NOT NULL)",
     "q_bouts": _sql("bts", "SELECT * FROM bts"),
     "q_bout_stats": _sql("bts", _spread("bts", "pairs")),
@@ -233,8 +248,15 @@ ORACLES: dict[str, str] = {
     "q_recording_overview": _sql("det", f"SELECT *, {_HMS.format(s='duration_sec')} AS duration, duration_sec / 3600.0::DOUBLE AS hours FROM (SELECT ANIMALID, count(*) AS n, min(FRAMENUMBER) AS first_frame, max(FRAMENUMBER) AS last_frame, (max(FRAMENUMBER) - min(FRAMENUMBER)) / 30.0::DOUBLE AS duration_sec FROM det GROUP BY 1)"),
     "q_trajectory_norm": _sql("det", "SELECT ANIMALID, FRAMENUMBER, (FRAMENUMBER - min(FRAMENUMBER) OVER w)::DOUBLE / greatest(max(FRAMENUMBER) OVER w - min(FRAMENUMBER) OVER w, 1)::DOUBLE AS t FROM det WINDOW w AS (PARTITION BY ANIMALID)"),
     "q_frame_range_cut": _sql("raw", "SELECT 'detection' AS table_name, count(*) AS n FROM raw WHERE FRAMENUMBER BETWEEN 1000 AND 20000 UNION ALL SELECT 'regions', 1"),
-    "q_roi_metadata_roundtrip": _sql("det", f"SELECT DISTINCT ANIMALID, {', '.join(f'{v}::DOUBLE AS {k}_{n}' for k, r in (('NEST', _N), ('BUFFER', _B)) for n, v in (('XMIN', r.xmin), ('XMAX', r.xmax), ('YMIN', r.ymin), ('YMAX', r.ymax)))} FROM det WHERE ANIMALID = 7"),
+    "q_roi_metadata_roundtrip": _sql("det", f"SELECT DISTINCT ANIMALID, {', '.join(f'{v}::DOUBLE AS {k}_{n}' for k, r in (('NEST', _N), ('BUFFER', _B)) for n, v in (('XMIN', r.xmin), ('XMAX', r.xmax), ('YMIN', r.ymin), ('YMAX', r.ymax)))} FROM det"),
+    "q_answer_log_replay": """WITH RECURSIVE ev AS (SELECT user_id AS session, event_id AS seq, CASE WHEN event_type = 'error' THEN 'UNDO' WHEN event_id % 7 = 0 THEN 'REDO' ELSE 'ANSWER' END AS kind,
+          {'seq': event_id, 'gap': event_id % 50, 'answer': (event_id % 3 - 1)::INT} AS x, event_id % 11 = 0 AS stale, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+        st(session, k, done, undone) AS (SELECT DISTINCT session, 0::BIGINT, []::STRUCT(seq BIGINT, gap BIGINT, answer INTEGER)[], []::STRUCT(seq BIGINT, gap BIGINT, answer INTEGER)[] FROM ev
+          UNION ALL SELECT s.session, e.k,
+            CASE WHEN stale THEN done WHEN kind = 'ANSWER' THEN list_append(done, x) WHEN kind = 'UNDO' THEN done[1 : len(done) - 1] WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END,
+            CASE WHEN stale THEN undone WHEN kind = 'ANSWER' THEN [] WHEN kind = 'UNDO' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[len(done)]) ELSE undone END ELSE undone[1 : len(undone) - 1] END
+          FROM st s JOIN ev e ON e.session = s.session AND e.k = s.k + 1),
+        fin AS (SELECT session, arg_max(done, k) AS done FROM st GROUP BY session)
+        SELECT session, position, d.seq AS seq, d.gap AS gap, d.answer AS answer FROM (SELECT session, unnest(done) AS d, unnest(range(1, len(done) + 1)) AS position FROM fin)""",
     "q_label_latest_wins": "SELECT event_id % 500 AS sample_id, arg_max((user_id % 2)::INT, event_id) AS label, count(*) AS writes FROM events GROUP BY 1",
 }
-#: The queries of one animal's frames have a second version over whole tables, with the same SQL less that filter.
-ORACLES |= {f"{name}_all": sql.replace(" WHERE ANIMALID = 7", "") for name, sql in ORACLES.items() if " WHERE ANIMALID = 7" in sql}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, GAP_TYPES, Config
 from ..functions.scalars import hms, hours, percent, seconds, share
+from ..operators import gaps, review
+
 
 def _size() -> Column:
     return F.col("seg_end") - F.col("seg_start") + 1
@@ -16,19 +20,28 @@ def _sum(where: Column, of: Column) -> Column:
     return F.coalesce(F.sum(F.when(where, of)), F.lit(0)).cast("long")
 
 
-def totals(classified: DataFrame, g: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row with every count that the reports use."""
-    size, r = F.col("size"), F.col("route")
-    reviewed = r.isin("checkpoints", "bisect")
-    det = classified.agg(F.count("*").alias("det_total"), _sum(F.lit(True), F.col("IN_NEST").cast("long")).alias("det_in"))
-    gaps = g.agg(
-        F.count("*").alias("total_gaps"), _sum(F.lit(True), size).alias("asm_total"), _sum(F.col("fill") == 1, size).alias("logic_filled"), _sum(F.col("fill") == -1, size).alias("bs_input"),
+def totals(classified: DataFrame, answer: Callable[[Column], Column], c: Config = DEFAULT, g: DataFrame | None = None) -> DataFrame:
+    """One row with every count that the reports use, from one pass over detections and the gaps after them.
+
+    `g` are gaps with a column of answers that `answer` reads; without it, answers come from the frame alone.
+    """
+    rows = gaps.with_gaps(classified, c)
+    if g is not None:
+        rows = rows.join(g.drop("size", "gap_type", "fill", "route"), ["ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME"], "left")
+    size, r, gap = F.col("size"), F.col("route"), F.col("size") > 0
+    segs = F.when(r.isin("checkpoints", "bisect"), review.decided(answer, c))
+    said = lambda v: F.aggregate("segs", F.lit(0).cast("long"), lambda n, s: n + F.when(s["value"] == v, s["seg_end"] - s["seg_start"] + 1).otherwise(F.lit(0)))
+    rows = rows.withColumn("segs", segs).withColumns({"in_": said(1), "out_": said(0), "unknown_": said(-1)})
+    one = rows.agg(
+        F.count("*").alias("det_total"), _sum(F.lit(True), F.col("IN_NEST").cast("long")).alias("det_in"),
+        F.count_if(gap).alias("total_gaps"), _sum(gap, size).alias("asm_total"), _sum(r == "logic", size).alias("logic_filled"), _sum(gap & (r != "logic"), size).alias("bs_input"),
         _sum(r == "short", size).alias("threshold_skipped"), _sum(r == "short_00", size).alias("zz_skipped"), _sum(r == "checkpoints", size).alias("zz_reviewed"), _sum(r == "type_11", size).alias("ze_skipped"),
-        *[_sum(F.col("gap_type") == t, size).alias(f"type_{t}") for t in GAP_TYPES],
+        *[_sum(gap & (F.col("gap_type") == t), size).alias(f"type_{t}") for t in GAP_TYPES],
+        F.count_if(gap & ~F.coalesce(F.col("gap_type").isin(*GAP_TYPES), F.lit(False))).alias("untyped"),
+        F.count_if(F.col("segs").isNotNull() & (F.col("in_") + F.col("out_") + F.col("unknown_") != size)).alias("unbalanced"),
+        *[_sum(F.col("segs").isNotNull(), F.col(f"{k}_")).alias(f"bs_{k}") for k in ("in", "out", "unknown")],
     )
-    seg = segments.filter(reviewed).agg(*[_sum(F.col("value") == v, _size()).alias(k) for v, k in ((1, "bs_in"), (0, "bs_out"), (-1, "bs_unknown"))])
-    t = det.join(gaps, how="cross").join(seg, how="cross")
-    return t.withColumns({"det_out": F.col("det_total") - F.col("det_in"), "searchable": F.col("bs_in") + F.col("bs_out") + F.col("bs_unknown")}).withColumns(
+    return one.withColumns({"det_out": F.col("det_total") - F.col("det_in"), "searchable": F.col("bs_in") + F.col("bs_out") + F.col("bs_unknown")}).withColumns(
         {"final_in": F.col("det_in") + F.col("logic_filled") + F.col("bs_in"), "final_out": F.col("det_out") + F.col("bs_out"), "final_unknown": F.col("threshold_skipped") + F.col("zz_skipped") + F.col("ze_skipped") + F.col("bs_unknown")}
     )
 
@@ -86,6 +99,8 @@ def checks(t: DataFrame) -> DataFrame:
         ("bs_input is accounted for", c("bs_input"), c("searchable") + c("threshold_skipped") + c("zz_skipped") + c("ze_skipped")),
         ("final classes = total", c("det_total") + c("asm_total"), c("final_in") + c("final_out") + c("final_unknown")),
         ("gap types = asm_total", c("asm_total"), sum((c(f"type_{x}") for x in GAP_TYPES), F.lit(0))),
+        ("gaps without a known type", F.lit(0), c("untyped")),
+        ("reviewed gaps whose ranges do not sum up", F.lit(0), c("unbalanced")),
     ]
     return t.select(F.inline(F.array(*[F.struct(F.lit(k).alias("label"), e.cast("long").alias("expected"), a.cast("long").alias("actual"), (e == a).alias("ok")) for k, e, a in rows])))
 
@@ -96,6 +111,28 @@ def require(checked: DataFrame) -> DataFrame:
     return checked
 
 
+def detection_summary(t: DataFrame) -> DataFrame:
+    """Detected frames, in and out, with their share of all detected ones."""
+    c = F.col
+    lines = _lines(t, [("detected", c("det_total")), ("in", c("det_in")), ("out", c("det_out"))])
+    whole = t.select(c("det_total").alias("_whole"))
+    return _timed(lines).join(F.broadcast(whole), how="cross").withColumn("percent", percent(c("frames"), c("_whole"))).drop("_whole")
+
+
+def gap_totals(details: DataFrame) -> DataFrame:
+    """The totals of a table of gap details, and whether they balance."""
+    n = lambda k: F.coalesce(F.sum(k), F.lit(0)).cast("long")
+    t = details.agg(F.count("*").alias("n_gaps"), n("frames").alias("frames"), *[n(f"{k}_frames").alias(f"{k}_frames") for k in ("in", "out", "unknown")])
+    return t.withColumn("balanced", F.col("frames") == F.col("in_frames") + F.col("out_frames") + F.col("unknown_frames"))
+
+
+def with_review_time(details: DataFrame, spent: DataFrame) -> DataFrame:
+    """Gap details with review_time, as HH:MM:SS or N/A, from seconds spent (ANIMALID, first_frame, last_frame, seq, duration_sec): of several visits to a gap's frames the first counts."""
+    first = spent.groupBy("ANIMALID", "first_frame", "last_frame").agg(F.min_by("duration_sec", "seq").alias("_spent"))
+    first = first.select("ANIMALID", (F.col("first_frame") - 1).alias("GAP_START_FRAME"), (F.col("last_frame") + 1).alias("GAP_END_FRAME"), "_spent")
+    return details.join(first, ["ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME"], "left").withColumn("review_time", F.when(F.col("_spent").isNotNull(), hms(F.col("_spent"))).otherwise(F.lit("N/A"))).drop("_spent")
+
+
 def gap_details(segments: DataFrame) -> DataFrame:
     """Per gap the frames in, out and unknown, and what decided them."""
     n = lambda v: _sum(F.col("value") == v, _size())

@@ -43,6 +43,11 @@ def columns(path: str, table: str) -> list[tuple[str, str, bool]]:
         return [(r[1], r[2] or "", r[5] > 0) for r in db.execute(f"PRAGMA table_info({quoted(table)})")]
 
 
+def surrogate_keys(path: str, table: str) -> list[str]:
+    """Columns of the primary key that say nothing but the row's number: all but animal and frame."""
+    return [c for c, _, key in columns(path, table) if key and c not in ("ANIMALID", "FRAMENUMBER")]
+
+
 def with_rowid(have: list[tuple[str, str, bool]]) -> list[tuple[str, str, bool]]:
     """The columns, after _rowid unless the table has one of its own."""
     return have if any(c[0] == "_rowid" for c in have) else [("_rowid", "INTEGER", False), *have]
