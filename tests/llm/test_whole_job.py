@@ -1,11 +1,13 @@
 """Cases in which operators did less than their whole job."""
 
+import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 
 import brute
 import numpy as np
@@ -15,7 +17,7 @@ from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import components, language, ngram_join, substring_dedup, token_counts, top_k, toxicity, vector_dedup
+from frameloom.llm import common, components, language, ngram_join, substring_dedup, token_counts, top_k, toxicity, vector_dedup
 from frameloom.llm.common import KEYS, PRIME, mixed, rolling
 from frameloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 from frameloom.llm.substring_dedup import packed
@@ -358,3 +360,108 @@ def test_token_counts_of_many_chunks_and_string_ids(spark, monkeypatch):
     d = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.concat(F.lit("d"), F.col("doc_id"))))
     got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(d, path, buckets=3).collect()}
     assert got == {None if k == 3 else f"d{k}": (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(texts)}
+
+
+def plain_mix(rows, seed=7):
+    """How often each of some (id, text, source) is taken, by the definition of weighted fair queueing."""
+    size = [len(brute.split(t)) for _, t, _ in rows]
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows) if r[2] == s) for s in sources}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    left, target, free = 1.5 * sum(size), {}, set(sources)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        full = {s for s in free if 2 * total[s] <= weight[s] * level}
+        if not full:
+            target |= {s: weight[s] * level for s in free}
+            break
+        for s in full:
+            target[s] = 2 * total[s]
+            left -= target[s]
+        free -= full
+    place = [hashlib.md5(f"{seed}|{'null' if i is None else i}".encode()).hexdigest() for i, _, _ in rows]
+    times, done = [], Counter()
+    for k in sorted(range(len(rows)), key=lambda k: (place[k], size[k])):
+        s = rows[k][2]
+        done[s] += size[k]
+        if size[k] and target[s]:
+            times += [((n * total[s] + done[s]) / target[s], place[k], k) for n in (0, 1)]
+    served, until = 0, -1.0
+    for t, _, k in sorted(times):
+        served += size[k]
+        if served <= sum(target.values()) + 1e-9:
+            until = t
+    return Counter(k for t, _, k in times if t <= until)
+
+
+def plain_pipeline(rows, model):
+    """Of rows (id, text, source, extra) in table order: (id, extra, text) of what the last stage packs."""
+    rows = [r for r in rows if plain_score(model, r[1])[0] < 0.7]
+    _, root = brute.jaccard_groups([r[1] for r in rows], 5, 80)
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    seen, texts = set(), {}
+    for k in order:
+        data = (rows[k][1] or "").encode()
+        gone = bytearray(len(data))
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in seen:
+                gone[at : at + 100] = b"\x01" * 100
+            seen.add(data[at : at + 100])
+        texts[k] = bytes(b for b, g in zip(data, gone) if not g).decode(errors="ignore")
+    rows = [(r[0], texts[k], r[2], r[3]) for k, r in enumerate(rows)]
+    taken = plain_mix([r[:3] for r in rows])
+    return [(rows[k][0], rows[k][3], rows[k][1]) for k in taken for _ in range(taken[k])]
+
+
+@pytest.mark.parametrize("case", ["full", "empty"])
+def test_pipeline_run_against_plain_stages(spark, tmp_path, case):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").limit(250).collect()
+    shared = " ".join(f"passage{k}" for k in range(60))
+    texts = odd_texts(21) + ["you are an idiot and a moron", "he said you are not an idiot", f"{shared} é tail one", f"head {shared}", "é" * 120]
+    rows = [tuple(r) for r in base] + [(10**6 + k, t, (None, "web", "news", "src0")[k % 4]) for k, t in enumerate(texts)] + [(None, "a text without an id", "web"), (5, "an id twice", None), (5, "an id twice more", "web")]
+    if case == "empty":
+        rows = [(1, None, None), (2, "", "web")]
+    schema = "doc_id long, text string, source string, lang string, n_chars long, _row long, kept string, spans int, taken int, n_bytes long"
+    table = spark.createDataFrame([(*r, "en", len(r[1] or ""), k, "k", None, 3, k) for k, r in enumerate(rows)], schema).coalesce(1)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    documents = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = toxicity.fit(documents, labels, F.lit(True))
+    here = [(r["doc_id"], r["text"], r["source"], r["_row"]) for r in documents.collect()]
+    want = plain_pipeline(here, model)
+    # What each stage but the last returns, as the next one reads it.
+    now = documents
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path)).checkpoint()
+        assert now.columns == documents.columns, name
+    assert Counter((r["doc_id"], r["_row"], r["text"]) for r in now.collect()) == Counter(want)
+    assert all(r["n_chars"] == len(r["text"]) and r["kept"] == "k" for r in now.collect())
+    # And run() as a whole.
+    tokenizer = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    pieces = Counter()
+    for i, _, t in want:
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            own = np.array(ids[at : at + 2048], "<u4").tobytes()
+            pieces[i, k, at, len(own) // 4, zlib.crc32(own)] += 1
+    out = p.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == pieces
+    used = brute.packing_is_valid([(r["sequence_id"], r["offset"], r["length"]) for r in out], 2048)
+    assert used <= -(-sum(r["length"] for r in out) // 2048) * 1.01 + 1
+    assert (case == "empty") == (not out)
+
+
+def test_no_folder_of_this_machine_on_a_cluster():
+    context = SimpleNamespace(environment={}, defaultParallelism=8, master="spark://far:7077", getCheckpointDir=lambda: None)
+    conf = {}
+    far = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: conf.get(k, d), set=conf.__setitem__))
+    with pytest.raises(RuntimeError, match="share"):
+        common.prepare(far)
+    assert conf == {"spark.sql.files.minPartitionNum": "8"}  # files are cut alike whatever executors come and go
+    conf["spark.checkpoint.dir"] = "hdfs://far/checkpoints"
+    common.prepare(far)
