@@ -4,9 +4,11 @@ Three times over, a vector's signs are flipped at random and it is multiplied by
 the Hadamard matrix, which takes d log d additions; its hash is the axis, with
 sign, that it lies nearest to. A table's key has as many such hashes as leave a
 few vectors to a bucket, and a vector also visits the buckets of its next best
-keys (multiprobe). In a bucket residents meet each other and the visitors;
+keys (multiprobe). First only numbers of rows and buckets travel: buckets that
+nobody lives in, or that hold one vector, are left out, and large ones are cut
+into parts. Then each vector goes to its buckets, where residents meet each other and the visitors;
 cosines are computed in double precision, and a pair found in several tables
-counts in the first one only, which both vectors' keys tell. Longer keys make a
+counts in the first one only, which the keys of both tell; these are computed again, for vectors that are alike only. Longer keys make a
 meeting in one table rarer, so there are as many tables as keep recall at RECALL. A bucket returns
 how many vectors each of its members is linked to and links that join its
 components, never all pairs. Equal vectors are collapsed before.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts_for, prepare
-from .components import components
+from .components import components, looked_up
 from .substring_dedup import packed
 
 #: The fewest tables; the most before keys get narrower instead.
@@ -32,7 +34,7 @@ TABLES, MOST_TABLES, PROBES, SEED = 8, 64, 4, 20240607
 RECALL, TRIALS = 0.998, 1000
 #: Vectors that a bucket should hold, and that one block of a large bucket does.
 BUCKET_ROWS, BLOCK_ROWS = 32, 1024
-MEMBERS = "bucket long, resident boolean, rid long, n long, vector binary, keys binary"
+VISITS = "rid long, bucket long, resident boolean"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -139,27 +141,35 @@ def units(vectors: list[bytes], dimension: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def matches(x: np.ndarray, keys: np.ndarray, resident: np.ndarray, rid: np.ndarray, bucket: int, least: float, ours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of members that are alike and meet here first; `ours` masks rows i of the pairs wanted."""
+def matches(m: Members, hashes: Hashes, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of members of one block that are alike and meet here first."""
+    bucket, pair = m.block[0].tolist()
+    sides, table = int(m.parts[0]), bucket % hashes.tables
+    across = pair >= 0 and pair // sides != pair % sides  # pairs within a part are counted in that part's own block
     out_i, out_j = [], []
-    table = bucket % keys.shape[1]
-    for lo in range(0, len(x), 256):
-        i, j = np.nonzero(x[lo : lo + 256] @ x.T >= least)
+    for lo in range(0, len(m), 256):
+        i, j = np.nonzero(m.x[lo : lo + 256] @ m.x.T >= least)
         i = i + lo
-        if len(i) <= min(256, len(x) - lo):  # each row with itself
+        if len(i) <= min(256, len(m) - lo):  # each row with itself
             continue
-        keep = (i < j) & ours[i, j] if ours.ndim == 2 else (i < j)
-        keep &= resident[i] | resident[j]
+        keep = (i < j) & (m.resident[i] | m.resident[j])
+        if across:
+            keep &= m.part[i] != m.part[j]
         i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = hashes.keys(m.x[some])
+        a, b = keys[at[: len(i)]], keys[at[len(i) :]]
         fresh = np.ones(len(i), bool)
         for t in range(table):
-            fresh &= ~((keys[i, t, :1] == keys[j, t]).any(1) | (keys[j, t, :1] == keys[i, t]).any(1))
+            fresh &= ~((a[:, t, :1] == b[:, t]).any(1) | (b[:, t, :1] == a[:, t]).any(1))
         # In this table they may also meet where the other one lives; that of the lesser rid counts.
-        other = ~(resident[i] & resident[j])
-        home = np.where(resident[i], i, j)
-        guest = np.where(resident[i], j, i)
-        both_ways = (keys[guest, table, :1] == keys[home, table, 1:]).any(1)
-        fresh &= ~(other & both_ways & (rid[guest] < rid[home]))
+        home_is_a = m.resident[i]
+        home, guest = np.where(home_is_a[:, None], a[:, table], b[:, table]), np.where(home_is_a[:, None], b[:, table], a[:, table])
+        both_ways = (guest[:, :1] == home[:, 1:]).any(1)
+        lesser = np.where(home_is_a, m.rid[j] < m.rid[i], m.rid[i] < m.rid[j])
+        fresh &= ~(~(m.resident[i] & m.resident[j]) & both_ways & lesser)
         out_i.append(i[fresh])
         out_j.append(j[fresh])
     none = np.zeros(0, np.int64)
@@ -169,14 +179,13 @@ def matches(x: np.ndarray, keys: np.ndarray, resident: np.ndarray, rid: np.ndarr
 class Members:
     """Rows of one or more blocks, as arrays."""
 
-    def __init__(self, batch: pa.RecordBatch, dimension: int, width: int) -> None:
+    def __init__(self, batch: pa.RecordBatch, dimension: int) -> None:
         column = lambda c: batch.column(batch.schema.get_field_index(c))
         self.block = np.stack([column("bucket").to_numpy(), column("pair").to_numpy().astype(np.int64)], 1)
         self.resident = column("resident").to_numpy(zero_copy_only=False)
         self.rid, self.n = column("rid").to_numpy(), column("n").to_numpy()
         self.part, self.parts = (column(c).fill_null(-1).to_numpy() for c in ("part", "parts"))
         self.x = units(column("vector").to_pylist(), dimension) if len(batch) else np.zeros((0, dimension))
-        self.keys = np.frombuffer(b"".join(column("keys").to_pylist()), np.int64).reshape(len(batch), -1, width)
 
     def __getitem__(self, rows: slice) -> Members:
         out = object.__new__(Members)
@@ -192,14 +201,11 @@ class Members:
         return len(self.rid)
 
 
-def solve(m: Members, least: float) -> list[tuple]:
+def solve(m: Members, hashes: Hashes, least: float) -> list[tuple]:
     """Of one block: (rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
     if len(m) < 2 or not m.resident.any():
         return []
-    bucket, pair = m.block[0].tolist()
-    sides = int(m.parts[0])
-    ours = m.part[:, None] != m.part[None, :] if pair >= 0 and pair // sides != pair % sides else np.zeros(0, bool)
-    i, j = matches(m.x, m.keys, m.resident, m.rid, bucket, least, ours)
+    i, j = matches(m, hashes, least)
     if not len(i):
         return []
     more = np.bincount(i, m.n[j], len(m)) + np.bincount(j, m.n[i], len(m))
@@ -219,7 +225,7 @@ def solve(m: Members, least: float) -> list[tuple]:
 
 
 def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """rid, id, dimension, vector (float64 bytes; null if null, empty, zero or not finite throughout)."""
+    """rid, id, dimension, vector (bytes of either precision; null if null, empty, zero or not finite throughout)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +236,12 @@ def valid_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
                     x = np.array(v, np.float64)
                     if np.isfinite(x).all() and x.any():
                         x = x + 0.0  # -0.0 is 0.0
-                        ok = x.tobytes()
-                out.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(v) // 8 if v else 0 for v in out], pa.int32()), pa.array(out, pa.binary())], ["rid", "id", "dimension", "vector"])
+                        # Half as many bytes where single precision holds the same values, so equal vectors have equal bytes.
+                        with np.errstate(over="ignore"):
+                            single = x.astype(np.float32)
+                        ok = (single if (single == x).all() else x).tobytes()
+                out.append((0 if ok is None else len(v), ok))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([d for d, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["rid", "id", "dimension", "vector"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     return rows.mapInArrow(work, "rid long, id long, dimension int, vector binary")
@@ -263,60 +272,52 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int | None = N
     more = found.filter("other is null").groupBy("rid").agg(F.sum("n").alias("more"))
     joined = components(found.filter("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"node": "rid", "component": "root"})
     told = classes.join(more, "rid", "left").join(joined, "rid", "left").select("dimension", "vector", (F.coalesce("more", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root"))
-    full = rows.join(told, ["dimension", "vector"], "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rid").alias("root"))
-    full = full.checkpoint()
-    # Checkpointed, so that both sides of the join are plain shuffles and Spark can split a group with very many rows.
+    # A vector that very many rows share, or a component of very many, is joined where its rows are.
+    alike = looked_up(rows.filter("vector is not null"), told.checkpoint(), ["dimension", "vector"]).select("id", "n_links", "root")
+    full = alike.unionByName(rows.filter("vector is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("rid").alias("root"))).checkpoint()
     first = full.groupBy("root").agg(F.min("id").alias("component_id")).checkpoint()
-    out = full.join(first, "root").select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = looked_up(full, first, ["root"]).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")) | F.col(id_col).isNull())
 
 
 def _one_length(classes: DataFrame, dimension: int, least: float, tables: int, probes: int, width: int, parts: int) -> DataFrame:
     hashes = Hashes(dimension, tables, width, probes)
 
-    def keyed(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 own = batch.slice(lo, 512)
-                x = np.frombuffer(b"".join(own.column(2).to_pylist()), np.float64).reshape(len(own), dimension)
-                keys = hashes.keys(units(own.column(2).to_pylist(), dimension))
+                keys = hashes.keys(units(own.column(1).to_pylist(), dimension))
                 row = np.repeat(np.arange(len(own)), keys.shape[1] * keys.shape[2])
                 home = np.tile(np.arange(keys.shape[1] * keys.shape[2]) % (1 + probes) == 0, len(own))
                 flat = keys.ravel()
                 _, first = np.unique(np.stack([row, flat], 1), axis=0, return_index=True)
                 first.sort()
-                row, home, flat = row[first], home[first], flat[first]
-                if not payload:
-                    yield pa.RecordBatch.from_arrays([pa.array(flat)], ["bucket"])
-                    continue
-                take = pa.array(row)
-                # Half as many bytes where single precision holds the same values.
-                single = x.astype(np.float32)
-                vector = pa.array([a.tobytes() for a in single], pa.binary()) if (single == x).all() else own.column(2)
-                every = pa.array([k.tobytes() for k in keys], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(home), own.column(0).take(take), own.column(1).take(take), vector.take(take), every.take(take)], ["bucket", "resident", "rid", "n", "vector", "keys"])
-
-    source = classes.select("rid", "n", "vector")
+                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(row[first])), pa.array(flat[first]), pa.array(home[first])], ["rid", "bucket", "resident"])
+
+    source = classes.select("rid", "n", "vector").checkpoint()
+    visits = source.select("rid", "vector").mapInArrow(keyed, VISITS).checkpoint()
+    used = visits.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("resident").alias("live")).filter("size > 1 and live > 0")
     # Large buckets are cut into parts, and every pair of parts is a block of its own.
-    counts = source.mapInArrow(lambda b: keyed(b, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("size"))
-    large = counts.filter(F.col("size") > BLOCK_ROWS).select("bucket", F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-    members = source.mapInArrow(lambda b: keyed(b, True), MEMBERS).join(large, "bucket", "left")
+    used = used.select("bucket", F.when(F.col("size") > BLOCK_ROWS, F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")).alias("parts")).checkpoint()
+    asked = looked_up(visits, used, ["bucket"]).groupBy("rid").agg(F.collect_list(F.struct("bucket", "resident", "parts")).alias("b"))
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     pairs = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part"))))
-    members = members.withColumn("part", part).select(*[f.split()[0] for f in MEMBERS.split(", ")], "part", "parts", F.explode(pairs).alias("pair"))
+    members = source.join(asked, "rid").select("rid", "n", "vector", F.inline("b")).withColumn("part", part)
+    members = members.select("bucket", "resident", "rid", "n", "vector", "part", "parts", F.explode(pairs).alias("pair"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the rows of the last block so far
         for batch in batches:
             for lo in range(0, len(batch), 2048):
-                now = Members(batch.slice(lo, 2048), dimension, 1 + probes)
+                now = Members(batch.slice(lo, 2048), dimension)
                 now = now if held is None else held + now
                 first = np.flatnonzero(np.concatenate([[True], (now.block[1:] != now.block[:-1]).any(1)]))
-                out = [x for a, b in zip(first[:-1], first[1:], strict=True) if b - a > 1 for x in solve(now[a:b], least)]
+                out = [x for a, b in zip(first[:-1], first[1:], strict=True) if b - a > 1 for x in solve(now[a:b], hashes, least)]
                 held = now[first[-1] :]
                 if out:
                     yield packed(out, "rid long, other long, n long")
-        if held is not None and (out := solve(held, least)):
+        if held is not None and (out := solve(held, hashes, least)):
             yield packed(out, "rid long, other long, n long")
 
     dealt = members.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair")
