@@ -337,7 +337,8 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: float = 1024.0,
 
     def answered(visits: DataFrame) -> DataFrame:
         dealt = here.unionByName(visits.withColumn("kind", F.lit(1)))
-        return dealt.repartition(blocks, "cell", "ring", "block").sortWithinPartitions("cell", "ring", "block", "kind").mapInArrow(_answer(k), FOUND)
+        # More partitions than blocks, so that few of them share one.
+        return dealt.repartition(4 * blocks, "cell", "ring", "block").sortWithinPartitions("cell", "ring", "block", "kind").mapInArrow(_answer(k), FOUND)
 
     if not found:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
