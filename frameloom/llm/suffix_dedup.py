@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by suffix arrays built in blocks.
 
 All strings of LENGTH bytes that are equal must meet in one suffix array, and
-no array may hold the corpus. So strings are dealt by content: of the 32-byte
-windows of a string the one with the least hash is its anchor, and strings
+no array may hold the corpus. So strings are dealt by content: of the short
+windows of a string (32 bytes of 96 and more) the one with the least hash is its anchor, and strings
 that start next to each other mostly share it, so a document falls into
 segments (runs of starts with one anchor), each sent as two hashes. Segments
 with equal anchors and equal content need no sorting: all but the first are
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of
 from .substring_dedup import numbered, packed, runs
 
-#: Bytes of an anchor, bytes of a block's text, segments of one anchor that one block takes.
-ANCHOR, BLOCK_BYTES, BLOCK_SEGMENTS = 32, 2 << 20, 4096
+#: Bytes of an anchor at most, bytes of a block's text, segments of one anchor that one block takes, bytes of frequent strings that a task remembers.
+ANCHOR, BLOCK_BYTES, BLOCK_SEGMENTS, HELD_BYTES = 32, 2 << 20, 4096, 32 << 20
 _BASE = 0xD1342543DE82EF95
 SEGMENTS, LATER, ROWS = 0, 1, 2
 SENT = "bucket int, kind int, chunk long, n int, data binary"
@@ -51,10 +51,15 @@ def unpack(data: bytes, n: int, *kinds) -> list[np.ndarray]:
     return out
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ANCHOR bytes from each position on."""
+def anchor_of(length: int) -> int:
+    """Bytes of an anchor in strings of `length` bytes: a power of two, a third of the string at most."""
+    return min(ANCHOR, 1 << max(0, (length // 3).bit_length() - 1))
+
+
+def gram_hashes(data: np.ndarray, width: int = ANCHOR) -> np.ndarray:
+    """Hash of the `width` bytes (a power of two) from each position on."""
     h, step, factor = LETTERS[data], 1, _BASE
-    while step < ANCHOR:
+    while step < width:
         if len(h) <= step:
             return np.zeros(0, np.uint64)
         h = h[:-step] * np.uint64(factor) + h[step:]
@@ -77,9 +82,9 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of documents in one buffer (offsets from 0): each segment's document, first start in it, last start less first, anchor hash and content hash."""
-    none = np.zeros(0, np.int64)
-    h = gram_hashes(data)
-    width = length - ANCHOR + 1
+    none, size_of = np.zeros(0, np.int64), anchor_of(length)
+    h = gram_hashes(data, size_of)
+    width = length - size_of + 1
     anchor = least(h, width)
     size = np.diff(offsets)
     count = np.maximum(size - length + 1, 0)
@@ -99,8 +104,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     past = last + length
     n = (past - first).astype(np.uint64)
     content = n
-    # Anchors at three places from either end lie over every byte of a segment.
-    for at in (first, first + ANCHOR, first + 2 * ANCHOR, past - 3 * ANCHOR, past - 2 * ANCHOR, past - ANCHOR):
+    # A segment has at most 2 * length - size_of bytes; anchors at so many places from either end lie over every one of them.
+    each = -(-(2 * length - size_of) // (2 * size_of))
+    for at in (*(np.minimum(first + k * size_of, past - size_of) for k in range(each)), *(np.maximum(past - k * size_of, first) for k in range(each, 0, -1))):
         content = mixed(content * np.uint64(0x9E3779B97F4A7C15) + h[at])
     return doc, first - offsets[doc], last - first, mixed(h[anchor[first]] ^ np.uint64(0x5851F42D4C957F2D)), content
 
@@ -214,8 +220,8 @@ def later(texts: list[bytes], length: int) -> list[np.ndarray]:
 
 # -- the operator -----------------------------------------------------------------------------------
 
-_ENTRY = ("<i8", "<i4", "<i4", "u1", "<u8", "<u8")  # distance to the last doc_id, row in the chunk, start, last less first start, anchor, content
-_BACK = ("<i4", "<i4", "u1")
+_ENTRY = ("<i8", "<i4", "<i4", "<u4", "<u8", "<u8")  # distance to the last doc_id, row in the chunk, start, last less first start, anchor, content
+_BACK = ("<i4", "<i4", "<u4")
 PART = "block int, anchor long, id long, rid long, start long, data binary"
 
 
@@ -238,7 +244,7 @@ def _send(length: int, buckets: int):
             repeat = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])])
             again = np.sort(order[repeat])
             if len(again):
-                yield packed([(chunk % buckets, LATER, chunk, len(again), pack(row[again].astype("<i4"), start[again].astype("<i4"), extra[again].astype("u1")))], SENT)
+                yield packed([(chunk % buckets, LATER, chunk, len(again), pack(row[again].astype("<i4"), start[again].astype("<i4"), extra[again].astype("<u4")))], SENT)
             once = np.sort(order[~repeat])
             bucket = ((anchor[once] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -247,7 +253,7 @@ def _send(length: int, buckets: int):
                 k = once[by[at[b] : at[b + 1]]]
                 if len(k):
                     doc = np.diff(ids[row[k]], prepend=np.int64(0))
-                    yield packed([(b, SEGMENTS, chunk, len(k), pack(doc, row[k].astype("<i4"), start[k].astype("<i4"), extra[k].astype("u1"), anchor[k], content[k]))], SENT)
+                    yield packed([(b, SEGMENTS, chunk, len(k), pack(doc, row[k].astype("<i4"), start[k].astype("<i4"), extra[k].astype("<u4"), anchor[k], content[k]))], SENT)
 
     return work
 
@@ -322,8 +328,19 @@ def _bytes_of(length: int, buckets: int):
         first is sent as bytes, the others as repeats (no data, anchor: their end).
         """
         earliest: dict[tuple[int, bytes], tuple] = {}
+        held, size_of = 0, anchor_of(length)
+
+        def firsts() -> Iterator[pa.RecordBatch]:
+            rest = [(block, key, None if null else id_, rid, start, own) for (key, own), (null, id_, rid, start, block) in earliest.items()]
+            for lo in range(0, len(rest), 4096):
+                yield packed(rest[lo : lo + 4096], PART)
+            earliest.clear()
+
         for batch in batches:
             out = []
+            if held > HELD_BYTES:  # what comes later starts anew; blocks compare all bytes that they get
+                yield from firsts()
+                held = 0
             for rid, id_, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text.encode()
                 for start, past, anchor, number in np.frombuffer(asked, np.int64).reshape(-1, 4).tolist():
@@ -333,24 +350,23 @@ def _bytes_of(length: int, buckets: int):
                         continue
                     ways = math.ceil(number / (BLOCK_SEGMENTS // 8))
                     part = np.frombuffer(data[start:past], np.uint8)
-                    h = gram_hashes(part)
+                    h = gram_hashes(part, size_of)
                     n = past - start - length + 1
                     way = np.zeros(n, np.uint64)
-                    for k in (*range(0, length - ANCHOR, ANCHOR), length - ANCHOR):
+                    for k in (*range(0, length - size_of, size_of), length - size_of):
                         way = mixed(way + h[k : k + n])
                     way = (way % np.uint64(ways)).astype(np.int64)
                     for lo, size in zip(*(x.tolist() for x in runs(way)), strict=True):
                         own = data[start + lo : start + lo + size + length - 1]
                         key, now = (anchor ^ (int(way[lo]) + 1), own), (id_ is None, id_ or 0, rid, start + lo, (block + 1 + int(way[lo])) % buckets)
+                        held += 0 if key in earliest else len(own)
                         first, last = sorted((earliest.get(key, now), now))
                         earliest[key] = first
                         if first != last:
                             out.append((last[2] % buckets, last[3] + len(own), None, last[2], last[3], None))
             for lo in range(0, len(out), 4096):
                 yield packed(out[lo : lo + 4096], PART)
-        rest = [(block, key, None if null else id_, rid, start, own) for (key, own), (null, id_, rid, start, block) in earliest.items()]
-        for lo in range(0, len(rest), 4096):
-            yield packed(rest[lo : lo + 4096], PART)
+        yield from firsts()
 
     return work
 
@@ -418,13 +434,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
     earlier: at a smaller id, or in the same document before; rows of one id
     come in the order of the table, and null ids last. kept is the rest as
     bytes, which need not be UTF-8 any more. Texts shorter than `length` and
-    null (empty) texts stay; an empty table gives an empty table. `length` is
-    from 96 to 112; equal segments are told by two 64-bit hashes of their bytes.
+    null (empty) texts stay; an empty table gives an empty table. Segments of over `length` bytes
+    that share an anchor and a 64-bit hash of their bytes are taken for equal; all others are compared byte by byte.
     The columns named in `extra` follow. as_text gives kept as a string, without
     what is left of characters that were cut in two.
     """
-    if not 96 <= length <= 112:
-        raise ValueError("length must be from 96 to 112")
+    if length < 1:
+        raise ValueError("length must be 1 or more")
     rows, spans = repeated_bytes(docs, length, buckets, id_col, text_col, extra)
     spans = spans.groupBy("rid").applyInArrow(lambda t: _joined(t), "rid long, spans binary")
 

@@ -144,7 +144,16 @@ def test_string_removal_on_odd_texts(spark, monkeypatch, segments):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["sha"]) for r in out} == dict(enumerate(want))
     assert {r["rid"] for r in out} == {"x"}
     with pytest.raises(ValueError, match="length"):
-        suffix_dedup.remove_repeated_bytes(docs(spark, texts), 20)
+        suffix_dedup.remove_repeated_bytes(docs(spark, texts), 0)
+
+
+@pytest.mark.parametrize(("length", "held"), [(1, 10**6), (7, 50), (23, 10**6), (120, 10**6), (300, 10**6)])
+def test_string_removal_of_other_lengths(spark, monkeypatch, length, held):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_SEGMENTS", 8)
+    monkeypatch.setattr(suffix_dedup, "HELD_BYTES", held)
+    texts = [t for t in odd_texts(length) if t is None or len(t) < 5000]
+    out = suffix_dedup.remove_repeated_bytes(docs(spark, texts), length, buckets=3).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), r["sha"]) for r in out} == dict(enumerate(brute.without_strings(texts, length)))
 
 
 def test_suffix_array():
