@@ -10,6 +10,8 @@ start.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, repeats: i
     return named.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(float(level or 0.0))).alias("target"))
 
 
-def shuffled(seed: int, id_: Column) -> Column:
-    """The place of a document in the shuffled order of its source."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("null"))))
+#: Rows that one range of a source's order should hold.
+SLOT_ROWS = 50_000
+
+
+def shuffled(seed: int, id_: Column, text: Column) -> Column:
+    """The place of a document in the shuffled order of its source; rows without an id, or that share one, differ by their texts."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, repeats: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -59,8 +65,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 15
     bins = 64 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     mine = {c: f"_{k}" for k, c in enumerate(keep)}
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), shuffled(seed, F.col(id_col)).alias("place"), *[F.col(c).alias(k) for c, k in mine.items()])
-    rows = rows.withColumn("slot", F.substring("place", 1, 3)).checkpoint()  # 4096 ranges of each source's order
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), shuffled(seed, F.col(id_col), F.col(text_col)).alias("place"), *[F.col(c).alias(k) for c, k in mine.items()])
+    rows = rows.checkpoint()
+    # Ranges of each source's order: as many hexadecimal digits of the place as leave SLOT_ROWS in one if a source has all rows, and three at least.
+    digits = max(3, math.ceil(math.log(max(1, rows.count()) / SLOT_ROWS, 16)))
+    rows = rows.withColumn("slot", F.substring("place", 1, digits))
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
     before = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(F.col("source").alias("s2"), F.col("slot").alias("p2"), F.coalesce(F.sum("slot_size").over(before), F.lit(0)).alias("ahead"))
@@ -94,7 +103,7 @@ def oracle(weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, repeats: in
     """The same mix of `documents` in DuckDB's SQL."""
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
-                      md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place FROM documents),
+                      md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, ''))) AS place FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     w AS (SELECT source, source_size, source_size * {repeats} AS cap,
                  list_extract({list(weights)}, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1)::BIGINT)::BIGINT AS weight FROM s),

@@ -17,7 +17,7 @@ from compare import duck, same
 from pyspark.sql import functions as F
 from test_llm import docs, odd_texts, word
 
-from frameloom.llm import common, components, language, ngram_join, substring_dedup, token_counts, top_k, toxicity, vector_dedup
+from frameloom.llm import common, components, language, mixing, ngram_join, substring_dedup, token_counts, top_k, toxicity, vector_dedup
 from frameloom.llm.common import KEYS, PRIME, mixed, rolling
 from frameloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 from frameloom.llm.substring_dedup import packed
@@ -379,7 +379,8 @@ def plain_mix(rows, seed=7):
             target[s] = 2 * total[s]
             left -= target[s]
         free -= full
-    place = [hashlib.md5(f"{seed}|{'null' if i is None else i}".encode()).hexdigest() for i, _, _ in rows]
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    place = [digest(f"{seed}|{'null' if i is None else i}|{digest(t or '')}") for i, t, _ in rows]
     times, done = [], Counter()
     for k in sorted(range(len(rows)), key=lambda k: (place[k], size[k])):
         s = rows[k][2]
@@ -465,3 +466,17 @@ def test_no_folder_of_this_machine_on_a_cluster():
     assert conf == {"spark.sql.files.minPartitionNum": "8"}  # files are cut alike whatever executors come and go
     conf["spark.checkpoint.dir"] = "hdfs://far/checkpoints"
     common.prepare(far)
+
+
+def test_mix_does_not_depend_on_ranges(spark, monkeypatch):
+    rows = [(None if k % 3 else k, " ".join(["w"] * (k % 17)), ("a", "b", None)[k % 3]) for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter((rows[k][0], rows[k][1], rows[k][2]) for k, n in plain_mix(rows).items() for _ in range(n))
+    for slot_rows in (1, 20, 50_000):
+        monkeypatch.setattr(mixing, "SLOT_ROWS", slot_rows)
+        out = mixing.mix(d, keep=("text", "source")).collect()
+        got = Counter()
+        for r in out:
+            if r["taken"]:
+                got[r["doc_id"], r["text"], r["source"]] += r["taken"] // r["size"]
+        assert got == want
