@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOG = "session long, seq long, kind string, gap long, answer int, token long"
 EFFECTIVE = "session long, position long, seq long, gap long, answer int"
@@ -79,28 +80,59 @@ def replay(log: DataFrame) -> DataFrame:
     return ordered.mapInArrow(work, EFFECTIVE)
 
 
+class Replay(StatefulProcessor):
+    """A session's stacks as maps from position to entry, and their sizes: an event reads and writes the entries it moves, whatever the stacks hold."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sizes = handle.getValueState("sizes", "done long, undone long, token long")
+        self.done = handle.getMapState("done", "position long", "seq long, gap long, answer int")
+        self.undone = handle.getMapState("undone", "position long", "seq long, gap long, answer int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done, undone, token = self.sizes.get() if self.sizes.exists() else (0, 0, 0)
+        changed = set()
+        for row in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
+            if (current := _clean(row.token)) is not None and current != token:
+                continue
+            if row.kind == "ANSWER":
+                done += 1
+                self.done.updateValue((done,), (int(row.seq), _clean(row.gap), _clean(row.answer)))
+                for position in range(1, undone + 1):
+                    self.undone.removeKey((position,))
+                undone = 0
+                changed.add(done)
+            elif row.kind == "UNDO" and done:
+                undone += 1
+                self.undone.updateValue((undone,), tuple(self.done.getValue((done,))))
+                self.done.removeKey((done,))
+                changed.add(done)
+                done -= 1
+            elif row.kind == "REDO" and undone:
+                done += 1
+                self.done.updateValue((done,), tuple(self.undone.getValue((undone,))))
+                self.undone.removeKey((undone,))
+                undone -= 1
+                changed.add(done)
+            else:
+                continue
+            token += 1
+        self.sizes.update((done, undone, token))
+        told = [(key[0], p, *(tuple(self.done.getValue((p,))) if p <= done else (None, None, None))) for p in sorted(changed)]
+        yield pd.DataFrame(told, columns=["session", "position", "seq", "gap", "answer"]).astype("Int64")
+
+    def close(self) -> None:
+        pass
+
+
 def stream(log: DataFrame) -> DataFrame:
-    """The same as a streaming query: after each micro-batch, the effective answers of the sessions that it touched.
+    """The same as a streaming query that emits changes: the answer that now stands at a session's position, or nulls if none does any more.
 
-    State per session is the two stacks and the token; events of a batch are
-    applied in order of seq.
+    State is kept in RocksDB, an entry at a time; events of a batch are applied
+    in order of seq. A sink that keeps the last row of each (session, position)
+    holds the effective answers.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    kept = "seqs array<long>, gaps array<long>, answers array<int>, useqs array<long>, ugaps array<long>, uanswers array<int>, token long"
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = Session()
-        if state.exists:
-            s, g, a, us, ug, ua, token = state.get
-            now = Session(list(zip(s, g, a, strict=True)), list(zip(us, ug, ua, strict=True)), token)
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            now.apply(int(row.seq), row.kind, _clean(row.gap), _clean(row.answer), _clean(row.token))
-        column = lambda rows, k: [r[k] for r in rows]
-        state.update((*(column(now.done, k) for k in range(3)), *(column(now.undone, k) for k in range(3)), now.token))
-        yield pd.DataFrame([(key[0], k, *x) for k, x in enumerate(now.done, 1)], columns=["session", "position", "seq", "gap", "answer"])
-
-    return log.groupBy("session").applyInPandasWithState(update, EFFECTIVE, kept, "update", GroupStateTimeout.NoTimeout)
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return log.groupBy("session").transformWithStateInPandas(Replay(), EFFECTIVE, "update", "none")
 
 
 def review_seconds(log: DataFrame) -> DataFrame:
