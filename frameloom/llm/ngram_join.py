@@ -49,8 +49,8 @@ from .components import components, looked_up
 from .substring_dedup import chunks, numbered, packed, runs
 from .suffix_dedup import pack, unpack
 
-#: N-grams ordered by frequency, at most; documents of a block, at most.
-HEAVY, BLOCK_ROWS = 1 << 20, 4096
+#: N-grams ordered by frequency, at most; documents of a part of a block, and their n-grams (unless one has more), at most about.
+HEAVY, BLOCK_ROWS, BLOCK_GRAMS = 1 << 20, 512, 1 << 19
 #: Prefix members that a pair must share, and the most holders of one that are paired.
 SHARED, FEW = 8, 12
 #: Documents that hold an n-gram which names blocks itself.
@@ -99,9 +99,10 @@ _FOLD = LOWER.tobytes()
 def exact_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """As sets(), but each n-gram has a number of its own among these texts, without hashes."""
     number: dict[bytes, int] = {}
-    split = [(t or "").encode().translate(_FOLD).split() for t in texts]
-    count = np.array([len(w) for w in split], np.int64)
-    word = np.array([number.setdefault(x, len(number)) for w in split for x in w], np.int64)
+    # One text's words at a time; only distinct words and numbers are held.
+    words = [np.array([number.setdefault(x, len(number)) for x in (t or "").encode().translate(_FOLD).split()], np.int64) for t in texts]
+    count = np.array([len(w) for w in words], np.int64)
+    word = np.concatenate([np.zeros(0, np.int64), *words])
     at = np.concatenate([[0], np.cumsum(count)])
     doc = np.repeat(np.arange(len(texts)), count)
     together = lambda a, b: np.unique(a * np.int64(int(b.max(initial=0)) + 1) + b, return_inverse=True)[1].astype(np.int64)
@@ -117,7 +118,7 @@ def exact_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]
     whole = np.arange(len(gram)) + n <= at[1:][doc[: len(gram)]]
     short = np.flatnonzero((count > 0) & (count < n))
     known: dict[tuple, int] = {}
-    single = np.array([known.setdefault(tuple(split[k]), len(known)) for k in short.tolist()], np.int64) + int(gram.max(initial=0)) + 1
+    single = np.array([known.setdefault(tuple(words[k].tolist()), len(known)) for k in short.tolist()], np.int64) + int(gram.max(initial=0)) + 1
     value = np.concatenate([gram[whole], single])
     pick, first = distinct(value, np.concatenate([doc[: len(gram)][whole], short]), len(texts))
     return value[pick], first
@@ -483,11 +484,12 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     # One row of each set in a chunk stands for the chunk's others; the first of these goes to blocks, with the number of rows that have it.
     heads = placed.filter("size > 0 and copies > 0").select("set", "size", "rid", "place", "copies")
     classes = heads.groupBy("set", "size").agg(F.min("rid").alias("rid"), F.min("place").alias("place"), F.sum("copies").alias("n")).checkpoint()
-    asked = _blocks(placed).join(classes.select("rid", "n", "place"), "place").drop("place").checkpoint()
+    asked = _blocks(placed).join(classes.select("rid", "n", "place", "size"), "place").drop("place").checkpoint()
     # Of a block with very many documents, parts of those that hold meet parts of those that ask, each pair of parts in a block of its own.
-    many = asked.groupBy("leader").agg(F.count("*").alias("m"), F.sum(F.col("held").cast("long")).alias("h")).filter("m > 1 and h > 0")
-    parts = lambda c: F.ceil(F.col(c) / F.lit(BLOCK_ROWS)).cast("int")
-    asked = looked_up(asked, many.select("leader", parts("h").alias("hs"), parts("m").alias("ms")).checkpoint(), ["leader"])
+    held = F.col("held").cast("long")
+    many = asked.groupBy("leader").agg(F.count("*").alias("m"), F.sum("size").alias("mg"), F.sum(held).alias("h"), F.sum(held * F.col("size")).alias("hg")).filter("m > 1 and h > 0")
+    parts = lambda rows, grams: F.greatest(F.ceil(F.col(rows) / F.lit(BLOCK_ROWS)), F.ceil(F.col(grams) / F.lit(BLOCK_GRAMS))).cast("int")
+    asked = looked_up(asked.drop("size"), many.select("leader", parts("h", "hg").alias("hs"), parts("m", "mg").alias("ms")).checkpoint(), ["leader"])
     asked = asked.withColumn("h", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("hs")).cast("int")).withColumn("m", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("ms")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda k: k * F.col("ms") + F.col("m"))
     meets = F.when(F.col("held"), F.array_union(meets, F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda k: F.col("h") * F.col("ms") + k))).otherwise(meets)

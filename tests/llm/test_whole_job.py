@@ -217,7 +217,7 @@ def test_documents_of_one_line_need_no_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 50)
     texts = [f"this line is on very many pages of the same site and says nothing w{k} x{k} y{k} z{k}" for k in range(300)]
     got = ngram_join.ngram_components(docs(spark, texts), 4, 85, buckets=5).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got} == {k: (14, 0, k) for k in range(300)}
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got} == {k: (15, 0, k) for k in range(300)}
 
 
 def best_of(rows, ids, asks, k, scale=1024):
