@@ -141,12 +141,13 @@ def units(vectors: list[bytes], dimension: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def matches(m: Members, hashes: Hashes, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of members of one block that are alike and meet here first."""
-    bucket, pair = m.block[0].tolist()
-    sides, table = int(m.parts[0]), bucket % hashes.tables
+def alike(m: Members, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of members of one block whose cosine is `least` or more and of which one lives there."""
+    pair, sides = int(m.block[0, 1]), int(m.parts[0])
     across = pair >= 0 and pair // sides != pair % sides  # pairs within a part are counted in that part's own block
-    out_i, out_j = [], []
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not m.resident.any():
+        return out_i[0], out_j[0]
     for lo in range(0, len(m), 256):
         i, j = np.nonzero(m.x[lo : lo + 256] @ m.x.T >= least)
         i = i + lo
@@ -155,25 +156,35 @@ def matches(m: Members, hashes: Hashes, least: float) -> tuple[np.ndarray, np.nd
         keep = (i < j) & (m.resident[i] | m.resident[j])
         if across:
             keep &= m.part[i] != m.part[j]
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = hashes.keys(m.x[some])
-        a, b = keys[at[: len(i)]], keys[at[len(i) :]]
-        fresh = np.ones(len(i), bool)
-        for t in range(table):
-            fresh &= ~((a[:, t, :1] == b[:, t]).any(1) | (b[:, t, :1] == a[:, t]).any(1))
-        # In this table they may also meet where the other one lives; that of the lesser rid counts.
-        home_is_a = m.resident[i]
-        home, guest = np.where(home_is_a[:, None], a[:, table], b[:, table]), np.where(home_is_a[:, None], b[:, table], a[:, table])
+        out_i.append(i[keep])
+        out_j.append(j[keep])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def fresh(m: Members, i: np.ndarray, j: np.ndarray, hashes: Hashes) -> np.ndarray:
+    """Which of these pairs, of any blocks, do not meet in an earlier table, nor in this one where the lesser of them lives."""
+    out = np.ones(len(i), bool)
+    if not len(i):
+        return out
+    some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    # A row is a member of many blocks, but its keys are the same in each.
+    rid, first, same = np.unique(m.rid[some], return_index=True, return_inverse=True)
+    keys = np.concatenate([hashes.keys(m.x[some[first[lo : lo + 512]]]) for lo in range(0, len(rid), 512)])
+    at = same[at]
+    for lo in range(0, len(i), 16_384):
+        p, q = i[lo : lo + 16_384], j[lo : lo + 16_384]
+        a, b = keys[at[: len(i)][lo : lo + 16_384]], keys[at[len(i) :][lo : lo + 16_384]]
+        table, row = m.block[p, 0] % hashes.tables, np.arange(len(p))
+        ok = np.ones(len(p), bool)
+        for t in range(int(table.max())):
+            ok &= (table <= t) | ~((a[:, t, :1] == b[:, t]).any(1) | (b[:, t, :1] == a[:, t]).any(1))
+        a, b = a[row, table], b[row, table]
+        home_is_a = m.resident[p]
+        home, guest = np.where(home_is_a[:, None], a, b), np.where(home_is_a[:, None], b, a)
         both_ways = (guest[:, :1] == home[:, 1:]).any(1)
-        lesser = np.where(home_is_a, m.rid[j] < m.rid[i], m.rid[i] < m.rid[j])
-        fresh &= ~(~(m.resident[i] & m.resident[j]) & both_ways & lesser)
-        out_i.append(i[fresh])
-        out_j.append(j[fresh])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+        lesser = np.where(home_is_a, m.rid[q] < m.rid[p], m.rid[p] < m.rid[q])
+        out[lo : lo + 16_384] = ok & ~(~(m.resident[p] & m.resident[q]) & both_ways & lesser)
+    return out
 
 
 class Members:
@@ -202,10 +213,14 @@ class Members:
 
 
 def solve(m: Members, hashes: Hashes, least: float) -> list[tuple]:
-    """Of one block: (rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
-    if len(m) < 2 or not m.resident.any():
+    """Of whole blocks: (rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
+    if len(m) < 2:
         return []
-    i, j = matches(m, hashes, least)
+    first = np.flatnonzero(np.concatenate([[True], (m.block[1:] != m.block[:-1]).any(1)]))
+    found = [(lo, *alike(m[lo:hi], least)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(m)], strict=True) if hi - lo > 1]
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] + f[0] for f in found)]) for k in (1, 2))
+    keep = fresh(m, i, j, hashes)
+    i, j = i[keep], j[keep]
     if not len(i):
         return []
     more = np.bincount(i, m.n[j], len(m)) + np.bincount(j, m.n[i], len(m))
@@ -313,7 +328,7 @@ def _one_length(classes: DataFrame, dimension: int, least: float, tables: int, p
                 now = Members(batch.slice(lo, 2048), dimension)
                 now = now if held is None else held + now
                 first = np.flatnonzero(np.concatenate([[True], (now.block[1:] != now.block[:-1]).any(1)]))
-                out = [x for a, b in zip(first[:-1], first[1:], strict=True) if b - a > 1 for x in solve(now[a:b], hashes, least)]
+                out = solve(now[: first[-1]], hashes, least)
                 held = now[first[-1] :]
                 if out:
                     yield packed(out, "rid long, other long, n long")
