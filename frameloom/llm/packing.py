@@ -253,8 +253,8 @@ def plan(histogram: dict[int, int], capacity: int, gap: float = GAP, effort: int
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, gap: float = GAP, effort: int = EFFORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, and least_sequences, which no packing can undercut.
 
-    A null or empty text is one piece of end_id; a null doc_id stays null;
-    repeated rows are packed each. Pieces are checkpointed once, as ids are
+    A null or empty text is one piece of end_id; ids are whole numbers, and a null one stays
+    null; repeated rows are packed each; an empty table gives an empty table. A worker holds the ids of one text at a time. Pieces are checkpointed once, as ids are
     costly. The driver sees the histogram, at most `capacity` counts; a piece's
     rank among those of its length is its task's first rank plus its number
     there, so no length's pieces meet in one task. Which sequence holds which

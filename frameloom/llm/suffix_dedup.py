@@ -432,7 +432,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
 
     A byte goes if it is covered by a string of `length` bytes that also starts
     earlier: at a smaller id, or in the same document before; rows of one id
-    come in the order of the table, and null ids last. kept is the rest as
+    come in the order of the table, and null ids last; ids are whole numbers. kept is the rest as
     bytes, which need not be UTF-8 any more. Texts shorter than `length` and
     null (empty) texts stay; an empty table gives an empty table. Segments of over `length` bytes
     that share an anchor and a 64-bit hash of their bytes are taken for equal; all others are compared byte by byte.

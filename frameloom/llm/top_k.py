@@ -302,7 +302,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: float = 1024.0,
 
     A vector's components are floor(scale * x), its score the inner product,
     exact for any finite vector; scores beyond 64 bits count as the nearest score
-    of 64 bits. Ties go to the smaller id. Rows with a null id, and vectors that are null
+    of 64 bits. Ties go to the smaller id. Ids are whole numbers. Rows with a null id, and vectors that are null
     or empty or hold a null or a component that is not finite, take no part;
     vectors of other lengths are not candidates. Rows that share a query's id
     are its own; of several rows that ask under one id the one with the least

@@ -269,7 +269,7 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int | None = N
     or more. Vectors that are null, empty or zero, or hold a null or a
     component that is not finite, link with nothing, nor do vectors of unlike
     lengths. Repeated rows and equal vectors link with each other. A
-    component's id is its least id; a null id stays null and is kept. An empty
+    component's id is its least id; ids are whole numbers, and a null one stays null and is kept. An empty
     table gives an empty table. A link is found with a probability of RECALL or
     more, whatever the table's size, unless `tables` says otherwise; none is wrong.
     """
