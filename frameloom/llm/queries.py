@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .ball_kmeans import cluster
 from .common import table
+from .exact_dedup import exact_dedup
 from .language import language
 from .mixing import mix
 from .mixing import oracle as mix_oracle
 from .ngram_join import ngram_components
 from .packing import pack
+from .spelling import spelling_variants
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_repeated_bytes
 from .token_counts import token_counts
@@ -79,7 +82,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_embedding_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op9_exact_top_k, op10_language)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_length=7, least_count=2, ratio=10, noise=31)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dimension=64, seed=3)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard, op2_substring_dedup, op3_embedding_dedup, op4_toxicity, op5_source_mix, op6_token_counts, op7_best_fit_packing, op8_suffix_dedup, op9_exact_top_k, op10_language, op11_spelling_variants, op12_exact_dedup, op13_centroid_clusters)}
 #: Of the operators that SQL can express; op4, op6, op7 and op10 have plain versions in the tests.
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard": oracles.ngram_join(4, 85),
@@ -88,4 +103,7 @@ ORACLES: dict[str, str] = {
     "op5_source_mix": mix_oracle(),
     "op8_suffix_dedup": oracles.suffix_dedup(100),
     "op9_exact_top_k": oracles.top_k(100, 10, 1024),
+    "op11_spelling_variants": oracles.spelling_variants(7, 2, 10, 31),
+    "op12_exact_dedup": oracles.exact_dedup(),
+    "op13_centroid_clusters": oracles.centroid_clusters(8, 10, 1024, 64, 3),
 }
