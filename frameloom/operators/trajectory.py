@@ -2,71 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.scalars import distance, seconds, share
+from .gaps import pairs
+from .selection import percentiles
+from .slices import SLICE, neighbours, row_numbers, runs
 
 
-def _by_frame() -> Window:
-    return Window.partitionBy("ANIMALID").orderBy("FRAMENUMBER")
-
+def bouts(detections: DataFrame, c: Config = DEFAULT, slice_frames: int = SLICE) -> DataFrame:
+    """Runs of successive frames with less than a distance between them: pairs and seconds; short runs are left out.
 
-def steps(detections: DataFrame) -> DataFrame:
-    """Detections with the frame and place before and after."""
-    w = _by_frame()
-    return detections.withColumns({f"{n}_{c}": f(c).over(w) for n, f in (("prev", F.lag), ("next", F.lead)) for c in ("FRAMENUMBER", "MASS_X", "MASS_Y")})
+    A pair that moves, or whose frames are not successive, ends a run. Runs are
+    summed up within slices of an animal's frames and joined where they go on in the next one.
+    """
+    p = pairs(detections, ["MASS_X", "MASS_Y"], slice_frames)
+    still = (F.col("next_FRAMENUMBER") - F.col("FRAMENUMBER") == 1) & (distance(F.col("MASS_X"), F.col("MASS_Y"), F.col("next_MASS_X"), F.col("next_MASS_Y")) < c.stationary_distance)
+    return runs(p, still, slice_frames).filter(F.col("pairs") >= c.stationary_pairs).select("ANIMALID", "start_frame", "pairs", seconds(F.col("pairs"), c).alias("duration_sec"))
 
 
-def bouts(detections: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Runs of successive frames with less than a distance between them: pairs and seconds; short runs are left out.
+def velocity_gaps(detections: DataFrame, c: Config = DEFAULT, slice_frames: int = SLICE) -> DataFrame:
+    """Gaps with the speed just before and after; null where the neighbouring frame is missing too. Not rounded.
 
-    A pair that moves, or whose frames are not successive, ends a run, so the
-    running number of such pairs names the run.
+    A gap needs one row before and two after its first frame, which slices tell each other.
     """
-    p = steps(detections).filter("next_FRAMENUMBER is not null")
-    still = (F.col("next_FRAMENUMBER") - F.col("FRAMENUMBER") == 1) & F.coalesce(distance(F.col("MASS_X"), F.col("MASS_Y"), F.col("next_MASS_X"), F.col("next_MASS_Y")) < c.stationary_distance, F.lit(False))
-    island = F.sum((~F.col("_still")).cast("long")).over(_by_frame().rowsBetween(Window.unboundedPreceding, 0))
-    runs = p.withColumn("_still", still).withColumn("_run", island).filter("_still").groupBy("ANIMALID", "_run")
-    found = runs.agg(F.min("FRAMENUMBER").alias("start_frame"), F.count("*").alias("pairs"))
-    return found.filter(F.col("pairs") >= c.stationary_pairs).select("ANIMALID", "start_frame", "pairs", seconds(F.col("pairs"), c).alias("duration_sec"))
-
-
-def velocity_gaps(detections: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Gaps with the speed just before and after; null where the neighbouring frame is missing too. Not rounded."""
-    w = _by_frame()
-    s = detections.withColumns({"_f0": F.lag("FRAMENUMBER").over(w), "_f2": F.lead("FRAMENUMBER").over(w), "_f3": F.lead("FRAMENUMBER", 2).over(w)} | {f"_{a}{k}": f for a in "XY" for k, f in (("0", F.lag(f"MASS_{a}").over(w)), ("2", F.lead(f"MASS_{a}").over(w)), ("3", F.lead(f"MASS_{a}", 2).over(w)))})
+    s = neighbours(detections.select("ANIMALID", "FRAMENUMBER", "MASS_X", "MASS_Y"), ["MASS_X", "MASS_Y"], 1, 2, slice_frames)
     frame = F.lit(1.0) / F.lit(float(c.db_fps))
-    before = F.when(F.col("FRAMENUMBER") - F.col("_f0") == 1, distance(F.col("_X0"), F.col("_Y0"), F.col("MASS_X"), F.col("MASS_Y")) / frame)
-    after = F.when(F.col("_f3") - F.col("_f2") == 1, distance(F.col("_X2"), F.col("_Y2"), F.col("_X3"), F.col("_Y3")) / frame)
-    size = F.col("_f2") - F.col("FRAMENUMBER") - 1
-    g = s.filter(F.col("_f2") - F.col("FRAMENUMBER") > 1).select("ANIMALID", F.col("FRAMENUMBER").alias("start_frame"), F.col("_f2").alias("end_frame"), size.alias("gap_length_frames"), seconds(size, c).alias("gap_duration_sec"), before.alias("velocity_before_px_per_sec"), after.alias("velocity_after_px_per_sec"))
-    return g.withColumn("gap_index", F.row_number().over(Window.partitionBy("ANIMALID").orderBy("start_frame")))
+    speed = lambda a, b: distance(a["MASS_X"], a["MASS_Y"], b["MASS_X"], b["MASS_Y"]) / frame
+    here, prev, one, two = F.struct("MASS_X", "MASS_Y"), F.col("prev_1"), F.col("next_1"), F.col("next_2")
+    before = F.when(F.col("FRAMENUMBER") - prev["FRAMENUMBER"] == 1, speed(prev, here))
+    after = F.when(two["FRAMENUMBER"] - one["FRAMENUMBER"] == 1, speed(one, two))
+    size = one["FRAMENUMBER"] - F.col("FRAMENUMBER") - 1
+    g = s.filter(size > 0).select("ANIMALID", F.col("FRAMENUMBER").alias("start_frame"), one["FRAMENUMBER"].alias("end_frame"), size.alias("gap_length_frames"), seconds(size, c).alias("gap_duration_sec"), before.alias("velocity_before_px_per_sec"), after.alias("velocity_after_px_per_sec"))
+    return row_numbers(g, "start_frame", "gap_index", slice_frames)
 
 
-def distribution(rows: DataFrame, frames: str, c: Config = DEFAULT) -> DataFrame:
-    """count, mean, max and the exact quartiles (interpolated) in seconds of a column of frames; zeros for no rows.
+def distribution(rows: DataFrame, frames: str, c: Config = DEFAULT, by: tuple[str, ...] = ()) -> DataFrame:
+    """count, mean, max and the exact quartiles (interpolated) in seconds of a column of frames, for each group of `by`; zeros for no rows.
 
     Sums are of whole numbers, so the mean does not depend on the order of rows.
     """
-    q = F.percentile(F.col(frames), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = rows.agg(F.count(frames).alias("n"), F.sum(frames).alias("_sum"), F.max(frames).alias("max"), q.alias("_q"))
+    d = rows.groupBy(*by).agg(F.count(frames).alias("n"), F.sum(frames).alias("_sum"), F.max(frames).alias("max"))
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    q = percentiles(rows, frames, shares, by)
+    met = d.join(q, list(by), "left") if by else d.join(F.broadcast(q), how="left", on=F.lit(True))
     zero = lambda x: F.coalesce(seconds(x, c), F.lit(0.0))
-    return d.select("n", zero(share(F.col("_sum"), F.col("n"))).alias("mean"), zero(F.col("max")).alias("max"), *[zero(F.col("_q")[k]).alias(p) for k, p in enumerate(("p25", "p50", "p75"))])
+    return met.select(*by, "n", zero(share(F.col("_sum"), F.col("n"))).alias("mean"), zero(F.col("max")).alias("max"), *[zero(F.col(p)).alias(p) for p in shares])
 
 
-def suggested_minutes(d: DataFrame) -> DataFrame:
+def suggested_minutes(d: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A stationary threshold: the upper quartile rounded up to five minutes, from 5 to 60; 30 without bouts."""
     up = (F.ceil(F.col("p75") / 60.0 / 5.0) * 5).cast("long")
-    return d.select(F.when(F.col("n") == 0, F.lit(30)).otherwise(F.greatest(F.lit(5), F.least(F.lit(60), up))).cast("long").alias("suggested_minutes"))
+    return d.select(*by, F.when(F.col("n") == 0, F.lit(30)).otherwise(F.greatest(F.lit(5), F.least(F.lit(60), up))).cast("long").alias("suggested_minutes"))
+
 
+def histogram(rows: DataFrame, column: str, beyond: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """bin and count of equal bins from 0 to the maximum plus `beyond`, for each group of `by`: half as many bins as rows, from 10 to 60.
 
-def histogram(rows: DataFrame, column: str, beyond: float) -> DataFrame:
-    """bin and count of equal bins from 0 to the maximum plus `beyond`: half as many bins as rows, from 10 to 60."""
-    limits = rows.agg(F.max(column).alias("_max"), F.least(F.lit(60), F.greatest(F.lit(10), F.floor(F.count("*") / 2))).alias("_bins"))
-    bins = rows.join(F.broadcast(limits), how="cross").withColumn("bin", F.least(F.floor(F.col(column) * F.col("_bins") / (F.col("_max") + beyond)), F.col("_bins") - 1).cast("long"))
-    return bins.groupBy("bin").agg(F.count("*").alias("n"))
+    Equal values are counted before they meet their group's limits, so no group is moved row by row.
+    """
+    counts = rows.groupBy(*by, column).agg(F.count("*").alias("_n"))
+    limits = counts.groupBy(*by).agg(F.max(column).alias("_max"), F.least(F.lit(60), F.greatest(F.lit(10), F.floor(F.sum("_n") / 2))).alias("_bins"))
+    met = counts.join(limits, list(by)) if by else counts.join(F.broadcast(limits), how="cross")
+    bins = met.withColumn("bin", F.least(F.floor(F.col(column) * F.col("_bins") / (F.col("_max") + beyond)), F.col("_bins") - 1).cast("long"))
+    return bins.groupBy(*by, "bin").agg(F.sum("_n").alias("n"))
 
 
 def overview(detections: DataFrame, c: Config = DEFAULT) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators import dedup, gaps, metrics, pools, review, trajectory, video
 from ..sources import events as ev
 from ..sources.metadata import roi_metadata
 from ..streaming import answers as log
+from ..streaming import live_review as live_review_
 from . import report, text
 from .oracles import ORACLES
 
@@ -171,6 +172,13 @@ def review_answers_table(s, d):
     return review.segments(with_map, lambda m: F.element_at(F.col("answers"), m))
 
 
+@query
+def live_review(s, d):
+    """The same review given live: answers with wrong ones taken back, stale and repeated events, applied one by one to each animal's state."""
+    g = _gaps(s, d)
+    return live_review_.decided(live_review_.live(live_review_.scripted(review.resolve(g, _answer)), g))
+
+
 @query
 def review_timeline(s, d):
     """Every frame of every animal after review, as ranges."""
@@ -382,17 +390,20 @@ def bouts(s, d):
 
 @query
 def bout_stats(s, d):
-    return trajectory.distribution(_bouts(s, d), "pairs")
+    return trajectory.distribution(_bouts(s, d), "pairs", by=("ANIMALID",))
 
 
 @query
 def suggest_threshold(s, d):
-    return trajectory.suggested_minutes(trajectory.distribution(_bouts(s, d), "pairs"))
+    """For every animal, those without bouts too."""
+    animals = ev.dense(s, d).select("ANIMALID").distinct()
+    spread = trajectory.distribution(_bouts(s, d), "pairs", by=("ANIMALID",))
+    return trajectory.suggested_minutes(animals.join(spread, "ANIMALID", "left").na.fill(0, ["n"]), ("ANIMALID",))
 
 
 @query
 def bout_histogram(s, d):
-    return trajectory.histogram(_bouts(s, d).withColumn("minutes", F.col("duration_sec") / 60.0), "minutes", 1.0)
+    return trajectory.histogram(_bouts(s, d).withColumn("minutes", F.col("duration_sec") / 60.0), "minutes", 1.0, ("ANIMALID",))
 
 
 @query
@@ -402,12 +413,18 @@ def velocity_gaps(s, d):
 
 @query
 def gap_percentiles(s, d):
-    return trajectory.distribution(trajectory.velocity_gaps(ev.dense(s, d)), "gap_length_frames")
+    return trajectory.distribution(trajectory.velocity_gaps(ev.dense(s, d)), "gap_length_frames", by=("ANIMALID",))
+
+
+@query
+def gap_percentiles_all(s, d):
+    """Of the gaps between detections of all animals together."""
+    return trajectory.distribution(_gaps(s, d), "size")
 
 
 @query
 def gap_histogram(s, d):
-    return trajectory.histogram(trajectory.velocity_gaps(ev.dense(s, d)).withColumn("minutes", F.col("gap_duration_sec") / 60.0), "minutes", 0.1)
+    return trajectory.histogram(trajectory.velocity_gaps(ev.dense(s, d)).withColumn("minutes", F.col("gap_duration_sec") / 60.0), "minutes", 0.1, ("ANIMALID",))
 
 
 @query

@@ -86,7 +86,8 @@ _PARTS = {
     "res": """SELECT ANIMALID, FRAMENUMBER, min(candidate_rank)::INT AS candidate_rank, arg_min(resolved, candidate_rank) AS resolved, regexp_replace(arg_min(path, candidate_rank), '.*/', '') AS video,
                greatest(0, least(round_even((arg_min(resolved, candidate_rank) - arg_min(start, candidate_rank)) / 2.0, 0)::BIGINT, arg_min(frame_count, candidate_rank) - 1)) AS local_frame
         FROM cnd WHERE path <> '/videos/cam_t10000.mp4' GROUP BY ANIMALID, FRAMENUMBER""",
-    "den": """SELECT 1::BIGINT AS ANIMALID, event_id AS FRAMENUMBER, value AS MASS_X, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS MASS_Y FROM events WHERE event_type <> 'error'""",
+    "den": """SELECT user_id AS ANIMALID, epoch_us(ts) // 3600000000 // 12 - epoch_us(TIMESTAMP '2024-01-01') // 3600000000 // 12 AS FRAMENUMBER, arg_max(value, event_id) AS MASS_X,
+               arg_max(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE), event_id) AS MASS_Y FROM events GROUP BY 1, 2""",
     "nbr": """SELECT *, lag(FRAMENUMBER) OVER w AS f0, lag(MASS_X) OVER w AS x0, lag(MASS_Y) OVER w AS y0, lead(FRAMENUMBER) OVER w AS f2, lead(MASS_X) OVER w AS x2, lead(MASS_Y) OVER w AS y2,
                lead(FRAMENUMBER, 2) OVER w AS f3, lead(MASS_X, 2) OVER w AS x3, lead(MASS_Y, 2) OVER w AS y3 FROM den WINDOW w AS (PARTITION BY ANIMALID ORDER BY FRAMENUMBER)""",
     "bts": """SELECT ANIMALID, min(FRAMENUMBER) AS start_frame, count(*) AS pairs, count(*) / 30.0::DOUBLE AS duration_sec FROM (
@@ -96,7 +97,7 @@ _PARTS = {
     "vel": """SELECT ANIMALID, FRAMENUMBER AS start_frame, f2 AS end_frame, f2 - FRAMENUMBER - 1 AS gap_length_frames, (f2 - FRAMENUMBER - 1) / 30.0::DOUBLE AS gap_duration_sec,
                CASE WHEN FRAMENUMBER - f0 = 1 THEN sqrt((MASS_X - x0) * (MASS_X - x0) + (MASS_Y - y0) * (MASS_Y - y0)) / (1.0::DOUBLE / 30.0::DOUBLE) END AS velocity_before_px_per_sec,
                CASE WHEN f3 - f2 = 1 THEN sqrt((x3 - x2) * (x3 - x2) + (y3 - y2) * (y3 - y2)) / (1.0::DOUBLE / 30.0::DOUBLE) END AS velocity_after_px_per_sec,
-               row_number() OVER (PARTITION BY ANIMALID ORDER BY FRAMENUMBER)::INT AS gap_index FROM nbr WHERE f2 - FRAMENUMBER > 1""",
+               row_number() OVER (PARTITION BY ANIMALID ORDER BY FRAMENUMBER) AS gap_index FROM nbr WHERE f2 - FRAMENUMBER > 1""",
 }
 _NEEDS = {
     "raw": "", "grp": "raw", "det": "raw grp", "prs": "det", "gap": "prs", "stp": "gap", "rev": "stp", "seg": "rev gap", "tot": "det gap stp", "rng": "det seg", "tml": "rng", "lab": "tml", "qcm": "lab", "cnf": "qcm",
@@ -137,14 +138,15 @@ def _pct(part: str, whole: str) -> str:
     return f"CASE WHEN {whole} > 0 THEN 100.0::DOUBLE * ({part}) / {whole} ELSE 0.0::DOUBLE END"
 
 
-def _spread(table: str, frames: str) -> str:
+def _spread(table: str, frames: str, by: str = "ANIMALID,") -> str:
     q = ", ".join(f"coalesce(quantile_cont({frames}, {p}) / 30.0::DOUBLE, 0.0) AS {n}" for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
-    return f"SELECT count({frames}) AS n, coalesce(sum({frames})::DOUBLE / count({frames}) / 30.0::DOUBLE, 0.0) AS mean, coalesce(max({frames}) / 30.0::DOUBLE, 0.0) AS max, {q} FROM {table}"
+    return f"SELECT {by} count({frames}) AS n, coalesce(sum({frames})::DOUBLE / count({frames}) / 30.0::DOUBLE, 0.0) AS mean, coalesce(max({frames}) / 30.0::DOUBLE, 0.0) AS max, {q} FROM {table} {'GROUP BY ALL' if by else ''}"
 
 
 def _bins(table: str, column: str, beyond: float) -> str:
-    return f"""SELECT least(floor(m * b / (x + {beyond}::DOUBLE)), b - 1)::BIGINT AS bin, count(*) AS n
-        FROM (SELECT {column} / 60.0::DOUBLE AS m FROM {table}), (SELECT max({column} / 60.0::DOUBLE) AS x, least(60, greatest(10, count(*) // 2)) AS b FROM {table}) GROUP BY 1"""
+    return f"""SELECT ANIMALID, least(floor(m * b / (x + {beyond}::DOUBLE)), b - 1)::BIGINT AS bin, count(*) AS n
+        FROM (SELECT ANIMALID, {column} / 60.0::DOUBLE AS m FROM {table})
+        JOIN (SELECT ANIMALID, max({column} / 60.0::DOUBLE) AS x, least(60, greatest(10, count(*) // 2)) AS b FROM {table} GROUP BY 1) USING (ANIMALID) GROUP BY 1, 2"""
 
 
 def _check(label: str, expected: str, actual: str) -> str:
@@ -189,6 +191,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, unnest(range((size - 1) // 1800 + 1)) AS k FROM gap WHERE route = 'checkpoints')"""),
     "q_review_segments": _sql("rev", "SELECT * FROM rev"),
     "q_review_answers_table": _sql("rev", "SELECT * FROM rev"),
+    "q_live_review": _sql("rev", "SELECT * FROM rev"),
     "q_review_timeline": _sql("rng", "SELECT * FROM rng"),
     "q_review_frames": _sql("tml", f"SELECT ANIMALID, FILL_SOURCE, IN_NEST, {_SUMS} FROM tml GROUP BY 1, 2, 3"),
     "q_fill_source_counts": _sql("seg det", """SELECT source AS FILL_SOURCE, value::INT AS IN_NEST, sum(seg_end - seg_start + 1)::BIGINT AS frames FROM seg GROUP BY 1, 2
@@ -240,10 +243,12 @@ ORACLES: dict[str, str] = {
     "q_labels_confusion": f"SELECT *, {_RATES} FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS TP, count(*) FILTER (quality = 1 AND toxic = 0) AS FP, count(*) FILTER (quality = 0 AND toxic = 1) AS FN, count(*) FILTER (quality = 0 AND toxic = 0) AS TN, count(*) FILTER (quality IN (0, 1)) AS total_labeled, count(*) FILTER (NOT coalesce(quality IN (0, 1), false)) AS invalid FROM labels WHERE toxic IS NOT NULL)",
     "q_bouts": _sql("bts", "SELECT * FROM bts"),
     "q_bout_stats": _sql("bts", _spread("bts", "pairs")),
-    "q_suggest_threshold": _sql("bts", "SELECT CASE WHEN count(*) = 0 THEN 30 ELSE greatest(5, least(60, ceil(quantile_cont(pairs, 0.75) / 30.0::DOUBLE / 60 / 5) * 5)) END::BIGINT AS suggested_minutes FROM bts"),
+    "q_suggest_threshold": _sql("bts den", """SELECT ANIMALID, CASE WHEN count(pairs) = 0 THEN 30 ELSE greatest(5, least(60, ceil(quantile_cont(pairs, 0.75) / 30.0::DOUBLE / 60 / 5) * 5)) END::BIGINT AS suggested_minutes
+        FROM (SELECT DISTINCT ANIMALID FROM den) LEFT JOIN bts USING (ANIMALID) GROUP BY ANIMALID"""),
     "q_bout_histogram": _sql("bts", _bins("bts", "duration_sec", 1.0)),
     "q_velocity_gaps": _sql("vel", "SELECT * FROM vel"),
     "q_gap_percentiles": _sql("vel", _spread("vel", "gap_length_frames")),
+    "q_gap_percentiles_all": _sql("gap", _spread("gap", "size", "")),
     "q_gap_histogram": _sql("vel", _bins("vel", "gap_duration_sec", 0.1)),
     "q_recording_overview": _sql("det", f"SELECT *, {_HMS.format(s='duration_sec')} AS duration, duration_sec / 3600.0::DOUBLE AS hours FROM (SELECT ANIMALID, count(*) AS n, min(FRAMENUMBER) AS first_frame, max(FRAMENUMBER) AS last_frame, (max(FRAMENUMBER) - min(FRAMENUMBER)) / 30.0::DOUBLE AS duration_sec FROM det GROUP BY 1)"),
     "q_trajectory_norm": _sql("det", "SELECT ANIMALID, FRAMENUMBER, (FRAMENUMBER - min(FRAMENUMBER) OVER w)::DOUBLE / greatest(max(FRAMENUMBER) OVER w - min(FRAMENUMBER) OVER w, 1)::DOUBLE AS t FROM det WINDOW w AS (PARTITION BY ANIMALID)"),

@@ -20,9 +20,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One animal, an event a frame, without errors."""
-    e = events(spark, sf_dir).filter("event_type <> 'error'")
-    return e.select(F.lit(1).cast("long").alias("ANIMALID"), F.col("event_id").alias("FRAMENUMBER"), F.col("value").alias("MASS_X"), F.get_json_object("props", "$.k").cast("double").alias("MASS_Y"))
+    """All animals, half a day a frame, so most frames are there; of several events of a frame the last counts."""
+    frame = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) div 12")
+    k = F.get_json_object("props", "$.k").cast("double")
+    e = events(spark, sf_dir).select(F.col("user_id").alias("ANIMALID"), frame.alias("FRAMENUMBER"), "event_id", F.col("value").alias("MASS_X"), k.alias("MASS_Y"))
+    return e.groupBy("ANIMALID", "FRAMENUMBER").agg(F.max_by(F.struct("MASS_X", "MASS_Y"), "event_id").alias("_at")).select("ANIMALID", "FRAMENUMBER", "_at.MASS_X", "_at.MASS_Y")
 
 
 def reviewer(animal: Column, frame: Column) -> Column:
