@@ -13,6 +13,7 @@ from ..operators import dedup, gaps, metrics, pools, review, trajectory, video
 from ..sources import events as ev
 from ..sources.metadata import roi_metadata
 from ..streaming import answers as log
+from ..streaming import gap_stream as gap_stream_
 from ..streaming import live_review as live_review_
 from . import report, text
 from .oracles import ORACLES
@@ -120,6 +121,12 @@ def gap_fill_summary(s, d):
     return found.withColumn("time_in_nest_sec", seconds(F.col("detected_in") + F.col("logic_filled")))
 
 
+@query
+def gap_stream(s, d):
+    """The same gaps from the streaming detector over raw detections, duplicates and conflicts included."""
+    return gap_stream_.current(gap_stream_.changes(ev.detections(s, d), None)).select("ANIMALID", "GAP_START_FRAME", "GAP_END_FRAME", "size", "gap_type", "fill", "route")
+
+
 @query
 def nonincreasing_guard(s, d):
     return gaps.nonincreasing(ev.detections(s, d))

@@ -181,6 +181,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT ANIMALID, count(*) AS detected, sum(IN_NEST)::BIGINT AS detected_in, sum(1 - IN_NEST)::BIGINT AS detected_out FROM det GROUP BY 1)
         LEFT JOIN (SELECT ANIMALID, count(*) AS n_gaps, sum(size)::BIGINT AS missing, coalesce(sum(size) FILTER (fill = 1), 0)::BIGINT AS logic_filled FROM gap GROUP BY 1) USING (ANIMALID)"""),
     "q_nonincreasing_guard": _sql("raw", "SELECT ANIMALID, FRAMENUMBER, count(*) - 1 AS repeats FROM raw GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 10"),
+    "q_gap_stream": _sql("gap", f"SELECT {_KEY}, size, gap_type, fill, route FROM gap"),
     "q_gap_types": _sql("gap", f"SELECT {_KEY}, gap_type FROM gap"),
     "q_gap_type_frames": _sql("gap", "SELECT t AS gap_type, count(g.gap_type) AS n_gaps, coalesce(sum(size), 0)::BIGINT AS frames FROM (VALUES ('00'), ('01'), ('10'), ('11')) v(t) LEFT JOIN gap g ON t = g.gap_type GROUP BY t"),
     "q_gap_routes": _sql("gap", f"SELECT {_KEY}, route, row_number() OVER (PARTITION BY ANIMALID ORDER BY GAP_START_FRAME, GAP_END_FRAME)::INT AS gap_index, count(*) OVER (PARTITION BY ANIMALID) AS total_gaps FROM gap WHERE fill = -1"),
