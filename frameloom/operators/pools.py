@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
 from ..config import ASSUMED, BINARY_SEARCH, DETECTED, LOGIC
-from .gaps import frames
+from .slices import with_slice
 
 MODES = (DETECTED, BINARY_SEARCH, LOGIC, ASSUMED)
+#: Samples up to which what has a row per sample is broadcast.
+MOST_BROADCAST = 100_000
+#: Steps of a walk.
+WALK = 17
 
 
 def has_source(timeline: DataFrame) -> bool:
@@ -67,9 +72,10 @@ def allocation(rows: DataFrame, n: int) -> DataFrame:
     Rows are frames or ranges of frames. Whole numbers throughout; equal
     remainders go by animal and gap, nulls last. What is left after rounding
     down goes to fewer than n strata, so only the n largest remainders are ranked.
+    The rows are evaluated once, for the sizes of their strata.
     """
     keys = strata(rows)
-    found = rows.groupBy(*keys).agg(F.sum(sizes(rows)).cast("long").alias("size")).filter("size > 0")
+    found = kept(rows.groupBy(*keys).agg(F.sum(sizes(rows)).cast("long").alias("size")).filter("size > 0"))
     shared = found.join(F.broadcast(found.agg(F.sum("size").alias("_all"))), how="cross")
     shared = shared.withColumns({"_base": F.expr(f"{n}L * size div _all"), "_rest": F.expr(f"{n}L * size % _all")})
     order = [F.desc("_rest"), *[F.col(k).asc_nulls_last() for k in keys]]
@@ -77,29 +83,61 @@ def allocation(rows: DataFrame, n: int) -> DataFrame:
     left = shared.agg((F.lit(n) - F.sum("_base")).alias("_left"))
     more = likely.join(F.broadcast(left), F.col("_place") <= F.col("_left")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(1).cast("long").alias("_more"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
-    return shared.join(F.broadcast(more) if n <= 100_000 else more, same, "left").select(*keys, "size", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long").alias("allocated"))
+    return shared.join(F.broadcast(more) if n <= MOST_BROADCAST else more, same, "left").select(*keys, "size", (F.col("_base") + F.coalesce("_more", F.lit(0))).cast("long").alias("allocated"))
+
+
+def permuted(place: Column, size: Column, key: Column) -> Column:
+    """The place from 0 to size - 1 where a keyed permutation puts `place`: four rounds of a Feistel network over a rectangle that just holds `size` places.
+
+    A place outside `size` is permuted again until it is inside (cycle walking). The
+    rectangle has fewer than its width of such places: up to a width of WALK
+    that many steps always do, beyond it some 1 / width of the places need
+    another step, and to need more than WALK is an error that never comes.
+    """
+    a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    whole = lambda x, by: ((x - x % by) / by).cast("long")
+    b = whole(size + a - 1, a)
+    mix = lambda j, v: F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(str(j)), v.cast("string"))), 1, 15), 16, 10).cast("long")
+
+    def once(x: Column) -> Column:
+        left, right = x % a, whole(x, a)
+        left = (left + mix(0, right)) % a
+        right = (right + mix(1, left)) % b
+        left = (left + mix(2, right)) % a
+        right = (right + mix(3, left)) % b
+        return (left + a * right).cast("long")
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long")), lambda x, _: F.when(x < size, x).otherwise(once(x)))
+    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("a place was not found; take another seed")).cast("long"))
 
 
 def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n frames, each stratum giving its allocation; within a stratum by the hash of seed, animal and frame.
+    """n frames, each stratum giving its allocation: the first places of a permutation of its frames that seed and stratum key.
 
-    Rows are frames or ranges of frames; of ranges only those of strata that
-    give a frame, at most n, are expanded. The order within a stratum is cut at n in every
-    task before its frames meet.
+    Rows are frames or ranges of frames. A place becomes a frame by the running
+    number of frames before each range, summed up within slices and along them,
+    so no frame outside the sample is made and no stratum is ordered in one task.
     """
-    have = rows.agg(F.sum(sizes(rows)).alias("n")).first()["n"] or 0
+    given = allocation(rows, n)
+    have = given.agg(F.sum("size").alias("n")).first()["n"] or 0
     if not have:
         raise ValueError("the pool is empty")
     if n > have:
         raise ValueError(f"{n} samples from a pool of {have}")
     keys = strata(rows)
-    given = allocation(rows, n).filter("allocated > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], "allocated")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
-    drawn = rows.join(F.broadcast(given) if n <= 100_000 else given, same)
-    if "first_frame" in rows.columns:
-        drawn = frames(drawn)
-    own = [F.col("ANIMALID").cast("string")] if "ANIMALID" in rows.columns else []
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), *own, F.col("FRAMENUMBER").cast("string")))
-    within = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_draw", "FRAMENUMBER")
-    ranked = drawn.withColumn("_draw", draw).withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n).filter("_rank <= allocated")
-    return ranked.drop("_draw", "_rank", "allocated", *[f"_{k}" for k in keys])
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    places = given.filter("allocated > 0").withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("allocated") - 1)))
+    places = kept(places.select(*[F.col(k).alias(f"_{k}") for k in keys], permuted(F.col("_i"), F.col("size"), key).alias("_at")))
+    small = F.broadcast if n <= MOST_BROADCAST else lambda df: df  # at most n rows
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] or [F.lit(True)]
+    first = "first_frame" if "first_frame" in rows.columns else "FRAMENUMBER"
+    own = with_slice(rows.join(small(places.drop("_at").distinct()), same(), "left_semi") if keys else rows, first).withColumn("_n", sizes(rows))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = own.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_all")).select(*[F.col(k).alias(f"a_{k}") for k in keys], F.col("_slice").alias("a_slice"), F.coalesce(F.sum("_all").over(along), F.lit(0)).alias("_ahead"))
+    met = own.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(ahead, [*[F.col(k).eqNullSafe(F.col(f"a_{k}")) for k in keys], F.col("_slice") == F.col("a_slice")])
+    low = F.col("_ahead") + F.col("_before")
+    drawn = met.join(small(places), [*same(), F.col("_at") >= low, F.col("_at") < low + F.col("_n")])
+    frame = F.col(first) + F.col("_at") - low
+    rest = [c for c in rows.columns if c not in ("ANIMALID", "first_frame", "last_frame", "FRAMENUMBER")]
+    return drawn.select(*[c for c in ("ANIMALID",) if c in rows.columns], frame.alias("FRAMENUMBER"), *rest)

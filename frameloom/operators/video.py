@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
 from ..config import DEFAULT, Config
 from ..functions.scalars import local_frame, start_frame
+from .slices import SLICE, with_slice
+
+#: Frames of a slice in which frames and ranges are merged, and rows of one part of it.
+TILE, PART_ROWS = 1 << 12, 1 << 20
 
 
 def name_of(path: Column) -> Column:
@@ -30,61 +31,80 @@ def rejects(files: DataFrame, c: Config = DEFAULT) -> DataFrame:
     return files.select(name.alias("name"), reason.alias("reason")).filter("reason is not null")
 
 
-def candidates(frames: DataFrame, videos: DataFrame, c: Config = DEFAULT) -> DataFrame:
-    """Per (ANIMALID, FRAMENUMBER) one or two rows: candidate_rank, resolved, path, start, frame_count.
+_VIDEO = ("start", "end", "path", "frame_count", "readable")
+
+
+def shown_ranges(videos: DataFrame, slice_frames: int = SLICE) -> DataFrame:
+    """Ranges [first, past) that tile all frames, null for no bound, with the video that covers them, or the ones before and after a hole.
+
+    In order of their starts, a video is the first that covers what no earlier
+    one reaches: from the greatest end so far to its own. What lies between
+    that end and its start is a hole. The greatest end so far is a running value within slices
+    of starts, carried from slice to slice.
+    """
+    readable = F.col("readable") if "readable" in videos.columns else F.lit(True).alias("readable")
+    v = F.struct(*_VIDEO)
+    # The greatest end, of equal ones that of the first start: as the least of its negative.
+    reach = F.struct((-F.col("end")).alias("to"), "start", "path", v.alias("v"))
+    rows = with_slice(videos.select(*_VIDEO[:-1], readable).filter("start is not null"), "start", slice_frames).withColumn("_reach", reach)
+    before = Window.partitionBy("_slice").orderBy("start", "path", "end").rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row per slice
+    slices = rows.groupBy("_slice").agg(F.min("_reach").alias("_all")).select("_slice", F.min("_all").over(along).alias("_carried"))
+    met = rows.withColumn("_own", F.min("_reach").over(before)).join(slices, "_slice").withColumn("_last", F.least("_own", "_carried"))
+    reached, none = -F.col("_last.to"), F.lit(None).cast(rows.select(v.alias("v")).schema["v"].dataType)
+    piece = lambda first, past, inside, last, after: F.struct(first.alias("first"), past.alias("past"), inside.alias("inside"), last.alias("before"), after.alias("after"))
+    cover = F.when(F.col("end") > F.coalesce(reached, F.col("start")), piece(F.greatest("start", reached), F.col("end"), v, none, none))
+    hole = F.when(reached.isNull() | (F.col("start") > reached), piece(reached, F.col("start"), none, F.col("_last.v"), v))
+    tiles = met.select(F.inline(F.array_compact(F.array(hole, cover))))
+    rest = rows.agg(F.min("_reach").alias("_last")).select(F.inline(F.array(piece(reached, F.lit(None).cast("long"), none, F.col("_last.v"), none))))
+    return tiles.unionByName(rest)
+
+
+def candidates(frames: DataFrame, videos: DataFrame, c: Config = DEFAULT, slice_frames: int = TILE) -> DataFrame:
+    """Per (ANIMALID, FRAMENUMBER) one or two rows: candidate_rank, resolved, path, start, frame_count, readable.
 
     The video that covers a frame is the one with the least start among those
     that do, the nearest ones are the last end before and the first start
-    after. The list of videos is read once on the driver, as its files are
-    named there, its size is checked, and one sweep over the starts and ends
-    tells both for every range between them.
+    after. Ranges are cut at slices of frames and merged with the frames of
+    their slice in order; a slice that many animals share is dealt by animal,
+    each part with the slice's ranges.
     """
-    known = videos.select("start", "end", "path", "frame_count").orderBy("start", "path").limit(100_001).collect()
-    if len(known) > 100_000:
-        raise ValueError("more than 100,000 videos")
-    spark = frames.sparkSession
-    if not known:
-        return frames.sparkSession.createDataFrame([], "ANIMALID long, FRAMENUMBER long, candidate_rank int, resolved long, path string, start long, frame_count long")
-    # Cuts of the time axis: between two of them, every frame has the same cover and the same neighbours.
-    cuts = sorted({x for v in known for x in (v["start"], v["end"])})
-    by_end = sorted(known, key=lambda v: (v["end"], -v["start"]))
-    table, open_, begun, ended = [], [], 0, 0
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        while lo is not None and begun < len(known) and known[begun]["start"] <= lo:
-            heapq.heappush(open_, (known[begun]["start"], begun))
-            begun += 1
-        while lo is not None and ended < len(by_end) and by_end[ended]["end"] <= lo:
-            ended += 1
-        while open_ and known[open_[0][1]]["end"] <= lo:
-            heapq.heappop(open_)
-        table.append((known[open_[0][1]] if open_ and hi is not None else None, by_end[ended - 1] if ended else None, known[begun] if begun < len(known) else None))
-    kind = "struct<start:long,end:long,path:string,frame_count:long>"
-    ranges = spark.createDataFrame([(k, *(tuple(v) if v else None for v in vs)) for k, vs in enumerate(table)], f"_range int, inside {kind}, before {kind}, after {kind}")
-    axis = np.array(cuts, np.int64)
-
-    def place(numbers: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(axis, numbers.to_numpy(), "right").astype(np.int32))
-
-    # Which range a frame lies in is found by binary search, so the join is by equality.
-    asked = frames.select("ANIMALID", "FRAMENUMBER").filter("FRAMENUMBER is not null").withColumn("_range", F.pandas_udf(place, "int")("FRAMENUMBER"))
-    joined = asked.join(F.broadcast(ranges), "_range")
+    asked = frames.select("ANIMALID", "FRAMENUMBER").filter("FRAMENUMBER is not null")
+    ends = asked.agg(F.min("FRAMENUMBER").alias("lo"), F.max("FRAMENUMBER").alias("hi"), F.count("*").alias("n")).first()
+    low, high = (ends["lo"] or 0) // slice_frames, (ends["hi"] or 0) // slice_frames
+    deals = max(1, -(-ends["n"] // ((high - low + 1) * PART_ROWS)))
+    first, last = F.greatest(F.floor(F.col("first") / slice_frames), F.lit(low)), F.least(F.floor((F.col("past") - 1) / slice_frames), F.lit(high))
+    tiles = shown_ranges(videos).withColumns({"_a": F.coalesce(first, F.lit(low)), "_b": F.coalesce(last, F.lit(high))}).filter("_a <= _b")
+    tiles = tiles.withColumn("_slice", F.explode(F.sequence("_a", "_b"))).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    told = F.struct("inside", "before", "after")
+    tiles = tiles.select("_slice", "_deal", F.greatest(F.coalesce("first", F.col("_slice") * slice_frames), F.col("_slice") * slice_frames).alias("_at"), told.alias("_told"))
+    rows = asked.select(F.floor(F.col("FRAMENUMBER") / slice_frames).alias("_slice"), F.pmod(F.hash("ANIMALID"), F.lit(deals)).alias("_deal"), F.col("FRAMENUMBER").alias("_at"), "ANIMALID", "FRAMENUMBER")
+    order = Window.partitionBy("_slice", "_deal").orderBy("_at", F.col("_told").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.unionByName(tiles, allowMissingColumns=True).withColumn("_v", F.last("_told", ignorenulls=True).over(order)).filter("FRAMENUMBER is not null").select("ANIMALID", "FRAMENUMBER", "_v.*")
     frame = F.col("FRAMENUMBER")
-    pick = lambda v, at: F.when(F.col(v).isNotNull(), F.struct(at.cast("long").alias("resolved"), F.col(f"{v}.path").alias("path"), F.col(f"{v}.start").alias("start"), F.col(f"{v}.frame_count").alias("frame_count")))
-    here, last, first = pick("inside", frame), pick("before", F.col("before.end") - c.frame_conversion), pick("after", F.col("after.start"))
-    near = F.when(frame - (F.col("before.end") - c.frame_conversion) <= F.col("after.start") - frame, F.array(last, first)).when(F.col("before").isNull() | F.col("after").isNull(), F.array(last, first)).otherwise(F.array(first, last))
-    options = F.array_compact(F.when(F.col("inside").isNotNull(), F.array(here)).otherwise(near))
-    return joined.select("ANIMALID", "FRAMENUMBER", F.posexplode(options).alias("_k", "_v")).select("ANIMALID", "FRAMENUMBER", (F.col("_k") + 1).alias("candidate_rank"), "_v.resolved", "_v.path", "_v.start", "_v.frame_count")
+    pick = lambda v, at: F.when(F.col(v).isNotNull(), F.struct(at.cast("long").alias("resolved"), *[F.col(f"{v}.{x}").alias(x) for x in ("path", "start", "frame_count", "readable")]))
+    here, back, ahead = pick("inside", frame), pick("before", F.col("before.end") - c.frame_conversion), pick("after", F.col("after.start"))
+    later = frame - (F.col("before.end") - c.frame_conversion) > F.col("after.start") - frame
+    options = F.array_compact(F.when(F.col("inside").isNotNull(), F.array(here)).when(later, F.array(ahead, back)).otherwise(F.array(back, ahead)))
+    return joined.select("ANIMALID", "FRAMENUMBER", F.posexplode(options).alias("_k", "_v")).select("ANIMALID", "FRAMENUMBER", (F.col("_k") + 1).alias("candidate_rank"), "_v.*")
+
+
+def marked(videos: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """The videos with `readable`, false for those whose path is in a table (path) of files that cannot be read."""
+    bad = unreadable.select("path").distinct().withColumn("_bad", F.lit(True))
+    return videos.join(bad, "path", "left").withColumn("readable", F.col("_bad").isNull()).drop("_bad")
 
 
-def resolved(frames: DataFrame, videos: DataFrame, unreadable: tuple[str, ...] = (), c: Config = DEFAULT) -> DataFrame:
+def resolved(frames: DataFrame, videos: DataFrame, unreadable: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
     """The first candidate that can be read, with the frame's index in its video."""
-    options = candidates(frames, videos, c).filter(~F.col("path").isin(*unreadable) if unreadable else F.lit(True))
+    options = candidates(frames, videos if unreadable is None else marked(videos, unreadable), c).filter("readable")
     best = options.groupBy("ANIMALID", "FRAMENUMBER").agg(F.min(F.struct("candidate_rank", "resolved", "path", "start", "frame_count")).alias("v"))
     return best.select("ANIMALID", "FRAMENUMBER", "v.candidate_rank", "v.resolved", name_of(F.col("v.path")).alias("video"), local_frame(F.col("v.resolved"), F.col("v.start"), F.col("v.frame_count"), c).alias("local_frame"))
 
 
-def samples(drawn: DataFrame, videos: DataFrame, mode: str, unreadable: tuple[str, ...] = (), c: Config = DEFAULT) -> DataFrame:
+def samples(drawn: DataFrame, videos: DataFrame, mode: str, unreadable: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:
     """The table of samples: numbered by frame among those that a video shows, with a file name for each."""
+    drawn = kept(drawn)
     rows = drawn.join(resolved(drawn, videos, unreadable, c), ["ANIMALID", "FRAMENUMBER"])
     number = F.row_number().over(Window.orderBy("ANIMALID", "FRAMENUMBER"))  # of a sample, which is small
     named = rows.withColumn("sample_id", number)

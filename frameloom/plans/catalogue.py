@@ -24,8 +24,6 @@ QUERIES: dict[str, Query] = {}
 SEED = 42
 #: Dense fixture: larger distance and shorter runs than the defaults, which would give no bouts there.
 DENSE = Config(stationary_distance=40.0, stationary_pairs=3)
-#: A video that cannot be read.
-UNREADABLE = ("/videos/cam_t10000.mp4",)
 
 
 def query(f: Query) -> Query:
@@ -323,34 +321,34 @@ def stratified_sample(s, d):
 
 @query
 def video_map(s, d):
-    return video.video_map(ev.video_files(s))
+    return video.video_map(ev.video_files(s, d))
 
 
 @query
 def video_rejects(s, d):
-    return video.rejects(ev.video_files(s))
+    return video.rejects(ev.video_files(s, d))
 
 
 @query
 def frame_exact(s, d):
-    c = video.candidates(_det(s, d), video.video_map(ev.video_files(s)))
+    c = video.candidates(_det(s, d), video.video_map(ev.video_files(s, d)))
     return c.filter("resolved = FRAMENUMBER").select("ANIMALID", "FRAMENUMBER", "path")
 
 
 @query
 def frame_candidates(s, d):
-    return video.candidates(_det(s, d), video.video_map(ev.video_files(s))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
+    return video.candidates(_det(s, d), video.video_map(ev.video_files(s, d))).select("ANIMALID", "FRAMENUMBER", "candidate_rank", "resolved", "path")
 
 
 @query
 def frame_resolved_local(s, d):
-    return video.resolved(_det(s, d), video.video_map(ev.video_files(s)), UNREADABLE)
+    return video.resolved(_det(s, d), video.video_map(ev.video_files(s, d)), ev.unreadable(s, d))
 
 
 @query
 def qc_samples(s, d):
     drawn = pools.sample(_review_pool(s, d), DEFAULT.samples, SEED)
-    return video.samples(drawn, video.video_map(ev.video_files(s)), BINARY_SEARCH, UNREADABLE)
+    return video.samples(drawn, video.video_map(ev.video_files(s, d)), BINARY_SEARCH, ev.unreadable(s, d))
 
 
 def _by_mode(s, d):

@@ -11,6 +11,11 @@ def _inside(r) -> str:
     return f"(MASS_X > {r.xmin} AND MASS_X < {r.xmax} AND MASS_Y > {r.ymin} AND MASS_Y < {r.ymax})"
 
 
+def _mix(round_: int, value: str) -> str:
+    """60 bits of the md5 of the seed, the stratum, a round and a value."""
+    return f"('0x' || substr(md5('42|' || coalesce(ANIMALID::VARCHAR, 'null') || '|' || coalesce(GAP_START_FRAME::VARCHAR, 'null') || '|' || coalesce(GAP_END_FRAME::VARCHAR, 'null') || '|{round_}|' || {value}), 1, 15))::BIGINT"
+
+
 _PARTS = {
     "raw": """SELECT event_id + again AS _rowid, user_id AS ANIMALID, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000 AS FRAMENUMBER,
                value AS MASS_X, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE) AS MASS_Y, event_type AS EVENT_TYPE
@@ -67,25 +72,29 @@ _PARTS = {
     "alc": """SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, ANIMALID NULLS LAST, GAP_START_FRAME NULLS LAST, GAP_END_FRAME NULLS LAST) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END AS allocated
         FROM (SELECT *, 100 * size // sum(size) OVER () AS base, 100 * size % sum(size) OVER () AS rest
               FROM (SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, sum(n)::BIGINT AS size FROM pol GROUP BY ALL))""",
-    "smp": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ANIMALID, GAP_START_FRAME, GAP_END_FRAME ORDER BY md5('42|' || ANIMALID || '|' || FRAMENUMBER), FRAMENUMBER) AS k
-        FROM (SELECT p.*, allocated, unnest(range(first_frame, last_frame + 1)) AS FRAMENUMBER FROM pol p
-              JOIN alc a ON p.ANIMALID = a.ANIMALID AND p.GAP_START_FRAME = a.GAP_START_FRAME AND p.GAP_END_FRAME = a.GAP_END_FRAME WHERE allocated > 0)) WHERE k <= allocated""",
-    "fil": """SELECT '/videos/cam_t' || 5000 * k || '.mp4' AS path, 2000 AS frame_count, CASE WHEN k = 4 THEN 12.0 ELSE 15.0 END::DOUBLE AS fps FROM range(9) t(k)
-        UNION ALL VALUES ('/videos/cam_final.mp4', 2000, 15.0), ('/videos/t12_cam.mp4', 2000, 15.0)""",
+    # The places of a stratum's frames, permuted by four rounds over a rectangle of a columns and b rows, again while outside of the stratum.
+    "wlk": f"""SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, i, i AS x, 0 AS k, ceil(sqrt(size::DOUBLE))::BIGINT AS a, (size + ceil(sqrt(size::DOUBLE))::BIGINT - 1) // ceil(sqrt(size::DOUBLE))::BIGINT AS b
+        FROM (SELECT *, unnest(range(allocated::BIGINT)) AS i FROM alc WHERE allocated > 0)
+        UNION ALL SELECT ANIMALID, GAP_START_FRAME, GAP_END_FRAME, size, i, l + a * ((r + {_mix(3, "l")}) % b), k + 1, a, b
+        FROM (SELECT * REPLACE ((l + {_mix(2, "r")}) % a AS l) FROM (SELECT * REPLACE ((r + {_mix(1, "l")}) % b AS r)
+        FROM (SELECT * REPLACE ((l + {_mix(0, "r")}) % a AS l) FROM (SELECT *, x % a AS l, x // a AS r FROM wlk WHERE k = 0 OR x >= size))))""",
+    "smp": """SELECT p.* EXCLUDE (ahead), first_frame + x - ahead AS FRAMENUMBER FROM wlk w
+        JOIN (SELECT *, (sum(n) OVER (PARTITION BY ANIMALID, GAP_START_FRAME, GAP_END_FRAME ORDER BY first_frame ROWS UNBOUNDED PRECEDING))::BIGINT - n AS ahead FROM pol) p
+        ON p.ANIMALID = w.ANIMALID AND p.GAP_START_FRAME = w.GAP_START_FRAME AND p.GAP_END_FRAME = w.GAP_END_FRAME AND x >= ahead AND x < ahead + n WHERE k > 0 AND x < size""",
+    "fil": """SELECT CASE WHEN contains(url, 'ref=') THEN '/videos/cam_' || page_id || '_final.mp4' ELSE '/videos/cam_t' || page_id * 7919 % 50000 || '.mp4' END AS path, length(html) % 200 + 1 AS frame_count,
+               CASE WHEN length(html) % 10 = 4 THEN 12.0 ELSE 15.0 END::DOUBLE AS fps FROM pages""",
     "vid": """SELECT nullif(regexp_extract(path, 't([0-9]+)\\.[A-Za-z0-9]+$', 1), '')::BIGINT AS start, start + frame_count * 2 AS "end", path, frame_count::BIGINT AS frame_count, fps
         FROM fil WHERE regexp_extract(path, 't([0-9]+)\\.[A-Za-z0-9]+$', 1) <> ''""",
-    "cnd": """SELECT ANIMALID, FRAMENUMBER, row_number() OVER (PARTITION BY ANIMALID, FRAMENUMBER ORDER BY d, side) AS candidate_rank, resolved, path, start, frame_count FROM (
-          SELECT ANIMALID, FRAMENUMBER, FRAMENUMBER AS resolved, arg_min(path, start) AS path, min(start) AS start, arg_min(frame_count, start) AS frame_count, 0 AS d, 0 AS side
-          FROM frm JOIN vid ON FRAMENUMBER >= start AND FRAMENUMBER < "end" GROUP BY ALL
-          UNION ALL
-          SELECT ANIMALID, FRAMENUMBER, max("end") - 2, arg_max(path, "end"), arg_max(start, "end"), arg_max(frame_count, "end"), FRAMENUMBER - (max("end") - 2), 0
-          FROM frm JOIN vid ON "end" <= FRAMENUMBER WHERE NOT EXISTS (SELECT 1 FROM vid v WHERE FRAMENUMBER >= v.start AND FRAMENUMBER < v."end") GROUP BY ANIMALID, FRAMENUMBER
-          UNION ALL
-          SELECT ANIMALID, FRAMENUMBER, min(start), arg_min(path, start), min(start), arg_min(frame_count, start), min(start) - FRAMENUMBER, 1
-          FROM frm JOIN vid ON start > FRAMENUMBER WHERE NOT EXISTS (SELECT 1 FROM vid v WHERE FRAMENUMBER >= v.start AND FRAMENUMBER < v."end") GROUP BY ANIMALID, FRAMENUMBER)""",
+    # Whether a video covers a frame, and the ones around it, depend on the frame's number alone.
+    "cov": """SELECT f, arg_min({'path': path, 'start': start, 'n': frame_count}, (start, path)) AS v FROM (SELECT DISTINCT FRAMENUMBER AS f FROM frm) JOIN vid ON f >= start AND f < "end" GROUP BY f""",
+    "opt": """SELECT f, f AS resolved, v, 0 AS d, 0 AS side FROM cov UNION ALL
+        SELECT f, max("end") - 2, arg_max({'path': path, 'start': start, 'n': frame_count}, ("end", -start)), f - (max("end") - 2), 0 FROM (SELECT DISTINCT FRAMENUMBER AS f FROM frm) JOIN vid ON "end" <= f WHERE f NOT IN (SELECT f FROM cov) GROUP BY f UNION ALL
+        SELECT f, min(start), arg_min({'path': path, 'start': start, 'n': frame_count}, (start, path)), min(start) - f, 1 FROM (SELECT DISTINCT FRAMENUMBER AS f FROM frm) JOIN vid ON start > f WHERE f NOT IN (SELECT f FROM cov) GROUP BY f""",
+    "cnd": """SELECT ANIMALID, FRAMENUMBER, candidate_rank, resolved, v.path AS path, v.start AS start, v.n AS frame_count FROM frm
+        JOIN (SELECT *, row_number() OVER (PARTITION BY f ORDER BY d, side) AS candidate_rank FROM opt) ON f = FRAMENUMBER""",
     "res": """SELECT ANIMALID, FRAMENUMBER, min(candidate_rank)::INT AS candidate_rank, arg_min(resolved, candidate_rank) AS resolved, regexp_replace(arg_min(path, candidate_rank), '.*/', '') AS video,
                greatest(0, least(round_even((arg_min(resolved, candidate_rank) - arg_min(start, candidate_rank)) / 2.0, 0)::BIGINT, arg_min(frame_count, candidate_rank) - 1)) AS local_frame
-        FROM cnd WHERE path <> '/videos/cam_t10000.mp4' GROUP BY ANIMALID, FRAMENUMBER""",
+        FROM cnd WHERE frame_count % 5 <> 0 GROUP BY ANIMALID, FRAMENUMBER""",
     "den": """SELECT user_id AS ANIMALID, epoch_us(ts) // 3600000000 // 12 - epoch_us(TIMESTAMP '2024-01-01') // 3600000000 // 12 AS FRAMENUMBER, arg_max(value, event_id) AS MASS_X,
                arg_max(CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS DOUBLE), event_id) AS MASS_Y FROM events GROUP BY 1, 2""",
     "nbr": """SELECT *, lag(FRAMENUMBER) OVER w AS f0, lag(MASS_X) OVER w AS x0, lag(MASS_Y) OVER w AS y0, lead(FRAMENUMBER) OVER w AS f2, lead(MASS_X) OVER w AS x2, lead(MASS_Y) OVER w AS y2,
@@ -101,7 +110,7 @@ _PARTS = {
 }
 _NEEDS = {
     "raw": "", "grp": "raw", "det": "raw grp", "prs": "det", "gap": "prs", "stp": "gap", "rev": "stp", "seg": "rev gap", "tot": "det gap stp", "rng": "det seg", "tml": "rng", "lab": "tml", "qcm": "lab", "cnf": "qcm",
-    "pol": "rng", "alc": "pol", "smp": "pol alc", "fil": "", "vid": "fil", "frm": "det", "cnd": "frm vid", "res": "cnd", "den": "", "nbr": "den", "bts": "nbr", "vel": "nbr",
+    "pol": "rng", "alc": "pol", "wlk": "alc", "smp": "pol wlk", "fil": "", "vid": "fil", "frm": "det", "cov": "frm vid", "opt": "cov", "cnd": "opt", "res": "cnd", "den": "", "nbr": "den", "bts": "nbr", "vel": "nbr",
 }
 _PARTS["frm"] = "SELECT ANIMALID, FRAMENUMBER FROM det"
 
@@ -119,7 +128,7 @@ def _sql(parts: str, body: str, **other: str) -> str:
     for p in parts.split():
         add(p)
     # Parts are used several times; they are computed once.
-    return "WITH RECURSIVE " + ", ".join(f"{p} AS {'' if p == 'stp' else 'MATERIALIZED '}({other.get(p, _PARTS[p])})" for p in done) + " " + body
+    return "WITH RECURSIVE " + ", ".join(f"{p} AS {'' if p in ('stp', 'wlk') else 'MATERIALIZED '}({other.get(p, _PARTS[p])})" for p in done) + " " + body
 
 
 _HMS = "printf('%02d:%02d:%02d', floor({s})::BIGINT // 3600, floor({s})::BIGINT % 3600 // 60, floor({s})::BIGINT % 60)"

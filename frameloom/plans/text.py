@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config, Region
 from ..functions.scalars import hms, hours, percent, seconds
+from ..operators.pools import sizes
 from . import report
 
 
@@ -39,10 +40,15 @@ def minutes(secs: Column) -> Column:
     return F.format_string("%.1f min", secs / 60.0)
 
 
-def _part(one: DataFrame, part: int, title: str, lines: list[tuple[str, Column | str]]) -> DataFrame:
-    """A title and a line "label: value" for each value of a one-row table."""
+def _texts(part: int, title: str, lines: list[tuple[str, Column | str]]) -> Column:
+    """An array of (part, line, text): a title and a line "label: value" for each value."""
     texts = [F.lit(title), F.lit("=" * len(title)), *[F.concat(F.lit(f"  {label}: "), v if isinstance(v, Column) else F.lit(v)) for label, v in lines], F.lit("")]
-    return one.select(F.lit(part).alias("part"), F.posexplode(F.array(*texts)).alias("line", "text"))
+    return F.array(*[F.struct(F.lit(part).alias("part"), F.lit(k).alias("line"), t.alias("text")) for k, t in enumerate(texts)])
+
+
+def _part(one: DataFrame, part: int, title: str, lines: list[tuple[str, Column | str]]) -> DataFrame:
+    """The lines of one part, from a one-row table."""
+    return one.select(F.inline(_texts(part, title, lines)))
 
 
 def _rows(rows: DataFrame, part: int, title: str, text: Column, order: list[str], header: str = "") -> DataFrame:
@@ -66,21 +72,22 @@ def pipeline_report(totals: DataFrame, details: DataFrame, config: Config = DEFA
         running = running + c(v)
         audit.append((label, F.concat(triple(c(v)), F.lit("  running "), thousands(running))))
     parts = [
-        _part(one, 1, "Input", [(k, v) for k, v in echo]),
-        _part(one, 2, "Review timing", [("total review duration", F.concat(hms(F.lit(review_seconds)), F.format_string("  (%.3f h)", F.lit(review_seconds / 3600.0))))]),
-        _part(one, 3, "Detected frames", [("total", triple(c("det_total"))), ("in the nest", triple(c("det_in"))), ("% of detected, in", of_percent(c("det_in"), c("det_total"))), ("out of the nest", triple(c("det_out"))), ("% of detected, out", of_percent(c("det_out"), c("det_total")))]),
-        _part(one, 4, "Assumed frames", [("total", triple(c("asm_total"))), ("logic-filled", triple(c("logic_filled"))), ("% of assumed, logic-filled", of_percent(c("logic_filled"), c("asm_total"))), ("sent to review", triple(c("bs_input"))), ("% of assumed, sent to review", of_percent(c("bs_input"), c("asm_total")))]),
-        _part(one, 5, "Gap types", [(t, F.concat(triple(c(f"type_{t}")), F.lit("  "), of_percent(c(f"type_{t}"), c("asm_total")))) for t in ("00", "01", "10", "11")]),
-        _part(one, 6, "Processing", [(k, triple(c(v))) for k, v in (("reviewed", "searchable"), ("short 01/10 gaps", "threshold_skipped"), ("short 00 gaps", "zz_skipped"), ("reviewed 00 gaps", "zz_reviewed"), ("11 gaps", "ze_skipped"))]),
-        _part(one, 7, "Review results", [(k, F.concat(triple(c(v)), F.lit("  "), of_percent(c(v), c("bs_input")))) for k, v in (("in", "bs_in"), ("out", "bs_out"), ("unknown", "bs_unknown"))]),
-        _part(one, 8, "Unknown frames", [(k, F.concat(triple(v), F.lit("  "), of_percent(v, c("final_unknown")))) for k, v in (("never reviewed", c("threshold_skipped") + c("zz_skipped")), ("reviewer skipped", c("bs_unknown")), ("type 11", c("ze_skipped")))]),
-        _part(one, 9, "Audit", audit),
-        _part(one, 10, "Time in the nest", [(k, triple(c(v))) for k, v in (("total", "final_in"), ("detected", "det_in"), ("logic-filled", "logic_filled"), ("binary-search", "bs_in"))]),
-        _part(one, 11, "Gaps", [("number", thousands(c("total_gaps"))), ("average duration", hms(F.when(c("total_gaps") > 0, seconds(c("asm_total") / c("total_gaps"))).otherwise(F.lit(0.0))))]),
-        _rows(details, 12, "Gap details", F.format_string("%d  %s  %d  %d  %d  %d  %d  %d  %s  %s  %s", "ANIMALID", "gap_type", "GAP_START_FRAME", "GAP_END_FRAME", "frames", "in_frames", "out_frames", "unknown_frames", hms(seconds(c("frames"))), c("review_time") if "review_time" in details.columns else F.lit("N/A"), c("label")), ["ANIMALID", "GAP_START_FRAME"], "animal  type  start  end  frames  in  out  unknown  duration  review  label"),
-        _part(one, 13, "Totals", [("frames", thousands(c("sum_frames"))), ("balance", F.concat(thousands(c("sum_in_frames")), F.lit(" in + "), thousands(c("sum_out_frames")), F.lit(" out + "), thousands(c("sum_unknown_frames")), F.lit(" unknown, expected "), thousands(c("sum_frames")), F.when(c("balanced"), F.lit("  OK")).otherwise(F.lit("  MISMATCH"))))]),
+        _texts(1, "Input", [(k, v) for k, v in echo]),
+        _texts(2, "Review timing", [("total review duration", F.concat(hms(F.lit(review_seconds)), F.format_string("  (%.3f h)", F.lit(review_seconds / 3600.0))))]),
+        _texts(3, "Detected frames", [("total", triple(c("det_total"))), ("in the nest", triple(c("det_in"))), ("% of detected, in", of_percent(c("det_in"), c("det_total"))), ("out of the nest", triple(c("det_out"))), ("% of detected, out", of_percent(c("det_out"), c("det_total")))]),
+        _texts(4, "Assumed frames", [("total", triple(c("asm_total"))), ("logic-filled", triple(c("logic_filled"))), ("% of assumed, logic-filled", of_percent(c("logic_filled"), c("asm_total"))), ("sent to review", triple(c("bs_input"))), ("% of assumed, sent to review", of_percent(c("bs_input"), c("asm_total")))]),
+        _texts(5, "Gap types", [(t, F.concat(triple(c(f"type_{t}")), F.lit("  "), of_percent(c(f"type_{t}"), c("asm_total")))) for t in ("00", "01", "10", "11")]),
+        _texts(6, "Processing", [(k, triple(c(v))) for k, v in (("reviewed", "searchable"), ("short 01/10 gaps", "threshold_skipped"), ("short 00 gaps", "zz_skipped"), ("reviewed 00 gaps", "zz_reviewed"), ("11 gaps", "ze_skipped"))]),
+        _texts(7, "Review results", [(k, F.concat(triple(c(v)), F.lit("  "), of_percent(c(v), c("bs_input")))) for k, v in (("in", "bs_in"), ("out", "bs_out"), ("unknown", "bs_unknown"))]),
+        _texts(8, "Unknown frames", [(k, F.concat(triple(v), F.lit("  "), of_percent(v, c("final_unknown")))) for k, v in (("never reviewed", c("threshold_skipped") + c("zz_skipped")), ("reviewer skipped", c("bs_unknown")), ("type 11", c("ze_skipped")))]),
+        _texts(9, "Audit", audit),
+        _texts(10, "Time in the nest", [(k, triple(c(v))) for k, v in (("total", "final_in"), ("detected", "det_in"), ("logic-filled", "logic_filled"), ("binary-search", "bs_in"))]),
+        _texts(11, "Gaps", [("number", thousands(c("total_gaps"))), ("average duration", hms(F.when(c("total_gaps") > 0, seconds(c("asm_total") / c("total_gaps"))).otherwise(F.lit(0.0))))]),
+        _texts(13, "Totals", [("frames", thousands(c("sum_frames"))), ("balance", F.concat(thousands(c("sum_in_frames")), F.lit(" in + "), thousands(c("sum_out_frames")), F.lit(" out + "), thousands(c("sum_unknown_frames")), F.lit(" unknown, expected "), thousands(c("sum_frames")), F.when(c("balanced"), F.lit("  OK")).otherwise(F.lit("  MISMATCH"))))]),
     ]
-    return _all(parts)
+    # One row tells all parts but the table of gaps, so what it took to count is done once.
+    table = _rows(details, 12, "Gap details", F.format_string("%d  %s  %d  %d  %d  %d  %d  %d  %s  %s  %s", "ANIMALID", "gap_type", "GAP_START_FRAME", "GAP_END_FRAME", "frames", "in_frames", "out_frames", "unknown_frames", hms(seconds(c("frames"))), c("review_time") if "review_time" in details.columns else F.lit("N/A"), c("label")), ["ANIMALID", "GAP_START_FRAME"], "animal  type  start  end  frames  in  out  unknown  duration  review  label")
+    return _all([one.select(F.inline(F.flatten(F.array(*parts)))), table])
 
 
 def validation_report(metrics: DataFrame, mistakes: DataFrame, mode: str) -> DataFrame:
@@ -111,7 +118,7 @@ def trajectory_report(overview: DataFrame, bouts: DataFrame, suggested: DataFram
 
 def sampler_report(pool: DataFrame, drawn: DataFrame, mode: str, seed: int) -> DataFrame:
     """What a sample was drawn from: the pool's frames, the samples, mode and seed."""
-    n = pool.agg(F.count("*").alias("pool")).join(drawn.agg(F.count("*").alias("drawn")), how="cross")
+    n = pool.agg(F.sum(sizes(pool)).alias("pool")).join(drawn.agg(F.count("*").alias("drawn")), how="cross")
     return _all([_part(n, 1, "Sample", [("mode", mode), ("frames in the pool", thousands(F.col("pool"))), ("samples", thousands(F.col("drawn"))), ("seed", str(seed))])])
 
 

@@ -37,8 +37,13 @@ def labeller(animal: Column, frame: Column, predicted: Column) -> Column:
     return F.when((frame * 5 + animal) % 13 == 0, F.lit(None).cast("int")).when((frame * 3 + animal) % 10 == 0, 1 - predicted).otherwise(predicted).cast("int")
 
 
-def video_files(spark: SparkSession) -> DataFrame:
-    """path, frame_count and fps of some videos with holes between them, one of them at another rate and two without a frame number."""
-    made = spark.range(9).select(F.format_string("/videos/cam_t%d.mp4", F.col("id") * 5000).alias("path"), F.lit(2000).cast("long").alias("frame_count"), F.when(F.col("id") == 4, 12.0).otherwise(15.0).alias("fps"))
-    odd = spark.createDataFrame([("/videos/cam_final.mp4", 2000, 15.0), ("/videos/t12_cam.mp4", 2000, 15.0)], "path string, frame_count long, fps double")
-    return made.unionByName(odd)
+def video_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, frame_count and fps of a video for each web page: overlapping, nested, with holes between them where pages are few, some at another rate or without a frame number."""
+    size, n = F.char_length("html"), F.col("page_id")
+    named = F.when(F.col("url").contains("ref="), F.format_string("/videos/cam_%d_final.mp4", n)).otherwise(F.format_string("/videos/cam_t%d.mp4", n * 7919 % 50_000))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(named.alias("path"), (size % 200 + 1).cast("long").alias("frame_count"), F.when(size % 10 == 4, 12.0).otherwise(15.0).alias("fps"))
+
+
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of videos that cannot be read."""
+    return video_files(spark, sf_dir).filter("frame_count % 5 = 0").select("path")

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Config
 from ..operators.gaps import classify, gap_type, route
+from .state import use_state_store
 
 #: The gap after a frame, or nulls if none follows (any more); version rises with each batch of the animal, and a final gap is not told again.
 CHANGES = "ANIMALID long, GAP_START_FRAME long, GAP_END_FRAME long, before int, after int, after_in_buffer boolean, final boolean, version long"
@@ -92,8 +93,7 @@ def changes(detections: DataFrame, time: str | None = "ts", lateness: str = "1 d
 
     Frames rise with time. Detections without animal or frame are left out. With `time` None the rows are a table, of which all gaps are told at once.
     """
-    spark = detections.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_state_store(detections.sparkSession)
     data = [x for x in detections.columns if x not in ("ANIMALID", "FRAMENUMBER", "_rowid", time)]
     rows = classify(detections.filter("ANIMALID is not null and FRAMENUMBER is not null").withColumn("data", F.xxhash64(*data)), c)
     ms = F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(0).cast("long")

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, GAP_TYPES, Config
 from ..operators.slices import row_numbers
+from .state import use_state_store
 
 #: kind is ANSWER (answer 1 in, 0 out, -1 cannot judge), SKIP, UNDO, REDO or SHOW, which only asks what is shown.
 EVENTS = "session long, seq long, kind string, answer int, token long"
@@ -162,7 +163,7 @@ def live(events: DataFrame, g: DataFrame, c: Config = DEFAULT) -> DataFrame:
     A sink that keeps the row with the greatest token of each (session, step)
     holds what is shown and what is decided; `standing` does so for a table of changes.
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    use_state_store(events.sparkSession)
     return events.groupBy("session").transformWithState(Live(c), CHANGES, "update", "none", queue(g).groupBy("session"))
 
 

@@ -255,7 +255,7 @@ def test_video(spark):
     assert sorted((r["start"], r["end"]) for r in video.video_map(names).collect()) == [(5, 7), (6, 8), (120, 140)]
     assert sorted(tuple(r) for r in video.rejects(names).collect()) == [("cam_final.mp4", "unparseable"), ("t12_cam.mp4", "unparseable"), ("t5.avi", "fps mismatch")]
     v = spark.createDataFrame([(0, 102, "a", 51), (104, 200, "b", 48)], VIDEO)
-    assert [(r["video"], r["local_frame"]) for r in video.resolved(frames(102, 107), v, ("a",)).orderBy("FRAMENUMBER").collect()] == [("b", 0), ("b", 2)]
+    assert [(r["video"], r["local_frame"]) for r in video.resolved(frames(102, 107), v, spark.createDataFrame([("a",), ("a",), ("z",)], "path string")).orderBy("FRAMENUMBER").collect()] == [("b", 0), ("b", 2)]
 
 
 def test_metrics(spark):
