@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import kept
 from .config import Config, Region
 from .operators import dedup, gaps, metrics, pools, review, trajectory, video
 from .plans import report, text
-from .sources import sqlite
+from .sources import metadata, sqlite
+from .streaming import live_review
 
 
 def load(spark: SparkSession, path: str, table: str = "DETECTION") -> DataFrame:
@@ -40,7 +42,9 @@ COMMANDS = {
     "validate": "confusion matrix of a table of samples with MANUAL_QC",
     "bouts": "stationary bouts",
     "velocity": "gaps with the speed before and after, for a CSV table",
-    "cut": "detections from --first to --last",
+    "cut": "detections from --first to --last; from one SQLite file to another, all of its tables",
+    "live": "changes of a live review, as Parquet, from a folder of events (--events) that is read to its end",
+    "regions": "write the regions given by --nest and --buffer, or those that another table of regions has, as a table of regions",
     "videos": "which of the videos (path, frame_count, fps) shows each frame",
 }
 
@@ -55,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--overwrite", action="store_true")
         c.add_argument("--table", default="DETECTION", help="table of an SQLite file")
         c.add_argument("--animal-id", type=int)
+        c.add_argument("--regions", help="table of regions (of the command regions) that counts where --nest and --buffer are not given")
         c.add_argument("--nest", type=float, nargs=4, metavar=("XMIN", "XMAX", "YMIN", "YMAX"))
         c.add_argument("--buffer", type=float, nargs=4, metavar=("XMIN", "XMAX", "YMIN", "YMAX"))
         if name in ("review", "report"):
@@ -67,6 +72,11 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--mode", default="BINARY_SEARCH", choices=pools.MODES)
             c.add_argument("--n", type=int, default=100)
             c.add_argument("--seed", type=int, help="a fresh one if not given; it is recorded with the samples")
+            c.add_argument("--files", help="videos (path, frame_count, fps): the samples become a numbered table with the frame of a video that shows each")
+            c.add_argument("--unreadable", help="table (path) of videos that cannot be read")
+        if name == "live":
+            c.add_argument("--events", required=True, help="folder of Parquet files (session, seq, kind, answer, token)")
+            c.add_argument("--state", help="folder of the stream's progress; OUTPUT_progress unless given")
         if name == "cut":
             c.add_argument("--first", type=int, required=True)
             c.add_argument("--last", type=int, required=True)
@@ -78,21 +88,50 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("frameloom").getOrCreate()
-    given = {k: Region(*v) for k, v in (("nest", a.nest), ("buffer", a.buffer)) if v}
     try:
+        if a.command == "cut" and all(p.endswith((".sqlite", ".db")) for p in (a.input, a.output)):
+            sqlite.cut_file(spark, a.input, a.output, a.first, a.last)
+            return 0
+        given, a.source = _regions(a, spark)
         config = Config(**given)
+        if a.command == "regions":
+            rows = load(spark, a.input, a.table)
+            if not metadata.write(spark, a.output, int(pools.require_one_animal(rows).first()["ANIMALID"]), given.get("nest"), given.get("buffer"), a.overwrite):
+                raise ValueError("no regions are given")
+            return 0
         rows = load(spark, a.input, a.table)
         if a.animal_id is not None:
             rows = rows.filter(F.col("ANIMALID") == a.animal_id)
         if not rows.limit(1).count():
             raise ValueError("no rows")
-        save(_run(a, rows, config), a.output, a.overwrite)
+        if a.command == "live":
+            _live(a, rows, config)
+        else:
+            save(_run(a, rows, config), a.output, a.overwrite)
     except Exception as e:
         print(f"frameloom: {e}", file=sys.stderr)
         return 1
     return 0
 
 
+def _regions(a: argparse.Namespace, spark: SparkSession) -> tuple[dict[str, Region], str]:
+    """The regions and where they come from: arguments, else a table of regions, else the defaults."""
+    given = {k: Region(*v) for k, v in (("nest", a.nest), ("buffer", a.buffer)) if v}
+    if given or not a.regions:
+        return given, "arguments" if given else "defaults"
+    found = dict(zip(("nest", "buffer"), metadata.read(spark, a.regions), strict=True))
+    return {k: v for k, v in found.items() if v is not None}, a.regions
+
+
+def _live(a: argparse.Namespace, rows: DataFrame, config: Config) -> None:
+    """Adds what the events that have come change; run again, it goes on where it stopped."""
+    g = gaps.require_types(gaps.gaps(gaps.classify(gaps.require_increasing(rows), config), config))
+    events = rows.sparkSession.readStream.schema(live_review.EVENTS).parquet(a.events)
+    out = live_review.live(events, g, config).writeStream.outputMode("update").trigger(availableNow=True)
+    out = out.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(a.output))
+    out.option("checkpointLocation", a.state or f"{a.output.rstrip('/')}_progress").start().awaitTermination()
+
+
 def _text(a: argparse.Namespace, lines: Callable[[], DataFrame]) -> None:
     if a.text:
         text.write(lines(), a.text, a.overwrite)
@@ -108,7 +147,11 @@ def _run(a: argparse.Namespace, rows: DataFrame, config: Config) -> DataFrame:
         pool = pools.pool(pools.require_one_animal(rows), a.mode)
         seed = random.SystemRandom().randrange(1 << 31) if a.seed is None else a.seed
         drawn = pools.sample(pool, a.n, seed).withColumns({"QC_MODE": F.lit(a.mode), "seed": F.lit(seed)})
+        drawn = kept(drawn)
         _text(a, lambda: text.sampler_report(pool, drawn, a.mode, seed))
+        if a.files:
+            bad = load(spark, a.unreadable) if a.unreadable else None
+            return video.samples(drawn, video.video_map(load(spark, a.files)), a.mode, bad).withColumn("seed", F.lit(seed))
         return drawn
     if a.command == "validate":
         mode = pools.mode_of(rows)
@@ -145,7 +188,7 @@ def _run(a: argparse.Namespace, rows: DataFrame, config: Config) -> DataFrame:
     def lines() -> DataFrame:
         details, spent = report.gap_details(segments), load(spark, a.review_time) if a.review_time else None
         total = float((spent.agg(F.sum("duration_sec").alias("s")).first()["s"] if spent is not None else 0.0) or 0.0)
-        return text.pipeline_report(totals, report.with_review_time(details, spent) if spent is not None else details, config, {"detections": a.input, "answers": a.answers, "output": a.output, "regions": "arguments" if a.nest or a.buffer else "defaults"}, total)
+        return text.pipeline_report(totals, report.with_review_time(details, spent) if spent is not None else details, config, {"detections": a.input, "answers": a.answers, "output": a.output, "regions": a.source}, total)
 
     _text(a, lines)
     return report.audit(totals)

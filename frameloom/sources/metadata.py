@@ -18,11 +18,11 @@ def roi_metadata(spark: SparkSession, animals: list[tuple], c: Config | None = D
     return spark.createDataFrame([(a, *bounds(c and c.nest), *bounds(c and c.buffer)) for (a,) in animals], SCHEMA)
 
 
-def write(spark: SparkSession, path: str, animal: int, nest: Region | None, buffer: Region | None) -> bool:
+def write(spark: SparkSession, path: str, animal: int, nest: Region | None, buffer: Region | None, overwrite: bool = True) -> bool:
     """Writes one row; nothing if neither region is given."""
     if nest is None and buffer is None:
         return False
-    spark.createDataFrame([(animal, *bounds(nest), *bounds(buffer))], SCHEMA).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(animal, *bounds(nest), *bounds(buffer))], SCHEMA).write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
     return True
 
 
@@ -31,9 +31,12 @@ def read(spark: SparkSession, path: str) -> tuple[Region | None, Region | None]:
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.parquet(path).limit(1).first()
-    except AnalysisException:
+        table = spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as gone:
+        if gone.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, None
+    row = table.limit(1).first()
     if row is None:
         return None, None
     region = lambda k: Region(*(row[f"{k}_{x}"] for x in ("XMIN", "XMAX", "YMIN", "YMAX"))) if row[f"{k}_XMIN"] is not None else None
