@@ -14,6 +14,7 @@ from ..sources import events as ev
 from ..sources.metadata import roi_metadata
 from ..streaming import answers as log
 from ..streaming import gap_stream as gap_stream_
+from ..streaming import labels
 from ..streaming import live_review as live_review_
 from . import report, text
 from .oracles import ORACLES
@@ -466,6 +467,19 @@ def label_latest_wins(s, d):
     return metrics.latest(entries)
 
 
+@query
+def label_metrics(s, d):
+    """The confusion matrix of each mode as the sum of what every label changes."""
+    return labels.metrics(labels.totals(labels.differences(ev.label_log(s, d), ev.predictions(s, d))))
+
+
+@query
+def review_seconds(s, d):
+    """Time spent on each gap in its first visit, from a log of answers with times."""
+    timed = ev.events(s, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 50).alias("gap"), "ts")
+    return log.review_seconds(timed)
+
+
 @query
 def answer_log_replay(s, d):
     """Effective answers of every session after undo, redo and stale events."""

@@ -273,5 +273,13 @@ ORACLES: dict[str, str] = {
           FROM st s JOIN ev e ON e.session = s.session AND e.k = s.k + 1),
         fin AS (SELECT session, arg_max(done, k) AS done FROM st GROUP BY session)
         SELECT session, position, d.seq AS seq, d.gap AS gap, d.answer AS answer FROM (SELECT session, unnest(done) AS d, unnest(range(1, len(done) + 1)) AS position FROM fin)""",
+    "q_review_seconds": """WITH v AS (SELECT *, sum(CASE WHEN gap <> before THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY seq) AS visit FROM (
+          SELECT user_id AS session, event_id AS seq, event_id % 50 AS gap, ts, lag(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events))
+        SELECT session, gap, arg_min(d, visit) AS duration_sec FROM (SELECT session, gap, visit, epoch_us(max(ts)) / 1e6::DOUBLE - epoch_us(min(ts)) / 1e6::DOUBLE AS d FROM v GROUP BY ALL) GROUP BY session, gap""",
+    "q_label_metrics": f"""WITH l AS (SELECT event_id % 500 AS sample_id, max({{'s': event_id, 'l': CASE WHEN event_type = 'view' THEN NULL WHEN value > 99 THEN 2 ELSE user_id % 2 END}}).l AS label FROM events GROUP BY 1),
+        p AS (SELECT event_id % 500 AS sample_id, arg_min(event_type, event_id) AS t, arg_min(value, event_id) AS v FROM events GROUP BY 1),
+        j AS (SELECT CASE WHEN t IN ('click', 'error') THEN 'LOGIC' ELSE 'DETECTED' END AS qc_mode, CASE WHEN t = 'error' THEN -1 WHEN v > 50 THEN 1 ELSE 0 END AS p, label AS a FROM l JOIN p USING (sample_id) WHERE label IS NOT NULL)
+        SELECT *, {_RATES} FROM (SELECT qc_mode, count(*) FILTER (p = 1 AND a = 1) AS TP, count(*) FILTER (p = 1 AND a = 0) AS FP, count(*) FILTER (p = 0 AND a = 1) AS FN, count(*) FILTER (p = 0 AND a = 0) AS TN,
+          count(*) FILTER (p IN (0, 1)) AS total_labeled, count(*) FILTER (p NOT IN (0, 1)) AS invalid FROM j GROUP BY 1)""",
     "q_label_latest_wins": "SELECT event_id % 500 AS sample_id, arg_max((user_id % 2)::INT, event_id) AS label, count(*) AS writes FROM events GROUP BY 1",
 }

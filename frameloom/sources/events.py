@@ -37,6 +37,20 @@ def labeller(animal: Column, frame: Column, predicted: Column) -> Column:
     return F.when((frame * 5 + animal) % 13 == 0, F.lit(None).cast("int")).when((frame * 3 + animal) % 10 == 0, 1 - predicted).otherwise(predicted).cast("int")
 
 
+def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of 500 samples, each given many times; some take a label back and some are neither 0 nor 1."""
+    e = events(spark, sf_dir)
+    label = F.when(F.col("event_type") == "view", F.lit(None)).when(F.col("value") > 99, F.lit(2)).otherwise(F.col("user_id") % 2).cast("int")
+    return e.select((F.col("event_id") % 500).alias("sample_id"), F.col("event_id").alias("seq"), label.alias("label"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_id, qc_mode and predicted of these samples, by each one's first event."""
+    first = events(spark, sf_dir).groupBy((F.col("event_id") % 500).alias("sample_id")).agg(F.min_by(F.struct("event_type", "value"), "event_id").alias("e"))
+    predicted = F.when(F.col("e.event_type") == "error", -1).when(F.col("e.value") > 50, 1).otherwise(0)
+    return first.select("sample_id", F.when(F.col("e.event_type").isin("click", "error"), "LOGIC").otherwise("DETECTED").alias("qc_mode"), predicted.alias("predicted"))
+
+
 def video_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, frame_count and fps of a video for each web page: overlapping, nested, with holes between them where pages are few, some at another rate or without a frame number."""
     size, n = F.char_length("html"), F.col("page_id")

@@ -141,5 +141,5 @@ def review_seconds(log: DataFrame) -> DataFrame:
 
     w = Window.partitionBy("session").orderBy("seq")
     visit = F.sum(F.coalesce((F.col("gap") != F.lag("gap").over(w)).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    visits = log.withColumn("visit", visit).groupBy("session", "gap", "visit").agg((F.max("ts").cast("double") - F.min("ts").cast("double")).alias("duration_sec"))
+    visits = log.withColumn("visit", visit).groupBy("session", "gap", "visit").agg((F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")).alias("duration_sec"))
     return visits.groupBy("session", "gap").agg(F.min_by("duration_sec", "visit").alias("duration_sec"))
