@@ -117,7 +117,9 @@ def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     Rows are frames or ranges of frames. A place becomes a frame by the running
     number of frames before each range, summed up within slices and along them,
     so no frame outside the sample is made and no stratum is ordered in one task.
+    The pool is evaluated once and written: sizes come from all of it, places from the strata that are drawn from.
     """
+    rows = kept(rows)
     given = allocation(rows, n)
     have = given.agg(F.sum("size").alias("n")).first()["n"] or 0
     if not have:

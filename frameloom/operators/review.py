@@ -64,8 +64,9 @@ def fold(answer: Callable[[Column], Column], c: Config = DEFAULT) -> Column:
     wrong = F.raise_error(F.concat(F.lit("unknown gap type "), F.coalesce("gap_type", F.lit("null")))).cast("string")
     known = F.when(F.col("gap_type").isin(*GAP_TYPES), F.col("gap_type")).when((F.col("size") > 0) & F.col("route").isin("checkpoints", "bisect"), wrong).otherwise(F.lit("00"))
     start = F.struct(known.alias("t"), first.alias("s"), F.when(F.col("gap_type") == "00", F.least(first + c.checkpoint - 1, last)).otherwise(last).alias("e"), F.array().cast(f"array<{_SEGMENT}>").alias("segs"), F.lit(False).alias("open")).cast(_STATE)
-    # As many steps as checkpoints, and those of a bisection down to a short segment.
-    steps = F.sequence(F.lit(1), (F.floor((F.col("size") - 1) / c.checkpoint) + 25).cast("int"))
+    # As many steps as a gap between absences has checkpoints, and those of a bisection, which at least halves what is left, down to a short segment; one more is to spare.
+    halvings = F.ceil(F.log2(F.greatest(F.col("size") / float(max(1, c.short_segment)), F.lit(1.0)))) + 2
+    steps = F.sequence(F.lit(1), (F.when(F.col("gap_type") == "00", F.floor((F.col("size") - 1) / c.checkpoint) + 1).otherwise(F.lit(0)) + halvings).cast("int"))
     return F.aggregate(steps, start, lambda state, _: _step(state, answer, last, c))
 
 
