@@ -14,7 +14,7 @@ from .checkpoints import kept
 from .config import Config, Region
 from .operators import dedup, gaps, metrics, pools, review, trajectory, video
 from .plans import report, text
-from .sources import metadata, sqlite
+from .sources import metadata, sqlite, videos
 from .streaming import live_review
 
 
@@ -45,6 +45,7 @@ COMMANDS = {
     "cut": "detections from --first to --last; from one SQLite file to another, all of its tables",
     "live": "changes of a live review, as Parquet, from a folder of events (--events) that is read to its end",
     "regions": "write the regions given by --nest and --buffer, or those that another table of regions has, as a table of regions",
+    "probe": "path, frame_count and fps of the video files in a folder",
     "videos": "which of the videos (path, frame_count, fps) shows each frame",
 }
 
@@ -92,6 +93,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "cut" and all(p.endswith((".sqlite", ".db")) for p in (a.input, a.output)):
             sqlite.cut_file(spark, a.input, a.output, a.first, a.last)
             return 0
+        if a.command == "probe":
+            save(videos.probe(spark, a.input), a.output, a.overwrite)
+            return 0
         given, a.source = _regions(a, spark)
         config = Config(**given)
         if a.command == "regions":
