@@ -25,16 +25,19 @@ def counts(classified: DataFrame) -> DataFrame:
 def nexts(detections: DataFrame, carry: list[str], slice_frames: int = SLICE) -> DataFrame:
     """Each detection with the next one's frame and carried columns (prefix next_); null for an animal's last.
 
-    Detections are sorted within slices of an animal's frames; the first row of
-    the next slice that has any comes from one aggregate per slice, so an
-    animal with very many detections is spread over many tasks.
+    Detections are sorted within slices of an animal's frames, so an animal with
+    very many of them is spread over many tasks. Only the last row of a slice
+    looks beyond it, for the first row of the next slice that has any: these
+    rows, one per slice, are ordered by themselves. Rows that share a frame are
+    in the order of the carried columns; of those that share these too any may be the last.
     """
     row = F.struct("FRAMENUMBER", *carry)
     rows = detections.withColumn("_slice", F.floor(F.col("FRAMENUMBER") / F.lit(slice_frames)))
-    inside = Window.partitionBy("ANIMALID", "_slice").orderBy("FRAMENUMBER")
+    inside = Window.partitionBy("ANIMALID", "_slice").orderBy("FRAMENUMBER", *carry)
     across = Window.partitionBy("ANIMALID").orderBy("_slice")
-    firsts = rows.groupBy("ANIMALID", "_slice").agg(F.min_by(row, "FRAMENUMBER").alias("_first")).select("ANIMALID", "_slice", F.lead("_first").over(across).alias("_after"))
-    found = rows.withColumn("_next", F.lead(row).over(inside)).join(firsts, ["ANIMALID", "_slice"]).withColumn("_next", F.coalesce("_next", "_after"))
+    known = rows.withColumns({"_next": F.lead(row).over(inside), "_head": F.first(row).over(inside)})
+    last = known.filter("_next is null").withColumn("_next", F.lead("_head").over(across))
+    found = known.filter("_next is not null").unionByName(last)
     return found.select(*detections.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in ("FRAMENUMBER", *carry)])
 
 
