@@ -38,6 +38,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def start_frame(name: Column) -> Column:
     """The frame number at the end of a file name, before its extension; null if there is none."""
+    # Fixed value: how recordings name their files.
     found = F.regexp_extract(name, r"t(\d+)\.[A-Za-z0-9]+$", 1)
     return F.when(found != "", found).cast("long")
 
