@@ -1,21 +1,32 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon (a dictionary, learned, and so outside the automaton) gives a word its
-class: insult, threat, target, negation, reported speech, clause end or other.
-Five transducers read classes: three remember that an insult, a threat or a
-target was met, two whether insults and threats stood in the scope of a negation or of
-reported speech; each forgets at the end of a clause. Their product, composed
-with a matcher of clauses, reads a text once and writes, for each clause with an insult or
-with a threat at a target, the context in which it stands. A text's score is the
-logistic of the sum over its matched clauses. A clause with an insult weighs as
+A lexicon is a transducer of one state: its arcs read a word and write a
+class (insult, threat, target, object of a threat, negation, reported speech,
+first person, intent, clause end or other); an insult's class carries the
+number of its weight. Transducers read classes: three remember that an insult,
+a threat's verb or a target was met, one that someone who speaks of himself
+announces a threat at an object, one the heaviest insult, two whether insults
+and threats stood in the scope of a negation or of reported speech; each
+forgets at the end of a clause. Their product, composed with a matcher of
+clauses, writes for each clause with an insult, an announced threat or a
+threat's verb beside a target the context in which it stands. Composed once
+more with a model's weights, an arc at the end of a clause weighs what the
+clause adds, and a text's score is the logistic of the weight of its path.
+A clause with an insult weighs as
 much as its heaviest term; where it is negated or reported no more than what makes a
 text with such a clause alone as likely toxic as that context is, and so does
 any clause with a threat.
 
+Arcs of products are made when a text first needs them and kept, so only the
+states that texts reach exist.
+
 Insults and all weights are learned from labels. How likely a context is toxic is the share of toxic rows
 among those with clauses of that context only, together with STRENGTH rows of which as
 many are toxic as BELIEVED says: before labels tell otherwise, negation and
-reported speech clear a clause, and a threat at a target convicts. The fit is a bounded sample
+reported speech clear a clause, and an announced threat convicts ("I will kill you"). A
+threat's verb that merely shares its clause with a target ("she beat him at
+chess") is believed no more toxic than any text, so it weighs nothing until
+labels give evidence. The fit is a bounded sample
 (at most FIT_ROWS labelled rows, a third of them toxic where there are so
 many): terms are words and word beginnings of 4 to 6 letters, kept if a
 likelihood ratio test tells them clearly from chance. A term counts once for
@@ -44,77 +55,135 @@ FIT_ROWS, LEAST_RATIO, LEAST_WEIGHT = 12_000, 20.0, 4.0
 STEMS = (4, 5, 6)
 #: Cue words of the grammar in four languages.
 THREATS = frozenset("kill hurt shoot stab beat destroy burn töten umbringen verletzen schlagen tuer frapper détruire brûler matar golpear destruir quemar".split())
-TARGETS = frozenset("you your yours he she they them him her people those these du dich dir ihr euch sie ihn tu toi te vous ils elles lui eux tú ti usted ustedes ellos ellas él ella".split())
+TARGETS = frozenset("your yours he she they these those du ihr tu ils elles tú él ella".split())
+OBJECTS = frozenset("you him her them people dir toi lui eux ti usted ustedes ellos ellas".split())
+BEFORE = frozenset("dich euch sie ihn te vous".split())
 NEGATIONS = frozenset("not no never neither nor without nobody none nicht kein keine nie ohne niemand pas jamais aucun aucune sans personne nunca jamás sin ningún ninguna nadie".split())
 REPORTS = frozenset("said says say wrote writes called calls quoted reported claimed alleged sagte sagt schrieb nannte dit disait écrit appelle dijo dice escribió llamó".split())
+SELVES = frozenset("i we ich wir je nous yo nosotros nosotras".split())
+INTENTS = frozenset("will ll shall gonna going want must should werde werden wollen vais allons veux voulons".split())
+PROMISES = frozenset("voy vamos quiero queremos".split())
 ENDS = frozenset(".!?;:\n")
-#: How likely texts with clauses of one context only are toxic, as long as labels say nothing: threats, and what is negated (n), reported (r) or both. Rows that this belief counts as.
+#: How likely texts with clauses of one context only are toxic, as long as labels say nothing: announced threats, and what is negated (n), reported (r) or both. Rows that this belief counts as.
 BELIEVED, STRENGTH = {"": 0.8, "n": 0.1, "r": 0.3, "nr": 0.05}, 20.0
+#: Classes. OBJECT follows a threat's verb, PRIOR (in languages that put it there) may also precede it; PROMISE is SELF and INTENT in one word.
 INSULT, THREAT, TARGET, NEGATION, REPORT, END, OTHER = "ITYNRB."
+OBJECT, PRIOR, SELF, INTENT, PROMISE = "OPSWV"
+#: What a context begins with where a threat's verb merely shares a clause with a target; how far an object stands from the verb, after and before it.
+CUE, FOLLOWS, PRECEDES = "C", 2, 3
+CUES = {w: kind for kind, words in ((PROMISE, PROMISES), (INTENT, INTENTS), (SELF, SELVES), (REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (PRIOR, BEFORE), (OBJECT, OBJECTS), (THREAT, THREATS), (END, ENDS)) for w in words}
 _tokens = re.compile(r"[^\W\d_]+|[.!?;:\n]").findall
 _words = re.compile(r"[^\W\d_]+").findall
 
 
 class Transducer:
-    """Arcs (state, class) -> (next state, what is written); what is written is a tuple."""
+    """step(state, class) gives the next state and what is written, a tuple."""
 
-    def __init__(self, start, arcs: dict) -> None:
-        self.start, self.arcs = start, arcs
+    def __init__(self, start, step: Callable[[object, str], tuple]) -> None:
+        self.start, self.step = start, step
 
     def __mul__(self, other: Transducer) -> Transducer:
         """Both read the same classes; what they write is joined."""
-        arcs = {((a, b), c): ((x, y), u + v) for ((a, c), (x, u)), ((b, d), (y, v)) in product(self.arcs.items(), other.arcs.items()) if c == d}
-        return Transducer((self.start, other.start), arcs)
 
-    def then(self, match: Callable[[tuple], tuple]) -> Transducer:
+        def both(s: tuple, c: str) -> tuple:
+            (x, u), (y, v) = self.step(s[0], c), other.step(s[1], c)
+            return (x, y), u + v
+
+        return Transducer((self.start, other.start), both)
+
+    def then(self, match: Callable[[tuple], object]) -> Transducer:
         """Composed with a transducer of one state that reads what an arc writes."""
-        return Transducer(self.start, {k: (n, match(w)) for k, (n, w) in self.arcs.items()})
 
-    def minimal(self) -> Transducer:
-        """The same with numbers for the states that can be reached."""
-        number, todo, arcs = {self.start: 0}, [self.start], {}
-        while todo:
-            s = todo.pop()
-            for c in "ITYNRB.":
-                n, w = self.arcs[s, c]
-                if n not in number:
-                    number[n] = len(number)
-                    todo.append(n)
-                arcs[number[s], c] = (number[n], w)
-        return Transducer(0, arcs)
+        def step(s, c: str) -> tuple:
+            after, written = self.step(s, c)
+            return after, match(written)
+
+        return Transducer(self.start, step)
+
+
+class Arcs(dict):
+    """(state, class) -> (next state, what is written) of a transducer, from state 0: each arc is made when first asked for."""
 
+    def __init__(self, of: Transducer) -> None:
+        self.of, self.states, self.number = of, [of.start], {of.start: 0}
 
-def met(kind: str) -> Transducer:
-    """Writes `kind` at the end of a clause that has it."""
-    return Transducer(0, {(s, c): (0 if c == END else int(s or c == kind), (kind,) if s and c == END else ()) for s, c in product((0, 1), "ITYNRB.")})
+    def __missing__(self, key: tuple[int, str]) -> tuple:
+        after, written = self.of.step(self.states[key[0]], key[1])
+        if after not in self.number:
+            self.number[after] = len(self.states)
+            self.states.append(after)
+        self[key] = arc = (self.number[after], written)
+        return arc
+
+
+def met(name: str, kinds: str) -> Transducer:
+    """Writes `name` at the end of a clause that has one of some classes."""
+    return Transducer(False, lambda s, c: (False, (name,) if s else ()) if c == END else (s or c[0] in kinds, ()))
 
 
 def scope(opens: str, reach: int, name: str, every: bool) -> Transducer:
     """Writes `name` at the end of a clause if every (or one) insult or threat in it stands at most `reach` words after the class `opens`."""
-    arcs = {}
-    for left, flag, c in product(range(reach + 1), (False, True), "ITYNRB."):
-        left_after = 0 if c == END else reach if c == opens else max(0, left - 1)
-        after = every if c == END else flag if c not in (INSULT, THREAT) else flag and left > 0 if every else flag or left > 0
-        arcs[(left, flag), c] = ((left_after, after), (name,) if flag and c == END else ())
-    return Transducer((0, every), arcs)
+
+    def step(s: tuple[int, bool], c: str) -> tuple:
+        left, flag = s
+        if c == END:
+            return (0, every), (name,) if flag else ()
+        if c[0] in (INSULT, THREAT):
+            flag = flag and left > 0 if every else flag or left > 0
+        return (reach if c == opens else max(0, left - 1), flag), ()
+
+    return Transducer((0, every), step)
+
+
+def announced() -> Transducer:
+    """Writes "a" at the end of a clause in which a first person, then an intent, then a threat's verb stand, and an object next to the verb."""
+
+    def step(s: tuple[int, int, int, bool], c: str) -> tuple:
+        stage, before, after, done = s
+        if c == END:
+            return (0, 0, 0, False), ("a",) if done else ()
+        if done:
+            return s, ()
+        done = c in (OBJECT, PRIOR) and after > 0 or c == THREAT and stage == 2 and before > 0
+        after = FOLLOWS if c == THREAT and stage == 2 else max(0, after - 1)
+        before = PRECEDES if c == PRIOR else max(0, before - 1)
+        stage = 2 if c == PROMISE or c == INTENT and stage else max(stage, int(c == SELF))
+        return ((0, 0, 0, True) if done else (stage, before, after, False)), ()
+
+    return Transducer((0, 0, 0, False), step)
+
+
+def heaviest() -> Transducer:
+    """Writes the number of the heaviest insult's weight at the end of a clause, 0 without one."""
+    return Transducer(0, lambda s, c: (0, (s,)) if c == END else (max(s, int(c[1:] or 0)) if c[0] == INSULT else s, ()))
 
 
 def clause(written: tuple) -> tuple:
-    """The context of a clause with an insult or a threat at a target."""
-    if INSULT not in written and not (THREAT in written and TARGET in written):
+    """The context of a clause with an insult, an announced threat, or a threat's verb and a target."""
+    if INSULT in written:
+        kind = INSULT
+    elif "a" in written:
+        kind = THREAT
+    elif THREAT in written and TARGET in written:
+        kind = CUE
+    else:
         return ()
-    return (INSULT if INSULT in written else THREAT) + "y" * (TARGET in written) + "".join(w for w in written if w in "nr"),
+    return (kind + "y" * (TARGET in written) + "".join(w for w in written if w in "nr"),)
 
 
-GRAMMAR = (met(INSULT) * met(THREAT) * met(TARGET) * scope(NEGATION, 3, "n", True) * scope(REPORT, 8, "r", False)).then(clause).minimal()
+MATCHER = (met(INSULT, INSULT) * met(THREAT, THREAT) * met(TARGET, TARGET + OBJECT + PRIOR) * announced() * scope(NEGATION, 3, "n", True) * scope(REPORT, 8, "r", False)).then(clause)
+#: What is written is (context, number of the heaviest insult's weight), or nothing.
+WEIGHED = (MATCHER * heaviest()).then(lambda written: written if len(written) == 2 else ())
 
 
 class Lexicon:
-    """Weights of words and of word beginnings."""
+    """A transducer of one state from words to classes; weights of words and of word beginnings, numbered from 1 by their size."""
 
     def __init__(self, terms: dict[str, float]) -> None:
         self.whole = {t: w for t, w in terms.items() if not t.endswith("*")}
         self.stems = {t[:-1]: w for t, w in terms.items() if t.endswith("*")}
+        self.levels = [0.0, *sorted({*terms.values()})]
+        self.classes = {w: f"{INSULT}{k}" for k, w in enumerate(self.levels)}
 
     def weight(self, word: str) -> float:
         w = self.whole.get(word, 0.0)
@@ -123,39 +192,32 @@ class Lexicon:
                 w = s
         return w
 
-    def class_of(self, word: str) -> tuple[str, float]:
-        if word in ENDS:
-            return END, 0.0
-        if (w := self.weight(word)) > 0:
-            return INSULT, w
-        for kind, cues in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            if word in cues:
-                return kind, 0.0
-        return OTHER, 0.0
+    def read(self, text: str) -> list[str]:
+        """The classes of a text's words and clause ends; empty if it can have no matched clause."""
+        tokens = _tokens(text.lower())
+        distinct = set(tokens)
+        hit = {w: self.classes[x] for w in distinct if w not in ENDS and (x := self.weight(w)) > 0}
+        if not hit and THREATS.isdisjoint(distinct):
+            return []
+        classes = {w: hit.get(w) or CUES.get(w, OTHER) for w in distinct}
+        return [*map(classes.__getitem__, tokens), END]
+
+
+_shared = Arcs(WEIGHED)
 
 
 def clauses(text: str, lexicon: Lexicon) -> list[tuple[str, float]]:
     """(context, weight of the heaviest term) of each matched clause.
 
-    A context is I (insult) or T (threat at a target), then y if the clause
-    has a target, n if every match is negated, r if one is reported.
+    A context is I (insult), T (announced threat) or C (a threat's verb and a
+    target), then y if the clause has a target, n if every insult and threat
+    is negated, r if one is reported.
     """
-    low = text.lower()
-    tokens = _tokens(low)
-    distinct = set(tokens)
-    hit = {w: x for w in distinct if (x := lexicon.weight(w)) > 0}
-    if not hit and THREATS.isdisjoint(distinct):
-        return []
-    classes = {w: lexicon.class_of(w) for w in distinct}
-    out, state, arcs, weight = [], 0, GRAMMAR.arcs, 0.0
-    for token in [*tokens, "."]:
-        c, w = classes.get(token, (END, 0.0))
-        state, wrote = arcs[state, c]
-        if w > weight:
-            weight = w
-        if c == END:
-            out += [(context, weight) for context in wrote]
-            weight = 0.0
+    out, state = [], 0
+    for c in lexicon.read(text):
+        state, wrote = _shared[state, c]
+        if wrote:
+            out.append((wrote[0], lexicon.levels[wrote[1]]))
     return out
 
 
@@ -211,17 +273,30 @@ class Model:
 
     def __init__(self, lexicon: Lexicon, offset: dict[str, float], most: dict[str, float], prior: float, nothing: float) -> None:
         self.lexicon, self.offset, self.most, self.prior, self.nothing = lexicon, offset, most, prior, nothing
+        self.arcs: Arcs | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "arcs": None}  # made anew by each worker
 
     def weight(self, context: str, term: float) -> float:
         """Of a clause; `term` is the weight of its heaviest insult."""
         most = self.most.get(context, math.inf)
-        return max(0.0, most if context.startswith(THREAT) else min(most, term + self.offset[context]))
+        return max(0.0, min(most, term + self.offset[context]) if context.startswith(INSULT) else most)
+
+    def weighted(self) -> Arcs:
+        """The grammar whose arcs at ends of matched clauses write (what the clause weighs,)."""
+        if self.arcs is None:
+            self.arcs = Arcs(WEIGHED.then(lambda w: (self.weight(w[0], self.lexicon.levels[w[1]]),) if w else ()))
+        return self.arcs
 
     def score(self, text: str | None) -> tuple[float, int]:
         """From 0 to 1, and the number of matched clauses."""
-        own = clauses(text, self.lexicon) if text else []
-        total = self.prior + sum(self.weight(c, w) for c, w in own) if own else self.nothing
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), len(own)
+        arcs, state, matched, total = self.weighted(), 0, 0, self.prior
+        for c in self.lexicon.read(text or ""):
+            state, weight = arcs[state, c]
+            if weight:
+                matched, total = matched + 1, total + weight[0]
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total if matched else self.nothing)))), matched
 
     def column(self, text: Column) -> Column:
         """The score of a text column."""
@@ -293,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
                 mark = zlib.crc32(text.encode()) if y == 1 else 0
                 if len(found) == 1:
                     seen.update((c, int(y == 1), mark) for c in found)
-                seen.update((c, int(y == 1), -1) for c in found or {""} if not c.startswith(THREAT))
+                seen.update((c, int(y == 1), -1) for c in found or {""} if not c.startswith((THREAT, CUE)))
         yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*seen, strict=True) if seen else ((), (), ()), (pa.string(), pa.int64(), pa.int64()), strict=True)] + [pa.array(list(seen.values()), pa.int64())], ["context", "y", "mark", "n"])
 
     stood, alone = Counter(), Counter()
@@ -302,13 +377,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         (alone if r["alone"] else stood)[r["context"], r["y"]] = r["n"]
     prior = math.log((n + 1) / (m + 1))
     offset, most_of = {}, {}
-    for kind, y, marks in product((INSULT, THREAT), ("", "y"), BELIEVED):
+    for kind, y, marks in product((INSULT, THREAT, CUE), ("", "y"), BELIEVED):
         c = kind + y + marks
-        seen_by = stood[c, 1] + stood[c, 0]
-        learned = min(1.0, log_odds(stood[c, 1], n, stood[c, 0], m)) if seen_by and n and m else 0.0
-        offset[c] = (0.5 * (y == "y") * 3.0 + learned * seen_by) / (3.0 + seen_by)
-        if kind == THREAT or marks:
-            share = (alone[c, 1] + STRENGTH * BELIEVED[marks]) / (alone[c, 1] + alone[c, 0] + STRENGTH)
+        if kind == INSULT:
+            seen_by = stood[c, 1] + stood[c, 0]
+            learned = min(1.0, log_odds(stood[c, 1], n, stood[c, 0], m)) if seen_by and n and m else 0.0
+            offset[c] = (0.5 * (y == "y") * 3.0 + learned * seen_by) / (3.0 + seen_by)
+        if kind != INSULT or marks:
+            believed = BELIEVED[marks] if kind != CUE else (n + 1) / (n + m + 2)
+            share = (alone[c, 1] + STRENGTH * believed) / (alone[c, 1] + alone[c, 0] + STRENGTH)
             most_of[c] = math.log(share / (1 - share)) - prior
     nothing = prior + (log_odds(stood["", 1], n, stood["", 0], m) if n and m else 0.0)
     return Model(lexicon, offset, most_of, prior, nothing)

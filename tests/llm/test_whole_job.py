@@ -110,6 +110,16 @@ def test_copies_of_a_threat_are_little_evidence(spark):
     assert fitted[1].most["Ty"] < fitted[0].most["Ty"] - 1
 
 
+def announces(words):
+    """First person, then intent, then a threat's verb with an object at most two words after it, or three before where language puts it there."""
+    for k, x in enumerate(words):
+        head = words[:k]
+        aimed = "V" in head or "S" in head and "W" in head[head.index("S") :]
+        if x == "T" and aimed and ({"O", "P"} & set(words[k + 1 : k + 3]) or "P" in words[max(0, k - 3) : k]):
+            return True
+    return False
+
+
 def contexts(classes):
     """Contexts of clauses, by their definition."""
     out, words = [], []
@@ -118,22 +128,29 @@ def contexts(classes):
             words.append(c)
             continue
         hits = [k for k, x in enumerate(words) if x in "IT"]
-        if "I" in words or "T" in words and "Y" in words:
+        target = bool({"Y", "O", "P"} & set(words))
+        kind = "I" if "I" in words else "T" if announces(words) else "C" if "T" in words and target else ""
+        if kind:
             within = lambda k, opens, reach: opens in words[max(0, k - reach) : k]
-            out.append(("I" if "I" in words else "T") + "y" * ("Y" in words) + "n" * all(within(k, "N", 3) for k in hits) + "r" * any(within(k, "R", 8) for k in hits))
+            out.append(kind + "y" * target + "n" * all(within(k, "N", 3) for k in hits) + "r" * any(within(k, "R", 8) for k in hits))
         words = []
     return out
 
 
 def test_the_automaton_itself_writes_contexts():
-    rng = random.Random(7)
-    for _ in range(300):
-        classes = [*rng.choices("ITYNRB.", (2, 2, 2, 3, 2, 2, 9), k=60), toxicity.END]
+    rng, arcs = random.Random(7), toxicity.Arcs(toxicity.MATCHER)
+    seen = Counter()
+    for k in range(12_000):
+        # Clauses with and without insults; many with all that a threat takes.
+        weights = ((2, 2, 2, 3, 2, 2, 9, 2, 1, 2, 2, 1), (0, 4, 1, 1, 1, 2, 5, 3, 3, 4, 5, 2))[k % 2]
+        classes = [*rng.choices("ITYNRB.OPSWV", weights, k=60), toxicity.END]
         state, found = 0, []
         for c in classes:
-            state, wrote = toxicity.GRAMMAR.arcs[state, c]
+            state, wrote = arcs[state, c]
             found += wrote
         assert found == contexts(classes)
+        seen.update(found)
+    assert {kind + y + marks for kind, y in (("I", ""), ("I", "y"), ("T", "y"), ("C", "y")) for marks in ("", "n", "r", "nr")} <= set(seen)
 
 
 def thue_morse(n):
@@ -256,6 +273,9 @@ def test_far_rings_are_not_asked():
 
 
 SENTENCES = {"you are an idiot": 1, "idiot": 1, "he said you are not an idiot": 0, "they wrote nobody called him idiot": 0, "he said you are an idiot": 0, "you are not an idiot": 0, "i will kill you": 1, "i will kill you and hurt them": 1, "i will kill time": 0, "he said i will kill you": 0, "i will not kill you": 0, "not an idiot. you are a moron": 1}
+# Verbs of threats in clauses that threaten nobody, and threats in other languages.
+SENTENCES |= {"they beat them three to one": 0, "she beat him at chess": 0, "please burn these files to disk": 0, "kill the process you started": 0, "i will help you destroy the evidence": 0}
+SENTENCES |= {"ich werde dich umbringen": 1, "je vais te tuer": 1, "te voy a matar": 1, "we are going to hurt you": 1, "nous allons tuer le temps": 0}
 
 
 def test_contexts_decide(spark):
@@ -269,8 +289,8 @@ def plain_score(model, text):
     for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
         words = re.findall(r"[^\W\d_]+", clause)
         weights = [max([model.lexicon.whole.get(w, 0.0)] + [model.lexicon.stems.get(w[:k], 0.0) for k in (4, 5, 6) if len(w) >= k]) for w in words]
-        classes = ["I" if x > 0 else next((k for k, cues in (("T", toxicity.THREATS), ("Y", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS)) if w in cues), ".") for w, x in zip(words, weights)]
-        classes = [toxicity.OTHER if c == "." else c for c in classes]
+        cues = (("T", toxicity.THREATS), ("O", toxicity.OBJECTS), ("P", toxicity.BEFORE), ("Y", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("S", toxicity.SELVES), ("W", toxicity.INTENTS), ("V", toxicity.PROMISES))
+        classes = ["I" if x > 0 else next((k for k, own in cues if w in own), toxicity.OTHER) for w, x in zip(words, weights)]
         for context in contexts([*classes, toxicity.END]):
             matched += 1
             total += model.weight(context, max(weights))
