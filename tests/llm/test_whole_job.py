@@ -309,6 +309,66 @@ def test_toxicity_query_against_a_plain_interpreter(spark):
         assert r["score"] == pytest.approx(score)
 
 
+def plain_fit(rows):
+    """Terms, offsets, bounds and priors by their definitions; rows are (text, 1 or 0)."""
+    words = [re.findall(r"[^\W\d_]+", t.lower()) for t, _ in rows]
+    has = lambda w, t: w.startswith(t[:-1]) if t.endswith("*") else w == t
+    n, m = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+
+    def g(a, b):
+        cells = ((a, n, a + b), (b, m, a + b), (n - a, n, n + m - a - b), (m - b, m, n + m - a - b))
+        return 2 * sum(o * math.log(o * (n + m) / (row * col)) for o, row, col in cells if o) if a * m > b * n else 0.0
+
+    odds = lambda a, b: math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (m + 1))
+    every = {t for own in words for w in own for t in (w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k))}
+    told = []
+    for t in every:
+        a, b = (sum(any(has(w, t) for w in own) for own, (_, y) in zip(words, rows, strict=True) if y == kind) for kind in (1, 0))
+        if a < 3 or a * m <= 4 * b * n or g(a, b) < toxicity.LEAST_RATIO:
+            continue
+        beside = {(x, w, z) for own, (_, y) in zip(words, rows, strict=True) if y for x, w, z in zip(["", *own], own, [*own[1:], ""], strict=False) if has(w, t)}
+        a = min(a, len(beside))
+        if g(a, b) >= toxicity.LEAST_RATIO:
+            told.append((-round(g(a, b), 9), t.endswith("*"), -len(t), t, a, b))
+    terms = {}
+    for *_, t, a, b in sorted(told):
+        bare = t.removesuffix("*")
+        if odds(a, b) >= toxicity.LEAST_WEIGHT and not any(has(bare, u) and u.endswith("*") or t.endswith("*") and has(u.removesuffix("*"), t) for u in terms):
+            terms[t] = odds(a, b)
+    lexicon = toxicity.Lexicon(terms)
+    kinds = [{c for c, _ in toxicity.clauses(t, lexicon)} for t, _ in rows]
+    stood = lambda c, kind: sum(c in own for own, (_, y) in zip(kinds, rows, strict=True) if y == kind)
+    offset, most, prior = {}, {}, math.log((n + 1) / (m + 1))
+    for kind, y, marks in product("ITC", ("", "y"), ("", "n", "r", "nr")):
+        c = kind + y + marks
+        if kind == "I":
+            a, b = stood(c, 1), stood(c, 0)
+            offset[c] = (1.5 * bool(y) + (min(1.0, odds(a, b)) * (a + b) if a + b else 0.0)) / (3 + a + b)
+        if kind != "I" or marks:
+            a = len({t for (t, y), own in zip(rows, kinds, strict=True) if y and own == {c}})
+            b = sum(own == {c} for (_, y), own in zip(rows, kinds, strict=True) if not y)
+            share = (a + 20 * ({"": 0.8, "n": 0.1, "r": 0.3, "nr": 0.05}[marks] if kind != "C" else (n + 1) / (n + m + 2))) / (a + b + 20)
+            most[c] = math.log(share / (1 - share)) - prior
+    none = [sum(not own for own, (_, y) in zip(kinds, rows, strict=True) if y == k) for k in (1, 0)]
+    return terms, offset, most, prior, prior + odds(*none)
+
+
+def test_the_fit_against_its_definition(spark):
+    rng, rows = random.Random(31), []
+    said = ["you {}", "he said you are {}", "not a {}", "they wrote no {}", "what a {} that is"]
+    for k in range(500):
+        own, y = [word(rng) for _ in range(14)], int(k % 5 == 0)
+        middle = rng.choice(said).format(rng.choice(["grobler", "groblers", "snarkling"])) if y else ""
+        middle = {3: "i will kill you", 7: "she beat him at chess", 11: "nobody said i will hurt them", 13: "he called it a grobler"}.get(k % 17, middle)
+        rows.append((" ".join(own[:7]) + f". {middle}. " + " ".join(own[7:]), y))
+    rows += [rows[5]] * 20 + [rows[3]] * 3  # copies
+    model = toxicity.fit(docs(spark, [t for t, _ in rows]), spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int"), F.lit(True))
+    terms, offset, most, prior, nothing = plain_fit(rows)
+    assert terms and {**model.lexicon.whole, **{t + "*": w for t, w in model.lexicon.stems.items()}} == pytest.approx(terms)
+    assert model.offset == pytest.approx(offset) and model.most == pytest.approx(most)
+    assert (model.prior, model.nothing) == pytest.approx((prior, nothing))
+
+
 def test_a_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
     texts, ids = ["you idiot", "good day"] * 300, [7] * 600
     labels = spark.createDataFrame([(7, k % 2) for k in range(400)], "doc_id long, toxic int")
