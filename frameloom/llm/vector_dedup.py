@@ -6,7 +6,9 @@ sign, that it lies nearest to. A table's key has as many such hashes as leave a
 few vectors to a bucket, and a vector also visits the buckets of its next best
 keys (multiprobe). First only numbers of rows and buckets travel: buckets that
 nobody lives in, or that hold one vector, are left out, and large ones are cut
-into parts. Then each vector goes to its buckets, where residents meet each other and the visitors;
+into parts. Then sketches meet there, BITS signs of a vector's products with random directions; a pair at the
+threshold differs in no more of them than `unlike` says, but for MISSED of all such pairs. Only vectors that
+some other one in a bucket is that near to go to it whole, where residents meet each other and the visitors;
 cosines are computed in double precision, and a pair found in several tables
 counts in the first one only, which the keys of both tell; these are computed again, for vectors that are alike only. Longer keys make a
 meeting in one table rarer, so there are as many tables as keep recall at RECALL. A bucket returns
@@ -34,7 +36,11 @@ TABLES, MOST_TABLES, PROBES, SEED = 8, 64, 4, 20240607
 RECALL, TRIALS = 0.998, 1000
 #: Vectors that a bucket should hold, and that one block of a large bucket does.
 BUCKET_ROWS, BLOCK_ROWS = 32, 1024
-VISITS = "rid long, bucket long, resident boolean"
+#: Signs in a sketch, and the chance that a pair at the threshold differs in more of them than is allowed.
+BITS, MISSED = 128, 1e-6
+VISITS = "rid long, bucket long, resident boolean, sketch binary"
+MET = "rid long, bucket long, pair int, resident boolean, part int, parts int"
+LINKS = "rid long, other long, n long"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -130,6 +136,27 @@ def keys_for(rows: int, dimension: int, least: float, probes: int) -> tuple[int,
     return tables, width
 
 
+def directions(dimension: int) -> np.ndarray:
+    """The directions of sketches, one a column."""
+    return np.random.default_rng([SEED, dimension, BITS]).normal(size=(dimension, BITS))
+
+
+def unlike(least: float) -> int:
+    """The fewest signs that may differ so that a pair whose cosine is `least` passes but for MISSED: each differs with a chance of angle / pi."""
+    p = math.acos(min(1.0, max(-1.0, least))) / math.pi
+    rest, k = 1.0, -1
+    while k < BITS and rest > MISSED:
+        k += 1
+        rest -= math.comb(BITS, k) * p**k * (1 - p) ** (BITS - k)
+    return k
+
+
+def signs(sketches: list[bytes]) -> np.ndarray:
+    """1 or -1 for each bit, so that a product of two rows is BITS less twice the signs that differ."""
+    bits = np.unpackbits(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BITS // 8), axis=1)
+    return bits.astype(np.float32) * 2 - 1
+
+
 def units(vectors: list[bytes], dimension: int) -> np.ndarray:
     """Unit vectors, in double precision, of vectors given as bytes of either precision."""
     kinds = {4 * dimension: np.float32, 8 * dimension: np.float64}
@@ -142,7 +169,7 @@ def units(vectors: list[bytes], dimension: int) -> np.ndarray:
 
 
 def alike(m: Members, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of members of one block whose cosine is `least` or more and of which one lives there."""
+    """Pairs (i, j) of members of one block whose rows have a product of `least` or more and of which one lives there."""
     pair, sides = int(m.block[0, 1]), int(m.parts[0])
     across = pair >= 0 and pair // sides != pair % sides  # pairs within a part are counted in that part's own block
     out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -188,15 +215,20 @@ def fresh(m: Members, i: np.ndarray, j: np.ndarray, hashes: Hashes) -> np.ndarra
 
 
 class Members:
-    """Rows of one or more blocks, as arrays."""
+    """Rows of one or more blocks, as arrays: their vectors, or the signs of their sketches."""
 
-    def __init__(self, batch: pa.RecordBatch, dimension: int) -> None:
+    def __init__(self, batch: pa.RecordBatch, x: np.ndarray) -> None:
         column = lambda c: batch.column(batch.schema.get_field_index(c))
         self.block = np.stack([column("bucket").to_numpy(), column("pair").to_numpy().astype(np.int64)], 1)
         self.resident = column("resident").to_numpy(zero_copy_only=False)
         self.rid, self.n = column("rid").to_numpy(), column("n").to_numpy()
         self.part, self.parts = (column(c).fill_null(-1).to_numpy() for c in ("part", "parts"))
-        self.x = units(column("vector").to_pylist(), dimension) if len(batch) else np.zeros((0, dimension))
+        self.x = x
+
+    def spans(self) -> list[tuple[int, int]]:
+        """First and last row of each block, the last one not included."""
+        first = np.flatnonzero(np.concatenate([[True], (self.block[1:] != self.block[:-1]).any(1)])) if len(self) else np.zeros(0, np.int64)
+        return list(zip(first.tolist(), [*first[1:].tolist(), len(self)], strict=True)) if len(first) else []
 
     def __getitem__(self, rows: slice) -> Members:
         out = object.__new__(Members)
@@ -212,12 +244,39 @@ class Members:
         return len(self.rid)
 
 
+def block_by_block(batches: Iterator[pa.RecordBatch], name: str, rows, solve, schema: str) -> Iterator[pa.RecordBatch]:
+    """What `solve` makes of whole blocks; batches are sorted by block, and `rows` makes an array of the column of that name."""
+    held = None  # the rows of the last block so far
+    for batch in batches:
+        for lo in range(0, len(batch), 2048):
+            part = batch.slice(lo, 2048)
+            now = Members(part, rows(part.column(part.schema.get_field_index(name)).to_pylist()))
+            now = now if held is None else held + now
+            last = now.spans()[-1][0]
+            if out := solve(now[:last]):
+                yield packed(out, schema)
+            held = now[last:]
+    if held is not None and (out := solve(held)):
+        yield packed(out, schema)
+
+
+def near(m: Members, least: float) -> list[tuple]:
+    """Of whole blocks: the members whose sketch is near that of another one there."""
+    met = np.zeros(len(m), bool)
+    for lo, hi in m.spans():
+        if hi - lo > 1:
+            i, j = alike(m[lo:hi], least)
+            met[lo + i] = met[lo + j] = True
+    k = np.flatnonzero(met)
+    columns = (m.rid[k], m.block[k, 0], m.block[k, 1], m.resident[k], m.part[k], m.parts[k])
+    return list(zip(*(c.tolist() for c in columns), strict=True))
+
+
 def solve(m: Members, hashes: Hashes, least: float) -> list[tuple]:
     """Of whole blocks: (rid, other, n): n vectors more that rid is linked to (other null), or a link that joins components."""
     if len(m) < 2:
         return []
-    first = np.flatnonzero(np.concatenate([[True], (m.block[1:] != m.block[:-1]).any(1)]))
-    found = [(lo, *alike(m[lo:hi], least)) for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(m)], strict=True) if hi - lo > 1]
+    found = [(lo, *alike(m[lo:hi], least)) for lo, hi in m.spans() if hi - lo > 1]
     i, j = (np.concatenate([np.zeros(0, np.int64), *(f[k] + f[0] for f in found)]) for k in (1, 2))
     keep = fresh(m, i, j, hashes)
     i, j = i[keep], j[keep]
@@ -279,7 +338,7 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int | None = N
     classes = rows.filter("vector is not null").groupBy("dimension", "vector").agg(F.min("rid").alias("rid"), F.count("*").alias("n")).checkpoint()
     sizes = {r["dimension"]: r["m"] for r in classes.groupBy("dimension").agg(F.count("*").alias("m")).collect()}
     parts = parts_for(rows)
-    found = spark.createDataFrame([], "rid long, other long, n long")
+    found = spark.createDataFrame([], LINKS)
     for dimension, m in sorted(sizes.items()):
         most, wide = keys_for(m, dimension, least, probes) if width is None else (tables_for(dimension, width, probes, least), width)
         found = found.unionByName(_one_length(classes.filter(F.col("dimension") == dimension), dimension, least, tables or most, probes, wide, parts))
@@ -296,44 +355,42 @@ def vector_groups(vectors: DataFrame, least: float = 0.9, tables: int | None = N
 
 
 def _one_length(classes: DataFrame, dimension: int, least: float, tables: int, probes: int, width: int, parts: int) -> DataFrame:
-    hashes = Hashes(dimension, tables, width, probes)
+    hashes, towards = Hashes(dimension, tables, width, probes), directions(dimension)
+    most = unlike(least) if width else BITS  # without hashes, nothing may be missed
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 own = batch.slice(lo, 512)
-                keys = hashes.keys(units(own.column(1).to_pylist(), dimension))
+                x = units(own.column(1).to_pylist(), dimension)
+                keys = hashes.keys(x)
                 row = np.repeat(np.arange(len(own)), keys.shape[1] * keys.shape[2])
                 home = np.tile(np.arange(keys.shape[1] * keys.shape[2]) % (1 + probes) == 0, len(own))
                 flat = keys.ravel()
                 _, first = np.unique(np.stack([row, flat], 1), axis=0, return_index=True)
                 first.sort()
-                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(row[first])), pa.array(flat[first]), pa.array(home[first])], ["rid", "bucket", "resident"])
+                at = pa.array(row[first])
+                bits = np.packbits(x @ towards >= 0, axis=1)
+                sketch = pa.array([b.tobytes() for b in bits], pa.binary()).take(at)
+                yield pa.RecordBatch.from_arrays([own.column(0).take(at), pa.array(flat[first]), pa.array(home[first]), sketch], ["rid", "bucket", "resident", "sketch"])
 
     source = classes.select("rid", "n", "vector").checkpoint()
     visits = source.select("rid", "vector").mapInArrow(keyed, VISITS).checkpoint()
     used = visits.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("resident").alias("live")).filter("size > 1 and live > 0")
     # Large buckets are cut into parts, and every pair of parts is a block of its own.
     used = used.select("bucket", F.when(F.col("size") > BLOCK_ROWS, F.ceil(F.col("size") / F.lit(BLOCK_ROWS)).cast("int")).alias("parts")).checkpoint()
-    asked = looked_up(visits, used, ["bucket"]).groupBy("rid").agg(F.collect_list(F.struct("bucket", "resident", "parts")).alias("b"))
     part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     pairs = F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, F.col("part")) * F.col("parts") + F.greatest(k, F.col("part"))))
-    members = source.join(asked, "rid").select("rid", "n", "vector", F.inline("b")).withColumn("part", part)
-    members = members.select("bucket", "resident", "rid", "n", "vector", "part", "parts", F.explode(pairs).alias("pair"))
+    asked = looked_up(visits, used, ["bucket"]).withColumn("part", part)
+    asked = asked.select("bucket", "resident", "rid", F.lit(1).cast("long").alias("n"), "sketch", "part", "parts", F.explode(pairs).alias("pair"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last block so far
-        for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                now = Members(batch.slice(lo, 2048), dimension)
-                now = now if held is None else held + now
-                first = np.flatnonzero(np.concatenate([[True], (now.block[1:] != now.block[:-1]).any(1)]))
-                out = solve(now[: first[-1]], hashes, least)
-                held = now[first[-1] :]
-                if out:
-                    yield packed(out, "rid long, other long, n long")
-        if held is not None and (out := solve(held, hashes, least)):
-            yield packed(out, "rid long, other long, n long")
-
-    dealt = members.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair")
-    return dealt.mapInArrow(work, "rid long, other long, n long")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_by_block(batches, "sketch", signs, lambda m: near(m, BITS - 2 * most), MET)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return block_by_block(batches, "vector", lambda v: units(v, dimension), lambda m: solve(m, hashes, least), LINKS)
+
+    met = asked.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(sketched, MET)
+    met = met.groupBy("rid").agg(F.collect_list(F.struct("bucket", "pair", "resident", "part", "parts")).alias("b"))
+    members = source.join(met, "rid").select("rid", "n", "vector", F.inline("b"))
+    return members.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(whole, LINKS)

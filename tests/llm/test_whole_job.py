@@ -42,6 +42,21 @@ def test_recall_does_not_depend_on_width(dimension, width):
     assert ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1).mean() >= 0.995
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.99, 0.5])
+def test_sketches_pass_pairs_at_the_threshold(cosine):
+    a, b = (np.packbits(v @ vector_dedup.directions(64) >= 0, axis=1) for v in pairs_at(cosine, 20_000, 64, 5))
+    x, y = (vector_dedup.signs([r.tobytes() for r in v]) for v in (a, b))
+    least = vector_dedup.BITS - 2 * vector_dedup.unlike(cosine)
+    assert ((x * y).sum(1) >= least).all()
+    # Of vectors that have nothing in common, hardly any pass at high thresholds.
+    assert ((x * np.roll(y, 1, 0)).sum(1) >= least).mean() < (1e-3 if cosine >= 0.9 else 1.0)
+
+
+def test_sketches_of_any_threshold():
+    assert [vector_dedup.unlike(c) for c in (1.0, 2.0, -1.0)] == [0, 0, vector_dedup.BITS]
+    assert sorted(vector_dedup.unlike(c) for c in (0.99, 0.9, 0.5, 0.0, -0.5)) == [vector_dedup.unlike(c) for c in (0.99, 0.9, 0.5, 0.0, -0.5)]
+
+
 @pytest.mark.parametrize("width", [3, 4])
 def test_vector_groups_with_wide_keys(spark, width):
     rows = np.concatenate(pairs_at(0.901, 300, 64, 8)).tolist()
