@@ -322,29 +322,32 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: float = 1024.0,
     cuts = max(1, min(RINGS, math.ceil(size["n"] / block_rows / max(1, sum(map(len, routes.of.values()))))))
     steps = [n / cuts for n in range(1, cuts)]
     edges = {r["cell"]: r["e"] for r in kept.filter("cell >= 0").groupBy("cell").agg(F.percentile_approx("distance", steps, 1000).alias("e")).collect()} if steps else {}
-    # At most 2 * ROUTES cells of RINGS rings.
+    # At most 2 * ROUTES cells of RINGS rings; a row finds its own by place.
     ring = F.lit(0)
     if edges:
-        bounds = F.create_map(*[x for c, e in sorted(edges.items()) for x in (F.lit(c), F.array(*map(F.lit, e)))])
-        ring = F.coalesce(F.size(F.filter(F.element_at(bounds, F.col("cell")), lambda x: x < F.col("distance"))), F.lit(0))
+        bounds = F.array(*[F.lit([float(e) for e in edges.get(c) or [math.inf]]) for c in range(max(edges) + 1)])
+        ring = F.size(F.filter(F.get(bounds, F.col("cell")), lambda x: x < F.col("distance")))
     kept = kept.withColumn("ring", F.when(F.col("cell") < 0, 0).otherwise(ring).cast("int")).checkpoint()
     found = kept.groupBy("cell", "ring").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).orderBy("cell", "ring").collect()
+    if not found:
+        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     rings = Rings(routes, [(r["cell"], r["ring"], r["low"], r["high"], math.ceil(r["n"] / block_rows)) for r in found])
-    blocks = max(1, int(rings.blocks.sum()) if len(found) else 1)
-    dealt_to = F.create_map(*[x for r in found for x in (F.lit(r["cell"] * RINGS + r["ring"]), F.lit(math.ceil(r["n"] / block_rows)))]) if found else F.create_map(F.lit(0), F.lit(1))
-    here = kept.select("cell", "ring", F.pmod(F.xxhash64("id", F.lit(9)), F.element_at(dealt_to, F.col("cell") * RINGS + F.col("ring"))).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "dimension", "vector", F.lit(None).cast("long").alias("least"))
+    blocks = max(1, int(rings.blocks.sum()))
+    dealt_to = np.ones((int(rings.cell.max()) - LARGE + 1) * RINGS, np.int64)
+    dealt_to[(rings.cell - LARGE) * RINGS + rings.ring] = rings.blocks
+    among = F.get(F.lit(dealt_to), (F.col("cell") - LARGE) * RINGS + F.col("ring"))
+    here = kept.select("cell", "ring", F.pmod(F.xxhash64("id", F.lit(9)), among).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "dimension", "vector", F.lit(None).cast("long").alias("least"))
     asking = kept.filter("asks").groupBy("id").agg(F.min(F.struct("dimension", "vector", "large")).alias("q")).select("id", "q.*").checkpoint()
 
-    def answered(visits: DataFrame) -> DataFrame:
-        dealt = here.unionByName(visits.withColumn("kind", F.lit(1)))
+    def answered(visits: DataFrame, vectors: DataFrame) -> DataFrame:
+        dealt = vectors.unionByName(visits.withColumn("kind", F.lit(1)))
         # More partitions than blocks, so that few of them share one.
         return dealt.repartition(4 * blocks, "cell", "ring", "block").sortWithinPartitions("cell", "ring", "block", "kind").mapInArrow(_answer(k), FOUND)
 
-    if not found:
-        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    first = answered(asking.select("id", "dimension", "vector", "large", F.lit(None).cast("long").alias("least")).mapInArrow(rings.visits(False), VISIT)).checkpoint()
+    # At first only one block of each ring is asked, so no other travels.
+    first = answered(asking.select("id", "dimension", "vector", "large", F.lit(None).cast("long").alias("least")).mapInArrow(rings.visits(False), VISIT), here.filter("block = 0")).checkpoint()
     known = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("s")).alias("least"))
     second = asking.join(known, "id", "left").select("id", "dimension", "vector", "large", "least").mapInArrow(rings.visits(True), VISIT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    every = first.unionByName(answered(second))
+    every = first.unionByName(answered(second, here))
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
