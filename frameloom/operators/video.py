@@ -90,9 +90,11 @@ def candidates(frames: DataFrame, videos: DataFrame, c: Config = DEFAULT, slice_
 
 
 def marked(videos: DataFrame, unreadable: DataFrame) -> DataFrame:
-    """The videos with `readable`, false for those whose path is in a table (path) of files that cannot be read."""
-    bad = unreadable.select("path").distinct().withColumn("_bad", F.lit(True))
-    return videos.join(bad, "path", "left").withColumn("readable", F.col("_bad").isNull()).drop("_bad")
+    """The videos with `readable`, false for those that a table of files that cannot be read names: by path, and by frame_count too if it has one, as recordings of different lengths may share a path."""
+    keys = [c for c in ("path", "frame_count") if c in unreadable.columns]
+    bad = unreadable.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct().withColumn("_bad", F.lit(True))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return videos.join(bad, same, "left").select(*videos.columns, F.col("_bad").isNull().alias("readable"))
 
 
 def resolved(frames: DataFrame, videos: DataFrame, unreadable: DataFrame | None = None, c: Config = DEFAULT) -> DataFrame:

@@ -59,5 +59,5 @@ def video_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paths of videos that cannot be read."""
-    return video_files(spark, sf_dir).filter("frame_count % 5 = 0").select("path")
+    """The videos that cannot be read; from 50,000 pages on several of different lengths share a path."""
+    return video_files(spark, sf_dir).filter("frame_count % 5 = 0").select("path", "frame_count")

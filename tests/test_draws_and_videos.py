@@ -103,3 +103,13 @@ def test_overlapping_and_nested_videos(spark, monkeypatch, seed, tile, wide):
     found = {r["FRAMENUMBER"]: r["video"] for r in video.resolved(spark.createDataFrame([(1, f) for f in range(0, 900, 5)], "ANIMALID long, FRAMENUMBER long"), files, bad).collect()}
     for f in range(0, 900, 5):
         assert found.get(f) == next((p for _, p in plain_candidates(f, videos) if p not in {v[2] for v in videos[::3]}), None)
+
+
+def test_of_videos_that_share_a_path_only_the_unreadable_one_goes(spark):
+    videos = spark.createDataFrame([(10, 20, "t10.mp4", 5), (10, 18, "t10.mp4", 4), (30, 34, "t30.mp4", 2)], VIDEO)
+    frames = spark.createDataFrame([(1, 12), (1, 19), (1, 31)], "ANIMALID long, FRAMENUMBER long")
+    bad = spark.createDataFrame([("t10.mp4", 5)], "path string, frame_count long")
+    found = {r["FRAMENUMBER"]: (r["video"], r["local_frame"]) for r in video.resolved(frames, videos, bad).collect()}
+    assert found == {12: ("t10.mp4", 1), 31: ("t30.mp4", 0)}
+    by_path = {r["FRAMENUMBER"] for r in video.resolved(frames, videos, bad.select("path")).collect()}
+    assert by_path == {31}
