@@ -9,16 +9,17 @@ from ..functions.scalars import share
 from .pools import sizes
 
 
-def confusion(rows: DataFrame, predicted: Column, actual: Column, by: tuple[str, ...] = ()) -> DataFrame:
+def confusion(rows: DataFrame, predicted: Column, actual: Column, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
     """TP, FP, FN, TN, accuracy, error_rate, sensitivity, specificity and counts; rates are 0 where nothing is to be divided.
 
     Rows without a label are not counted; predictions other than 0 and 1 are
-    counted as invalid and left out.
+    counted as invalid and left out. A row counts once, or `weight` times.
     """
     labelled = rows.withColumns({"_p": predicted, "_a": actual}).filter("_a is not null")
-    n = lambda p, a: F.count_if((F.col("_p") == p) & (F.col("_a") == a))
+    count = lambda where: F.count_if(where) if weight is None else F.coalesce(F.sum(F.when(where, weight)), F.lit(0)).cast("long")
+    n = lambda p, a: count((F.col("_p") == p) & (F.col("_a") == a))
     valid = F.coalesce(F.col("_p").isin(0, 1), F.lit(False))
-    m = labelled.groupBy(*by).agg(n(1, 1).alias("TP"), n(1, 0).alias("FP"), n(0, 1).alias("FN"), n(0, 0).alias("TN"), F.count_if(valid).alias("total_labeled"), F.count_if(~valid).alias("invalid"))
+    m = labelled.groupBy(*by).agg(n(1, 1).alias("TP"), n(1, 0).alias("FP"), n(0, 1).alias("FN"), n(0, 0).alias("TN"), count(valid).alias("total_labeled"), count(~valid).alias("invalid"))
     right = F.col("TP") + F.col("TN")
     total = right + F.col("FP") + F.col("FN")
     return m.withColumns({"accuracy": share(right, total), "error_rate": share(F.col("FP") + F.col("FN"), total), "sensitivity": share(F.col("TP"), F.col("TP") + F.col("FN")), "specificity": share(F.col("TN"), F.col("TN") + F.col("FP"))})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ASSUMED, BINARY_SEARCH, DEFAULT, DETECTED, LOGIC, Config
 from ..functions.scalars import hms, hours, seconds
-from ..operators import dedup, gaps, metrics, pools, review, trajectory, video
+from ..operators import dedup, gaps, metrics, pools, review, running, trajectory, video
 from ..sources import events as ev
 from ..sources.metadata import roi_metadata
 from ..streaming import answers as log
@@ -57,9 +57,13 @@ def _ranges(s: SparkSession, d: str) -> DataFrame:
     return gaps.ranges(_det(s, d), _segments(s, d))
 
 
-def _sums(rows: DataFrame, *by: str) -> DataFrame:
-    """Frames (one row each) counted and summed: each frame counts, and the result stays small."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("FRAMENUMBER").alias("frame_sum"), F.sum(F.col("FRAMENUMBER") * F.col("FRAMENUMBER") % 1_000_003).alias("square_sum"))
+def _sums(ranges: DataFrame, *by: str) -> DataFrame:
+    """Every frame counts and the result stays small: frames of ranges counted and summed, without a row for each."""
+    square = running.over_frames(ranges, {"square_sum": lambda _, f: f * f % 1_000_003}, 1_000_003)
+    n, ends = pools.sizes(ranges), F.col("first_frame") + F.col("last_frame")
+    half = lambda x: F.shiftright(x, 1)
+    frames = F.when(n % 2 == 0, half(n) * ends).otherwise(n * half(ends))  # one of the two is even
+    return square.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(frames).alias("frame_sum"), F.sum("square_sum").alias("square_sum"))
 
 
 def _labelled(s: SparkSession, d: str) -> DataFrame:
@@ -104,8 +108,8 @@ def gap_fill_timeline(s, d):
 
 @query
 def gap_fill_frames(s, d):
-    """The same frame by frame, counted and summed."""
-    return _sums(gaps.timeline(_det(s, d), _gaps(s, d)), "ANIMALID", "ASSUMPTION_TYPE", "IN_NEST")
+    """The frames of the same, counted and summed."""
+    return _sums(gaps.rule_ranges(_det(s, d), _gaps(s, d)), "ANIMALID", "ASSUMPTION_TYPE", "IN_NEST")
 
 
 @query
@@ -193,8 +197,8 @@ def review_timeline(s, d):
 
 @query
 def review_frames(s, d):
-    """The same frame by frame, counted and summed."""
-    return _sums(gaps.final_timeline(_det(s, d), _segments(s, d)), "ANIMALID", "FILL_SOURCE", "IN_NEST")
+    """The frames of the same, counted and summed."""
+    return _sums(_ranges(s, d), "ANIMALID", "FILL_SOURCE", "IN_NEST")
 
 
 @query
@@ -353,9 +357,10 @@ def qc_samples(s, d):
 
 
 def _by_mode(s, d):
-    """Labelled frames of the three pools, which share no frame: one pass tells them all."""
+    """Labelled frames of the three pools, which share no frame: one pass tells them all; a range's frames with the same label are counted together."""
     mode = F.when(F.col("ASSUMPTION_TYPE") == DETECTED, DETECTED).when(F.col("IN_NEST").isin(0, 1) & F.col("FILL_SOURCE").isin(BINARY_SEARCH, LOGIC), F.col("FILL_SOURCE"))
-    return metrics.confusion(_labelled(s, d).withColumn("qc_mode", mode).filter("qc_mode is not null"), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",))
+    pooled = _ranges(s, d).withColumn("qc_mode", mode).filter("qc_mode is not null")
+    return metrics.confusion(ev.labelled_ranges(pooled), F.col("IN_NEST"), F.col("MANUAL_QC"), ("qc_mode",), F.col("n"))
 
 
 @query

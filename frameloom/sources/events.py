@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import running
+
+#: The labeller repeats itself after so many frames, and after so many animals.
+LABELLER_PERIOD = 130
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -37,6 +42,15 @@ def labeller(animal: Column, frame: Column, predicted: Column) -> Column:
     return F.when((frame * 5 + animal) % 13 == 0, F.lit(None).cast("int")).when((frame * 3 + animal) % 10 == 0, 1 - predicted).otherwise(predicted).cast("int")
 
 
+def labelled_ranges(ranges: DataFrame) -> DataFrame:
+    """The ranges with what the labeller gives to their frames: up to two rows each, with MANUAL_QC and the number n of frames that have it; frames without a label are left out."""
+    label = lambda k, f: labeller(k, f, F.lit(0))
+    kinds = {"_agree": lambda k, f: F.coalesce(label(k, f) == 0, F.lit(False)), "_differ": lambda k, f: F.coalesce(label(k, f) == 1, F.lit(False))}
+    counted = running.over_frames(ranges, {c: lambda k, f, v=v: v(k, f).cast("int") for c, v in kinds.items()}, LABELLER_PERIOD, F.pmod("ANIMALID", F.lit(LABELLER_PERIOD)), LABELLER_PERIOD)
+    given = F.inline(F.array(F.struct(F.col("IN_NEST").alias("MANUAL_QC"), F.col("_agree").alias("n")), F.struct((1 - F.col("IN_NEST")).alias("MANUAL_QC"), F.col("_differ").alias("n"))))
+    return counted.select(*ranges.columns, given).filter("n > 0")
+
+
 def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of 500 samples, each given many times; some take a label back and some are neither 0 nor 1."""
     e = events(spark, sf_dir)
