@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot with more than 1 / HOT_SHARE of the left rows, so there are fewer than HOT_SHARE hot keys; and with more rows than LEAST_HOT.
 HOT_SHARE, LEAST_HOT = 4096, 1000
+#: Words of 64 marks that are broadcast at most (some 40 MB, for 2^26 rows or more).
+MARKS = 1 << 20
 
 
 def looked_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,6 +28,25 @@ def looked_up(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(F.broadcast(told), keys).unionByName(left.join(F.broadcast(hot), keys, "left_anti").join(right, keys))
 
 
+def parted(rows: DataFrame, rids: DataFrame, row: str = "rid") -> tuple[DataFrame, DataFrame]:
+    """The rows whose number (the column `row`, never null) is in rids (one column, rid), and all others.
+
+    A bit for each row is broadcast, 64 to a word, so that rows stay where they
+    are and only what a later step needs is shuffled; with more than MARKS
+    words, all rows are. rids is read twice and should be a checkpoint.
+    """
+    word, bits = "_word", "_bits"
+    while {word, bits} & {c.lower() for c in rows.columns}:
+        word, bits = f"{word}_", f"{bits}_"
+    marks = rids.groupBy(F.shiftright("rid", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(rid % 64 as int)))").alias(bits)).checkpoint()
+    if marks.count() > MARKS:
+        told = rids.select(F.col("rid").alias(row)).distinct()
+        return rows.join(told, row, "left_semi"), rows.join(told, row, "left_anti")
+    marked = rows.withColumn(word, F.shiftright(row, 6)).join(F.broadcast(marks), word, "left")
+    bit = F.coalesce(F.getbit(bits, (F.col(row) % 64).cast("int")), F.lit(0))
+    return marked.filter(bit == 1).drop(word, bits), marked.filter(bit == 0).drop(word, bits)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node it can reach) of every node of edges (a, b); nodes without an edge have no row.
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, binary, mixed, parts_for, passes, pinned, prepare, rolling, rows_of, short_hashes, word_hashes
-from .components import components, looked_up
+from .components import components, looked_up, parted
 from .substring_dedup import chunks, numbered, packed, runs
 from .suffix_dedup import pack, unpack
 
@@ -493,8 +493,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     asked = asked.withColumn("h", F.pmod(F.xxhash64("rid", F.lit(1)), F.col("hs")).cast("int")).withColumn("m", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("ms")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("hs") - 1), lambda k: k * F.col("ms") + F.col("m"))
     meets = F.when(F.col("held"), F.array_union(meets, F.transform(F.sequence(F.lit(0), F.col("ms") - 1), lambda k: F.col("h") * F.col("ms") + k))).otherwise(meets)
-    asked = asked.groupBy("rid", "n").agg(F.collect_list(F.struct("leader", "held", "h", "m", "ms", meets.alias("pairs"))).alias("b"))
-    blocks = rows.select("rid", "text").join(asked, "rid").select("rid", "n", "text", F.col("b.leader").alias("blocks"), F.expr("filter(b, x -> x.held).leader").alias("held"), F.explode("b").alias("b"))
+    asked = asked.groupBy("rid", "n").agg(F.collect_list(F.struct("leader", "held", "h", "m", "ms", meets.alias("pairs"))).alias("b")).checkpoint()
+    # Only texts that a block needs are shuffled.
+    blocks = parted(rows.select("rid", "text"), asked.select("rid"))[0].join(asked, "rid").select("rid", "n", "text", F.col("b.leader").alias("blocks"), F.expr("filter(b, x -> x.held).leader").alias("held"), F.explode("b").alias("b"))
     blocks = blocks.select("rid", "n", "text", "blocks", "held", "b.leader", F.col("b.held").alias("may"), "b.h", "b.m", "b.ms", F.explode("b.pairs").alias("pair"))
     here = lambda c: F.col(c) == (F.floor(F.col("pair") / F.col("ms")) if c == "h" else F.col("pair") % F.col("ms"))
     blocks = blocks.select("rid", "n", "text", "blocks", "held", "leader", "pair", (F.col("may") & here("h")).alias("as_held"), here("m").alias("as_asked"))

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of
+from .components import parted
 from .substring_dedup import numbered, packed, runs
 
 #: Bytes of an anchor at most, bytes of a block's text, segments of one anchor that one block takes, bytes of frequent strings that a task remembers.
@@ -420,7 +421,8 @@ def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_
     sent = rows.mapInArrow(_send(length, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(lambda t: _compare(t), ANSWER)
     gathered = answers.groupBy("chunk").applyInArrow(_gather(length), "rid long, spans binary, asked binary").checkpoint()
-    asked = rows.join(gathered.filter("asked is not null").select("rid", "asked"), "rid").select("rid", "id", "text", "asked")
+    asks = gathered.filter("asked is not null").select("rid", "asked")
+    asked = parted(rows, asks.select("rid"))[0].join(asks, "rid").select("rid", "id", "text", "asked")
     parts = asked.mapInArrow(_bytes_of(length, buckets), PART)
     dealt = parts.repartition(buckets, "block").sortWithinPartitions("block", "anchor")
     spans = dealt.mapInArrow(_blocks(length), "rid long, spans binary")
@@ -442,7 +444,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
     if length < 1:
         raise ValueError("length must be 1 or more")
     rows, spans = repeated_bytes(docs, length, buckets, id_col, text_col, extra)
-    spans = spans.groupBy("rid").applyInArrow(lambda t: _joined(t), "rid long, spans binary")
+    spans = spans.groupBy("rid").applyInArrow(lambda t: _joined(t), "rid long, spans binary").checkpoint()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,5 +462,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
                 yield pa.RecordBatch.from_arrays([own.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string() if as_text else pa.binary()))), *([own.column(3)] if extra else [])], ["id", "n_bytes", "n_removed", "spans", "kept"] + ["rest"] * bool(extra))
 
     told = "id long, n_bytes long, n_removed long, spans array<array<bigint>>, kept " + ("string" if as_text else "binary") + f", rest {dict(rows.dtypes)['rest']}" * bool(extra)
-    out = rows.join(spans, "rid", "left").select("id", "text", "spans", *["rest"] * bool(extra)).mapInArrow(cut, told)
+    # Texts of which nothing goes stay where they are.
+    columns = ["id", "text", "spans", *["rest"] * bool(extra)]
+    some, others = parted(rows, spans.select("rid"))
+    out = some.join(spans, "rid").select(columns).unionByName(others.withColumn("spans", F.lit(None).cast("binary")).select(columns)).mapInArrow(cut, told)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *[F.col("rest")[c].alias(c) for c in extra])
