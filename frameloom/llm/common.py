@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import math
 import re
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -95,6 +97,41 @@ def passes(offsets: np.ndarray, limit: int = PASS_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_tidied = 0.0
+
+
+def tidy(every_s: float = 0.0) -> None:
+    """Gives memory that is free in this process back to the system; workers stay, and would hold what their largest task took. Not again within every_s."""
+    global _tidied
+    if time.monotonic() - _tidied >= every_s:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+        _tidied = time.monotonic()
+
+
+def tidied(work: Callable) -> Callable:
+    """work over batches, which leaves no free memory behind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        tidy()
+
+    return run
+
+
+def tidied_groups(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """work over groups, with free memory given back every second."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = work(group)
+        tidy(1.0)
+        return out
+
+    return run
+
+
 def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of
+from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of, tidied, tidied_groups
 from .components import parted
 from .substring_dedup import numbered, packed, runs
 
@@ -418,14 +418,14 @@ def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_
     full = rows_of(docs, id=F.col("id"), text=F.col("text"), rest=F.col("rest"))
     rows = full.select("rid", "text", "id")
     buckets = buckets or parts_for(rows)
-    sent = rows.mapInArrow(_send(length, buckets), SENT)
-    answers = sent.groupBy("bucket").applyInArrow(lambda t: _compare(t), ANSWER)
-    gathered = answers.groupBy("chunk").applyInArrow(_gather(length), "rid long, spans binary, asked binary").checkpoint()
+    sent = rows.mapInArrow(tidied(_send(length, buckets)), SENT)
+    answers = sent.groupBy("bucket").applyInArrow(tidied_groups(lambda t: _compare(t)), ANSWER)
+    gathered = answers.groupBy("chunk").applyInArrow(tidied_groups(_gather(length)), "rid long, spans binary, asked binary").checkpoint()
     asks = gathered.filter("asked is not null").select("rid", "asked")
     asked = parted(rows, asks.select("rid"))[0].join(asks, "rid").select("rid", "id", "text", "asked")
-    parts = asked.mapInArrow(_bytes_of(length, buckets), PART)
+    parts = asked.mapInArrow(tidied(_bytes_of(length, buckets)), PART)
     dealt = parts.repartition(buckets, "block").sortWithinPartitions("block", "anchor")
-    spans = dealt.mapInArrow(_blocks(length), "rid long, spans binary")
+    spans = dealt.mapInArrow(tidied(_blocks(length)), "rid long, spans binary")
     return full, gathered.filter("spans is not null").select("rid", "spans").unionByName(spans)
 
 
@@ -465,5 +465,5 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
     # Texts of which nothing goes stay where they are.
     columns = ["id", "text", "spans", *["rest"] * bool(extra)]
     some, others = parted(rows, spans.select("rid"))
-    out = some.join(spans, "rid").select(columns).unionByName(others.withColumn("spans", F.lit(None).cast("binary")).select(columns)).mapInArrow(cut, told)
+    out = some.join(spans, "rid").select(columns).unionByName(others.withColumn("spans", F.lit(None).cast("binary")).select(columns)).mapInArrow(tidied(cut), told)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept", *[F.col("rest")[c].alias(c) for c in extra])
