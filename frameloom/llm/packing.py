@@ -23,26 +23,82 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .token_counts import BARE, Pieces
+from .common import binary, passes, prepare, tidied
+from .substring_dedup import runs
+from .token_counts import BARE, LONGEST, PLAIN, Pieces
 
 #: A plan this close to the lower bound is good enough; else the next finer step is tried, as long as EFFORT steps in all allow.
 GAP, STEPS, EFFORT = 0.0005, (1.0, 0.5, 0.25, 0.1, 0.05, 0.02, 0.01), 60_000
+#: Bytes of text whose words are told apart at once (or one longer text), words that a worker remembers of late, and as many of before.
+WORDS_BYTES, REMEMBERED = 4 << 20, 200_000
+#: A Latin-1 letter and a mark that ends a word.
+MARKED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])([\t-\r ]|$)"
+_loaded: dict[str, Words] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return array("I", ids).tobytes()
+
+
+class Words:
+    """Ids of whole texts from the ids of their words, of which each distinct one of a pass is looked up once.
+
+    Words end at ASCII white space and before a mark that ends them, where
+    pre-tokens end, too; strings of special tokens hold neither. A word is one pre-token, or several.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.pieces, self.known, self.older = Pieces.of(path, BARE, _bytes), {}, {}
+
+    @classmethod
+    def of(cls, path: str) -> Words:
+        if path not in _loaded:
+            _loaded[path] = cls(path)
+        return _loaded[path]
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words."""
+        if len(self.known) > REMEMBERED:  # those not seen since the last time go
+            self.known, self.older = {}, self.known
+        out = [self.known.get(w) or self.older.get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        split = [[words[k]] if PLAIN.fullmatch(words[k]) else self.pieces.split(words[k]) for k in new]
+        single = list(set().union(*split))
+        of = dict(zip(single, self.pieces.encode(single), strict=True))
+        for k, tokens in zip(new, split, strict=True):
+            out[k] = b"".join([of[t] for t in tokens])
+        self.known.update((w, x) for w, x in zip(words, out, strict=True) if len(w) <= LONGEST)
+        return out
+
+    def ids(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text and end_id, one text after the other, and where each begins."""
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.fill_null(texts.cast(pa.large_string()), ""), MARKED, r"\1 \2\3"))
+        n = len(split)
+        words = split.flatten().dictionary_encode()
+        ends = np.cumsum(split.value_lengths().to_numpy())
+        which = words.indices.to_numpy().astype(np.int64)
+        of = self.encode(words.dictionary.to_pylist())
+        found, size = np.frombuffer(b"".join(of), "<u4"), np.array([len(x) // 4 for x in of], np.int64)
+        # Every text's last word is end_id.
+        found, size = np.append(found, np.uint32(end_id)), np.append(size, 1)
+        which = np.insert(which, ends, len(size) - 1)
+        first, length = np.cumsum(size) - size, size[which]
+        past = np.cumsum(length)
+        place = np.repeat(first[which] - past + length, length) + np.arange(int(past[-1]) if n else 0)
+        return found[place], np.concatenate([[0], past[ends + np.arange(n)]])
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -53,27 +109,29 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
     prepare(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, seen = Pieces.of(path, BARE, _bytes), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
+        known, part, seen = Words.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids, column = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(batch), 256):
-                split = [known.split(t or "") for t in column.slice(lo, 256).to_pylist()]
-                long = known.learn(set().union(*split))
-                of = known.known.__getitem__ if not long else lambda t, a=known.known, b=long: a[t] if t in a else b[t]
-                out = []
-                for doc, tokens in zip(ids[lo : lo + 256], split, strict=True):
-                    data = b"".join(map(of, tokens)) + end
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        own = data[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        out.append((doc, k, at // 4, n, zlib.crc32(own), part, int(seen[n])))
-                        seen[n] += 1
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in PIECES.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, PIECES)
+            offsets = binary(batch.column(1))[1]
+            for lo, hi in passes(offsets, WORDS_BYTES):
+                ids, at = known.ids(batch.column(1).slice(lo, hi - lo), end_id)
+                size = np.diff(at)
+                count = -(-size // capacity)
+                doc = np.repeat(np.arange(hi - lo), count)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = nth * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                begin, data = (4 * (at[doc] + start)).tolist(), memoryview(ids.view(np.uint8))
+                crc = [zlib.crc32(data[b : b + 4 * n]) for b, n in zip(begin, length.tolist(), strict=True)]
+                # A piece's number among those of its length: the task's number so far, and its place in this pass.
+                by = np.argsort(length, kind="stable")
+                first, n = runs(length[by])
+                rank = np.empty(len(length), np.int64)
+                rank[by] = seen[length[by]] + np.arange(len(by)) - np.repeat(first, n)
+                seen[length[by][first]] += n
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(nth.astype(np.int32)), *map(pa.array, (start, length)), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in PIECES.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(work), PIECES)
 
 
 class Knapsack:
