@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import hashlib
 import math
 import re
@@ -54,12 +55,25 @@ def prepare(spark: SparkSession) -> None:
 def pinned(df: DataFrame) -> DataFrame:
     """df, or its checkpoint if a second reading could deal its rows otherwise.
 
-    A plain scan of files gives the same partitions and rows each time; what
+    A plain scan of files gives the same partitions and rows each time, and so
+    it does if a broadcast table tells which of its rows stay (`components.parted`); what
     comes out of a shuffle or a generator may not.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {re.match(r"[\s:+|-]*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"[\s:+|-]*(\w+)", line)}
-    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2", "LogicalRDD"} else df.checkpoint()
+    steady = {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2", "LogicalRDD", "Union"}
+    nodes = [(m[1], line) for line in plan.splitlines() if (m := re.match(r"[\s:+|-]*(\w+)", line))]
+    same = all(node in steady or node == "Join" and re.search(r"Join (LeftOuter|Inner), .*rightHint=\(strategy=broadcast\)", line) for node, line in nodes)
+    return df if same else df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done and whose results are checkpointed.
+
+    Spark deletes them once the driver's collector finds that nothing uses them, which
+    on a driver with free memory is when the disk has long been full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
@@ -69,8 +83,9 @@ def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
 
 def parts_for(df: DataFrame, each_mb: float = 10.0) -> int:
     """Partitions such that each stands for about each_mb of scanned files; at least the session's."""
-    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if known >= 1 << 45:  # Spark does not know it, as of rows that come from a checkpoint
+    plan = df._jdf.queryExecution().optimizedPlan()
+    known = int(plan.stats().sizeInBytes())
+    if known >= 1 << 45 or "Join " in plan.toString():  # Spark does not know it, as of rows that come from a checkpoint; for joins it multiplies
         known = df.count() << 12
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(known / (each_mb * 1e6)))

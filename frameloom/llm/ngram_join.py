@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary, mixed, parts_for, passes, pinned, prepare, rolling, rows_of, short_hashes, tidied, tidied_groups, word_hashes
+from .common import LOWER, binary, mixed, parts_for, passes, pinned, prepare, release, rolling, rows_of, short_hashes, tidied, tidied_groups, word_hashes
 from .components import components, looked_up, parted
 from .substring_dedup import chunks, numbered, packed, runs
 from .suffix_dedup import pack, unpack
@@ -481,6 +481,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     heavy, counts = _heavy(rows, n)
     sent = rows.select("rid", "text").mapInArrow(tidied(_entries(n, similarity, heavy, counts, buckets, HOT)), SENT)
     placed = sent.groupBy("bucket").applyInArrow(tidied_groups(_leaders(similarity)), ANSWER).groupBy("chunk").applyInArrow(tidied_groups(lambda t: _rows(t)), ROW).checkpoint()
+    release(docs.sparkSession)
     # One row of each set in a chunk stands for the chunk's others; the first of these goes to blocks, with the number of rows that have it.
     heads = placed.filter("size > 0 and copies > 0").select("set", "size", "rid", "place", "copies")
     classes = heads.groupBy("set", "size").agg(F.min("rid").alias("rid"), F.min("place").alias("place"), F.sum("copies").alias("n")).checkpoint()
@@ -500,6 +501,7 @@ def ngram_groups(docs: DataFrame, n: int = 5, percent: int = 80, buckets: int |
     here = lambda c: F.col(c) == (F.floor(F.col("pair") / F.col("ms")) if c == "h" else F.col("pair") % F.col("ms"))
     blocks = blocks.select("rid", "n", "text", "blocks", "held", "leader", "pair", (F.col("may") & here("h")).alias("as_held"), here("m").alias("as_asked"))
     links = blocks.groupBy("leader", "pair").applyInArrow(tidied_groups(_link(n, similarity)), LINKS).checkpoint()
+    release(docs.sparkSession)
     found = components(links.filter("b is not null").select("a", "b")).withColumnsRenamed({"node": "rid", "component": "group"})
     # What is told of a set goes to its first row in each chunk, and from there to the chunk's rows.
     more = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("more")).withColumnRenamed("a", "rid")

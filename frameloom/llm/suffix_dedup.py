@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, rows_of, tidied, tidied_groups
+from .common import LETTERS, binary, mixed, parts_for, passes, pinned, prepare, release, rows_of, tidied, tidied_groups
 from .components import parted
 from .substring_dedup import numbered, packed, runs
 
@@ -421,6 +421,7 @@ def repeated_bytes(docs: DataFrame, length: int, buckets: int | None = None, id_
     sent = rows.mapInArrow(tidied(_send(length, buckets)), SENT)
     answers = sent.groupBy("bucket").applyInArrow(tidied_groups(lambda t: _compare(t)), ANSWER)
     gathered = answers.groupBy("chunk").applyInArrow(tidied_groups(_gather(length)), "rid long, spans binary, asked binary").checkpoint()
+    release(docs.sparkSession)
     asks = gathered.filter("asked is not null").select("rid", "asked")
     asked = parted(rows, asks.select("rid"))[0].join(asks, "rid").select("rid", "id", "text", "asked")
     parts = asked.mapInArrow(tidied(_bytes_of(length, buckets)), PART)
@@ -445,6 +446,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, buckets: int | Non
         raise ValueError("length must be 1 or more")
     rows, spans = repeated_bytes(docs, length, buckets, id_col, text_col, extra)
     spans = spans.groupBy("rid").applyInArrow(lambda t: _joined(t), "rid long, spans binary").checkpoint()
+    release(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
